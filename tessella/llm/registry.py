@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_language_id, op2_mixing
+from . import op1_language_id, op2_mixing, op7_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id.query,
         "op2_mixing": op2_mixing.query,
+        "op7_tokens": op7_tokens.query,
     }
 
 
