@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_language_id, op2_mixing, op6_simhash, op7_tokens
+from . import op1_language_id, op2_mixing, op5_packing, op6_simhash, op7_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id.query,
         "op2_mixing": op2_mixing.query,
+        "op5_packing": op5_packing.query,
         "op6_simhash": op6_simhash.query,
         "op7_tokens": op7_tokens.query,
     }
