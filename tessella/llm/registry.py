@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_language_id, op2_mixing, op5_packing, op6_simhash, op7_tokens
+from . import op1_language_id, op2_mixing, op5_packing, op6_simhash, op7_tokens, op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing.query,
         "op6_simhash": op6_simhash.query,
         "op7_tokens": op7_tokens.query,
+        "op8_toxicity": op8_toxicity.query,
     }
 
 
