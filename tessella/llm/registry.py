@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_language_id, op2_mixing, op5_packing, op6_simhash, op7_tokens, op8_toxicity
+from . import op1_language_id, op2_mixing, op3_licenses, op4_topk, op5_packing, op6_simhash, op7_tokens, op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id.query,
         "op2_mixing": op2_mixing.query,
+        "op3_licenses": op3_licenses.query,
+        "op4_topk": op4_topk.query,
         "op5_packing": op5_packing.query,
         "op6_simhash": op6_simhash.query,
         "op7_tokens": op7_tokens.query,
@@ -21,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licenses": op3_licenses.ORACLE, "op4_topk": op4_topk.ORACLE}
