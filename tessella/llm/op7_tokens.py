@@ -38,10 +38,14 @@ LEAST_COUNT = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def compress(ids: np.ndarray, end_id: int = END_ID, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbols, rules (pairs of symbols) and the first nonterminal for uint32 ids."""
+def compress(ids: np.ndarray, end_id: int = END_ID, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (pairs of symbols) and the expansion length of every symbol, for uint32 ids.
+
+    The symbols below the number of lengths less the number of rules are ids.
+    """
     base = int(ids.max()) + 1 if len(ids) else 0
     seq, rules, made = ids.astype(np.uint64), [], 0
+    width = np.ones(base, np.int64)
     closes = np.zeros(base, bool)  # symbols whose last id ends a document: nothing may follow them in a pair
     closes[end_id : end_id + 1] = True
     for _ in range(rounds):
@@ -75,36 +79,23 @@ def compress(ids: np.ndarray, end_id: int = END_ID, rounds: int = ROUNDS) -> tup
         used, symbol = np.unique(rule[hit], return_inverse=True)
         rules.append(np.stack([(chosen[used] >> np.uint64(32)), chosen[used] & np.uint64(0xFFFFFFFF)], axis=1))
         seq[hit] = (symbol + base + made).astype(np.uint64)
+        width = np.r_[width, width[rules[-1].astype(np.int64)].sum(axis=1)]
         closes = np.r_[closes, closes[rules[-1][:, 1].astype(np.int64)]]
         made += len(used)
         seq = np.delete(seq, hit + 1)
     pairs = np.concatenate(rules).astype("<u4") if rules else np.empty((0, 2), "<u4")
-    return seq.astype("<u4"), pairs, base
-
-
-def expansions(pairs: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every rule: where its ids start in the flat array, how many they are; the flat array."""
-    flat, start, size, total = [], np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64), 0
-    for i, (a, b) in enumerate(pairs.tolist()):
-        ids = (flat[a - base] if a >= base else [a]) + (flat[b - base] if b >= base else [b])
-        start[i], size[i] = total, len(ids)
-        flat.append(ids)
-        total += len(ids)
-    return start, size, np.array([x for ids in flat for x in ids], "<u4")
+    return seq.astype("<u4"), pairs, width
 
 
 def image(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None]) -> bytes:
     """A shard of documents with these ids in turn; every document ends with the end id."""
-    seq, pairs, base = compress(ids)
-    _, size, _ = expansions(pairs, base)
-    width = np.ones(len(seq), np.int64)
-    rule = seq >= base
-    width[rule] = size[seq[rule] - base]
-    starts = np.searchsorted(np.r_[0, np.cumsum(width)], np.r_[0, np.cumsum(lengths)])
+    seq, pairs, width = compress(ids)
+    base = len(width) - len(pairs)
+    starts = np.searchsorted(np.r_[0, np.cumsum(width[seq])], np.r_[0, np.cumsum(lengths)])
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], "u1")
     head = struct.pack("<4s4I", MAGIC, len(pairs), len(seq), len(doc_ids), base)
-    return b"".join([head, pairs.tobytes(), size.astype("<u4").tobytes(), seq.tobytes(), starts.astype("<u4").tobytes(), known.tobytes(), null.tobytes()])
+    return b"".join([head, pairs.tobytes(), width[base:].astype("<u4").tobytes(), seq.tobytes(), starts.astype("<u4").tobytes(), known.tobytes(), null.tobytes()])
 
 
 class Shard:
@@ -122,22 +113,25 @@ class Shard:
         ids = np.frombuffer(raw, "<i8", docs, at := at + 4 * (docs + 1))
         null = np.frombuffer(raw, "u1", docs, at + 8 * docs)
         self.doc_ids = [None if n else int(d) for d, n in zip(ids, null)]
-        self._flat = None
 
     def decode(self, lo: int, hi: int) -> np.ndarray:
-        """The ids of symbols lo to hi."""
-        if self._flat is None:
-            self._flat = expansions(self.pairs, self.base)
-        start, size, flat = self._flat
-        seq = self.seq[lo:hi].astype(np.int64)
+        """The ids of symbols lo to hi: every pass puts the two symbols of a rule in its place."""
+        seq = self.seq[lo:hi]
         rule = seq >= self.base
-        if not len(flat):
-            return seq.astype("<u4")
-        width, source = np.ones(len(seq), np.int64), np.zeros(len(seq), np.int64)
-        width[rule], source[rule] = size[seq[rule] - self.base], start[seq[rule] - self.base]
-        ends = np.cumsum(width)
-        within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - width, width)
-        return np.where(np.repeat(rule, width), flat[np.minimum(np.repeat(source, width) + within, len(flat) - 1)], np.repeat(seq, width)).astype("<u4")
+        while rule.any():
+            width = 1 + rule
+            at = np.cumsum(width) - width
+            out = np.repeat(seq, width)
+            pair = self.pairs[seq[rule] - self.base]
+            out[at[rule]], out[at[rule] + 1] = pair[:, 0], pair[:, 1]
+            seq = out
+            rule = seq >= self.base
+        return seq.astype("<u4")
+
+    def all_documents(self) -> list[np.ndarray]:
+        width = np.concatenate([np.ones(self.base, np.int64), self.size])[self.seq] if len(self.seq) else np.empty(0, np.int64)
+        ends = np.r_[0, np.cumsum(width)][self.starts]
+        return np.split(self.decode(0, len(self.seq)), ends[1:-1])
 
     def document(self, i: int) -> np.ndarray:
         return self.decode(int(self.starts[i]), int(self.starts[i + 1]))
@@ -215,7 +209,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         for rb in batches:
             for part, before, raw in zip(*(rb.column(i).to_pylist() for i in range(3))):
                 s = Shard(raw)
-                own = [s.document(i) for i in range(len(s.doc_ids))]
+                own = s.all_documents()
                 n = np.array([len(x) for x in own], np.int64)
                 start = offsets[part] + before + np.cumsum(n) - n
                 yield batch(schema, [s.doc_ids, start, n, [zlib.crc32(x.tobytes()) for x in own]])

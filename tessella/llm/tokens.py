@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import numpy as np
 
 #: Distinct words that a worker keeps in each of the two generations of its cache.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 END_ID = 1
-_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|$)")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -18,8 +16,8 @@ class Encoder:
     """ids of texts as little-endian 32-bit bytes.
 
     White space parts pre-tokens in these vocabularies, so the ids of a text are those of its words in
-    turn; a full stop or comma between a letter and white space is a pre-token too. Words recur, so
-    each is encoded by the tokenizers library once and then looked up. The cache has two generations:
+    turn, and a word's last full stop or comma after a letter is a pre-token too. Words recur, so each
+    is encoded by the tokenizers library once and then looked up. The cache has two generations:
     when the younger is full it becomes the older, and words in use move over.
     """
 
@@ -39,7 +37,9 @@ class Encoder:
         for w in words & self.old.keys():
             self.young[w] = self.old[w]
         fresh = [w for w in words if w not in self.young]
-        plain = [w for w in fresh if w.isalpha()]
+        # a full stop or comma after a letter is a pre-token of its own
+        stopped = [w for w in fresh if w[-1] in ".," and w[:-1].isalpha()]
+        plain = list({w for w in fresh if w.isalpha()}.union(w[:-1] for w in stopped) - self.young.keys())
         if plain:
             # one call for all plain words: each gives one pre-token, whose last id alone ends a word
             ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
@@ -49,12 +49,16 @@ class Encoder:
                 self.young.update((w, raw[a:b]) for w, a, b in zip(plain, at, at[1:]))
             else:
                 plain = []
+        for mark in ".,":
+            if mark not in self.young:
+                self.young[mark] = np.array(self.library.encode(mark, add_special_tokens=False).ids, "<u4").tobytes()
+        self.young.update((w, self.young[w[:-1]] + self.young[w[-1]]) for w in stopped if w[:-1] in self.young)
         rest = [w for w in fresh if w not in self.young]
         for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
             self.young[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [_STOP.sub(r" \1", t).split() if t else [] for t in texts]
+        split = [t.split() if t else [] for t in texts]
         out = []
         for lo in range(0, len(split), 256):
             part = split[lo : lo + 256]
