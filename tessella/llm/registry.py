@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_language_id, op2_mixing, op3_licenses, op4_topk, op5_packing, op6_simhash, op7_tokens, op8_toxicity
+from . import op1_language_id, op2_mixing, op3_licenses, op4_topk, op5_packing, op6_simhash, op7_tokens, op8_toxicity, op9_fingerprints
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash.query,
         "op7_tokens": op7_tokens.query,
         "op8_toxicity": op8_toxicity.query,
+        "op9_fingerprints": op9_fingerprints.query,
     }
 
 
