@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import op1_language_id, op2_mixing, op3_licenses, op4_topk, op5_packing, op6_simhash, op7_tokens, op8_toxicity, op9_fingerprints, op10_line_dedup
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id.query,
@@ -21,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity.query,
         "op9_fingerprints": op9_fingerprints.query,
         "op10_line_dedup": op10_line_dedup.query,
+        "pipeline": pipeline,
     }
 
 
