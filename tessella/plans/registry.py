@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from . import q_grid, q_robust
+
+MODULES = (q_grid, q_robust)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
