@@ -162,9 +162,9 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", hash_bits
     parts, tables, totals, discounts = [], {}, {}, {}
     for k, t in k_tables.items():
         context = F.shiftrightunsigned("g", 16)
-        parts.append(t.groupBy("lang", F.lit(k).alias("k"), F.lit("gram").alias("kind"), slot("g").alias("slot")).agg(F.sum("n").cast("double").alias("n"), F.lit(0.0).alias("m")))
+        parts.append(t.groupBy("lang", F.lit(2 * k).alias("table"), slot("g").alias("slot")).agg(F.sum("n").cast("float").alias("n"), F.lit(0.0).cast("float").alias("m")))
         if k > 1:
-            parts.append(t.select("lang", "n", context.alias("g")).groupBy("lang", F.lit(k).alias("k"), F.lit("context").alias("kind"), slot("g").alias("slot")).agg(F.sum("n").cast("double").alias("n"), F.count("*").cast("double").alias("m")))
+            parts.append(t.select("lang", "n", context.alias("g")).groupBy("lang", F.lit(2 * k + 1).alias("table"), slot("g").alias("slot")).agg(F.sum("n").cast("float").alias("n"), F.count("*").cast("float").alias("m")))
         for r in t.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
             discounts[r.lang, k] = max(0.1, min(0.9, r.n1 / (r.n1 + 2 * r.n2))) if r.n1 else 0.5
             if k == 1:
@@ -172,15 +172,15 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", hash_bits
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    got = union.toPandas()
-    empty = (np.empty(0, np.int32), np.empty(0, np.float32))
-    for lang in langs:
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") if langs else F.lit(0)
+    got = union.select(number.alias("lang"), "table", "slot", "n", "m").toArrow()
+    of_lang, of_table, slots = (got[c].to_numpy() for c in ("lang", "table", "slot"))
+    for i, lang in enumerate(langs, 1):
         for k in range(1, ORDER + 1):
-            tables[lang, k, "gram"], tables[lang, k, "context"] = empty, (*empty, empty[1])
-    for (lang, k, kind), own in got.groupby(["lang", "k", "kind"]):
-        own = own.sort_values("slot")
-        values = [own["n"].to_numpy(np.float32)] + ([own["m"].to_numpy(np.float32)] if kind == "context" else [])
-        tables[lang, int(k), kind] = (own["slot"].to_numpy(np.int32), *values)
+            for kind in ("gram", "context"):
+                own = np.flatnonzero((of_lang == i) & (of_table == 2 * k + (kind == "context")))
+                own = own[np.argsort(slots[own])]
+                tables[lang, k, kind] = tuple(got[c].to_numpy()[own] for c in ["slot", "n", "m"][: 3 if kind == "context" else 2])
     return Model(langs, bits, tables, totals, discounts, int(max([1, *(kinds for _, kinds in totals.values())])) + 1)
 
 
