@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_grid, q_robust
+from . import q_blend, q_grid, q_match, q_robust
 
-MODULES = (q_grid, q_robust)
+MODULES = (q_grid, q_robust, q_blend, q_match)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
