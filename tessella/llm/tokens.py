@@ -58,7 +58,9 @@ class Encoder:
             self.young[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
+        # str.split() also parts at four separators that are characters to the tokenizer
+        odd = {i for i, t in enumerate(texts) if t and any(c in t for c in "\x1c\x1d\x1e\x1f")}
+        split = [t.split() if t and i not in odd else [] for i, t in enumerate(texts)]
         out = []
         for lo in range(0, len(split), 256):
             part = split[lo : lo + 256]
@@ -67,6 +69,8 @@ class Encoder:
             if missing:
                 self._learn(missing if len(self.young) + len(missing) <= CACHE_WORDS else words)
             out += [b"".join(map(self.young.__getitem__, p)) for p in part]
+        for i in odd:
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
