@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_blend, q_grid, q_match, q_robust
+from . import q_blend, q_catalog, q_geometry, q_graph, q_grid, q_match, q_robust, q_runs, q_timeline
 
-MODULES = (q_grid, q_robust, q_blend, q_match)
+MODULES = (q_grid, q_robust, q_blend, q_match, q_timeline, q_runs, q_graph, q_catalog, q_geometry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
