@@ -173,9 +173,9 @@ def shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             return out
 
         for rb in batches:
-            names, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
-            for lo in range(0, len(texts), 1000):
-                for d, b in zip(names[lo : lo + 1000], encode(texts[lo : lo + 1000])):
+            names = rb.column(0).to_pylist()
+            for lo, own in encode.chunks(rb.column(1)):
+                for d, b in zip(names[lo : lo + len(own)], own):
                     held.append((d, b + end))
                     size += len(b) // 4 + 1
                     if size >= SHARD_TOKENS:

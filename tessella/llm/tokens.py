@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import chain
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct words that a worker keeps in each of the two generations of its cache.
-CACHE_WORDS = 400_000
+from .common import blocks
+
+#: Distinct words that a worker keeps before only those that recur stay.
+CACHE_WORDS = 600_000
+#: Bytes of text that are split at once; a longer text goes alone.
+CHUNK_BYTES = 6 << 20
 END_ID = 1
 _encoders: dict[str, Encoder] = {}
 
@@ -16,9 +22,10 @@ class Encoder:
     """ids of texts as little-endian 32-bit bytes.
 
     White space parts pre-tokens in these vocabularies, so the ids of a text are those of its words in
-    turn, and a word's last full stop or comma after a letter is a pre-token too. Words recur, so each
-    is encoded by the tokenizers library once and then looked up. The cache has two generations:
-    when the younger is full it becomes the older, and words in use move over.
+    turn, and a word's last full stop or comma after a letter is a pre-token too. Arrow splits the texts
+    and numbers their distinct words; the tokenizers library encodes each word once, and numpy lays the
+    ids of known words in the order of the text. When CACHE_WORDS is passed, the words that the present
+    chunk shares with earlier ones stay.
     """
 
     def __init__(self, path: str):
@@ -28,50 +35,101 @@ class Encoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.young) + len(words) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        for w in words & self.old.keys():
-            self.young[w] = self.old[w]
-        fresh = [w for w in words if w not in self.young]
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.ids = np.empty(1 << 20, "<u4")  # ids of word i: ids[start[i] : start[i + 1]]
+        self.start = np.zeros(1 << 18, np.int64)
+
+    def _add(self, words: Sequence[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Numbers words, whose ids follow each other in ids."""
+        known = len(self.number)
+        held = int(self.start[known])
+        while held + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.empty_like(self.ids)]
+        while known + len(words) >= len(self.start):
+            self.start = np.r_[self.start, np.zeros_like(self.start)]
+        self.ids[held : held + len(ids)] = ids
+        self.start[known + 1 : known + len(words) + 1] = held + np.cumsum(lengths)
+        self.number.update(zip(words, range(known, known + len(words))))
+
+    def _laid(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered words in turn, and how many each has."""
+        first, n = self.start[at], self.start[at + 1] - self.start[at]
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        return self.ids[np.repeat(first - end + n, n) + np.arange(total)], n
+
+    def _learn(self, fresh: list[str]) -> None:
         # a full stop or comma after a letter is a pre-token of its own
         stopped = [w for w in fresh if w[-1] in ".," and w[:-1].isalpha()]
-        plain = list({w for w in fresh if w.isalpha()}.union(w[:-1] for w in stopped) - self.young.keys())
+        plain = [w for w in fresh if w.isalpha()]
+        plain += list(dict.fromkeys(w[:-1] for w in stopped).keys() - self.number.keys() - set(plain))
         if plain:
             # one call for all plain words: each gives one pre-token, whose last id alone ends a word
             ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(plain):
-                raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
-                self.young.update((w, raw[a:b]) for w, a, b in zip(plain, at, at[1:]))
-            else:
-                plain = []
-        for mark in ".,":
-            if mark not in self.young:
-                self.young[mark] = np.array(self.library.encode(mark, add_special_tokens=False).ids, "<u4").tobytes()
-        self.young.update((w, self.young[w[:-1]] + self.young[w[-1]]) for w in stopped if w[:-1] in self.young)
-        rest = [w for w in fresh if w not in self.young]
-        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            self.young[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        # str.split() also parts at four separators that are characters to the tokenizer
-        odd = {i for i, t in enumerate(texts) if t and any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        split = [t.split() if t and i not in odd else [] for i, t in enumerate(texts)]
-        out = []
-        for lo in range(0, len(split), 256):
-            part = split[lo : lo + 256]
-            words = set(chain.from_iterable(part))
-            missing = words - self.young.keys()
-            if missing:
-                self._learn(missing if len(self.young) + len(missing) <= CACHE_WORDS else words)
-            out += [b"".join(map(self.young.__getitem__, p)) for p in part]
-        for i in odd:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+                self._add(plain, ids, np.diff(stops, prepend=0))
+                self._learn_rest([m for m in ".," if m not in self.number])
+                both = np.array([[self.number[w[:-1]], self.number[w[-1]]] for w in stopped], np.int64).reshape(-1, 2)
+                ids, n = self._laid(both.ravel())
+                self._add(stopped, ids, n.reshape(-1, 2).sum(axis=1))
+        self._learn_rest([w for w in fresh if w not in self.number])
+
+    def _learn_rest(self, words: list[str]) -> None:
+        own = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        self._add(words, np.concatenate([np.empty(0, "<u4"), *(np.array(i, "<u4") for i in own)]), np.array([len(i) for i in own], np.int64))
+
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words, after learning those that are new."""
+        found = list(map(self.number.get, words))
+        missing = [k for k, i in enumerate(found) if i is None]
+        fresh = [words[k] for k in missing]
+        if len(self.number) + 2 * len(fresh) > CACHE_WORDS:
+            kept = [w for w, i in zip(words, found) if i]
+            ids, n = self._laid(np.array([i for i in found if i], np.int64))
+            self._reset()
+            self._add(kept, ids, n)
+            found = list(map(self.number.get, words))
+        if fresh:
+            self._learn(fresh)
+            for k, w in zip(missing, fresh):
+                found[k] = self.number[w]
+        return np.array(found, np.int64)
+
+    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # Arrow also parts at four separators that are characters to the tokenizer
+        odd = np.flatnonzero(pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False))
+        whole = [texts[int(i)].as_py() for i in odd]
+        if len(odd):
+            spared = np.ones(len(texts), bool)
+            spared[odd] = False
+            texts = pc.if_else(pa.array(spared), texts, "")
+        split = pc.utf8_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids, n = self._laid(self._numbered(words.dictionary.to_pylist())[words.indices.to_numpy()])
+        ends = np.r_[0, np.cumsum(n)][np.cumsum(pc.list_value_length(split).to_numpy())]
+        lengths = np.diff(ends, prepend=0)
+        if len(odd):
+            parts = np.split(ids, ends[:-1])
+            for i, e in zip(odd.tolist(), self.library.encode_batch_fast(whole, add_special_tokens=False)):
+                parts[i] = np.array(e.ids, "<u4")
+                lengths[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, lengths
+
+    def chunks(self, texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+        """The ids of texts, some texts at a time, with the place of the first; null texts are empty."""
+        texts = pc.fill_null(texts, "")
+        for lo, hi in blocks(pc.binary_length(texts).to_pylist(), CHUNK_BYTES):
+            ids, lengths = self._chunk(texts.slice(lo, hi - lo))
+            raw, ends = ids.tobytes(), (4 * np.cumsum(lengths)).tolist()
+            yield lo, [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
+        return [b for _, part in self.chunks(pa.array(texts, pa.string())) for b in part]
 
 
 def encoder(path: str) -> Encoder:

@@ -117,6 +117,16 @@ def test_encoder_on_odd_words():
     assert [np.frombuffer(b, "<u4").tolist() for b in Encoder(default_path())(texts)] == [i[:-1] for i in library_ids(texts)]
 
 
+def test_encoder_keeps_recurring_words(monkeypatch):
+    monkeypatch.setattr("tessella.llm.tokens.CACHE_WORDS", 40)
+    monkeypatch.setattr("tessella.llm.tokens.CHUNK_BYTES", 100)
+    texts = [" ".join(f"common, w{i}x{k} {chr(97 + i % 26)}{chr(97 + k)}. common" for k in range(12)) for i in range(40)] + [None, "", " ", "x\x1fy z"]
+    encode = Encoder(default_path())
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [i[:-1] for i in library_ids([t or "" for t in texts])]
+    assert len(encode.number) < 200
+
+
 def test_shard_reads_one_token_and_one_document():
     rng = np.random.default_rng(2)
     docs = [np.r_[rng.choice([5, 6, 7, 8], n), 1].astype("<u4") for n in (0, 1, 50, 4000)] + [np.r_[np.full(999, 9), 1].astype("<u4")]
