@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,25 +19,54 @@ END_ID = 1
 _encoders: dict[str, Encoder] = {}
 
 
+def _latin(words: list[str]) -> bool:
+    try:
+        "".join(words).encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """ids of texts as little-endian 32-bit bytes.
 
     White space parts pre-tokens in these vocabularies, so the ids of a text are those of its words in
-    turn, and a word's last full stop or comma after a letter is a pre-token too. Arrow splits the texts
+    turn, and the ASCII punctuation that ends a word of letters is a pre-token too. Arrow splits the texts
     and numbers their distinct words; the tokenizers library encodes each word once, and numpy lays the
     ids of known words in the order of the text. When CACHE_WORDS is passed, the words that the present
     chunk shares with earlier ones stay.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # the same merges without regex and normaliser, for Latin words that are normal as they are
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        # a byte's character as byte-level vocabularies write it: printable Latin-1 as it is, the others from U+0100 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.byte = np.zeros(256, "<u4")
+        self.byte[shown] = shown
+        hidden = np.flatnonzero(self.byte == 0)
+        self.byte[hidden] = 0x100 + np.arange(len(hidden))
+        self.byte[0x20] = 0x20
+        self.alike = True
+        letters = [chr(c) for c in range(0x100) if chr(c).isalpha()]
+        probe = " ".join([*letters, "".join(letters), "".join(reversed(letters)), "I", "The", "QUE"])
+        self.alike = self._plain(probe) == self.library.encode(probe, add_special_tokens=False).ids
         self._reset()
 
+    def _plain(self, joined: str) -> list[int]:
+        """The ids of words of letters, joined by spaces."""
+        if self.alike and _latin([joined]):
+            joined = self.byte[np.frombuffer(joined.lower().encode(), "u1")].tobytes().decode("utf-32-le")
+            return self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+        return self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+
     def _reset(self) -> None:
         self.number: dict[str, int] = {"": 0}
         self.ids = np.empty(1 << 20, "<u4")  # ids of word i: ids[start[i] : start[i + 1]]
@@ -62,20 +92,23 @@ class Encoder:
         return self.ids[np.repeat(first - end + n, n) + np.arange(total)], n
 
     def _learn(self, fresh: list[str]) -> None:
-        # a full stop or comma after a letter is a pre-token of its own
-        stopped = [w for w in fresh if w[-1] in ".," and w[:-1].isalpha()]
-        plain = [w for w in fresh if w.isalpha()]
-        plain += list(dict.fromkeys(w[:-1] for w in stopped).keys() - self.number.keys() - set(plain))
-        if plain:
-            # one call for all plain words: each gives one pre-token, whose last id alone ends a word
-            ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(plain):
-                self._add(plain, ids, np.diff(stops, prepend=0))
-                self._learn_rest([m for m in ".," if m not in self.number])
-                both = np.array([[self.number[w[:-1]], self.number[w[-1]]] for w in stopped], np.int64).reshape(-1, 2)
-                ids, n = self._laid(both.ravel())
-                self._add(stopped, ids, n.reshape(-1, 2).sum(axis=1))
+        # ASCII punctuation after letters is a pre-token of its own
+        bare = [w.rstrip(string.punctuation) for w in fresh]
+        stopped = [(w, b, w[len(b) :]) for w, b in zip(fresh, bare) if len(b) < len(w) and b.isalpha()]
+        plain = list(set(filter(str.isalpha, bare)) - self.number.keys())
+        far = [w for w in plain if not w.isascii() and max(w) > "\xff"] if not _latin(plain) else []
+        # one call for all plain words: each gives one pre-token, whose last id alone ends a word
+        for own in (list(set(plain).difference(far)) if far else plain, far):
+            if own:
+                ids = np.array(self._plain(" ".join(own)), "<u4")
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) == len(own):
+                    self._add(own, ids, np.diff(stops, prepend=0))
+        self._learn_rest(list({m for _, _, m in stopped} - self.number.keys()))
+        stopped = [(w, b, m) for w, b, m in stopped if b in self.number]
+        both = np.array([(self.number[b], self.number[m]) for _, b, m in stopped], np.int64).reshape(-1, 2)
+        ids, n = self._laid(both.ravel())
+        self._add([w for w, _, _ in stopped], ids, n.reshape(-1, 2).sum(axis=1))
         self._learn_rest([w for w in fresh if w not in self.number])
 
     def _learn_rest(self, words: list[str]) -> None:
@@ -99,9 +132,9 @@ class Encoder:
                 found[k] = self.number[w]
         return np.array(found, np.int64)
 
-    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _chunk(self, texts: pa.Array, separators: bool) -> tuple[np.ndarray, np.ndarray]:
         # Arrow also parts at four separators that are characters to the tokenizer
-        odd = np.flatnonzero(pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)) if separators else np.empty(0, int)
         whole = [texts[int(i)].as_py() for i in odd]
         if len(odd):
             spared = np.ones(len(texts), bool)
@@ -123,8 +156,9 @@ class Encoder:
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         """The ids of texts, some texts at a time, with the place of the first; null texts are empty."""
         texts = pc.fill_null(texts, "")
+        separators = bool((np.frombuffer(texts.buffers()[2] or b"", "u1") - np.uint8(0x1C) < 4).any())
         for lo, hi in blocks(pc.binary_length(texts).to_pylist(), CHUNK_BYTES):
-            ids, lengths = self._chunk(texts.slice(lo, hi - lo))
+            ids, lengths = self._chunk(texts.slice(lo, hi - lo), separators)
             raw, ends = ids.tobytes(), (4 * np.cumsum(lengths)).tolist()
             yield lo, [raw[a:b] for a, b in zip([0, *ends], ends)]
 

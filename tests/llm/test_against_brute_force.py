@@ -113,7 +113,7 @@ def test_tokens_round_trip(spark, table):
 
 
 def test_encoder_on_odd_words():
-    texts = ["it's don't we're", "U.S.A. 3,000.50 a.b., x", "<|endoftext|> </w> .,", "Ünïcode ﬁ ﷺ １２", "a b c\x1cd​e", "x,. ,y .", "\U0001f600ok naïve, café."]
+    texts = ["it's don't we're", "U.S.A. 3,000.50 a.b., x", "<|endoftext|> </w> .,", "Ünïcode ﬁ ﷺ １２", "a b c\x1cd​e", "x,. ,y .", "\U0001f600ok naïve, café.", "İstanbul ΣΟΦΟΣ Ÿ ŉ ªº µß ÀÞ mot*** mot,&&& mot<|endoftext|> mot' l'ami's d'", "e\u0301te\u0301 가 한국어. \u0345a"]
     assert [np.frombuffer(b, "<u4").tolist() for b in Encoder(default_path())(texts)] == [i[:-1] for i in library_ids(texts)]
 
 
