@@ -3,8 +3,10 @@
 Documents become pieces of at most CAPACITY tokens. The histogram of piece lengths, at most CAPACITY
 rows whatever the input, goes to the driver. There the configuration program (how often to use which
 multiset of lengths) is solved by multiplicative weights: lengths whose demand is little covered weigh
-more, an unbounded-knapsack dynamic program finds the configuration of greatest weight, and it gets a
-step. The fractional solution is rounded down to demand, and what is left is packed best-fit decreasing,
+more. A round deals the lengths at random into parts of about PART, a bounded-knapsack dynamic program
+finds each part's configuration of greatest weight, and a configuration that fills a sequence is used as
+often, in whole sequences, as the demand left allows. Rounds go on until TOLERANCE of the tokens is left,
+or until rounds find next to nothing that fills a sequence. What is left is packed best-fit decreasing,
 length by length over groups of equal bins.
 
 Pieces then take their places on Spark: the places of a length are numbered, and a piece's number among
@@ -33,48 +35,67 @@ from .tokens import END_ID, default_path, encoder
 
 CAPACITY = 4096
 BUCKETS = 1024
-STEPS = 120
+PART = 32
+RATE = 0.2
+TOLERANCE = 0.01
+#: So many rounds in a row that deal under 1/2000 of the tokens end the program.
+IDLE = 3
 #: A group of equal sequences: ((length, how many of it) from the longest on), how many such sequences.
 Group = tuple[tuple[tuple[int, int], ...], int]
 
 
-def best_configuration(lengths: np.ndarray, weight: np.ndarray, capacity: int = CAPACITY) -> Counter:
-    """The multiset of lengths of greatest total weight that fits: unbounded knapsack by dynamic programming."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(int(lengths[0]), capacity + 1):
-        value = best[c - lengths[: fits[c]]] + weight[: fits[c]]
-        i = int(value.argmax())
-        best[c], pick[c] = (value[i], i) if value[i] > best[c - 1] else (best[c - 1], -1)
+def best_configuration(lengths: list[int], weight: list[float], most: list[int], capacity: int = CAPACITY) -> Counter:
+    """The multiset of lengths of greatest total weight that fits, each used `most` times at most: bounded knapsack."""
+    items = []
+    for i, n in enumerate(most):
+        k = 1
+        while n > 0:
+            items.append((i, min(k, n)))
+            n, k = n - k, 2 * k
+    best, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for j, (i, k) in enumerate(items):
+        x = lengths[i] * k
+        if x <= capacity:
+            value = best[: capacity + 1 - x] + weight[i] * k
+            np.greater(value, best[x:], out=took[j, x:])
+            best[x:] = np.maximum(best[x:], value)
     out, c = Counter(), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out[int(lengths[pick[c]])] += 1
-            c -= int(lengths[pick[c]])
+    for j in range(len(items) - 1, -1, -1):
+        if took[j, c]:
+            i, k = items[j]
+            out[lengths[i]] += k
+            c -= lengths[i] * k
     return out
 
 
-def configuration_program(demand: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, rate: float = 6.0) -> list[tuple[Counter, float]]:
-    """Fractional uses of configurations that cover the demand, by multiplicative weights."""
-    lengths = np.array(sorted(demand))
-    need = np.array([demand[x] for x in lengths.tolist()], float)
-    place = {x: i for i, x in enumerate(lengths.tolist())}
-    covered = np.zeros(len(lengths))
-    uses: dict[tuple, float] = defaultdict(float)
-    for _ in range(steps):
-        # a length that its demand bounds to less than one sequence can't be used as often as the program likes
-        weight = np.exp(-rate * covered) * lengths / need.clip(1) ** 0.1
-        chosen = best_configuration(lengths, weight, capacity)
-        chosen = Counter({x: min(k, demand[x]) for x, k in chosen.items()})
-        step = min(need[place[x]] / k for x, k in chosen.items()) * max(0.25, 4 / steps)
-        for x, k in chosen.items():
-            covered[place[x]] += step * k / need[place[x]]
-        uses[tuple(sorted(chosen.items(), reverse=True))] += step
-        if covered.min() >= 1:
-            break
-    return [(Counter(dict(c)), u) for c, u in sorted(uses.items(), key=lambda x: (-x[1], x[0]))]
+def configuration_program(demand: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Counter, int]], dict[int, int]]:
+    """Whole uses of configurations, and the demand that they leave: TOLERANCE of the tokens, or what fills no sequence."""
+    rng = np.random.default_rng(len(demand))
+    left = {x: n for x, n in demand.items() if n}
+    total = rest = sum(x * n for x, n in left.items())
+    uses: Counter[tuple] = Counter()
+    idle = 0
+    while rest > TOLERANCE * total and idle < IDLE:
+        before = rest
+        lengths = np.array(sorted(left))
+        parts = max(1, len(lengths) // PART)
+        dealt = rng.permutation(len(lengths)) % parts
+        for p in range(parts):
+            own = lengths[dealt == p].tolist()
+            weight = [x * float(np.exp(RATE * left[x] / demand[x])) for x in own]
+            chosen = best_configuration(own, weight, [min(left[x], capacity // x) for x in own], capacity)
+            filled = sum(x * k for x, k in chosen.items())
+            if filled < capacity - capacity // 512:
+                continue
+            n = min(left[x] // k for x, k in chosen.items())
+            uses[tuple(sorted(chosen.items(), reverse=True))] += n
+            rest -= n * filled
+            for x, k in chosen.items():
+                left[x] -= n * k
+                if not left[x]:
+                    del left[x]
+        idle = idle + 1 if before - rest < total / 2000 else 0
+    return [(Counter(dict(c)), n) for c, n in uses.items()], left
 
 
 def best_fit(demand: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
@@ -119,14 +140,9 @@ def pack_histogram(demand: dict[int, int], capacity: int = CAPACITY) -> list[Gro
         out.append((((capacity, 1),), demand[capacity]))
     if not rest:
         return out
-    left = dict(rest)
-    for config, use in configuration_program(rest, capacity):
-        n = min(int(use + 0.5), *(left[x] // k for x, k in config.items()))
-        if n:
-            out.append((tuple(sorted(config.items(), reverse=True)), n))
-            for x, k in config.items():
-                left[x] -= n * k
-    return out + best_fit({x: n for x, n in left.items() if n}, capacity)
+    chosen, left = configuration_program(rest, capacity)
+    out += [(tuple(sorted(c.items(), reverse=True)), n) for c, n in chosen]
+    return out + best_fit(left, capacity)
 
 
 def places(groups: list[Group]) -> dict[str, np.ndarray]:

@@ -169,6 +169,23 @@ def test_configurations_fill_sequences():
     assert sum(n for _, n in groups) <= 1.01 * -(-sum(x * n for x, n in demand.items()) // 100)
 
 
+@pytest.mark.parametrize("n", [10_000, 200_000])
+def test_configurations_pack_most_tokens(n):
+    """On a histogram of over a thousand lengths the program, and not best-fit decreasing, deals the tokens."""
+    rng = np.random.default_rng(8)
+    demand = Counter(np.clip(rng.lognormal(6, 1, n), 1, 4095).astype(int).tolist())
+    chosen, left = op5_packing.configuration_program(dict(demand))
+    used = Counter(left)
+    for config, k in chosen:
+        assert sum(x * m for x, m in config.items()) <= 4096
+        for x, m in config.items():
+            used[x] += m * k
+    tokens = sum(x * m for x, m in demand.items())
+    assert len(demand) > 1000 and used == demand
+    assert sum(x * m for x, m in left.items()) <= 0.02 * tokens
+    assert sum(k for _, k in op5_packing.pack_histogram(dict(demand))) <= 1.005 * -(-tokens // 4096) + 1
+
+
 def test_mixing(spark):
     rows = op2_mixing.query(spark, TEN).collect()
     docs = duckdb.sql(f"select doc_id, text, source from '{TEN}/documents.parquet'").fetchall()
