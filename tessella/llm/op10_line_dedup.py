@@ -1,13 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Two documents overlap where they share a rare line: one of at least RARE_WORDS words, which hardly
-recurs by chance. The k-th occurrence of a line in a document is a key of its own. Each key's first
-holder (smallest document) is the earlier partner of every later holder, so a line that n documents
-share gives n - 1 pairs. Each pair is aligned by patience diff: its shared keys occur once in both
-documents, and the longest increasing subsequence of their places is the alignment. Every key carries
-the hash of all lines before it, so equal stretches of other lines between two aligned lines, before
-the first or after the last count as aligned too. A common block of at least BLOCK_WORDS words is
-deleted from the later document.
+The units are whole lines. Two documents overlap where they share a run of units: for every unit, the shortest run of at least
+BLOCK_WORDS words that starts with it, and the shortest that ends with it. Any stretch that a document
+shares with an earlier one is covered by such runs. The k-th occurrence of a run in a document is a key
+of its own. Each key's first holder (smallest document) is the earlier partner of every later holder, so
+a run that n documents share gives n - 1 pairs. Each pair is aligned by patience diff: the longest
+increasing subsequence of the places of its shared runs. Every key carries the hash of all units before
+it, so equal stretches between two aligned runs, before the first or after the last count as aligned
+too. The aligned blocks are deleted from the later document.
 
 Blank lines have no part in the alignment and go with the block that they are in. A document without a
 block is left as it is, byte for byte.
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from .common import batch, documents, written
 
-RARE_WORDS = 8
 BLOCK_WORDS = 30
 _BASE = 0x9E3779B97F4A7C15
 _MOD = (1 << 64) - 1
@@ -43,24 +42,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def line_keys(text: str) -> list[tuple[int, ...]]:
-    """(key, line, words before, words, hash, prefix hash, lines, whole hash, words of all) of every rare line.
+def units(line: str) -> list[str]:
+    """The line without white space around it, or nothing of a blank one."""
+    return [x for x in (line.strip(),) if x]
 
-    Lines are counted without blank ones. Prefix hashes are H(i + 1) = H(i) * BASE + h(line i).
-    """
-    lines = [x for x in map(str.strip, text.split("\n")) if x]
-    out, seen, prefix, words = [], Counter(), 0, 0
-    for i, line in enumerate(lines):
-        h, n = xxhash.xxh64_intdigest(line), len(line.split())
-        if n >= RARE_WORDS:
-            k = seen[h]
-            seen[h] += 1
-            out.append((_signed((h + k * _BASE) & _MOD), i, words, n, _signed(h), _signed(prefix)))
-        prefix, words = (prefix * _BASE + h) & _MOD, words + n
-    return [(*o, len(lines), _signed(prefix), words) for o in out]
 
+def line_keys(text: str) -> list[tuple[int, ...]]:
+    """(key, first unit, unit after the last, prefix hash, hash, units, whole hash) of every run.
 
-KEYS = "doc_id long, h long, key long, line int, before long, words int, hash long, prefix long, lines int, whole long, total long"
+    Prefix hashes are H(i + 1) = H(i) * BASE + h(unit i).
+    """
+    prefix, words, power = [0], [0], [1]
+    for line in text.split("\n"):
+        for unit in units(line):
+            prefix.append((prefix[-1] * _BASE + xxhash.xxh64_intdigest(unit)) & _MOD)
+            words.append(words[-1] + len(unit.split()))
+            power.append(power[-1] * _BASE & _MOD)
+    n, runs, b, a = len(words) - 1, set(), 0, 0
+    for i in range(n):
+        while b < n and words[b] - words[i] < BLOCK_WORDS:
+            b += 1
+        if words[b] - words[i] >= BLOCK_WORDS:
+            runs.add((i, b))
+        while words[i + 1] - words[a + 1] >= BLOCK_WORDS:
+            a += 1
+        if words[i + 1] - words[a] >= BLOCK_WORDS:
+            runs.add((a, i + 1))
+    out, seen = [], Counter()
+    for i, j in sorted(runs):
+        h = (prefix[j] - prefix[i] * power[j - i]) & _MOD
+        k = seen[h]
+        seen[h] += 1
+        out.append((_signed((h + k * _BASE) & _MOD), i, j, _signed(prefix[i]), _signed(h), n, _signed(prefix[n])))
+    return out
+
+
+KEYS = "doc_id long, h long, key long, line int, upto int, prefix long, hash long, lines int, whole long"
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,40 +111,34 @@ def _between(p: int, q: int, n: int) -> int:
     return (q - p * pow(_BASE, n, 1 << 64)) & _MOD
 
 
-def common_blocks(own: np.ndarray, other: np.ndarray, words: np.ndarray, line_hash: np.ndarray, own_ends: tuple, other_ends: tuple) -> list[tuple[int, int]]:
-    """Aligned blocks (first line, last line + 1) of the later document of a pair.
+def common_blocks(runs: np.ndarray, own_ends: tuple, other_ends: tuple) -> list[tuple[int, int]]:
+    """Aligned blocks (first unit, last unit + 1) of the later document of a pair.
 
-    own, other: (line, prefix hash) of the shared keys in both, by the own line; words: (before, of it).
-    own_ends, other_ends: lines, whole hash, and words (of the own document).
+    runs: (first unit, unit after the last, prefix hash, hash, first unit and prefix hash in the other) of
+    the shared runs. own_ends, other_ends: units, whole hash.
     """
-    keep = increasing(other[:, 0].tolist())
-    blocks, first, start_words = [], None, 0
-
-    def close(last: int, end_words: int) -> None:
-        if first is not None and end_words - start_words >= BLOCK_WORDS:
-            blocks.append((first, last))
-
-    prior = None
-    for i in keep:
-        line, there, prefix, theirs = int(own[i, 0]), int(other[i, 0]), int(own[i, 1]) & _MOD, int(other[i, 1]) & _MOD
+    # of runs at the same places the longest; of places in the other for one unit at most one is on the way up
+    runs = runs[np.lexsort((-runs[:, 1], -runs[:, 4], runs[:, 0]))]
+    runs = runs[np.r_[True, (np.diff(runs[:, [0, 4]], axis=0) != 0).any(axis=1)]]
+    blocks, first, prior = [], 0, None
+    for i in increasing(runs[:, 4].tolist()):
+        line, upto, prefix, h, there, theirs = runs[i].tolist()
+        prefix, h, theirs = prefix & _MOD, h & _MOD, theirs & _MOD
         if prior is None:
-            joined, low = line == there and prefix == theirs, 0
+            first = 0 if line == there and prefix == theirs else line
         else:
-            gap, gap_there = line - prior[0] - 1, there - prior[1] - 1
-            joined = gap == gap_there and (gap == 0 or _between(prior[2], prefix, gap) == _between(prior[3], theirs, gap))
-        if prior is None:
-            first, start_words = (low, 0) if joined else (line, int(words[i, 0]))
-        elif not joined:
-            close(prior[0] + 1, prior[4])
-            first, start_words = line, int(words[i, 0])
-        h = int(line_hash[i]) & _MOD
-        prior = (line, there, (prefix * _BASE + h) & _MOD, (theirs * _BASE + h) & _MOD, int(words[i].sum()))
-    rest = own_ends[0] - prior[0] - 1
-    if rest and rest == other_ends[0] - prior[1] - 1 and _between(prior[2], own_ends[1] & _MOD, rest) == _between(prior[3], other_ends[1] & _MOD, rest):
-        close(own_ends[0], own_ends[2])
-    else:
-        close(prior[0] + 1, prior[4])
-    return blocks
+            gap = line - prior[0]
+            if gap != there - prior[1] or (gap > 0 and _between(prior[2], prefix, gap) != _between(prior[3], theirs, gap)):
+                blocks.append((first, prior[0]))
+                first = line
+            elif upto <= prior[0]:
+                continue
+        power = pow(_BASE, upto - line, 1 << 64)
+        prior = (upto, there + upto - line, (prefix * power + h) & _MOD, (theirs * power + h) & _MOD)
+    rest = own_ends[0] - prior[0]
+    if rest == other_ends[0] - prior[1] and _between(prior[2], own_ends[1] & _MOD, rest) == _between(prior[3], other_ends[1] & _MOD, rest):
+        prior = own_ends
+    return [*blocks, (first, prior[0])]
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +150,8 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
             return []
         t = np.concatenate(held)
-        # doc_id, h, other_id, other_h, line, before, words, lines, prefix, whole, total, line_, lines_, prefix_, whole_, hash
-        found = common_blocks(t[:, [4, 8]], t[:, [11, 13]], t[:, [5, 6]], t[:, 15], (int(t[0, 7]), int(t[0, 9]), int(t[0, 10])), (int(t[0, 12]), int(t[0, 14])))
+        # doc_id, h, other_id, other_h, line, upto, prefix, hash, line_, prefix_, lines, whole, lines_, whole_
+        found = common_blocks(t[:, 4:10], (int(t[0, 10]), int(t[0, 11])), (int(t[0, 12]), int(t[0, 13])))
         return [(pair0[0], pair0[1], a, b) for a, b in found]
 
     for rb in batches:
@@ -163,7 +174,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlaps(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """(doc_id, h, spans): the lines to delete from every document that has some; h is its text's hash."""
+    """(doc_id, h, spans): the units to delete from every document that has some; h is its text's hash."""
     rows = docs.select(doc_id.cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).where("doc_id is not null and text is not null")
     keys = written(rows.mapInArrow(_keys, KEYS), "lines")
     mine = ("doc_id", "h", "line", "lines", "prefix", "whole")
@@ -171,29 +182,47 @@ def overlaps(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     # a table of its own, so that both sides of the join are shuffled for it and Spark can split a hot key
     first = written(first.select("key", *[F.col(f"at.{c}").alias(f"{c}_") for c in mine]), "holders")
     shared = keys.join(first, "key").where("doc_id > doc_id_ or (doc_id = doc_id_ and h > h_)")
-    pairs = shared.select("doc_id", "h", "doc_id_", "h_", "line", "before", "words", "lines", "prefix", "whole", "total", "line_", "lines_", "prefix_", "whole_", "hash")
+    pairs = shared.select("doc_id", "h", "doc_id_", "h_", "line", "upto", "prefix", "hash", "line_", "prefix_", "lines", "whole", "lines_", "whole_")
     ordered = pairs.repartition("doc_id", "h").sortWithinPartitions("doc_id", "h", "doc_id_", "h_", "line")
     blocks = ordered.mapInArrow(_align, "doc_id long, h long, first int, last int")
     return blocks.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
 
 def cut_lines(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """text without the lines in the spans (counted without blank ones), the lines and the words deleted."""
+    """text without the units in the spans, the lines that lose some and the words deleted."""
     out, i, lines, words, inside = [], 0, 0, 0, False
     marks = set()
     for a, b in spans:
         marks.update(range(a, b))
     for raw in text.split("\n"):
-        if raw.strip():
-            inside = i in marks
-            i += 1
-            if inside:
-                lines, words = lines + 1, words + len(raw.split())
-        if not inside:
+        own = units(raw)
+        cut = [k for k in range(len(own)) if i + k in marks]
+        if own:
+            inside = i + len(own) - 1 in marks
+            i += len(own)
+        if cut:
+            lines, words = lines + 1, words + sum(len(own[k].split()) for k in cut)
+            if len(cut) < len(own):
+                out.append(without(raw, own, set(cut)))
+        elif own or not inside:
             out.append(raw)
     return "\n".join(out), lines, words
 
 
+def without(line: str, own: list[str], cut: set[int]) -> str:
+    """line without the units in cut and the white space after them; the rest byte for byte."""
+    out, at = [], 0
+    starts = []
+    for unit in own:
+        starts.append(line.index(unit, at))
+        at = starts[-1] + len(unit)
+    out.append(line[: starts[0]])
+    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(line)])):
+        if k not in cut:
+            out.append(line[a:b])
+    return "".join(out)
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A struct `row` of docs' columns with the text cut, and removed_lines and removed_words."""
     spans = overlaps(docs, F.col(doc_id), F.col(text)).withColumnsRenamed({"doc_id": "d", "h": "th"})
@@ -215,7 +244,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the cut texts, and n_chars set anew where there is such a column."""
     row = F.col("row")
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(F.col("removed_lines") > 0, F.length("row.text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType))
+        row = row.withField("n_chars", F.when(F.col("removed_words") > 0, F.length("row.text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType))
     return dedup(docs).select(row.alias("row")).select("row.*")
 
 

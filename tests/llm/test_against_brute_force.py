@@ -270,6 +270,18 @@ def test_line_dedup(spark):
     assert all(x in got[4].text for x in own[4] + ["short line", passage[0]]) and passage[3] not in got[4].text
 
 
+def test_line_dedup_of_a_passage_met_in_parts(spark):
+    """The lines of a passage have different first holders, each under a block; all later copies but the first go."""
+    rng = random.Random(9)
+    line = lambda n=12: words(rng, n, VOCABULARY)
+    passage = [line() for _ in range(6)]
+    own = [[line() for _ in range(2)] for _ in range(6)]
+    texts = [own[i] + passage[2 * i : 2 * i + 2] for i in range(3)] + [own[i] + passage for i in range(3, 6)]
+    got = {r.doc_id: r for r in op10_line_dedup.dedup(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).select("row.*", "removed_words").collect()}
+    assert all(got[i].text == "\n".join(texts[i]) for i in range(4))
+    assert all((got[i].text, got[i].removed_words) == ("\n".join(own[i]), 72) for i in (4, 5))
+
+
 def test_patience_subsequence():
     rng = random.Random(7)
     for _ in range(50):
