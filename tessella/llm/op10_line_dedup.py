@@ -1,6 +1,7 @@
 """Line dedup by pairwise alignment.
 
-The units are whole lines. Two documents overlap where they share a run of units: for every unit, the shortest run of at least
+Lines are cut at sentence ends, so that a passage is the same units wherever it stands in a line. Two
+documents overlap where they share a run of units: for every unit, the shortest run of at least
 BLOCK_WORDS words that starts with it, and the shortest that ends with it. Any stretch that a document
 shares with an earlier one is covered by such runs. The k-th occurrence of a run in a document is a key
 of its own. Each key's first holder (smallest document) is the earlier partner of every later holder, so
@@ -20,6 +21,7 @@ gives an empty result. A document that is deleted wholly keeps its row with an e
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import batch, documents, written
 
 BLOCK_WORDS = 30
+SENTENCE = re.compile(r"(?<=[.!?;])[ \t]+|(?<=[。！？])")
 _BASE = 0x9E3779B97F4A7C15
 _MOD = (1 << 64) - 1
 
@@ -43,8 +46,8 @@ def _signed(x: int) -> int:
 
 
 def units(line: str) -> list[str]:
-    """The line without white space around it, or nothing of a blank one."""
-    return [x for x in (line.strip(),) if x]
+    """The sentences of a line, none of them blank."""
+    return [x for x in map(str.strip, SENTENCE.split(line)) if x]
 
 
 def line_keys(text: str) -> list[tuple[int, ...]]:

@@ -282,6 +282,20 @@ def test_line_dedup_of_a_passage_met_in_parts(spark):
     assert all((got[i].text, got[i].removed_words) == ("\n".join(own[i]), 72) for i in (4, 5))
 
 
+def test_line_dedup_inside_lines(spark):
+    """A passage in running text, and one of 7-word lines, go from the later document."""
+    rng = random.Random(10)
+    said = lambda n: words(rng, n, VOCABULARY) + "."
+    passage = " ".join(said(10) for _ in range(6))
+    short = "\n".join(words(rng, 7, VOCABULARY) for _ in range(8))
+    own = [said(9) for _ in range(8)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{own[2]}\n{own[3]}  {passage}\t{own[4]}\nend", f"{own[5]}\n{short}", f"{short}\n{own[6]}"]
+    got = {r.doc_id: r for r in op10_line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("row.*", "removed_words").collect()}
+    assert got[0].text == texts[0] and got[2].text == texts[2]
+    assert got[1].text == f"{own[2]}\n{own[3]}  {own[4]}\nend" and got[1].removed_words == 60
+    assert got[3].text == own[6] and got[3].removed_words == 56
+
+
 def test_patience_subsequence():
     rng = random.Random(7)
     for _ in range(50):
