@@ -229,25 +229,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of the table prints (doc_id, fp)."""
+    """(fp, root, component_id) of every distinct fingerprint of the table prints (doc_id, fp)."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(distinct.select("fp"), radius))
     labelled = distinct.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return written(labelled.join(roots, "root").select("fp", "component_id"), "classes")
+    return written(labelled.join(roots, "root").select("fp", "root", "component_id"), "classes")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id.
+    """docs with one document of each component: the one with the smallest doc_id, a null id last.
 
-    Of repeated rows with that doc_id the first in (fingerprint, text) order stays.
+    Of rows with that doc_id in the component the first in (fingerprint, text hash) order stays, once.
     """
-    prints = written(fingerprints(docs.select("doc_id", "text"), "text", ["doc_id"]), "prints")
-    least = classes(prints).select("component_id").distinct()
-    # ids that stand for their component; nearly all documents match, so texts move once, by doc_id
-    kept = docs.join(least, docs["doc_id"].eqNullSafe(least["component_id"]), "left_semi")
-    (rank,) = free_names(docs.columns, "rank")
-    return kept.withColumn(rank, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(rank) == 1).select(*docs.columns)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    prints = written(fingerprints(rows, "text", ["doc_id", "digest"]), "prints")
+    # components go by root: a component_id is shared by all of only null ids, and by texts under one id
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "digest")
+    best = prints.join(classes(prints), "fp").groupBy("root").agg(F.min(order).alias("best")).select("best.doc_id", "best.digest")
+    # nearly all documents match, so texts move once, by id and text
+    (digest, rank) = free_names(docs.columns, "digest", "rank")
+    named = docs.withColumn(digest, F.xxhash64("text"))
+    kept = named.join(best, named["doc_id"].eqNullSafe(best["doc_id"]) & (named[digest] == best["digest"]), "left_semi")
+    return kept.withColumn(rank, F.row_number().over(W.partitionBy("doc_id", digest).orderBy("text"))).where(F.col(rank) == 1).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,14 @@ def test_simhash_of_odd_texts(odd, empty):
     assert op6_simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_keeps_a_document_of_every_component(spark):
+    """Unrelated texts without an id, or under one id, all stay; of copies one does."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (3, a), (None, e), (None, None), (None, None)]
+    got = op6_simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, a), (None, b), (1, c), (1, d), (None, e), (None, None)], key=str)
+
+
 def test_tokens_of_odd_texts(spark, odd, empty):
     for docs in (odd, empty):
         folder = f"{shared_dir(spark)}/t{docs.count()}"
