@@ -4,6 +4,9 @@ A text is cut into sentences at line ends and after `.`, `!`, `?` or `;` before
 is normalised: lower case, every run of other characters than a-z and 0-9 one space. Known licence
 sentences have an identifier; the sentences of a text become a sequence of identifiers and unknowns. A
 rule is a licence and an ordered sequence of identifiers; it matches where they follow each other.
+A text is also cut as licences are published: line ends inside a paragraph are blanks, numbered items and
+what follows a colon at a line's end are paragraphs, and pieces without a letter are not counted. A rule
+that the first cut doesn't find in a text is reported from this one, with its numbers of sentences.
 A step of a rule at its place n votes for the match that starts n sentences before, and a match is a
 start with a vote for every step, so a rule needs one join and one aggregation whatever its length.
 
@@ -16,6 +19,7 @@ repeated rows each match, and count together in `copies`; an empty table gives a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -61,6 +65,26 @@ RULES = [
 ]
 STOP = r"[\n\r]+|(?<=[.!?;])[ \t]+"
 
+# What turns a published text into paragraphs of one line, in order.
+PUBLISHED = [
+    (r"\r\n?", "\n"),
+    (r"(?m)^[^\p{L}\p{N}\n]+$", ""),  # a line of comment marks is blank
+    (r"(?i)https?://(www\.)?apache\.org/licenses/license-2\.0(\.txt|\.html)?", "\n\n"),
+    (r"(?i)(without any warranty);", "$1,"),  # the known GPL sentence goes on after it
+    (r"(^|\n)[^\p{L}\p{N}\n]*[0-9]{1,2}[.)][ \t]+", "\n\n"),
+    (r"([:.;])[ \t]+\(?[0-9]{1,2}[.)][ \t]+", "$1\n\n"),
+    (r":[ \t]*\n", ":\n\n"),
+    (r"(?i)(following conditions(?: are met)?):[ \t]+", "$1:\n\n"),
+    (r"(?<!\n)\n(?!\n)", " "),
+]
+
+
+def published(text: Column) -> Column:
+    """The sentences of a text with wrapped lines and numbered items."""
+    for pattern, put in PUBLISHED:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(put))
+    return F.filter(F.split(text, STOP), lambda x: x.rlike(r"\p{L}"))
+
 
 def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
@@ -73,13 +97,17 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences:
     known = spark.createDataFrame(list(sentences.items()), "id int, sentence string")
     steps = spark.createDataFrame([(r, name, k, len(ids), i) for r, (name, ids) in enumerate(rules) for k, i in enumerate(ids)], "rule int, license string, step int, steps int, id int")
     voters = known.join(F.broadcast(steps), "id").select("sentence", "rule", "license", "step", "steps")
-    said = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), STOP)).alias("pos", "raw"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    cuts = F.array(F.struct(F.lit(0).alias("cut"), F.split("text", STOP).alias("parts")), F.struct(F.lit(1).alias("cut"), published(F.col("text")).alias("parts")))
+    said = rows.select("doc_id", "h", F.explode(cuts).alias("c")).select("doc_id", "h", "c.cut", F.posexplode("c.parts").alias("pos", "raw"))
     # a known sentence has at least 15 characters; most others needn't be normalised
     least = min(map(len, sentences.values()))
-    said = said.where(F.length("raw") >= least).select("doc_id", "pos", normal(F.col("raw")).alias("sentence"))
+    said = said.where(F.length("raw") >= least).select("doc_id", "h", "cut", "pos", normal(F.col("raw")).alias("sentence"))
     votes = said.join(F.broadcast(voters), "sentence").withColumn("first", F.col("pos") - F.col("step"))
-    matches = votes.groupBy("doc_id", "license", "rule", "steps", "first").agg(F.countDistinct("step").alias("met"), F.count("*").alias("n"))
-    return matches.where("met = steps").select(
+    found = votes.groupBy("doc_id", "h", "cut", "license", "rule", "steps", "first").agg(F.countDistinct("step").alias("met"), F.count("*").alias("n")).where("met = steps")
+    found = found.withColumn("least", F.min("cut").over(W.partitionBy("doc_id", "h", "rule"))).where("cut = least")
+    matches = found.groupBy("doc_id", "license", "rule", "steps", "first").agg(F.sum("n").alias("n"))
+    return matches.select(
         "doc_id", "license", "rule", F.col("first").cast("int").alias("first_sentence"), (F.col("first") + F.col("steps") - 1).cast("int").alias("last_sentence"), F.expr("n div steps").alias("copies")
     )
 

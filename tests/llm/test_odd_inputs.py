@@ -52,6 +52,57 @@ def test_rules_need_their_sentences_in_order(spark):
     assert [(r.doc_id, r.first_sentence, r.last_sentence) for r in got] == [(1, 0, 1)]
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
+def test_published_licences(spark):
+    """Wrapped texts, the same in a comment with # and on one line, each with words around it."""
+    texts = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0": GPL, "BSD-3-Clause": BSD}
+    rows = []
+    for name, t in texts.items():
+        rows += [(f"{name} wrapped", f"Some words.\n\n{t}\n\nMore words."), (f"{name} comment", "\n".join(f"# {x}".rstrip() for x in t.split("\n")) + "\n\ncode"), (f"{name} line", " ".join(t.split()))]
+    got = op3_licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(d, d.rsplit(" ", 1)[0]) for d, _ in rows}
+    assert {r.doc_id for r in got if r.last_sentence - r.first_sentence == 2} == {d for d, _ in rows}
+
+
 def test_top_k_leaves_out_broken_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [None, 1.0]), (6, [float("nan"), 0.0]), (7, [float("inf"), 0.0]), (None, [1.0, 1.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0])]
     v, dim = op4_topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
