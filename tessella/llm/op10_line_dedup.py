@@ -1,14 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Lines are cut at sentence ends, so that a passage is the same units wherever it stands in a line. Two
-documents overlap where they share a run of units: for every unit, the shortest run of at least
-BLOCK_WORDS words that starts with it, and the shortest that ends with it. Any stretch that a document
-shares with an earlier one is covered by such runs. The k-th occurrence of a run in a document is a key
-of its own. Each key's first holder (smallest document) is the earlier partner of every later holder, so
-a run that n documents share gives n - 1 pairs. Each pair is aligned by patience diff: the longest
-increasing subsequence of the places of its shared runs. Every key carries the hash of all units before
-it, so equal stretches between two aligned runs, before the first or after the last count as aligned
-too. The aligned blocks are deleted from the later document.
+Lines are cut at sentence ends into units, so that a passage is the same units wherever it stands in a
+line. Two documents overlap where they share a rare run of units: from every unit the shortest run of at
+least BLOCK_WORDS words is a key, and keys that one document alone has are the common case. Each key's
+first holder (smallest document) is the earlier partner of every later holder, so a run that n documents
+share gives n - 1 pairs, and any stretch of BLOCK_WORDS words or more that two documents share has a key.
+
+Each pair is aligned by patience diff over the hashes of all its units: the longest increasing subsequence
+of the places of its shared runs, each of which then grows to both sides as far as units are equal. Runs
+that cross the aligned ones (passages in another order, or twice in the later document) are aligned in
+further passes until none is left. The aligned blocks are deleted from the later document.
+
+Pairs travel as arrays of unit hashes. Those of one earlier document are dealt over as many salts as the
+number of all pairs asks for, so an earlier document that very many others quote is no single task.
 
 Blank lines have no part in the alignment and go with the block that they are in. A document without a
 block is left as it is, byte for byte.
@@ -21,78 +25,83 @@ gives an empty result. A document that is deleted wholly keeps its row with an e
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, documents, written
+from .common import documents, written
 
 BLOCK_WORDS = 30
-SENTENCE = re.compile(r"(?<=[.!?;])[ \t]+|(?<=[。！？])")
-_BASE = 0x9E3779B97F4A7C15
-_MOD = (1 << 64) - 1
-
+#: Pairs that one salt of an earlier document should hold at most, if pairs were spread evenly.
+PAIRS_A_SALT = 1 << 16
+LEAST_SALTS = 64
+#: Texts whose units are held at once.
+TEXTS = 500
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers: dict[int, np.ndarray] = {}
+
+
+def units(text: str) -> list[str]:
+    """The sentences of a text, line by line, none of them blank."""
+    for mark in ".!?;":
+        text = text.replace(mark + " ", mark + "\n").replace(mark + "\t", mark + "\n")
+    if not text.isascii():
+        for mark in "。！？":
+            text = text.replace(mark, mark + "\n")
+    return [x for x in map(str.strip, text.split("\n")) if x]
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base**0 to base**(n - 1) modulo 2**64."""
+    known = _powers.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, np.uint64)
+        known[0] = 1
+        known = _powers[int(base)] = np.multiply.accumulate(known)
+    return known[:n]
+
+
+def runs(h: np.ndarray, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First unit, unit after the last and key of the shortest run of BLOCK_WORDS words from every unit.
+
+    h and words are the units' hashes and words, ends where documents end among them; a run stays in its document.
+    """
+    before = np.r_[0, np.cumsum(words)]
+    stop = np.searchsorted(before, before[:-1] + BLOCK_WORDS)
+    start = np.flatnonzero(stop <= np.repeat(ends, np.diff(ends, prepend=0)))
+    stop = stop[start]
+    total = np.r_[np.uint64(0), np.cumsum(h * powers(_INVERSE, len(h)))]
+    return start, stop, (total[stop] - total[start]) * powers(_BASE, len(h))[start]
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+UNITS = "doc_id long, h long, hashes array<long>, words array<int>, keys array<long>"
 
-def units(line: str) -> list[str]:
-    """The sentences of a line, none of them blank."""
-    return [x for x in map(str.strip, SENTENCE.split(line)) if x]
 
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values))
 
-def line_keys(text: str) -> list[tuple[int, ...]]:
-    """(key, first unit, unit after the last, prefix hash, hash, units, whole hash) of every run.
 
-    Prefix hashes are H(i + 1) = H(i) * BASE + h(unit i).
-    """
-    prefix, words, power = [0], [0], [1]
-    for line in text.split("\n"):
-        for unit in units(line):
-            prefix.append((prefix[-1] * _BASE + xxhash.xxh64_intdigest(unit)) & _MOD)
-            words.append(words[-1] + len(unit.split()))
-            power.append(power[-1] * _BASE & _MOD)
-    n, runs, b, a = len(words) - 1, set(), 0, 0
-    for i in range(n):
-        while b < n and words[b] - words[i] < BLOCK_WORDS:
-            b += 1
-        if words[b] - words[i] >= BLOCK_WORDS:
-            runs.add((i, b))
-        while words[i + 1] - words[a + 1] >= BLOCK_WORDS:
-            a += 1
-        if words[i + 1] - words[a] >= BLOCK_WORDS:
-            runs.add((a, i + 1))
-    out, seen = [], Counter()
-    for i, j in sorted(runs):
-        h = (prefix[j] - prefix[i] * power[j - i]) & _MOD
-        k = seen[h]
-        seen[h] += 1
-        out.append((_signed((h + k * _BASE) & _MOD), i, j, _signed(prefix[i]), _signed(h), n, _signed(prefix[n])))
-    return out
-
-
-KEYS = "doc_id long, h long, key long, line int, upto int, prefix long, hash long, lines int, whole long"
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"long": pa.int64(), "int": pa.int32()}
-    schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in KEYS.split(", "))])
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
-        for lo in range(0, rb.num_rows, 500):
-            rows = []
-            for d, h, t in zip(*(rb.column(i).slice(lo, 500).to_pylist() for i in range(3))):
-                rows += [(d, h, *k) for k in line_keys(t)]
-            if rows:
-                yield batch(schema, list(zip(*rows)))
+        for lo in range(0, rb.num_rows, TEXTS):
+            some = rb.slice(lo, TEXTS)
+            own = [units(t) for t in some.column(2).to_pylist()]
+            flat = [u for o in own for u in o]
+            h = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
+            words = np.fromiter((len(u.split()) for u in flat), np.int32, len(flat))
+            ends = np.cumsum([len(o) for o in own])
+            start, _, key = runs(h, words, ends)
+            per = np.searchsorted(start, ends)
+            columns = [some.column(0), some.column(1), _lists(h.view(np.int64), ends), _lists(words, ends), _lists(key.view(np.int64), per)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "hashes", "words", "keys"])
 
 
 def increasing(places: list[int]) -> list[int]:
@@ -109,84 +118,85 @@ def increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _between(p: int, q: int, n: int) -> int:
-    """Hash of the n lines between the prefix hashes p and q."""
-    return (q - p * pow(_BASE, n, 1 << 64)) & _MOD
-
-
-def common_blocks(runs: np.ndarray, own_ends: tuple, other_ends: tuple) -> list[tuple[int, int]]:
-    """Aligned blocks (first unit, last unit + 1) of the later document of a pair.
-
-    runs: (first unit, unit after the last, prefix hash, hash, first unit and prefix hash in the other) of
-    the shared runs. own_ends, other_ends: units, whole hash.
-    """
-    # of runs at the same places the longest; of places in the other for one unit at most one is on the way up
-    runs = runs[np.lexsort((-runs[:, 1], -runs[:, 4], runs[:, 0]))]
-    runs = runs[np.r_[True, (np.diff(runs[:, [0, 4]], axis=0) != 0).any(axis=1)]]
-    blocks, first, prior = [], 0, None
-    for i in increasing(runs[:, 4].tolist()):
-        line, upto, prefix, h, there, theirs = runs[i].tolist()
-        prefix, h, theirs = prefix & _MOD, h & _MOD, theirs & _MOD
-        if prior is None:
-            first = 0 if line == there and prefix == theirs else line
-        else:
-            gap = line - prior[0]
-            if gap != there - prior[1] or (gap > 0 and _between(prior[2], prefix, gap) != _between(prior[3], theirs, gap)):
-                blocks.append((first, prior[0]))
-                first = line
-            elif upto <= prior[0]:
-                continue
-        power = pow(_BASE, upto - line, 1 << 64)
-        prior = (upto, there + upto - line, (prefix * power + h) & _MOD, (theirs * power + h) & _MOD)
-    rest = own_ends[0] - prior[0]
-    if rest == other_ends[0] - prior[1] and _between(prior[2], own_ends[1] & _MOD, rest) == _between(prior[3], other_ends[1] & _MOD, rest):
-        prior = own_ends
-    return [*blocks, (first, prior[0])]
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many units are equal from the start on."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+class Earlier:
+    """The earlier document of pairs: its unit hashes and the places of its runs."""
+
+    def __init__(self, hashes: np.ndarray, words: np.ndarray):
+        self.hashes = hashes
+        self.places: dict[int, list[int]] = defaultdict(list)
+        start, _, key = runs(hashes.view(np.uint64), words, np.array([len(hashes)]))
+        for i, k in zip(start.tolist(), key.tolist()):
+            self.places[k].append(i)
+
+    def blocks(self, own: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+        """Aligned blocks (first unit, last unit + 1) of a later document with these units."""
+        start, stop, key = runs(own.view(np.uint64), words, np.array([len(own)]))
+        seen: Counter[int] = Counter()
+        left = []
+        for i, j, k in zip(start.tolist(), stop.tolist(), key.tolist()):
+            places = self.places.get(k)
+            if places:
+                # the k-th occurrence goes with the k-th, those beyond the last with the last
+                p = places[min(seen[k], len(places) - 1)]
+                seen[k] += 1
+                if np.array_equal(own[i:j], self.hashes[p : p + j - i]):
+                    left.append((i, j, p))
+        out: list[tuple[int, int]] = []
+        while left:
+            found: list[tuple[int, int]] = []
+            for n in increasing([p for _, _, p in left]):
+                i, j, p = left[n]
+                if found and j <= found[-1][1]:
+                    continue
+                first = i - _alike(own[:i][::-1], self.hashes[:p][::-1])
+                found.append((first, j + _alike(own[j:], self.hashes[p + j - i :])))
+            out += found
+            left = [x for x in left if not any(a <= x[0] and x[1] <= b for a, b in found)]
+        return out
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of every pair; the rows of a pair follow each other, in the order of the later document's lines."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
-    pair0, held = None, []
-
-    def done() -> list[tuple]:
-        if not held:
-            return []
-        t = np.concatenate(held)
-        # doc_id, h, other_id, other_h, line, upto, prefix, hash, line_, prefix_, lines, whole, lines_, whole_
-        found = common_blocks(t[:, 4:10], (int(t[0, 10]), int(t[0, 11])), (int(t[0, 12]), int(t[0, 13])))
-        return [(pair0[0], pair0[1], a, b) for a, b in found]
-
+    """Blocks of every pair; the rows (other_id, other_h, salt, later, doc_id, h, hashes, words) of an earlier document begin with itself."""
+    earlier, at = None, None
     for rb in batches:
-        t = np.stack([rb.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(rb.num_columns)], axis=1)
-        cuts = np.r_[0, np.flatnonzero((t[1:, :4] != t[:-1, :4]).any(axis=1)) + 1, len(t)]
-        rows = []
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            pair = tuple(t[a, :4].tolist())
-            if pair != pair0:
-                rows += done()
-                pair0, held = pair, []
-            held.append(t[a:b])
-        if rows:
-            yield batch(schema, list(zip(*rows)))
-    rows = done()
-    if rows:
-        yield batch(schema, list(zip(*rows)))
+        other, other_h, later, doc, h = (rb.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+        hashes, words = rb.column(6), rb.column(7)
+        ends_h, ends_w = hashes.offsets.to_numpy(), words.offsets.to_numpy()
+        hashes, words = hashes.values.to_numpy(), words.values.to_numpy()
+        out = []
+        for i in range(rb.num_rows):
+            own, size = hashes[ends_h[i] : ends_h[i + 1]], words[ends_w[i] : ends_w[i + 1]]
+            if not later[i]:
+                earlier, at = Earlier(own, size), (other[i], other_h[i])
+            elif at == (other[i], other_h[i]):
+                out += [(doc[i], h[i], a, b) for a, b in earlier.blocks(own, size)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "h", "first", "last"])
 
 
 def overlaps(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """(doc_id, h, spans): the units to delete from every document that has some; h is its text's hash."""
     rows = docs.select(doc_id.cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).where("doc_id is not null and text is not null")
-    keys = written(rows.mapInArrow(_keys, KEYS), "lines")
-    mine = ("doc_id", "h", "line", "lines", "prefix", "whole")
-    first = keys.groupBy("key").agg(F.min(F.struct(*mine)).alias("at"), F.count("*").alias("n")).where("n > 1")
+    table = written(rows.mapInArrow(_units, UNITS), "units")
+    keys = table.select("doc_id", "h", F.explode("keys").alias("key"))
+    first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.count("*").alias("n")).where("n > 1")
     # a table of its own, so that both sides of the join are shuffled for it and Spark can split a hot key
-    first = written(first.select("key", *[F.col(f"at.{c}").alias(f"{c}_") for c in mine]), "holders")
-    shared = keys.join(first, "key").where("doc_id > doc_id_ or (doc_id = doc_id_ and h > h_)")
-    pairs = shared.select("doc_id", "h", "doc_id_", "h_", "line", "upto", "prefix", "hash", "line_", "prefix_", "lines", "whole", "lines_", "whole_")
-    ordered = pairs.repartition("doc_id", "h").sortWithinPartitions("doc_id", "h", "doc_id_", "h_", "line")
+    first = written(first.select("key", F.col("at.doc_id").alias("other_id"), F.col("at.h").alias("other_h")), "holders")
+    pairs = keys.join(first, "key").where("doc_id > other_id or (doc_id = other_id and h > other_h)")
+    pairs = written(pairs.select("doc_id", "h", "other_id", "other_h").distinct(), "pairs")
+    salts = LEAST_SALTS + pairs.count() // PAIRS_A_SALT
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(salts)))
+    parts = ["other_id", "other_h", "salt", "later", "doc_id", "h", "hashes", "words"]
+    later = salted.join(table, ["doc_id", "h"]).withColumn("later", F.lit(True)).select(*parts)
+    earlier = salted.select("other_id", "other_h", "salt", F.lit(False).alias("later"), F.col("other_id").alias("doc_id"), F.col("other_h").alias("h")).distinct().join(table, ["doc_id", "h"]).select(*parts)
+    ordered = later.union(earlier).repartition("other_id", "other_h", "salt").sortWithinPartitions(*parts[:6])
     blocks = ordered.mapInArrow(_align, "doc_id long, h long, first int, last int")
     return blocks.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
@@ -251,6 +261,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return dedup(docs).select(row.alias("row")).select("row.*")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark, sf_dir: str) -> DataFrame:
     found = dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("row.doc_id", "row.text", "removed_lines", "removed_words")

@@ -305,3 +305,46 @@ def test_patience_subsequence():
         for i in range(12):
             best[i] += max([best[j] for j in range(i) if x[j] < x[i]], default=0)
         assert len(keep) == max(best) and all(x[a] < x[b] for a, b in zip(keep, keep[1:]))
+
+
+def shared_units(texts):
+    """For each text the units in stretches of at least BLOCK_WORDS words that an earlier text has, by plain comparison of all pairs."""
+    own = [op10_line_dedup.units(t) for t in texts]
+    out = [set() for _ in own]
+    for d, a in enumerate(own):
+        for b in own[:d]:
+            for shift in range(-len(b) + 1, len(a)):
+                i = max(0, shift)
+                while i < len(a) and i - shift < len(b):
+                    j = i
+                    while j < len(a) and j - shift < len(b) and a[j] == b[j - shift]:
+                        j += 1
+                    if sum(len(u.split()) for u in a[i:j]) >= op10_line_dedup.BLOCK_WORDS:
+                        out[d].update(range(i, j))
+                    i = j + 1
+    return own, out
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Copies, passages in another order or twice, short lines and hot lines: what all pairs share goes, and nothing else."""
+    rng = random.Random(12)
+    line = lambda n=9: words(rng, n, VOCABULARY)
+    passages = [[line(rng.randint(3, 14)) for _ in range(rng.randint(3, 9))] for _ in range(12)]
+    texts = []
+    for _ in range(70):
+        parts = [[line() for _ in range(rng.randint(0, 3))]]
+        for p in rng.sample(passages, rng.randint(0, 4)) + rng.sample(passages, rng.randint(0, 1)):
+            k = rng.randint(0, 2)
+            parts += [p[k:], [line() for _ in range(rng.randint(0, 2))]]
+        texts.append("\n".join(x for part in parts for x in part))
+    texts += [texts[5], texts[5], texts[9]]
+    own, expected = shared_units(texts)
+    got = [set() for _ in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op10_line_dedup.overlaps(df, df.doc_id, df.text).collect():
+        for s in r.spans:
+            got[r.doc_id].update(range(s["first"], s["last"]))
+    # repeated texts are told by their text: equal documents under other ids are later copies
+    assert all(g <= e for g, e in zip(got, expected))
+    assert sum(map(len, expected)) > 500 and sum(map(len, got)) >= 0.99 * sum(map(len, expected))
+    assert got[-3] == set(range(len(own[-3]))) and got[-2] == got[-3]
