@@ -56,27 +56,55 @@ def test_simhash(spark):
     assert len({find(i) for i in range(len(texts))}) < len(texts)
 
 
-def test_bk_trees_link_all_that_are_near():
-    rng = np.random.default_rng(5)
-    seeds = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    flips = np.uint64(1) << rng.integers(0, 63, (40, 30), dtype=np.uint64)
-    values = np.unique(np.r_[seeds, (seeds[:, None] ^ np.bitwise_xor.accumulate(flips, axis=1)).ravel()])
+def classes_of(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(int(a)), find(int(b))))
+        root[b] = a
+    return [find(i) for i in range(n)]
 
-    def classes(links):
-        root = list(range(len(values)))
 
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
+def near_values(rng, seeds, steps, few=False):
+    """Chains of values that differ by a bit each, clusters around one value, and single values."""
+    start = rng.integers(0, 1 << 63, seeds, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 63, (seeds, steps), dtype=np.uint64)
+    chains = start[:, None] ^ np.bitwise_xor.accumulate(flips, axis=1)
+    cluster = start[0] ^ (np.uint64(1) << rng.integers(0, 63, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 200, dtype=np.uint64))
+    return np.unique(np.r_[start, chains.ravel(), cluster, rng.integers(0, 1 << 63, 50, dtype=np.uint64)])
 
-        for a, b in links:
-            root[max(find(a), find(b))] = min(find(a), find(b))
-        return [find(i) for i in range(len(values))]
 
+def test_bk_trees_link_all_that_are_near():
+    """A forest of one, of several and of tiny shards; few more links than a spanning forest needs."""
+    rng = np.random.default_rng(5)
+    for shards in (1, 3, 400):
+        values = near_values(rng, 40, 30)
+        shard = np.unique(rng.integers(0, shards, len(values)), return_inverse=True)[1]
+        near = (np.bitwise_count(values[:, None] ^ values[None, :]) <= 4) & (shard[:, None] == shard[None, :])
+        got = op6_simhash.shard_links(values, shard)
+        assert all(near[a, b] for a, b in got)
+        assert classes_of(len(values), got) == classes_of(len(values), np.argwhere(near))
+        assert len(got) < 1.5 * len(values)
+        forest = op6_simhash.Forest(values, shard)
+        a, b = forest.ask(values, shard, 4)
+        assert sorted(zip(a.tolist(), forest.member[b].tolist())) == sorted(map(tuple, np.argwhere(near).tolist()))
+
+
+def test_large_shards_are_searched_in_pieces(spark):
+    """Trees of pieces, broadcast in several waves, give the links of the whole."""
+    values = near_values(np.random.default_rng(6), 30, 20)
+    rows = spark.createDataFrame([(int(v.view(np.int64)),) for v in values], "fp long")
+    at = {int(v.view(np.int64)): i for i, v in enumerate(values)}
     near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 4
-    assert len(values) > 4 * op6_simhash.LEAF
-    assert classes(op6_simhash.shard_links(values)) == classes(np.argwhere(near).tolist())
+    expected = classes_of(len(values), np.argwhere(near))
+    for hot, piece, wave in ((1 << 20, 1, 1), (40, 16, 30)):
+        got = [(at[r.a], at[r.b]) for r in op6_simhash.links(rows, hot=hot, piece=piece, wave=wave).collect()]
+        assert all(near[a, b] for a, b in got) and classes_of(len(values), got) == expected
 
 
 def test_top_k(spark):
@@ -124,7 +152,7 @@ def test_encoder_keeps_recurring_words(monkeypatch):
     encode = Encoder(default_path())
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [i[:-1] for i in library_ids([t or "" for t in texts])]
-    assert len(encode.number) < 200
+    assert len(encode.words) < 200
 
 
 def test_shard_reads_one_token_and_one_document():
