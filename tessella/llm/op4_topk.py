@@ -1,19 +1,21 @@
 """Exact top-k search by a vector-approximation file.
 
-Rows are packed into blocks. A block keeps, beside its exact vectors, a cell number of CELL_BITS bits
-for every component: its place in an even grid between the least and greatest value of that component
-in the block. For a set of queries the cells alone give every score's bounds, since a component differs
-from its cell's middle by at most half a cell: one product of small matrices and one number for each
-query. Exact vectors are then read in the order of their bounds until no unread row can reach the kth
-score found. Each task keeps the k best of the rows it has seen, and a last step merges them.
-
-The query set is given in blocks too, and every block of rows meets every block of queries. No block
-grows with the input.
-
-Nulls and odd input: vectors that are null, empty or hold a null or non-finite component take no part,
-nor do rows with a null id or vectors of another length than most; equal scores go to the smaller id;
-rows that repeat an id are separate candidates, and none of them is a candidate of a query with that id;
-an empty table gives an empty result.
+The file has, for every row, a cell number of CELL_BITS bits for each component: its place in an even grid
+between the least and greatest value of that component in the row's block. It is written once, apart from
+the exact vectors, and is all that is scanned: queries are broadcast in waves of at most QUERY_BYTES, and
+the cells give each row's bounds for each query, since a component differs from its cell's middle by at
+most half a cell. A scanning task keeps the rows that can still be among the k best it has seen; of those,
+the rows that can be among the k best of all are put in the order of their upper bounds. Exact vectors are
+then read in that order, FIRST for each query and four times as many in each further step, until no unread
+row can reach the kth score found.
+
+The scan costs queries times rows of small integers and is dealt over all tasks. No block, broadcast or
+group grows with the input.
+
+Nulls and odd input: vectors that are null or hold a null or non-finite component take no part, nor do rows
+with a null id; vectors meet only vectors of their own length, empty ones included (score 0); equal scores
+go to the smaller id; rows that repeat an id are separate candidates, and none of them is a candidate of a
+query with that id; a query row that is repeated is one query; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,130 +28,166 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, written
 
 CELL_BITS = 6
 BLOCK_ROWS = 4096
-QUERY_ROWS = 1024
-STEP = 16
+QUERY_BYTES = 32 << 20
+#: Queries that meet a block at once.
+QUERY_ROWS = 256
+#: Bounds that a task holds before it lets go of those that others have ruled out.
+HELD = 1 << 20
+FIRST = 32
 
+CELLS = "dim int, keys binary, ids binary, low binary, step binary, cells binary"
+BOUNDS = "query_id long, key long, vec_id long, lower double, upper double"
 
-def pack(rows: DataFrame, dim: int, size: int) -> DataFrame:
-    """Blocks of at most `size` rows (id, v array<bigint>): their ids and vectors as bytes."""
-    schema = pa.schema([("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+def approximation(exact: DataFrame) -> DataFrame:
+    """Blocks of at most BLOCK_ROWS rows of one length from exact (key, id, v): keys, ids and cells."""
+    schema = pa.schema([("dim", pa.int32()), *((c, pa.binary()) for c in ("keys", "ids", "low", "step", "cells"))])
 
-        def block(some: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if some:
-                ids = np.concatenate([b.column(0).to_numpy() for b in some]).astype("<i8")
-                vectors = np.concatenate([b.column(1).flatten().to_numpy() for b in some]).astype("<i8").reshape(-1, dim)
-                for lo in range(0, len(ids), size):
-                    own = ids[lo : lo + size]
-                    yield batch(schema, [[len(own)], [own.tobytes()], [vectors[lo : lo + size].tobytes()]])
+    def block(keys: list, ids: list, vectors: list) -> pa.RecordBatch:
+        v = np.stack(vectors).astype(np.float64)
+        low = v.min(axis=0)
+        step = np.maximum((v.max(axis=0) - low) / (1 << CELL_BITS), 1e-300)
+        cells = np.minimum((v - low) / step, (1 << CELL_BITS) - 1).astype(np.uint8)
+        return batch(schema, [[v.shape[1]], *([x.tobytes()] for x in (np.array(keys, "<i8"), np.array(ids, "<i8"), low, step, cells))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list, list]] = {}
         for rb in batches:
-            held.append(rb)
-            if sum(b.num_rows for b in held) >= size:
-                yield from block(held)
-                held = []
-        yield from block(held)
-
-    return rows.mapInArrow(run, "n int, ids binary, vectors binary")
-
-
-class Block:
-    """Approximation and exact vectors of a block of rows."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bits: int = CELL_BITS):
-        self.ids, self.vectors = ids, vectors
-        self.low = vectors.min(axis=0).astype(np.float64)
-        self.step = np.maximum((vectors.max(axis=0) - self.low) / (1 << bits), 1e-300)
-        self.cells = np.minimum((vectors - self.low) / self.step, (1 << bits) - 1).astype(np.uint8)
-
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query: its number, and the rows and scores that may be among its k best; floor: kth scores known."""
-        q = queries.astype(np.float64)
-        middle = (q * self.step) @ self.cells.T.astype(np.float64) + (q @ (self.low + self.step / 2))[:, None]
-        # half a cell to either side, and room for rounding
-        slack = np.abs(q) @ (self.step / 2)
-        slack += 1e-9 * (np.abs(q) @ (np.abs(self.low) + self.step * (1 << CELL_BITS))) + 1e-6
-        for i in range(len(ids)):
-            upper = middle[i] + slack[i]
-            upper[self.ids == ids[i]] = -np.inf
-            least = floor[i]
-            if len(upper) > k:  # k rows are known to score at least this
-                least = max(least, np.partition(upper, -k)[-k] - 2 * slack[i])
-            some = np.flatnonzero((upper >= least) & (upper > -np.inf))
-            some = some[np.lexsort((self.ids[some], -upper[some]))]
-            rows, scores, kth = [], np.empty(0, np.int64), least
-            for lo in range(0, len(some), STEP):
-                if upper[some[lo]] < kth:
-                    break
-                own = some[lo : lo + STEP]
-                rows.append(own)
-                scores = np.r_[scores, self.vectors[own] @ queries[i]]
-                if len(scores) >= k:
-                    kth = max(kth, np.partition(scores, -k)[-k])
-            if rows:
-                yield i, np.concatenate(rows), scores
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
-def top_k(candidates: DataFrame, queries: DataFrame, dim: int, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score of the k rows (id, v) with the greatest inner product for each query (id, v)."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    asked = pack(queries.coalesce(max(1, queries.sparkSession.sparkContext.defaultParallelism // 4)), dim, QUERY_ROWS).toDF("qn", "qids", "qvectors")
+            offsets, values = rb.column(2).offsets.to_numpy(), rb.column(2).values.to_numpy()
+            for key, i, a, b in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), offsets.tolist(), offsets[1:].tolist()):
+                own = held.setdefault(b - a, ([], [], []))
+                for into, x in zip(own, (key, i, values[a:b])):
+                    into.append(x)
+                if len(own[0]) == BLOCK_ROWS:
+                    yield block(*held.pop(b - a))
+        for own in held.values():
+            yield block(*own)
+
+    return exact.mapInArrow(run, CELLS)
+
+
+class Wave:
+    """Queries of one length, and the greatest lower bounds that a scan has found for each."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors.astype(np.float64), k
+        self.best = np.full((len(ids), k), -np.inf)
+        self.kept: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def scan(self, keys: np.ndarray, ids: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray) -> None:
+        cells = cells.T.astype(np.float64)
+        for lo in range(0, len(self.ids), QUERY_ROWS):
+            own, q = self.ids[lo : lo + QUERY_ROWS], self.vectors[lo : lo + QUERY_ROWS]
+            middle = (q * step) @ cells + (q @ (low + step / 2))[:, None]
+            # half a cell to either side, and room for rounding
+            slack = np.abs(q) @ (step / 2) + 1e-9 * (np.abs(q) @ (np.abs(low) + step * (1 << CELL_BITS))) + 1e-6
+            middle[own[:, None] == ids[None, :]] = -np.inf
+            lower = middle - slack[:, None]
+            if lower.shape[1] > self.k:
+                lower = np.partition(lower, -self.k, axis=1)[:, -self.k :]
+            best = np.sort(np.concatenate([self.best[lo : lo + QUERY_ROWS], lower], axis=1), axis=1)[:, -self.k :]
+            self.best[lo : lo + QUERY_ROWS] = best
+            i, j = np.nonzero((middle + slack[:, None] >= best[:, :1]) & (middle > -np.inf))
+            self.kept.append((lo + i, keys[j], ids[j], middle[i, j] - slack[i], middle[i, j] + slack[i]))
+            self.size += len(i)
+
+    def rows(self) -> pa.RecordBatch:
+        query, key, vec, lower, upper = (np.concatenate(c) for c in zip(*self.kept))
+        near = upper >= self.best[query, 0]
+        self.kept, self.size = [], 0
+        return batch(_bounds, [self.ids[query[near]], key[near], vec[near], lower[near], upper[near]])
+
+
+_bounds = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), ("vec_id", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
+
+
+def bounds(cells: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """For every query (id, v) the rows that may be among its k best, by the cells alone, wave by wave."""
+    spark = cells.sparkSession
+    waves, held, size = [], [], 0
+    for r in queries.toLocalIterator():
+        held.append((r.id, np.array(r.v, np.int64)))
+        size += 8 * (len(r.v) + 1 + k)
+        if size >= QUERY_BYTES:
+            waves.append(_scan(spark, cells, held, k))
+            held, size = [], 0
+    if held or not waves:
+        waves.append(_scan(spark, cells, held, k))
+    out = waves[0]
+    for other in waves[1:]:
+        out = out.union(other)
+    return out
+
+
+def _scan(spark: SparkSession, cells: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
+    by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {len(v) for _, v in queries}:
+        own = [(i, v) for i, v in queries if len(v) == dim]
+        by[dim] = np.array([i for i, _ in own]), np.stack([v for _, v in own])
+    shared = spark.sparkContext.broadcast(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        last: tuple = (None, None)
+        own = {dim: Wave(ids, v, k) for dim, (ids, v) in shared.value.items()}
         for rb in batches:
-            for ids, vectors, qids, qvectors in zip(*(rb.column(c).to_pylist() for c in ("ids", "vectors", "qids", "qvectors"))):
-                if last[0] != ids:
-                    last = (ids, Block(np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, dim)))
-                block, names = last[1], np.frombuffer(qids, "<i8")
-                floor = np.array([found[q][1][-1] if q in found and len(found[q][1]) >= k else -np.inf for q in names.tolist()])
-                for i, rows, scores in block.search(names, np.frombuffer(qvectors, "<i8").reshape(-1, dim), k, floor):
-                    q = int(names[i])
-                    have = found.get(q, (np.empty(0, np.int64), np.empty(0, np.int64)))
-                    own, score = np.r_[have[0], block.ids[rows]], np.r_[have[1], scores]
-                    top = _best(own, score, k)
-                    found[q] = (own[top], score[top])
-            if len(found) > 4 * QUERY_ROWS:  # a task that meets many blocks of queries passes on what it has
-                yield _rows(schema, found)
-                found = {}
-        if found:
-            yield _rows(schema, found)
-
-    pairs = pack(candidates, dim, BLOCK_ROWS).crossJoin(asked)
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _rows(schema: pa.Schema, found: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    names = np.repeat(np.fromiter(found, np.int64, len(found)), [len(x[0]) for x in found.values()])
-    return batch(schema, [names, np.concatenate([x[0] for x in found.values()]), np.concatenate([x[1] for x in found.values()])])
-
-
-def whole_vectors(rows: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
-    """(id, v) with v the floor of 1024 times each component, of rows that take part; their length."""
+            for dim, keys, ids, low, step, raw in zip(*(c.to_pylist() for c in rb.columns)):
+                if dim not in own:
+                    continue
+                ids = np.frombuffer(ids, "<i8")
+                own[dim].scan(np.frombuffer(keys, "<i8"), ids, np.frombuffer(low), np.frombuffer(step), np.frombuffer(raw, np.uint8).reshape(len(ids), dim))
+                if own[dim].size > HELD:
+                    yield own[dim].rows()
+        for wave in own.values():
+            if wave.kept:
+                yield wave.rows()
+
+    found = written(cells.mapInArrow(run, BOUNDS), "bounds")
+    shared.unpersist()
+    return found
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> tuple[DataFrame, list[int]]:
+    """(query_id, rank, vec_id, score) of the k rows (id, v) with the greatest inner product for each query
+    (id, v), and how many exact vectors each step read."""
+    exact = written(rows.select(F.monotonically_increasing_id().alias("key"), "id", "v"), "vectors")
+    asked = written(queries.dropDuplicates(["id"]).select("id", "v"), "queries")
+    found = bounds(written(approximation(exact), "cells"), asked, k)
+    first = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("lower"), "key"))
+    floor = found.withColumn("n", first).where(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).alias("floor"))
+    near = found.join(floor, "query_id").where("floor is null or upper >= floor")
+    order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("upper"), "key"))
+    left = written(near.select("query_id", "key", "vec_id", "upper", order.alias("place")), "ordered")
+    product = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
+    best, upto, read = None, FIRST, []
+    while True:
+        some = left.where(F.col("place") <= upto)
+        scores = some.join(exact.select("key", "v"), "key").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        scores = written(scores.select("query_id", "vec_id", product.alias("score")), "scores")
+        read.append(scores.count())
+        best = scores if best is None else best.union(scores)
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        best = written(best.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        kth = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+        left = written(left.where(F.col("place") > upto).join(kth, "query_id", "left").where("kth is null or upper >= kth").drop("kth"), "ordered")
+        if left.isEmpty():
+            return best.select("query_id", "rank", "vec_id", "score"), read
+        best, upto = best.drop("rank"), 4 * upto
+
+
+def whole_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """(id, v) with v the floor of 1024 times each component, of rows that take part."""
     v = F.col(vector)
-    fine: Column = F.col(vec_id).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = rows.where(F.coalesce(fine, F.lit(False)))
-    lengths = good.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = lengths[0].n if lengths else 1
-    return good.where(F.size(v) == dim).select(F.col(vec_id).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * 1024)).alias("v")), dim
+    fine: Column = F.col(vec_id).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * 1024)).alias("v"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, dim = whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
-    return top_k(rows, rows.where("id % 100 = 0"), dim)
+    rows = whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return search(rows, rows.where("id % 100 = 0"))[0]
 
 
 ORACLE = """

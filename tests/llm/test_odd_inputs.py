@@ -104,12 +104,32 @@ def test_published_licences(spark):
 
 
 def test_top_k_leaves_out_broken_vectors(spark):
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [None, 1.0]), (6, [float("nan"), 0.0]), (7, [float("inf"), 0.0]), (None, [1.0, 1.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0])]
-    v, dim = op4_topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
-    got = op4_topk.top_k(v, v.where("id = 1"), dim).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in got] == [(2, 2048 * 1024), (8, 2048 * 1024), (8, 2048 * 1024)]
-    none, dim = op4_topk.whole_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
-    assert op4_topk.top_k(none, none, dim).count() == 0
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [None, 1.0]), (6, [float("nan"), 0.0]), (7, [float("inf"), 0.0]), (None, [1.0, 1.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0]), (10, [3.0]), (11, []), (1, [1.0, 0.0])]
+    rows = [(i, v, "x", 1, 2, 3.0, None) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, key string, rank int, upper int, score double, v string")
+    v = op4_topk.whole_vectors(df, "vec_id", "embedding")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in op4_topk.search(v, v.where("id in (1, 4, 9)"))[0].collect()}
+    assert got == {(1, 1): (2, 2048 * 1024), (1, 2): (8, 2048 * 1024), (1, 3): (8, 2048 * 1024), (4, 1): (11, 0), (9, 1): (10, 3 * 1024 * 1024)}
+    none = op4_topk.whole_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    assert op4_topk.search(none, none)[0].count() == 0
+
+
+def test_top_k_reads_few_exact_vectors_in_several_waves_and_steps(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(op4_topk, "QUERY_BYTES", 4000)
+    monkeypatch.setattr(op4_topk, "FIRST", 4)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(1500, 24)) * 1000
+    v = v.astype(int)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<bigint>")
+    got, read = op4_topk.search(rows, rows.where("id % 50 = 0"), 7)
+    expected = {}
+    for q in range(0, 1500, 50):
+        best = sorted((-int(v[q] @ v[c]), c) for c in range(1500) if c != q)[:7]
+        expected |= {(q, k): (c, -s) for k, (s, c) in enumerate(best, 1)}
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got.collect()} == expected
+    assert len(read) > 1 and sum(read) < 0.1 * 30 * 1500
 
 
 def test_packing_of_odd_texts(odd, empty):
