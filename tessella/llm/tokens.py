@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,29 +11,55 @@ import pyarrow.compute as pc
 from .common import blocks
 
 #: Distinct words that a worker keeps before only those that recur stay.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text that are split at once; a longer text goes alone.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 END_ID = 1
+LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _encoders: dict[str, Encoder] = {}
 
 
-def _latin(words: list[str]) -> bool:
-    try:
-        "".join(words).encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: ASCII letters, marks that end a word, white space."""
+    tables = []
+    for chars in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b".,!?;:", b" \n\t\r"):
+        table = np.zeros(256, bool)
+        table[list(chars)] = True
+        tables.append(table)
+    return tuple(tables)
+
+
+_LETTER, _MARK, _SPACE = _kinds()
+
+
+def spaced(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and text ends with a blank before a single mark that follows a Latin letter and ends a word.
+
+    Such a mark is a pre-token of its own, so the ids stay, and words come without it.
+    """
+    if len(raw) < 2:
+        return raw, ends
+    stops = np.r_[_SPACE[raw[1:]], True]
+    stops[ends[ends > 0] - 1] = True
+    at = np.flatnonzero(_MARK[raw] & stops)
+    at = at[at > 0]
+    before, second = raw[at - 1], raw[np.maximum(at - 2, 0)]
+    # a letter of ASCII, or of Latin-1 in two bytes
+    letter = _LETTER[before] | ((second == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (at > 1))
+    starts = np.r_[0, ends[:-1]]
+    first = np.zeros(len(raw) + 1, bool)
+    first[starts] = True
+    at = at[letter & ~first[at]]
+    return np.insert(raw, at, 0x20), ends + np.searchsorted(at, ends)
 
 
 class Encoder:
     """ids of texts as little-endian 32-bit bytes.
 
     White space parts pre-tokens in these vocabularies, so the ids of a text are those of its words in
-    turn, and the ASCII punctuation that ends a word of letters is a pre-token too. Arrow splits the texts
-    and numbers their distinct words; the tokenizers library encodes each word once, and numpy lays the
-    ids of known words in the order of the text. When CACHE_WORDS is passed, the words that the present
-    chunk shares with earlier ones stay.
+    turn. Arrow splits the texts, numbers their distinct words and finds the known ones; the tokenizers
+    library encodes each new word once, and numpy lays the ids of words in the order of the text. When
+    CACHE_WORDS is passed, the words that the present chunk shares with earlier ones stay.
     """
 
     def __init__(self, path: str):
@@ -54,35 +79,29 @@ class Encoder:
         hidden = np.flatnonzero(self.byte == 0)
         self.byte[hidden] = 0x100 + np.arange(len(hidden))
         self.byte[0x20] = 0x20
-        self.alike = True
-        letters = [chr(c) for c in range(0x100) if chr(c).isalpha()]
+        letters = [chr(c) for c in range(0x100) if chr(c).isalpha() and chr(c) not in "ªµº"]
         probe = " ".join([*letters, "".join(letters), "".join(reversed(letters)), "I", "The", "QUE"])
-        self.alike = self._plain(probe) == self.library.encode(probe, add_special_tokens=False).ids
+        marks = "the. café, x! y? z; w: é."
+        encode = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        self.alike = self._plain(probe) == encode(probe)
+        self.marked = encode(marks) == encode(marks[:-1].replace(". ", " . ").replace(", ", " , ").replace("! ", " ! ").replace("? ", " ? ").replace("; ", " ; ").replace(": ", " : ") + " .")
         self._reset()
 
     def _plain(self, joined: str) -> list[int]:
-        """The ids of words of letters, joined by spaces."""
-        if self.alike and _latin([joined]):
-            joined = self.byte[np.frombuffer(joined.lower().encode(), "u1")].tobytes().decode("utf-32-le")
-            return self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-        return self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+        """The ids of words of Latin letters, joined by spaces."""
+        joined = self.byte[np.frombuffer(joined.lower().encode(), "u1")].tobytes().decode("utf-32-le")
+        return self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids
 
     def _reset(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.ids = np.empty(1 << 20, "<u4")  # ids of word i: ids[start[i] : start[i + 1]]
-        self.start = np.zeros(1 << 18, np.int64)
+        self.words = pa.array([""], pa.string())
+        self.ids = np.empty(0, "<u4")  # ids of word i: ids[start[i] : start[i + 1]]
+        self.start = np.zeros(2, np.int64)
 
-    def _add(self, words: Sequence[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _add(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Numbers words, whose ids follow each other in ids."""
-        known = len(self.number)
-        held = int(self.start[known])
-        while held + len(ids) > len(self.ids):
-            self.ids = np.r_[self.ids, np.empty_like(self.ids)]
-        while known + len(words) >= len(self.start):
-            self.start = np.r_[self.start, np.zeros_like(self.start)]
-        self.ids[held : held + len(ids)] = ids
-        self.start[known + 1 : known + len(words) + 1] = held + np.cumsum(lengths)
-        self.number.update(zip(words, range(known, known + len(words))))
+        self.words = pa.concat_arrays([self.words, words])
+        self.start = np.r_[self.start, len(self.ids) + np.cumsum(lengths)]
+        self.ids = np.r_[self.ids, ids]
 
     def _laid(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the numbered words in turn, and how many each has."""
@@ -91,58 +110,62 @@ class Encoder:
         total = int(end[-1]) if len(end) else 0
         return self.ids[np.repeat(first - end + n, n) + np.arange(total)], n
 
-    def _learn(self, fresh: list[str]) -> None:
-        # ASCII punctuation after letters is a pre-token of its own
-        bare = [w.rstrip(string.punctuation) for w in fresh]
-        stopped = [(w, b, w[len(b) :]) for w, b in zip(fresh, bare) if len(b) < len(w) and b.isalpha()]
-        plain = list(set(filter(str.isalpha, bare)) - self.number.keys())
-        far = [w for w in plain if not w.isascii() and max(w) > "\xff"] if not _latin(plain) else []
-        # one call for all plain words: each gives one pre-token, whose last id alone ends a word
-        for own in (list(set(plain).difference(far)) if far else plain, far):
-            if own:
-                ids = np.array(self._plain(" ".join(own)), "<u4")
-                stops = np.flatnonzero(self.ends[ids]) + 1
-                if len(stops) == len(own):
-                    self._add(own, ids, np.diff(stops, prepend=0))
-        self._learn_rest(list({m for _, _, m in stopped} - self.number.keys()))
-        stopped = [(w, b, m) for w, b, m in stopped if b in self.number]
-        both = np.array([(self.number[b], self.number[m]) for _, b, m in stopped], np.int64).reshape(-1, 2)
-        ids, n = self._laid(both.ravel())
-        self._add([w for w, _, _ in stopped], ids, n.reshape(-1, 2).sum(axis=1))
-        self._learn_rest([w for w in fresh if w not in self.number])
-
-    def _learn_rest(self, words: list[str]) -> None:
-        own = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)] if words else []
-        self._add(words, np.concatenate([np.empty(0, "<u4"), *(np.array(i, "<u4") for i in own)]), np.array([len(i) for i in own], np.int64))
-
-    def _numbered(self, words: list[str]) -> np.ndarray:
+    def _learn(self, fresh: pa.Array) -> np.ndarray:
+        """Numbers new distinct words."""
+        latin = pc.match_substring_regex(fresh, LATIN).to_numpy(zero_copy_only=False) & self.alike
+        number = np.empty(len(fresh), np.int64)
+        own = fresh.filter(pa.array(latin))
+        if len(own):
+            # one call for all: each word gives one pre-token, whose last id alone ends a word
+            ids = np.array(self._plain(" ".join(own.to_pylist())), "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(own):
+                latin[:] = False
+            else:
+                number[latin] = len(self.words) + np.arange(len(own))
+                self._add(own, ids, np.diff(stops, prepend=0))
+        if not latin.all():
+            own = fresh.filter(pa.array(~latin))
+            got = [e.ids for e in self.library.encode_batch_fast(own.to_pylist(), add_special_tokens=False)]
+            number[~latin] = len(self.words) + np.arange(len(own))
+            self._add(own, np.concatenate([np.array(i, "<u4") for i in got]), np.array([len(i) for i in got], np.int64))
+        return number
+
+    def _numbered(self, words: pa.Array) -> np.ndarray:
         """The numbers of distinct words, after learning those that are new."""
-        found = list(map(self.number.get, words))
-        missing = [k for k, i in enumerate(found) if i is None]
-        fresh = [words[k] for k in missing]
-        if len(self.number) + 2 * len(fresh) > CACHE_WORDS:
-            kept = [w for w, i in zip(words, found) if i]
-            ids, n = self._laid(np.array([i for i in found if i], np.int64))
+        found = pc.index_in(words, value_set=self.words)
+        new = found.is_null()
+        fresh = words.filter(new)
+        if len(self.words) + len(fresh) > CACHE_WORDS:
+            ids, n = self._laid(found.drop_null().to_numpy())
+            kept = words.filter(pc.invert(new))
             self._reset()
             self._add(kept, ids, n)
-            found = list(map(self.number.get, words))
-        if fresh:
-            self._learn(fresh)
-            for k, w in zip(missing, fresh):
-                found[k] = self.number[w]
-        return np.array(found, np.int64)
+            found = pc.index_in(words, value_set=self.words)
+            new = found.is_null()
+            fresh = words.filter(new)
+        out = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        if len(fresh):
+            out[new.to_numpy(zero_copy_only=False)] = self._learn(fresh)
+        return out
 
     def _chunk(self, texts: pa.Array, separators: bool) -> tuple[np.ndarray, np.ndarray]:
         # Arrow also parts at four separators that are characters to the tokenizer
         odd = np.flatnonzero(pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)) if separators else np.empty(0, int)
         whole = [texts[int(i)].as_py() for i in odd]
         if len(odd):
-            spared = np.ones(len(texts), bool)
-            spared[odd] = False
-            texts = pc.if_else(pa.array(spared), texts, "")
+            ordinary = np.ones(len(texts), bool)
+            ordinary[odd] = False
+            texts = pc.if_else(pa.array(ordinary), texts, "")
+        if self.marked:
+            texts = pa.concat_arrays([texts])  # without a slice's offset
+            offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1].astype(np.int64)
+            raw = np.frombuffer(texts.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
+            raw, ends = spaced(raw, offsets[1:] - offsets[0])
+            texts = pa.StringArray.from_buffers(len(texts), pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw)))
         split = pc.utf8_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        ids, n = self._laid(self._numbered(words.dictionary.to_pylist())[words.indices.to_numpy()])
+        ids, n = self._laid(self._numbered(words.dictionary)[words.indices.to_numpy()])
         ends = np.r_[0, np.cumsum(n)][np.cumsum(pc.list_value_length(split).to_numpy())]
         lengths = np.diff(ends, prepend=0)
         if len(odd):
