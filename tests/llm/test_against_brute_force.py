@@ -165,6 +165,28 @@ def test_shard_reads_one_token_and_one_document():
         assert all(s.token(i, k) == d[k] for k in range(0, len(d), max(1, len(d) // 50)))
 
 
+def test_shards_are_smaller_than_plain_ids(table):
+    """Of all pairs that may become rules none is left that occurs PAYS times without overlap, and images beat 16-bit ids."""
+    texts = [t or "" for t in table.values()]
+    ids = [np.frombuffer(b, "<u4") for b in Encoder(default_path())(texts)]
+    ids = [np.r_[x, 1].astype("<u4") for x in ids]
+    raw = op7_tokens.image(np.concatenate(ids), np.array([len(x) for x in ids]), list(range(len(ids))))
+    s = op7_tokens.Shard(raw)
+    assert all(a.tolist() == b.tolist() for a, b in zip(s.all_documents(), ids))
+    assert len(raw) < 0.75 * 2 * sum(map(len, ids))
+    left: dict[tuple, list] = defaultdict(list)
+    for a, b in zip(s.starts, s.starts[1:]):
+        own = s.seq[a:b].tolist()
+        for i in range(a, b - 1):
+            left[tuple(own[i - a : i - a + 2])].append(i)
+    for places in left.values():
+        alone, last = 0, -2
+        for i in places:
+            if i > last + 1:
+                alone, last = alone + 1, i
+        assert alone < op7_tokens.PAYS
+
+
 def test_packing(spark, table):
     rows = op5_packing.query(spark, SMALL).collect()
     ids = dict(zip(sorted(table), library_ids([table[d] or "" for d in sorted(table)])))
