@@ -6,15 +6,17 @@ repetition is convex; the flow routes these words to the quotas of the sources a
 flows out of a pattern is then taken from its documents: every document as often as the flow goes
 wholly round, and once more those that come first in a seeded order, until the rest is used up.
 
-The seeded order is cut with a histogram of 4096 hash buckets for each pattern, so no task and no
-window ever holds the documents of a large source: only the bucket with the cut is put in order. One
-document more, of the size that comes closest, then closes the gap that whole documents leave.
+The seeded order is by a hash of the whole row and then by a number that every row gets as it is written,
+so rows alike in all columns are taken one by one. It is cut digit by digit: a histogram of 4096 digits for
+each pattern finds the one with the cut, and its own next digits are counted until no more than CELL rows
+are left to be put in order. No task and no window ever holds the documents of a large source. Up to CLOSING
+documents more, each the largest that fits in, then close the gap that whole documents leave.
 
 The driver holds a row for each pattern and source. More than `MAX_PATTERNS` patterns are refused.
 
 Nulls and odd input: a null text has 0 words; a null source is a source of its own, sorted last; a
 document of 0 words is taken 0 words. An empty table gives an empty result. Repeated rows are separate
-documents: those alike in all columns share a hash and are taken or left one after the other.
+documents, of which some may be taken more often than others.
 """
 
 from __future__ import annotations
@@ -29,8 +31,13 @@ from .common import WORD, documents, free_names, written
 
 MAX_REPEATS = 3
 MAX_PATTERNS = 100_000
-BUCKETS = 4096
+#: Rows of a pattern that one window may put in order.
+CELL = 50_000
+#: Documents that close a gap one after the other, at most.
+CLOSING = 6
 SEED = 20
+#: Bits of the order that are told apart at once, and of the hash and of the row number that follow each other in it.
+DIGIT, LONG = 12, 63
 
 
 def words(text: Column) -> Column:
@@ -62,9 +69,10 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, int]) -> dict[tup
     flow: dict[tuple, dict] = {p: defaultdict(int) for p in patterns}
     into: dict[str | None, set] = defaultdict(set)
     need = dict(quotas)
+    dead: set = set()  # what no source with an open quota can be reached from, now or later
     for _ in range(MAX_REPEATS):
         for p, left in sorted(patterns.items(), key=lambda x: [(s is None, s or "") for s in x[0]]):
-            while left > 0:
+            while left > 0 and ("p", p) not in dead:
                 # breadth first from p: pattern -> source -> any pattern that now feeds it -> ...
                 came, queue, end = {}, deque([("p", p)]), None
                 seen = {("p", p)}
@@ -72,7 +80,7 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, int]) -> dict[tup
                     kind, x = queue.popleft()
                     nexts = [("s", s) for s in x] if kind == "p" else [("p", q) for q in into[x] if flow[q][x] > 0]
                     for y in nexts:
-                        if y in seen:
+                        if y in seen or y in dead:
                             continue
                         seen.add(y)
                         came[y] = (kind, x)
@@ -81,6 +89,7 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, int]) -> dict[tup
                             break
                         queue.append(y)
                 if end is None:
+                    dead |= seen
                     break
                 path, y = [end], end
                 while y != ("p", p):
@@ -98,20 +107,20 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, int]) -> dict[tup
     return {(p, s): n for p, to in flow.items() for s, n in to.items() if n}
 
 
-def mix(docs: DataFrame, members: Column | None = None, size: Column | None = None, key: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, members: Column | None = None, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), seed: int = SEED, keep: list[str] | None = None, cell: int = CELL) -> DataFrame:
     """docs (or its columns in keep) with a last column, a struct `mix`: size, source_size, target, copies.
 
     members: an array of the sources that a document belongs to; by default its one `source`.
-    key: what the seeded order hashes; by default the doc_id and the text.
     source_size and target are sums over the sources that the document belongs to.
     """
     spark = docs.sparkSession
     members = F.array(F.col("source")) if members is None else F.array_sort(F.array_distinct(members))
     size = words(F.col("text")) if size is None else size
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")) if key is None else F.xxhash64(F.lit(seed), key)
     (name,) = free_names(docs.columns, "mix")
-    slim = docs.select(F.struct(*(keep or docs.columns)).alias("row"), members.alias("members"), size.alias("size"), key.alias("h"))
-    slim = written(slim, "sized").withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    positive = lambda x: F.shiftrightunsigned(x, 64 - LONG)
+    key, number = positive(F.xxhash64(F.lit(seed), *docs.columns)), positive(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+    slim = docs.select(F.struct(*(keep or docs.columns)).alias("row"), members.alias("members"), size.alias("size"), key.alias("h"), number.alias("u"))
+    slim = written(slim, "sized")  # from here on a row keeps its number
     got = slim.groupBy("members").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(got) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -127,37 +136,64 @@ def mix(docs: DataFrame, members: Column | None = None, size: Column | None = No
     plan = {}
     for p, n in patterns.items():
         rounds, rest = divmod(out[p], n) if n else (0, 0)
-        plan[p] = {"rounds": rounds, "rest": rest, "source_size": sum(sizes[s] for s in p), "target": float(sum(share[s] for s in p)), "cut": None, "before": 0, "gap": 0, "last": None, "extra": None}
-
-    # the bucket with the cut of each pattern, and the words before it
-    upto = W.partitionBy("members").orderBy("bucket")
-    buckets = slim.where("size > 0").groupBy("members", "bucket").agg(F.sum("size").alias("n")).withColumn("before", F.sum("n").over(upto) - F.col("n"))
-    for r in _planned(buckets, plan).where("before < rest and before + n >= rest").select("members", "bucket", "before").collect():
-        plan[tuple(r.members)] |= {"cut": r.bucket, "before": r.before}
-    # inside that bucket: whole documents in hash order while they fit
-    upto = W.partitionBy("members").orderBy("h", "row").rowsBetween(W.unboundedPreceding, 0)
-    inside = _planned(slim, plan).where("bucket = cut and size > 0").withColumn("upto", F.col("before") + F.sum("size").over(upto)).where("upto <= rest")
-    inside = {tuple(r.members): r for r in inside.groupBy("members").agg(F.max("upto").alias("upto"), F.max("h").alias("last")).collect()}
+        plan[p] = dict.fromkeys(PLAN) | {"rounds": rounds, "rest": rest, "source_size": sum(sizes[s] for s in p), "target": float(sum(share[s] for s in p)), "before": 0, "h_bits": 0, "h_is": 0, "u_bits": 0, "u_is": 0, "gap": 0, "extra": []}
+
+    inside = (F.col("h").bitwiseAND(F.col("h_bits")) == F.col("h_is")) & (F.col("u").bitwiseAND(F.col("u_bits")) == F.col("u_is"))
+    sized = slim.where("size > 0").select("members", "size", "h", "u")
+    for column, low in [(c, low) for c in "hu" for low in range(LONG - DIGIT, -DIGIT, -DIGIT)]:
+        low = max(low, 0)
+        digit = F.shiftright(column, low).bitwiseAND(F.lit((1 << DIGIT) - 1))
+        upto = W.partitionBy("members").orderBy("digit")
+        counts = _planned(sized, plan).where(inside & (F.col("rest") > 0)).groupBy("members", "before", "rest", digit.alias("digit")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+        counts = counts.withColumn("start", F.col("before") + F.sum("n").over(upto) - F.col("n"))
+        most = 0
+        for r in counts.where("start < rest and start + n >= rest").collect():
+            x = plan[tuple(r.members)]
+            x[f"{column}_bits"] |= ((1 << DIGIT) - 1) << low
+            x[f"{column}_is"] = x[f"{column}_is"] & ~(((1 << DIGIT) - 1) << low) | (r.digit << low)
+            x["before"] = r.start
+            most = max(most, r.rows)
+        if most <= cell:
+            break
+    # in the rest: whole documents in order while they fit
+    upto = W.partitionBy("members").orderBy("h", "u").rowsBetween(W.unboundedPreceding, 0)
+    fits = _planned(sized, plan).where(inside & (F.col("rest") > 0)).withColumn("upto", F.col("before") + F.sum("size").over(upto)).where("upto <= rest")
+    fits = {tuple(r.members): r.last for r in fits.groupBy("members").agg(F.max(F.struct("upto", "h", "u")).alias("last")).collect()}
     for p, x in plan.items():
-        x["last"] = inside[p]["last"] if p in inside else None
-        x["gap"] = x["rest"] - (inside[p].upto if p in inside else x["before"])
-    # one document more, where it brings the pattern nearer to what it should give
-    first = F.coalesce((F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & (F.col("h") <= F.col("last"))), F.lit(False))
-    close = _planned(slim, plan).where(~first).where("gap > 0 and size > 0 and size < 2 * gap")
-    for r in close.groupBy("members").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "h")).alias("best")).collect():
-        plan[tuple(r.members)]["extra"] = r.best.h
-    copies = F.col("rounds") + (first | F.coalesce(F.col("h") == F.col("extra"), F.lit(False))).cast("long")
+        last = fits.get(p)
+        x["gap"] = x["rest"] - (last.upto if last else x["before"])
+        if last:
+            x |= {"last_h": last.h, "last_u": last.u}
+    part_h, part_u = F.col("h").bitwiseAND(F.col("h_bits")), F.col("u").bitwiseAND(F.col("u_bits"))
+    up_to_last = (F.col("h") < F.col("last_h")) | ((F.col("h") == F.col("last_h")) & (F.col("u") <= F.col("last_u")))
+    before = (part_h < F.col("h_is")) | ((part_h == F.col("h_is")) & ((part_u < F.col("u_is")) | ((part_u == F.col("u_is")) & up_to_last)))
+    first = F.coalesce(before, F.lit(False))
+    extra = F.exists("extra", lambda e: (e.h == F.col("h")) & (e.u == F.col("u")))
+    # the gap is closed by the largest documents that fit in, one at a time; most gaps are gone after two
+    for _ in range(CLOSING):
+        close = _planned(sized, plan).where(~first & ~extra).where("size <= gap")
+        got = close.groupBy("members").agg(F.max(F.struct("size", "h", "u")).alias("best")).collect()
+        for r in got:
+            x = plan[tuple(r.members)]
+            x |= {"extra": [*x["extra"], (r.best.h, r.best.u)], "gap": x["gap"] - r.best["size"]}
+        if not any(x["gap"] for x in plan.values()) or not got:
+            break
+    copies = F.col("rounds") + (first | extra).cast("long")
     copies = F.when(F.col("size") == 0, 0).otherwise(F.least(copies, F.lit(MAX_REPEATS))).cast("long")
-    return _planned(slim, plan).select("row.*", F.struct("size", "source_size", "target", copies.alias("copies")).alias(name))
+    mixed = _planned(slim, plan).withColumn("mixed", F.struct("size", "source_size", "target", copies.alias("copies")))
+    return mixed.select("row.*", F.col("mixed").alias(name))
+
+
+#: What the driver knows of a pattern: whole rounds, words beyond them, sums over its sources, the words before the
+#: cell with the cut, the cell's bits and their values, the last row that fits, what is missing, and the rows that close the gap.
+PLAN = ["rounds", "rest", "source_size", "target", "before", "h_bits", "h_is", "u_bits", "u_is", "last_h", "last_u", "gap", "extra"]
 
 
 def _planned(rows: DataFrame, plan: dict[tuple, dict]) -> DataFrame:
     """rows joined to the plan of their pattern; at most MAX_PATTERNS rows are broadcast."""
-    kinds = "members array<string>, rounds long, rest long, source_size long, target double, cut long, before long, gap long, last long, extra long"
+    kinds = "members array<string>, " + ", ".join(f"{c} { {'target': 'double', 'extra': 'array<struct<h:long,u:long>>'}.get(c, 'long') }" for c in PLAN)
     pattern = F.to_json(F.struct("members"), {"ignoreNullFields": "false"})
-    if "before" in rows.columns:
-        kinds, plan = kinds.replace(" before long,", ""), {p: {k: v for k, v in x.items() if k != "before"} for p, x in plan.items()}
-    side = rows.sparkSession.createDataFrame([(list(p), *x.values()) for p, x in plan.items()], kinds)
+    side = rows.sparkSession.createDataFrame([(list(p), *(x[c] for c in PLAN)) for p, x in plan.items()], kinds)
     return rows.withColumn("pattern", pattern).join(F.broadcast(side.withColumn("pattern", pattern).drop("members")), "pattern").drop("pattern")
 
 

@@ -263,6 +263,32 @@ def test_mixing(spark):
     assert Counter(map(tuple, rows)) == Counter(map(tuple, op2_mixing.query(spark, TEN).collect()))
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Rows alike in all columns are taken one by one, whatever the size of the last cell; a rerun agrees."""
+    rows = [(1, "one two three four five six seven eight nine ten", "a")] * 50 + [(100 + i, " ".join(f"w{i}x{k}" for k in range(10)), "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for cell in (50_000, 1):
+        got = [Counter((r.source, r.mix.size * r.mix.copies) for r in op2_mixing.mix(df, cell=cell).collect()) for _ in range(2)]
+        assert got[0] == got[1]
+        taken = Counter()
+        for (s, n), k in got[0].items():
+            taken[s] += n * k
+        assert abs(taken["a"] - 1000 / 3) <= 10 and abs(taken["b"] - 2000 / 3) <= 10
+
+
+def test_flow_of_many_patterns():
+    rng = random.Random(3)
+    names = [f"s{i}" for i in range(12)]
+    patterns = {tuple(sorted(rng.sample(names, rng.randint(1, 4)))): rng.randint(1, 100) for _ in range(3000)}
+    total = sum(patterns.values())
+    flow = op2_mixing.route(patterns, dict.fromkeys(names, total // 12))
+    given = Counter()
+    for (p, s), n in flow.items():
+        assert s in p
+        given[s] += n
+    assert all(given[s] == total // 12 for s in names)
+
+
 def test_flow_is_least_cost():
     # b's quota can only be met in the first round if the shared documents leave a
     flow = op2_mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 5}, {"a": 10, "b": 15})
