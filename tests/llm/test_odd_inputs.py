@@ -90,17 +90,39 @@ modification, are permitted provided that the following conditions are met:
 2. Redistributions in binary form must reproduce the above copyright notice,
    this list of conditions and the following disclaimer in the documentation
    and/or other materials provided with the distribution."""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 
 
 def test_published_licences(spark):
-    """Wrapped texts, the same in a comment with # and on one line, each with words around it."""
-    texts = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0": GPL, "BSD-3-Clause": BSD}
+    """Wrapped texts, the same in a comment with # and on one line, each with words around it; the SQL agrees."""
+    import duckdb
+
+    texts = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0": GPL, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + THIRD, "MPL-2.0": MPL}
     rows = []
     for name, t in texts.items():
         rows += [(f"{name} wrapped", f"Some words.\n\n{t}\n\nMore words."), (f"{name} comment", "\n".join(f"# {x}".rstrip() for x in t.split("\n")) + "\n\ncode"), (f"{name} line", " ".join(t.split()))]
+    # halves of a rule under one id, or without an id, make no match together
+    half = MIT.split("\n\n")
+    rows += [("halves", half[0]), ("halves", "\n\n".join(half[1:])), (None, half[0]), (None, "\n\n".join(half[1:]))]
     got = op3_licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
-    assert {(r.doc_id, r.license) for r in got} == {(d, d.rsplit(" ", 1)[0]) for d, _ in rows}
-    assert {r.doc_id for r in got if r.last_sentence - r.first_sentence == 2} == {d for d, _ in rows}
+    assert {(r.doc_id, r.license) for r in got} == {(d, d.rsplit(" ", 1)[0]) for d, _ in rows if d and d != "halves"}
+    steps = {"MPL-2.0": 1, "BSD-3-Clause": 3}
+    assert {r.doc_id for r in got if r.last_sentence - r.first_sentence == steps.get(r.license, 2)} == {r.doc_id for r in got}
+    con = duckdb.connect()
+    con.sql("create table documents(doc_id varchar, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(map(tuple, got)) == sorted(con.sql(op3_licenses.ORACLE).fetchall())
+
+
+def test_every_known_sentence_has_a_tell_tale():
+    words = op3_licenses.tell_tales(list(op3_licenses.SENTENCES.values()))
+    assert len(words) < 12 and all(any(w in s for w in words) for s in op3_licenses.SENTENCES.values())
 
 
 def test_top_k_leaves_out_broken_vectors(spark):
