@@ -49,8 +49,8 @@ def blocks(sizes: Sequence[int], limit: int = BLOCK_CHARS) -> Iterator[tuple[int
         yield start, len(sizes)
 
 
-def xxhash_long(x: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a bigint column (XXH64 of 8 bytes, seed 42), on uint64 arrays."""
+def xxhash_long(x: np.ndarray, seed: np.ndarray | np.uint64 = np.uint64(42)) -> np.ndarray:
+    """Spark's xxhash64 of a bigint column (XXH64 of 8 bytes), on uint64 arrays; the seed of a further column is the hash so far."""
     p1, p2, p3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
     p4, p5 = np.uint64(0x85EBCA77C2B2AE63), np.uint64(0x27D4EB2F165667C5)
 
@@ -58,7 +58,7 @@ def xxhash_long(x: np.ndarray) -> np.ndarray:
         return (v << np.uint64(r)) | (v >> np.uint64(64 - r))
 
     with np.errstate(over="ignore"):
-        h = np.uint64(42) + p5 + np.uint64(8)
+        h = seed + p5 + np.uint64(8)
         h = h ^ (rotl(x.astype(np.uint64) * p2, 31) * p1)
         h = rotl(h, 27) * p1 + p4
         h = (h ^ (h >> np.uint64(33))) * p2

@@ -6,9 +6,10 @@ arrays of gram hashes beside their counts. A text goes to the language whose mod
 cross-entropy per character; a text that even the best model finds stranger than the training texts is
 rejected.
 
-Size of what is broadcast: a hash has at most `hash_bits` bits, so a language has at most
-7 * 2**hash_bits entries of 12 bytes, however large the corpus; `hash_bits` shrinks until all languages
-together stay under `model_bytes`. Grams that share a hash share their counts.
+Hashes have 64 bits and code points are whole, so grams do not share counts. What is broadcast has at most
+`most` entries of 12 or 16 bytes for all languages together: beyond that, grams and contexts seen fewer than
+a least count of times (doubled until the rest fits) back off to shorter ones. Totals, continuation counts
+and discounts are those of all texts in any case.
 
 Nulls and odd input: a null or letterless text is `und` with score 0 and is rejected; rows with a null
 language or null doc_id teach nothing; with nothing to learn from every text is `und`. Repeated rows
@@ -17,23 +18,26 @@ count as often as they occur and are each scored. Ties go to the language that s
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_CHARS, batch, blocks, documents, free_names, held_out, written, xxhash_long
+from .common import BLOCK_CHARS, batch, blocks, documents, free_names, held_out, written
+from .kneser_ney import CHAR, Counts, Table, code_points, context, distinct, grams, hashed, interpolated, least_count, np_context, np_suffix, suffix
 
 ORDER = 4
 PAD = ORDER - 1
 #: Entries that a counting task holds before it passes partial counts on.
 FLUSH_GRAMS = 2_000_000
+#: Entries of all tables of the model.
+MOST = 8_000_000
+#: What the shortest gram backs off to: any code point alike.
+UNKNOWN = 1.0 / (1 << CHAR)
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -42,146 +46,97 @@ def _normal(text: str | None) -> str:
     return _OTHER.sub(" ", text.lower()).strip() if text else ""
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit codes of the texts, each led by PAD spaces and ended by one; the text's index per code, -1 on pads."""
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hi and lo of the 4-grams of the texts, each led by PAD spaces and ended by one, and each gram's text."""
     parts = [" " * PAD + t + " " for t in texts]
-    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4") & np.uint32(0xFFFF)
     owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
     starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
     for k in range(PAD):
         owner[starts + k] = -1
-    return codes.astype(np.uint64), owner
-
-
-def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """4-grams as one 64-bit integer each, and the index of the text each is from, in slices."""
-    codes, owner = _codes(texts)
-    for lo in range(PAD, len(codes), BLOCK_CHARS):
-        hi = min(lo + BLOCK_CHARS, len(codes))
-        key = codes[lo:hi].copy()
-        for k in range(1, ORDER):
-            key |= codes[lo - k : hi - k] << np.uint64(16 * k)
-        own = owner[lo:hi]
-        real = own >= 0
-        yield key[real].view(np.int64), own[real]
+    hi, lo = grams(code_points("".join(parts)), ORDER)
+    owner = owner[PAD:]
+    real = owner >= 0
+    return hi[real], lo[real], owner[real]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("g4", pa.int64()), ("n", pa.int64())])
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    size = 0
-
-    def merged(final: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal size
-        size = 0
-        for lang, parts in held.items():
-            codes, keys = pd.factorize(np.concatenate([k for k, _ in parts]))
-            n = np.bincount(codes, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
-            held[lang] = [(keys, n)]
-            size += len(keys)
-        if final or size > FLUSH_GRAMS // 2:
-            for lang, [(keys, n)] in held.items():
-                yield batch(schema, [[lang] * len(keys), keys, n])
-            held.clear()
-            size = 0
+    schema = pa.schema([("lang", pa.string()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
+    counts = Counts()
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for lang, hi, lo, n in counts.take():
+            yield batch(schema, [[lang] * len(n), hi, lo, n])
 
     for rb in batches:
         langs, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
-        order = sorted(range(len(langs)), key=lambda i: langs[i])
-        normal = [_normal(texts[i]) for i in order]
-        bounds = [0, *(k for k in range(1, len(order)) if langs[order[k]] != langs[order[k - 1]]), len(order)]
-        for a, b in zip(bounds, bounds[1:]):
-            for lo, hi in blocks([len(t) for t in normal[a:b]]):
-                for keys, _ in _grams([t for t in normal[a + lo : a + hi] if t]) if any(normal[a + lo : a + hi]) else ():
-                    codes, unique = pd.factorize(keys)
-                    held.setdefault(langs[order[a]], []).append((unique, np.bincount(codes)))
-                    size += len(unique)
-                    if size > FLUSH_GRAMS:
-                        yield from merged(final=False)
-    yield from merged(final=True)
+        by: dict[str, list[str]] = {}
+        for lang, text in zip(langs, texts):
+            if own := _normal(text):
+                by.setdefault(lang, []).append(own)
+        for lang, own in by.items():
+            for lo, hi in blocks([len(t) for t in own]):
+                counts.add(lang, *_grams(own[lo:hi])[:2])
+                if counts.size > FLUSH_GRAMS and counts.merged() > FLUSH_GRAMS // 2:
+                    yield from given()
+    yield from given()
 
 
 class Model:
     """Kneser-Ney models of all languages over sorted hash arrays."""
 
-    def __init__(self, langs: list[str], bits: int, tables: dict, totals: dict, discounts: dict, vocabulary: int):
-        self.langs, self.bits, self.tables, self.totals, self.discounts, self.vocabulary = langs, bits, tables, totals, discounts, vocabulary
-
-    def _look(self, table: tuple[np.ndarray, ...], slots: np.ndarray) -> list[np.ndarray]:
-        keys = table[0]
-        if not len(keys):
-            return [np.zeros(len(slots))] * (len(table) - 1)
-        at = np.minimum(np.searchsorted(keys, slots), len(keys) - 1)
-        hit = keys[at] == slots
-        return [np.where(hit, v[at], 0).astype(np.float64) for v in table[1:]]
+    def __init__(self, langs: list[str], tables: dict, totals: dict, discounts: dict):
+        self.langs, self.tables, self.totals, self.discounts = langs, tables, totals, discounts
 
-    def nats(self, grams: np.ndarray) -> np.ndarray:
+    def nats(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """-log P(last character | the three before) for each distinct gram and language."""
-        grams = grams.view(np.uint64)
-        out = np.empty((len(grams), len(self.langs)))
-        shift = np.uint64(64 - self.bits)
-        slots = {}
+        out = np.empty((len(lo), len(self.langs)))
+        hashes = {}
         for k in range(1, ORDER + 1):
-            g = grams & np.uint64((1 << (16 * k)) - 1) if k < 4 else grams
-            slots[k] = ((xxhash_long(g) >> shift).astype(np.int32), (xxhash_long(g >> np.uint64(16)) >> shift).astype(np.int32))
+            own = np_suffix(hi, lo, k)
+            hashes[k] = hashed(*own), hashed(*np_context(*own))
         for i, lang in enumerate(self.langs):
             total, kinds = self.totals[lang]
-            p = np.full(len(grams), 1.0 / self.vocabulary)
+            p = np.full(len(lo), UNKNOWN)
             for k in range(1, ORDER + 1):
-                d = self.discounts[lang, k]
-                (n,) = self._look(self.tables[lang, k, "gram"], slots[k][0])
-                if k == 1:
-                    all_n, follow = np.full(len(grams), total), np.full(len(grams), kinds)
-                else:
-                    all_n, follow = self._look(self.tables[lang, k, "context"], slots[k][1])
-                seen = all_n > 0
-                safe = np.where(seen, all_n, 1)
-                p = np.where(seen, np.maximum(n - d, 0) / safe + np.minimum(d * follow / safe, 1) * p, p)
+                (n,) = self.tables[lang, k, "gram"].look(hashes[k][0])
+                all_n, follow = self.tables[lang, k, "context"].look(hashes[k][1]) if k > 1 else (np.full(len(lo), total), np.full(len(lo), kinds))
+                p = interpolated(n, all_n, follow, self.discounts[lang, k], p)
             out[:, i] = -np.log(np.clip(p, 1e-12, 1.0))
         return out
 
 
-def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", hash_bits: int = 20, model_bytes: int = 400 << 20) -> Model:
+def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int = MOST) -> Model:
     """Models from every row of `labelled` with a language and a text."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = written(rows.mapInArrow(_count, "lang string, g4 bigint, n bigint").groupBy("lang", "g4").agg(F.sum("n").alias("n")), "grams")
-    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    fit = model_bytes // (7 * 12 * max(1, len(langs)))
-    bits = min(hash_bits, int(math.log2(max(1, fit))))
-    if langs and bits < 8:
-        raise ValueError(f"{len(langs)} languages do not fit a model of {model_bytes} bytes")
-
-    def slot(g: str) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.col(g)), 64 - bits).cast("int")
-
-    grams, k_tables = counts.withColumnRenamed("g4", "g"), {}
+    level = written(rows.mapInArrow(_count, "lang string, hi bigint, lo bigint, n bigint").groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")), "grams")
+    langs = sorted(r[0] for r in level.select("lang").distinct().collect())
+    parts, totals, discounts = [], {}, {}
     for k in range(ORDER, 0, -1):
-        k_tables[k] = grams
-        mask = (1 << (16 * (k - 1))) - 1
-        grams = grams.groupBy("lang", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("n"))
-    parts, tables, totals, discounts = [], {}, {}, {}
-    for k, t in k_tables.items():
-        context = F.shiftrightunsigned("g", 16)
-        parts.append(t.groupBy("lang", F.lit(2 * k).alias("table"), slot("g").alias("slot")).agg(F.sum("n").cast("float").alias("n"), F.lit(0.0).cast("float").alias("m")))
-        if k > 1:
-            parts.append(t.select("lang", "n", context.alias("g")).groupBy("lang", F.lit(2 * k + 1).alias("table"), slot("g").alias("slot")).agg(F.sum("n").cast("float").alias("n"), F.count("*").cast("float").alias("m")))
-        for r in t.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        for r in level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
             discounts[r.lang, k] = max(0.1, min(0.9, r.n1 / (r.n1 + 2 * r.n2))) if r.n1 else 0.5
             if k == 1:
                 totals[r.lang] = (float(r.n), float(r.kinds))
+        parts.append(level.select("lang", F.lit(2 * k).alias("table"), F.xxhash64("hi", "lo").alias("key"), "n", F.lit(0).cast("long").alias("m")))
+        if k > 1:
+            hi, lo = context()
+            own = level.groupBy("lang", hi.alias("hi"), lo.alias("lo")).agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+            parts.append(own.select("lang", F.lit(2 * k + 1).alias("table"), F.xxhash64("hi", "lo").alias("key"), "n", "m"))
+            hi, lo = suffix(k - 1)
+            level = level.groupBy("lang", hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("n"))
     union = parts[0]
     for p in parts[1:]:
-        union = union.unionByName(p)
+        union = union.union(p)
     number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") if langs else F.lit(0)
-    got = union.select(number.alias("lang"), "table", "slot", "n", "m").toArrow()
-    of_lang, of_table, slots = (got[c].to_numpy() for c in ("lang", "table", "slot"))
+    union = written(union.select(number.alias("lang"), "table", "key", F.col("n").cast("float").alias("n"), F.col("m").cast("float").alias("m")), "model")
+    got = union.where(F.col("n") >= least_count(union, most)).toArrow()
+    of_lang, of_table = (got[c].to_numpy() for c in ("lang", "table"))
+    tables = {}
     for i, lang in enumerate(langs, 1):
         for k in range(1, ORDER + 1):
             for kind in ("gram", "context"):
                 own = np.flatnonzero((of_lang == i) & (of_table == 2 * k + (kind == "context")))
-                own = own[np.argsort(slots[own])]
-                tables[lang, k, kind] = tuple(got[c].to_numpy()[own] for c in ["slot", "n", "m"][: 3 if kind == "context" else 2])
-    return Model(langs, bits, tables, totals, discounts, int(max([1, *(kinds for _, kinds in totals.values())])) + 1)
+                tables[lang, k, kind] = Table(got["key"].to_numpy()[own], [got[c].to_numpy()[own] for c in "nm"[: 2 if kind == "context" else 1]])
+    return Model(langs, tables, totals, discounts)
 
 
 def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -193,11 +148,12 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.n
         own = [i for i in range(lo, hi) if size[i]]
         if not own:
             continue
-        for keys, owner in _grams([normal[i] for i in own]):
-            codes, unique = pd.factorize(keys)
-            table = model.nats(unique)
+        all_hi, all_lo, owner = _grams([normal[i] for i in own])
+        for a in range(0, len(owner), BLOCK_CHARS):
+            *unique, codes = distinct(all_hi[a : a + BLOCK_CHARS], all_lo[a : a + BLOCK_CHARS])
+            table = model.nats(*unique)
             for j in range(len(model.langs)):
-                total[own, j] += np.bincount(owner, weights=table[codes, j], minlength=len(own))
+                total[own, j] += np.bincount(owner[a : a + BLOCK_CHARS], weights=table[codes, j], minlength=len(own))
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.where(size[:, None] > 0, total / (size[:, None] + 1), np.inf), size
 

@@ -332,6 +332,95 @@ def test_held_out_toxicity(spark):
     assert pos and neg and np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.85
 
 
+def plain_kneser_ney(texts, order, discounts):
+    """P(last | before) by dictionaries: raw counts at the top, continuation counts below, any code point alike at the end."""
+    tables = {order: Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    sums, kinds = ({k: Counter() for k in tables} for _ in range(2))
+    for k, own in tables.items():
+        for g, n in own.items():
+            sums[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+
+    def p(gram, end):
+        out = end
+        for k in range(1, order + 1):
+            g = gram[len(gram) - k :]
+            s = sums[k][g[:-1]]
+            if s:
+                d = discounts[k]
+                out = max(tables[k][g] - d, 0) / s + min(d * kinds[k][g[:-1]] / s, 1) * out
+        return out
+
+    return p, tables
+
+
+def test_language_models_are_kneser_ney(spark):
+    """Three languages against dictionaries, with letters beyond the first 65,536; an unlearned language is rejected."""
+    rng = random.Random(13)
+    letters = {"aa": "abcdef", "bb": "abcxyz", "cc": "\U00010400\U00010401ж中e"}
+    say = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    rows = [(100 * k + i, lang, say(a, 150)) for k, (lang, a) in enumerate(letters.items()) for i in range(20)]
+    model = op1_language_id.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.langs == ["aa", "bb", "cc"]
+    hi, lo, _ = op1_language_id._grams([op1_language_id._normal(say("".join(letters.values()), 40))])
+    spell = lambda h, g: "".join(chr(int(c)) for c in (h & 0x1FFFFF, g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF))
+    nats = model.nats(hi, lo)
+    for j, lang in enumerate(model.langs):
+        texts = ["   " + op1_language_id._normal(t) + " " for _, k, t in rows if k == lang]
+        p, _ = plain_kneser_ney(texts, 4, {k: model.discounts[lang, k] for k in range(1, 5)})
+        expected = [-np.log(max(p(spell(int(h), int(g)), 1 / (1 << 21)), 1e-12)) for h, g in zip(hi, lo)]
+        assert np.allclose(nats[:, j], expected, rtol=1e-5)
+    docs = rows + [(1000 + i, None, say("ßðþæøåé", 150)) for i in range(5)]
+    got = op1_language_id.recognised(spark.createDataFrame(docs, "doc_id long, lang string, text string"), keep=["doc_id", "lang"]).collect()
+    assert [(r.doc_id, r.lid.nats) for r in got if r.lid_rejected != (r.doc_id >= 1000)] == []
+
+
+def test_language_model_keeps_its_bound(spark):
+    rng = random.Random(14)
+    rows = [(i, "aa", words(rng, 60, VOCABULARY)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    size = lambda m: sum(len(t.keys) for t in m.tables.values())
+    whole, small = op1_language_id.learn(df), op1_language_id.learn(df, most=1500)
+    assert size(small) <= 1500 < size(whole) and small.discounts == whole.discounts and small.totals == whole.totals
+
+
+def test_toxicity_models_are_kneser_ney(spark):
+    """Orders 6 to 4 by class, 3 to 1 shared, against dictionaries, with letters beyond the first 1,024."""
+    rng = random.Random(15)
+    say = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 5))) for _ in range(n))
+    rows = [(y, say("abж\U00010400" if y else "abcж中", 40)) for y in (0, 1) for _ in range(15)]
+    counted = spark.createDataFrame(rows, "part int, text string").mapInArrow(op8_toxicity._count, "part int, hi bigint, lo bigint, n bigint")
+    model = op8_toxicity.learn(counted.withColumn("toxic", counted.part))
+    hi, lo, _, _ = op8_toxicity._grams([op8_toxicity._normal(say("abcж中\U00010400", 60))])
+    spell = lambda h, g: "".join(chr(int(x >> s) & 0x1FFFFF) for x in (h, g) for s in (42, 21, 0))
+    padded = {y: ["     " + op8_toxicity._normal(t) + " " for k, t in rows if k == y] for y in (0, 1)}
+    own = {y: plain_kneser_ney(padded[y], 6, {k: model.discounts[k, y] if k > 3 else 0 for k in range(1, 7)})[1] for y in (0, 1)}
+    # shared counts: a 3-gram counts once for each 4-gram that either class has
+    four = set(own[0][4]) | set(own[1][4])
+    shared = {3: Counter(g[1:] for g in four)}
+    for k in (2, 1):
+        shared[k] = Counter(g[1:] for g in shared[k + 1])
+
+    def step(table, g, d, lower):
+        s = sum(n for x, n in table.items() if x[:-1] == g[:-1])
+        kinds = sum(1 for x in table if x[:-1] == g[:-1])
+        return max(table[g] - d, 0) / s + min(d * kinds / s, 1) * lower if s else lower
+
+    got = model.likelihoods(hi, lo)
+    for i in range(0, len(hi), 7):
+        gram = spell(int(hi[i]), int(lo[i]))
+        low = 1 / (1 << 21)
+        for k in (1, 2, 3):
+            low = step(shared[k], gram[6 - k :], model.discounts[k, 0], low)
+        for y in (0, 1):
+            p = low
+            for k in (4, 5, 6):
+                p = step(own[y][k], gram[6 - k :], model.discounts[k, y], p)
+            assert got[y][i] == pytest.approx(p, rel=1e-5)
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     line = lambda n=12: words(rng, n, VOCABULARY)
