@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+#: The bitmap that likely() broadcasts has 2**FILTER_BITS bits (8 MB), whatever the input.
+FILTER_BITS = 26
+
+
+def likely(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose bigint `key` is not in known: those whose bit in a bitmap of hashed keys is unset.
+
+    The join that follows decides; the bitmap spares it rows that can't match, and as it fills up it only
+    spares fewer. Rows with a null key go.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS))
+    parts = known.where(F.col(key).isNotNull()).select(place.alias("p")).groupBy(F.expr("p div 32768").alias("k")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for k, own in zip(parts["k"].to_pylist(), parts["bits"].to_pylist()):
+        bits[4096 * k : 4096 * (k + 1)] = np.frombuffer(own, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(p: pd.Series) -> pd.Series:
+        p = p.to_numpy()
+        return pd.Series((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+
+    return rows.where(F.col(key).isNotNull() & maybe(place))
+
+
 def blocks(sizes: Sequence[int], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum to about limit; every item is in one of them."""
     start, total = 0, 0
