@@ -57,6 +57,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def tables_written() -> int:
+    """How many tables release() would keep if it kept all there are."""
+    return len(_written)
+
+
 def release(spark: SparkSession, kept: int = 0) -> None:
     """Deletes the tables of written() but the first `kept`; no DataFrame that reads them may be used again."""
     while len(_written) > kept:
