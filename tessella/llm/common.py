@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import release, shared_dir, written  # noqa: F401
+from ..session import release, shared_dir, tables_written, written  # noqa: F401
 
 #: Code points that one numpy block holds at most; a longer text is walked in slices of this many.
 BLOCK_CHARS = 1 << 19

@@ -160,13 +160,17 @@ def places(groups: list[Group]) -> dict[str, np.ndarray]:
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and the ids themselves) of every document's pieces."""
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces; with_ids adds `ids`.
+
+    ids are little-endian unsigned integers of 16 bits, of 32 if the tokenizer has ids above 65,535.
+    """
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = pa.schema(kinds + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
+    schema = pa.schema(kinds + ([("ids", pa.binary())] if with_ids else []))
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        kind = "<u2" if len(encode.ends) <= 1 << 16 else "<u4"
         for rb in batches:
             names = rb.column(0).to_pylist()
             for lo, part in encode.chunks(rb.column(1)):
@@ -175,10 +179,10 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                     b += end
                     for k, at in enumerate(range(0, len(b), 4 * CAPACITY)):
                         own = b[at : at + 4 * CAPACITY]
-                        rows.append((d, k, at // 4, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<i4")] if with_ids else [])))
+                        rows.append((d, k, at // 4, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype(kind).tobytes()] if with_ids else [])))
                 yield batch(schema, list(zip(*rows)))
 
-    sql = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    sql = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, sql)
 
 
@@ -208,7 +212,7 @@ def pack(cut: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Every piece of docs with its place; with_ids adds the token ids, ready to be laid out."""
+    """Every piece of docs with its place; with_ids adds the token ids, ready to be laid out: see pieces()."""
     return pack(written(pieces(docs, path or default_path(), with_ids=with_ids), "pieces"))
 
 
