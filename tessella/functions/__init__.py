@@ -1 +1 @@
-
+"""Scalar functions."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def weighted(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """keys, blended value, samples with weight and the share of samples that have one."""
@@ -27,10 +29,30 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def best_other(df: DataFrame, keys: list[str], source: str, score: str) -> DataFrame:
-    """For each sample the best score among the other samples of its pixel: the second best for the best."""
-    two = top(df, keys, [F.desc(score), F.asc(source)], 2).groupBy(*keys).agg(F.max(F.when(F.col("rank") == 1, F.col(source))).alias("_own"), F.max(F.when(F.col("rank") == 1, F.col(score))).alias("_one"), F.max(F.when(F.col("rank") == 2, F.col(score))).alias("_two"))
-    return df.join(two, keys).select(*keys, source, score, F.when(F.col(source) == F.col("_own"), F.col("_two")).otherwise(F.col("_one")).alias("peer"))
+def best_other(df: DataFrame, keys: list[str], source: str, score: str, *evidence: str, support: str | None = None) -> DataFrame:
+    """For each source of a pixel the best score among its other sources, as `peer`, and peer_<name> of that one for
+    each name in evidence, times its support where a support is named. A source's best sample stands for it."""
+    rows = [score, *evidence, *([support] if support else [])]
+    one = df.groupBy(*keys, source).agg(F.max(F.struct(*rows)).alias("_s"))
+    two = top(one.select(*keys, source, "_s", F.col(f"_s.{score}").alias("_v")), keys, [F.desc("_v"), F.asc(source)], 2)
+    at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
+    two = two.groupBy(*keys).agg(at(1, source).alias("_own"), at(1, "_s").alias("_one"), at(2, "_s").alias("_two"))
+    peer = F.when(F.col(source) == F.col("_own"), F.col("_two")).otherwise(F.col("_one"))
+    share = peer[support] if support else F.lit(1.0)
+    return one.join(two, keys).select(*keys, source, F.col(f"_s.{score}").alias(score), peer[score].alias("peer"), *[(peer[e] * share).alias(f"peer_{e}") for e in evidence])
+
+
+def suppression(peer_texture: Column, obstruction: Column, texture: Column, sharpness: Column, peer_sharpness: Column) -> Column:
+    """How far a source that is blurred or obstructed beside a better peer is held back, 0 to 1."""
+    ratio = F.when(peer_sharpness > 0, sharpness / peer_sharpness).otherwise(1.0)
+    blur = smoothstep(10.0, 14.0, peer_texture) * smoothstep(15.0, 21.0, peer_sharpness) * (1 - smoothstep(0.55, 0.85, ratio))
+    blocked = smoothstep(0.50, 0.80, obstruction) * (1 - smoothstep(3.3, 7.7, texture)) * smoothstep(6.0, 10.0, peer_texture)
+    return F.least(F.greatest(F.when(peer_sharpness > 0, blur).otherwise(0.0), blocked), F.lit(1.0))
+
+
+def adjusted(score: Column, peer: Column, strength: Column, least_side: Column, margin: float = 32.0) -> Column:
+    """A score moved towards below its best peer's by the strength of suppression; as it is without a peer."""
+    return F.when(peer.isNull() | (strength <= 0), score).otherwise(score - strength * F.greatest(score - peer + margin / F.greatest(least_side, F.lit(1)), F.lit(0.0)))
 
 
 def linear(v: Column) -> Column:
@@ -49,7 +71,7 @@ def smoothstep(low: float, high: float, v: Column) -> Column:
 
 
 def raster(spark: SparkSession, width: int, height: int) -> DataFrame:
-    """x, y, v: a synthetic grey raster by an integer rule."""
+    """x, y, v: a synthetic grey raster. Its integer rule is that of the fixtures."""
     x, y = F.expr(f"id % {width}"), F.expr(f"id div {width}")
     v = (x * 17 + y * 11 + F.expr(f"((id % {width}) div 8) ^ ((id div {width}) div 8)") * 29).bitwiseAND(255)
     return spark.range(width * height).select(x.alias("x"), y.alias("y"), v.alias("v"))
@@ -61,12 +83,12 @@ def halve(pixels: DataFrame) -> DataFrame:
 
 
 def pyramid(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """All levels up to 1 x 1, `level` 0 being the pixels themselves."""
-    level, out = 0, pixels.select(F.lit(0).alias("level"), "x", "y", F.col("v").cast("double").alias("v"))
-    now = pixels
+    """All levels up to 1 x 1, `level` 0 being the pixels themselves; each is written and the next made from it."""
+    level, now = 0, pixels.select("x", "y", F.col("v").cast("double").alias("v"))
+    out = now.select(F.lit(0).alias("level"), "x", "y", "v")
     while width > 1 or height > 1:
         width, height, level = -(-width // 2), -(-height // 2), level + 1
-        now = halve(now)
+        now = written(halve(now), "level")
         out = out.unionByName(now.select(F.lit(level).alias("level"), "x", "y", "v"))
     return out
 

@@ -45,7 +45,8 @@ def worst(edges: DataFrame, residual: str, k: int = 5, *ties: str) -> DataFrame:
 def over_limit(edges: DataFrame, residual: str, limit: float) -> DataFrame:
     """One row for each unordered pair over the limit: the worst of both directions, ranked from the worst."""
     pair = edges.where(F.col(residual) > limit).groupBy(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.max(residual).alias(residual))
-    return pair
+    # ranks over all issues: they are the few edges over the limit
+    return pair.withColumn("rank", F.row_number().over(W.orderBy(F.desc(residual), "a", "b")))
 
 
 def first_match(constraints: DataFrame, edges: DataFrame, order: str) -> DataFrame:

@@ -21,6 +21,14 @@ def _two_of_four(spark, sf):
     return blend.top(adjusted, ["l_partkey"], [F.desc("adjusted"), F.asc("source")], 2).select("l_partkey", "source", "adjusted", "rank")
 
 
+def _peers(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(*[F.max(c).alias(c) for c in ("l_discount", "l_quantity", "l_tax")], F.max(F.col("l_linenumber") / 7).alias("support"))
+    got = blend.best_other(lines, ["l_partkey"], "l_suppkey", "l_discount", "l_quantity", "l_tax", support="support").join(lines.select("l_partkey", "l_suppkey", "l_quantity", "l_tax"), ["l_partkey", "l_suppkey"])
+    strength = blend.suppression(F.col("peer_l_quantity"), F.col("l_tax") * 12, F.col("l_quantity") / 5, F.col("l_tax") * 200, F.col("peer_l_tax") * 400)
+    score = blend.adjusted(F.col("l_discount"), F.col("peer"), F.coalesce(strength, F.lit(0.0)), F.lit(641.0))
+    return got.select("l_partkey", "l_suppkey", F.round("peer_l_quantity", 6).alias("peer_quantity"), F.round(score, 6).alias("score"))
+
+
 def _views(spark):
     i = F.col("id")
     return spark.range(50).select(i.alias("view"), (1 + i * 37).alias("need_w"), (1 + i * 29).alias("need_h"), (i * 13).alias("x0"), (i * 17 + 40).alias("x1"), (i * 7).alias("y0"), (i * 7 + i % 9 * 70).alias("y1"))
@@ -35,6 +43,7 @@ QUERIES = {
     "softmax_blend": lambda spark, sf: blend.softmax(_samples(spark, sf), ["l_partkey"], "l_extendedprice", "l_discount", 40.0).select("l_partkey", F.round("blended", 4).alias("blended")),
     "top2_owner": lambda spark, sf: blend.top(_samples(spark, sf), ["l_partkey"], [F.desc("l_discount"), F.asc("source")], 2).select("l_partkey", "source", "l_discount", "rank"),
     "best_other_peer": lambda spark, sf: blend.best_other(_samples(spark, sf).select("l_partkey", "source", "l_discount"), ["l_partkey"], "source", "l_discount"),
+    "peer_evidence": _peers,
     "top4_then_top2": _two_of_four,
     "pyramid_level1": lambda spark, sf: blend.halve(blend.raster(spark, SIDE, 45)).select("x", "y", F.round("v", 4).alias("v")),
     "pyramid_all": lambda spark, sf: blend.pyramid(blend.raster(spark, SIDE, 45), SIDE, 45).select("level", "x", "y", F.round("v", 4).alias("v")),
@@ -59,13 +68,22 @@ def _levels_sql() -> str:
     return f"with {', '.join(ctes)} select level, x, y, round(v, 4) as v from ({' union all '.join(unions)})"
 
 
+def _STEP(v, low, high):
+    t = f"greatest(0::double, least(1::double, ({v} - {low}::double) / ({high}::double - {low}::double)))"
+    return f"({t} * {t} * (3 - 2 * {t}))"
+
+
 _LIN = "case when {0} <= 0.04045 then {0} / 12.92 else pow(({0} + 0.055) / 1.055, 2.4) end"
 _ENC = "case when {0} <= 0.0031308 then {0} * 12.92 else 1.055 * pow({0}, 1 / 2.4) - 0.055 end"
 ORACLES = {
     "weighted_blend": f"with {_S} select l_partkey, round(sum(case when l_discount > 0 then l_extendedprice * l_discount end) / sum(case when l_discount > 0 then l_discount end), 4) as blended, count_if(l_discount > 0)::bigint as samples, round(count_if(l_discount > 0) / count(*), 6) as covered from s group by all",
     "softmax_blend": f"with {_S}, w as (select *, exp(greatest(-80, least(0, 40.0 * (l_discount - max(l_discount) over (partition by l_partkey))))) as w from s) select l_partkey, round(sum(l_extendedprice * w) / sum(w), 4) as blended from w group by all",
     "top2_owner": f"with {_S} select l_partkey, source, l_discount, row_number() over (partition by l_partkey order by l_discount desc, source)::int as rank from s qualify rank <= 2",
-    "best_other_peer": f"with {_S} select a.l_partkey, a.source, a.l_discount, max(b.l_discount) as peer from s a left join s b on a.l_partkey = b.l_partkey and a.source <> b.source group by all",
+    "best_other_peer": f"with {_S} select a.l_partkey, a.source, max(a.l_discount) as l_discount, max(b.l_discount) as peer from s a left join s b on a.l_partkey = b.l_partkey and a.source <> b.source group by 1, 2",
+    "peer_evidence": f"""with l as (select l_partkey, l_suppkey, max(l_discount) as d, max(l_quantity) as q, max(l_tax) as t, max(l_linenumber / 7) as u from lineitem group by 1, 2),
+r as (select *, row_number() over (partition by l_partkey order by d desc, l_suppkey) as k from l), p as (select a.*, b.d as pd, b.q * b.u as pq, b.t * b.u * 400 as pt from r a left join r b on b.l_partkey = a.l_partkey and b.k = case when a.k = 1 then 2 else 1 end),
+s as (select *, least(greatest(case when pt > 0 then {_STEP('pq', 10, 14)} * {_STEP('pt', 15, 21)} * (1 - {_STEP('t * 200 / pt', 0.55, 0.85)}) else 0 end, {_STEP('t * 12', 0.5, 0.8)} * (1 - {_STEP('q / 5', 3.3, 7.7)}) * {_STEP('pq', 6, 10)}), 1) as g from p)
+select l_partkey, l_suppkey, round(pq, 6) as peer_quantity, round(case when pd is null or coalesce(g, 0) <= 0 then d else d - g * greatest(d - pd + 32 / 641, 0) end, 6) as score from s""",
     "top4_then_top2": f"with {_S}, four as (select *, row_number() over (partition by l_partkey order by l_quantity desc, source) as r4 from s qualify r4 <= 4), a as (select l_partkey, source, round(l_quantity * (1 - l_discount * 5), 6) as adjusted from four) select *, row_number() over (partition by l_partkey order by adjusted desc, source)::int as rank from a qualify rank <= 2",
     "pyramid_level1": f"with {_R} select x // 2 as x, y // 2 as y, round(avg(v), 4) as v from r group by 1, 2",
     "pyramid_all": _levels_sql(),

@@ -19,12 +19,12 @@ def _events(spark, sf):
 
 def _merged(spark, sf):
     e = _events(spark, sf).select((F.col("event_id") % 400).alias("id"), F.unix_micros("ts").alias("us"), "event_type")
-    return timeline.merge([e.where("us % 3 <> 0"), e.where("us % 2 = 0")], "id", ["us", "event_type"])
+    return timeline.merge([e.where("event_type <> 'click'"), e.where("us % 2 = 0 or event_type = 'click'")], "id", ["us", "event_type"])
 
 
 def _rates(spark, sf):
-    e = _events(spark, sf).withColumn("log", F.col("user_id") % 5)
-    return timeline.rates(e, ["log"], "ts", "value", 7200).select("event_id", "samples", F.round("rate", 6).alias("rate"))
+    e = _events(spark, sf).withColumn("log", F.col("user_id"))
+    return timeline.rates(e, ["log"], "ts", "value", 864000).select("event_id", "samples", F.round("rate", 6).alias("rate"))
 
 
 def _folder(spark):
@@ -50,8 +50,10 @@ QUERIES = {
     "timeline_collapse": lambda spark, sf: timeline.collapse(_events(spark, sf), LOG, ORDER, "event_type").select("event_id", "user_id", "event_type"),
     "timeline_merge_suffix": _merged,
     "last_attempt": lambda spark, sf: timeline.last_attempt(_events(spark, sf), LOG, ORDER, F.col("event_type").isin("error", "purchase")).select("event_id", "user_id", "attempt"),
-    "lifecycle_summary": lambda spark, sf: timeline.lifecycle(_events(spark, sf), LOG, "ts", "event_type").withColumn("seconds", F.round("seconds", 3)),
+    "lifecycle_summary": lambda spark, sf: timeline.lifecycle(_events(spark, sf), LOG, "ts", "event_type", "event_id").withColumn("seconds", F.round("seconds", 3)),
     "eta_window": _rates,
+    "thinned_samples": lambda spark, sf: timeline.thinned(_events(spark, sf), LOG, "ts", 86400.0).select("event_id"),
+    "time_to_go": lambda spark, sf: timeline.remaining(_events(spark, sf).withColumn("done", F.col("event_id") / 20000), LOG, "ts", "done", 864000).select("event_id", "samples", "eta"),
     "endpoint_release": lambda spark, sf: timeline.last_use(table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("use")), "l_partkey", "use"),
     "stream_windowed": _windowed,
     "stream_distinct": _distinct,
@@ -61,16 +63,22 @@ ORACLES = {
     "timeline_collapse": """with e as (select *, lag(event_type) over (partition by user_id order by ts, event_id) as b from events)
 select event_id, user_id, event_type from e where b is null or b <> event_type""",
     "timeline_merge_suffix": """with e as (select event_id % 400 as id, epoch_us(ts) as us, event_type from events),
-u as (select * from e where us % 3 <> 0 union select * from e where us % 2 = 0), n as (select *, row_number() over (partition by id order by us, event_type) as k from u)
+u as (select * from e where event_type <> 'click' union select * from e where us % 2 = 0 or event_type = 'click'), n as (select *, row_number() over (partition by id order by us, event_type) as k from u)
 select id, us, event_type, case when k = 1 then id::varchar else id || '#' || k end as merged_id from n""",
     "last_attempt": """with e as (select event_id, user_id, coalesce(sum(case when event_type in ('error', 'purchase') then 1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0)::bigint as attempt from events),
 m as (select *, max(attempt) over (partition by user_id) as last from e) select event_id, user_id, attempt from m where attempt = last""",
-    "lifecycle_summary": """select user_id, arg_min(event_type, ts) as first_state, arg_max(event_type, ts) as last_state,
+    "lifecycle_summary": """select user_id, first(event_type order by ts, event_id) as first_state, last(event_type order by ts, event_id) as last_state,
   round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) as seconds, count(*) as events from events group by user_id""",
-    "eta_window": """with e as (select event_id, user_id % 5 as log, epoch_us(ts) as us, value from events),
+    "eta_window": """with e as (select event_id, user_id as log, epoch_us(ts) as us, value from events),
 w as (select event_id, count(*) over w as samples, (max(us) over w - min(us) over w) / 1e6 as t, last_value(value) over w - first_value(value) over w as gained
-  from e window w as (partition by log order by us range between 7200000000 preceding and current row))
+  from e window w as (partition by log order by us range between 864000000000 preceding and current row))
 select event_id, samples, case when samples >= 3 and t >= 5 then round(gained / t, 6) end as rate from w""",
+    "thinned_samples": """with recursive e as (select event_id, user_id, epoch_us(ts) as us from events), k(user_id, us) as (select user_id, min(us) from e group by 1
+  union all select k.user_id, (select min(e.us) from e where e.user_id = k.user_id and e.us >= k.us + 86400000000) from k where k.us is not null)
+select event_id from e join k using (user_id, us)""",
+    "time_to_go": """with e as (select event_id, user_id, epoch_us(ts) as us, event_id / 20000 as done from events), w as (select event_id, done, count(*) over w as samples, (max(us) over w - min(us) over w) / 1e6 as t, last_value(done) over w - first_value(done) over w as g
+  from e window w as (partition by user_id order by us range between 864000000000 preceding and current row))
+select event_id, samples, case when samples >= 3 and t >= 5 and g / t > 0 then ceil((1 - done) / (g / t))::bigint end as eta from w""",
     "endpoint_release": """select l_partkey, l_orderkey * 10 + l_linenumber as use, l_orderkey * 10 + l_linenumber = max(l_orderkey * 10 + l_linenumber) over (partition by l_partkey) as release from lineitem""",
     "stream_windowed": "select epoch_us(date_trunc('hour', ts)) as start_us, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "stream_distinct": "select distinct event_id, user_id, epoch_us(ts) as us from events",

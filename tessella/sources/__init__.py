@@ -1 +1 @@
-
+"""Readers of requests, manifests, records and folders."""
