@@ -16,10 +16,22 @@ def _lines(spark, sf):
 
 def _report(spark, sf):
     disc = F.col("l_discount")
-    return _lines(spark, sf).agg(
-        F.count("*").alias("edges"), F.count_if(disc >= 0.05).alias("matched"), F.count_if((disc >= 0.05) & (F.col("l_tax") > 0.04)).alias("strong"),
-        F.round(F.avg(F.when(disc >= 0.05, F.col("l_quantity"))), 4).alias("mean_matched"), F.round(F.max("l_quantity"), 4).alias("worst"),
-    )
+    got = robust.run_report(_lines(spark, sf), disc >= 0.05, F.col("l_tax") > 0.04, "l_quantity", "l_quantity")
+    return got.withColumns({"mean_matched": F.round("mean_matched", 4), "worst": F.round("worst", 4)})
+
+
+def _percentiles(spark, sf):
+    lines = _lines(spark, sf)
+    rms = lines.groupBy(*G).agg(F.round(F.sqrt(F.avg(F.col("l_quantity") ** 2)), 4).alias("rms"))
+    return robust.percentiles(lines, G, "l_extendedprice", p50=0.5, p95=0.95).join(rms, G).select(*G, "n", "rms", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
+
+
+def _energy(spark, sf):
+    lines = _lines(spark, sf)
+    pixels = lines.groupBy((F.col("l_partkey") % 40).alias("x"), (F.col("l_suppkey") % 30).alias("y")).agg(F.max("l_quantity").alias("v"))
+    pixels = pixels.withColumns({"cx": F.expr("x div 10"), "cy": F.expr("y div 10")})
+    got = robust.cell_energy(pixels, ["cx", "cy"], "x", "y", "v")
+    return got.select("cx", "cy", *[F.round(c, 4).alias(c) for c in ("mean", "variance", "gradient", "laplacian")])
 
 
 QUERIES = {
@@ -34,10 +46,11 @@ QUERIES = {
     "rms_by_edge_and_total": lambda spark, sf: robust.rms_report(_lines(spark, sf), ["l_suppkey"], "l_quantity").select("l_suppkey", F.round("rms", 4).alias("rms"), "max_residual", "n"),
     "coverage_cells": lambda spark, sf: robust.coverage(_lines(spark, sf), ["l_orderkey"], F.col("l_quantity"), F.col("l_discount"), 51.0, 0.11),
     "reliability_scale": lambda spark, sf: robust.reliability(_lines(spark, sf).select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice").select("l_orderkey", "l_linenumber", F.round("scale", 6).alias("scale")),
-    "linear_percentiles": lambda spark, sf: _lines(spark, sf).groupBy(*G).agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("l_quantity") ** 2)), 4).alias("rms"), F.round(F.percentile("l_extendedprice", 0.5), 4).alias("p50"), F.round(F.percentile("l_extendedprice", 0.95), 4).alias("p95")),
-    "endpoint_totals": lambda spark, sf: _lines(spark, sf).groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q")).groupBy("l_orderkey").agg(F.count("*").alias("endpoints"), F.round(F.sum("q"), 4).alias("features")),
-    "window_max_confidence": lambda spark, sf: _lines(spark, sf).groupBy("l_partkey").agg(F.round(F.max(F.col("l_discount") * (1 - F.abs(F.col("l_quantity") / 25.5 - 1))), 6).alias("confidence")),
-    "cell_statistics": lambda spark, sf: _lines(spark, sf).groupBy("l_partkey").agg(F.round(F.avg("l_quantity"), 4).alias("mean"), F.round(F.var_pop("l_quantity"), 4).alias("variance")),
+    "linear_percentiles": _percentiles,
+    "endpoint_totals": lambda spark, sf: robust.endpoint_totals(_lines(spark, sf), "l_orderkey", "l_partkey", "l_quantity").withColumn("features", F.round("features", 4)),
+    "window_max_confidence": lambda spark, sf: robust.window_confidence(_lines(spark, sf), "l_partkey", F.col("l_discount"), 1 - F.abs(F.col("l_quantity") / 25.5 - 1)).select("l_partkey", F.round("confidence", 6).alias("confidence")),
+    "cell_statistics": _energy,
+    "edge_quality": lambda spark, sf: robust.edge_quality(_lines(spark, sf).withColumn("wanted", F.col("l_orderkey") % 6), ["l_orderkey"], "l_quantity", "wanted").select("l_orderkey", "n", "p95", F.round("rms", 4).alias("rms"), "greatest", "complete"),
 }
 _G = "l_returnflag, l_linestatus"
 ORACLES = {
@@ -66,5 +79,8 @@ select l_orderkey, bit_or(b)::int as mask, bit_count(bit_or(b))::int as cells fr
     "linear_percentiles": f"select {_G}, count(*) as n, round(sqrt(avg(l_quantity ** 2)), 4) as rms, round(quantile_cont(l_extendedprice, 0.5), 4) as p50, round(quantile_cont(l_extendedprice, 0.95), 4) as p95 from lineitem group by all",
     "endpoint_totals": "with e as (select l_orderkey, l_partkey, max(l_quantity) as q from lineitem group by all) select l_orderkey, count(*) as endpoints, round(sum(q), 4) as features from e group by all",
     "window_max_confidence": "select l_partkey, round(max(l_discount * (1 - abs(l_quantity / 25.5 - 1))), 6) as confidence from lineitem group by all",
-    "cell_statistics": "select l_partkey, round(avg(l_quantity), 4) as mean, round(var_pop(l_quantity), 4) as variance from lineitem group by all",
+    "cell_statistics": """with p as (select l_partkey % 40 as x, l_suppkey % 30 as y, max(l_quantity) as v from lineitem group by 1, 2), c as (select *, x // 10 as cx, y // 10 as cy from p),
+n as (select c.*, r.v as r, d.v as d, l.v as l, u.v as u from c left join c r on r.x = c.x + 1 and r.y = c.y and r.cx = c.cx left join c d on d.x = c.x and d.y = c.y + 1 and d.cy = c.cy left join c l on l.x = c.x - 1 and l.y = c.y and l.cx = c.cx left join c u on u.x = c.x and u.y = c.y - 1 and u.cy = c.cy)
+select cx, cy, round(avg(v), 4) as mean, round(var_pop(v), 4) as variance, round(avg((r - v) ** 2 + (d - v) ** 2), 4) as gradient, round(avg((r + l + u + d - 4 * v) ** 2), 4) as laplacian from n group by 1, 2""",
+    "edge_quality": """with s as (select l_orderkey, list_sort(list(l_quantity)) as v, max(l_orderkey % 6) as wanted from lineitem group by 1) select l_orderkey, len(v)::bigint as n, v[((len(v) - 1) * 95) // 100 + 1] as p95, round(sqrt(list_avg(list_transform(v, lambda x: x * x))), 4) as rms, v[-1] as greatest, len(v) >= wanted as complete from s""",
 }
