@@ -46,6 +46,24 @@ def _states(spark, sf):
     return got.groupBy("user_id").agg(F.max("events").alias("events"), F.max_by("errors", "events").alias("errors"), F.max_by("last_type", "events").alias("last_type"))
 
 
+def _sliding(spark, sf):
+    got = streams.drained(streams.windowed(streams.source(spark, sf), "10 minutes", slide="5 minutes"), _folder(spark), "complete")
+    return got.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def _admitted(spark, sf):
+    return streams.admitted(streams.source(spark, sf), _folder(spark)).select("event_id", "user_id", F.col("place").cast("long").alias("place"))
+
+
+WANTED = ["queued", "running", "pausing", "paused", "running", "completed", "failed", "cancelled", "queued"]
+
+
+def _machine(spark, sf):
+    wanted = F.element_at(F.array(*map(F.lit, WANTED)), (F.col("event_id") * 7 % 9 + 1).cast("int"))
+    rows = streams.source(spark, sf).select(F.col("user_id").alias("job"), "event_id", F.unix_micros("ts").alias("at"), wanted.alias("wanted"))
+    return streams.drained(streams.job_machine(rows), _folder(spark), "append")
+
+
 QUERIES = {
     "timeline_collapse": lambda spark, sf: timeline.collapse(_events(spark, sf), LOG, ORDER, "event_type").select("event_id", "user_id", "event_type"),
     "timeline_merge_suffix": _merged,
@@ -58,6 +76,9 @@ QUERIES = {
     "stream_windowed": _windowed,
     "stream_distinct": _distinct,
     "stream_job_states": _states,
+    "stream_sliding": _sliding,
+    "stream_late_admitted": _admitted,
+    "stream_job_machine": _machine,
 }
 ORACLES = {
     "timeline_collapse": """with e as (select *, lag(event_type) over (partition by user_id order by ts, event_id) as b from events)
@@ -82,5 +103,12 @@ select event_id, samples, case when samples >= 3 and t >= 5 and g / t > 0 then c
     "endpoint_release": """select l_partkey, l_orderkey * 10 + l_linenumber as use, l_orderkey * 10 + l_linenumber = max(l_orderkey * 10 + l_linenumber) over (partition by l_partkey) as release from lineitem""",
     "stream_windowed": "select epoch_us(date_trunc('hour', ts)) as start_us, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "stream_distinct": "select distinct event_id, user_id, epoch_us(ts) as us from events",
-    "stream_job_states": "select user_id, count(*) as events, count_if(event_type = 'error') as errors, arg_max(event_type, ts) as last_type from events group by user_id",
+    "stream_job_states": "select user_id, count(*) as events, count_if(event_type = 'error') as errors, last(event_type order by ts, event_id) as last_type from events group by user_id",
+    "stream_sliding": "with w as (select event_type, value, unnest([epoch_us(ts) // 300000000, epoch_us(ts) // 300000000 - 1]) * 300000000 as start_us from events) select start_us, event_type, count(*) as n, round(sum(value), 4) as total from w group by 1, 2",
+    "stream_late_admitted": "select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as place from events",
+    "stream_job_machine": f"""with recursive e as (select user_id as job, event_id, {WANTED}[event_id * 7 % 9 + 1] as wanted, row_number() over (partition by user_id order by ts, event_id) as k from events),
+t(was, wanted) as (values {", ".join(f"({repr(a) if a else chr(39) * 2}, {b!r})" for a, bs in streams.TRANSITIONS.items() for b in sorted(bs))}),
+m as (select e.job, e.event_id, e.wanted, e.k, case when t.was is not null then e.wanted end as state, t.was is not null as legal from e left join t on t.was = '' and t.wanted = e.wanted where k = 1
+  union all select e.job, e.event_id, e.wanted, e.k, case when t.was is not null then e.wanted else m.state end, t.was is not null from m join e on e.job = m.job and e.k = m.k + 1 left join t on t.was = coalesce(m.state, '') and t.wanted = e.wanted)
+select job, event_id, wanted, state, legal from m""",
 }

@@ -22,31 +22,77 @@ def distinct_events(stream: DataFrame, key: str = "event_id", delay: str = "31 d
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def windowed(stream: DataFrame, width: str = "1 hour", delay: str = "31 days") -> DataFrame:
-    """Events and their values in tumbling windows, by type."""
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def windowed(stream: DataFrame, width: str = "1 hour", delay: str = "31 days", slide: str | None = None) -> DataFrame:
+    """Events and their values in tumbling or sliding windows, by type; state older than the delay is given up."""
+    return stream.withWatermark("ts", delay).groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def admitted(stream: DataFrame, folder: str) -> DataFrame:
+    """All events of a stream, however late: appended as they come, and read as one table in the order (ts, event_id) of each user.
+
+    The log never refuses a late event, so no watermark applies and no state is held; order is made on reading.
+    """
+    stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{folder}/log").start().awaitTermination()
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/log").withColumn("place", place)
 
 
 def job_states(stream: DataFrame) -> DataFrame:
-    """user_id, events, errors, last_type: a state machine for each user; the latest event by (ts, id) sets the type."""
+    """user_id, events, errors, last_type: counters for each user; the latest event by (ts, event_id) sets the type.
+
+    The state is four numbers and a word a user and is kept for good, as a user may always come back.
+    """
     kinds = "user_id long, events long, errors long, last_type string"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        events, errors, last, at = state.get if state.exists else (0, 0, None, -1)
+        events, errors, last, at, number = state.get if state.exists else (0, 0, None, -1, -1)
         for f in frames:
             events, errors = events + len(f), errors + int((f["event_type"] == "error").sum())
-            i = f["at"].idxmax()
-            if f["at"][i] > at:
-                at, last = int(f["at"][i]), f["event_type"][i]
-        state.update((events, errors, last, at))
+            top = f.sort_values(["at", "event_id"]).iloc[-1]
+            if (top["at"], top["event_id"]) > (at, number):
+                at, number, last = int(top["at"]), int(top["event_id"]), top["event_type"]
+        state.update((events, errors, last, at, number))
         yield pd.DataFrame({"user_id": [key[0]], "events": [events], "errors": [errors], "last_type": [last]})
 
-    rows = stream.select("user_id", "event_type", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, kinds, "events long, errors long, last_type string, at long", "update", GroupStateTimeout.NoTimeout)
+    rows = stream.select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("at"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, kinds, "events long, errors long, last_type string, at long, number long", "update", GroupStateTimeout.NoTimeout)
+
+
+# The states that a job may go to from each state; None is a job that is not known yet.
+TRANSITIONS = {
+    None: {"queued"}, "queued": {"running", "cancelled", "failed"}, "running": {"pausing", "completed", "failed", "cancelled"}, "pausing": {"paused", "completed", "failed", "cancelled"},
+    "paused": {"running", "cancelled", "failed"}, "completed": set(), "failed": {"queued"}, "cancelled": {"queued"},
+}
+
+
+def job_machine(stream: DataFrame) -> DataFrame:
+    """job, event_id, wanted, state, legal of every request (job, event_id, at, wanted): the state after it, which an illegal one leaves as it is.
+
+    A batch's requests of a job are taken in the order (at, event_id).
+    """
+    kinds = "job long, event_id long, wanted string, state string, legal boolean"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get[0] if state.exists else None
+        rows = []
+        # what one batch has of one job
+        for r in pd.concat(list(frames)).sort_values(["at", "event_id"]).itertuples():
+            legal = r.wanted in TRANSITIONS[now]
+            now = r.wanted if legal else now
+            rows.append((key[0], r.event_id, r.wanted, now, legal))
+        state.update((now,))
+        yield pd.DataFrame(rows, columns=["job", "event_id", "wanted", "state", "legal"])
+
+    return stream.groupBy("job").applyInPandasWithState(step, kinds, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """All that is available now, run to its end into a Parquet table; with `complete` the last batch is the table."""
+    """All that is available now, run to its end into a Parquet table; with `complete` the last batch is the table.
+
+    A batch that is run again after a failure replaces itself; a folder belongs to one checkpoint.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
