@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import stars as components
 from .common import batch, documents, free_names, written
 
 RADIUS = 4
@@ -302,32 +303,6 @@ def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT, piece: int =
     return found.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for each value in the links (a, b): root is the smallest value of its component.
-
-    Alternating large-star and small-star: every value that is not its component's smallest ends beside
-    it, in a number of rounds that grows with the logarithm of the longest path.
-    """
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
-    edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    before = None
-    while True:
-        # large star: each neighbour greater than u is linked to the least of u and its neighbours
-        near = both(edges)
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: u and its smaller neighbours are linked to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        edges = written(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).collect()[0]
-        if now == before:
-            return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-        before = now
-
-
 def fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns in keep and a last column, the bigint fingerprint `fp` (its name lengthened where taken)."""
     (name,) = free_names(keep, "fp")
