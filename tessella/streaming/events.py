@@ -62,8 +62,8 @@ def job_states(stream: DataFrame) -> DataFrame:
 
 # The states that a job may go to from each state; None is a job that is not known yet.
 TRANSITIONS = {
-    None: {"queued"}, "queued": {"running", "cancelled", "failed"}, "running": {"pausing", "completed", "failed", "cancelled"}, "pausing": {"paused", "completed", "failed", "cancelled"},
-    "paused": {"running", "cancelled", "failed"}, "completed": set(), "failed": {"queued"}, "cancelled": {"queued"},
+    None: {"queued"}, "queued": {"running", "pausing", "cancelled", "failed"}, "running": {"pausing", "completed", "failed"}, "pausing": {"paused", "cancelled", "failed"},
+    "paused": {"running", "cancelled", "failed"}, "completed": set(), "failed": set(), "cancelled": set(),
 }
 
 
