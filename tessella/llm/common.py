@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from ..session import release, shared_dir, tables_written, written  # noqa: F401
 
 #: Code points that one numpy block holds at most; a longer text is walked in slices of this many.
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
+#: Rows of an Arrow batch that become Python objects at once.
+ROWS = 1000
 #: ASCII white space, as bytes.split() and the contracts see it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,8 +45,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 FILTER_BITS = 26
 
 
-def likely(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+def likely(rows: DataFrame, known: DataFrame, key: str, mark: str | None = None) -> DataFrame:
     """rows without most of those whose bigint `key` is not in known: those whose bit in a bitmap of hashed keys is unset.
+    With a mark all rows stay, and that boolean column tells them apart.
 
     The join that follows decides; the bitmap spares it rows that can't match, and as it fills up it only
     spares fewer. Rows with a null key go.
@@ -60,7 +64,8 @@ def likely(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
         p = p.to_numpy()
         return pd.Series((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
 
-    return rows.where(F.col(key).isNotNull() & maybe(place))
+    found = F.col(key).isNotNull() & maybe(place)
+    return rows.withColumn(mark, found) if mark else rows.where(found)
 
 
 def blocks(sizes: Sequence[int], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
@@ -92,6 +97,21 @@ def xxhash_long(x: np.ndarray, seed: np.ndarray | np.uint64 = np.uint64(42)) ->
         return h ^ (h >> np.uint64(32))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows; after the last, memory that was freed goes back to the system.
+
+    A worker lives on for other stages, beside an executor that fills its own heap.
+    """
+    for rb in batches:
+        for lo in range(0, rb.num_rows, rows):
+            yield rb.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def batch(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:
     arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)

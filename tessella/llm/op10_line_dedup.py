@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, slices, written
 
 BLOCK_WORDS = 30
 #: Pairs that one salt of an earlier document should hold at most, if pairs were spread evenly.
@@ -90,18 +90,16 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb in batches:
-        for lo in range(0, rb.num_rows, TEXTS):
-            some = rb.slice(lo, TEXTS)
-            own = [units(t) for t in some.column(2).to_pylist()]
-            flat = [u for o in own for u in o]
-            h = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
-            words = np.fromiter((len(u.split()) for u in flat), np.int32, len(flat))
-            ends = np.cumsum([len(o) for o in own])
-            start, _, key = runs(h, words, ends)
-            per = np.searchsorted(start, ends)
-            columns = [some.column(0), some.column(1), _lists(h.view(np.int64), ends), _lists(words, ends), _lists(key.view(np.int64), per)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "hashes", "words", "keys"])
+    for some in slices(batches, TEXTS):
+        own = [units(t) for t in some.column(2).to_pylist()]
+        flat = [u for o in own for u in o]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
+        words = np.fromiter((len(u.split()) for u in flat), np.int32, len(flat))
+        ends = np.cumsum([len(o) for o in own])
+        start, _, key = runs(h, words, ends)
+        per = np.searchsorted(start, ends)
+        columns = [some.column(0), some.column(1), _lists(h.view(np.int64), ends), _lists(words, ends), _lists(key.view(np.int64), per)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "hashes", "words", "keys"])
 
 
 def increasing(places: list[int]) -> list[int]:

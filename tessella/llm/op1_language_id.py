@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_CHARS, batch, blocks, documents, free_names, held_out, written
+from .common import BLOCK_CHARS, batch, blocks, documents, free_names, held_out, slices, written
 from .kneser_ney import CHAR, Counts, Table, code_points, context, distinct, grams, hashed, interpolated, least_count, np_context, np_suffix, suffix
 
 ORDER = 4
@@ -67,7 +67,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, hi, lo, n in counts.take():
             yield batch(schema, [[lang] * len(n), hi, lo, n])
 
-    for rb in batches:
+    for rb in slices(batches):
         langs, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
         by: dict[str, list[str]] = {}
         for lang, text in zip(langs, texts):
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for rb in batches:
+        for rb in slices(batches):
             texts = rb.column(at).to_pylist()
             if model.langs:
                 nats, size = score_texts(texts, model)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, documents, written
+from .common import batch, documents, slices, written
 from .tokens import END_ID, default_path, encoder
 
 CAPACITY = 4096
@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         kind = "<u2" if len(encode.ends) <= 1 << 16 else "<u4"
-        for rb in batches:
+        for rb in slices(batches):
             names = rb.column(0).to_pylist()
             for lo, part in encode.chunks(rb.column(1)):
                 rows = []

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import stars as components
-from .common import batch, documents, free_names, written
+from .common import batch, documents, free_names, slices, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -309,7 +309,7 @@ def fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     rows = docs.select(F.col(text).cast("binary").alias(free_names(keep, "utf8")[0]), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for rb in slices(batches):
             fp = np.fromiter((fingerprint(t) for t in rb.column(0).to_pylist()), np.uint64, rb.num_rows)
             yield pa.RecordBatch.from_arrays([*rb.columns[1:], pa.array(fp.view(np.int64))], names=[*rb.schema.names[1:], name])
 
