@@ -25,22 +25,99 @@ def to_camera(world: list[Column], yaw: Column, pitch: Column) -> list[Column]:
     return [x * F.cos(yaw) - z * F.sin(yaw), y * F.cos(pitch) + ahead * F.sin(pitch), ahead * F.cos(pitch) - y * F.sin(pitch)]
 
 
-def footprints(pixels: DataFrame, cameras: DataFrame, cone: float) -> DataFrame:
-    """pixel, camera, u, v, edge of the cameras that see each pixel (pixel, yaw, pitch).
+def footprints(pixels: DataFrame, cameras: DataFrame, cone: float, bin_size: float = 0.25) -> DataFrame:
+    """pixel, camera, u, v, edge, weight, ownership of the cameras that see each pixel (pixel, yaw, pitch).
 
-    cameras: camera, yaw, pitch, f, width, height. A coarse cone test stands before the projection;
-    points behind the camera or outside its half-open bounds have no row. `edge` falls from 1 in the
-    middle to 0 at the border.
+    cameras: camera, yaw, pitch, f, width, height. Bands of pitch are an equi-join, then comes the cone, then the
+    projection; points behind the camera or outside its half-open bounds have no row. `edge` falls from 1 in the
+    middle to 0 at the border; `weight` is smooth over the outer 8 % of the shorter side, `ownership` the distance to
+    the border as a share of it, 0.5 at most.
     """
-    pix = pixels.select("pixel", *[c.alias(n) for c, n in zip(ray(F.col("yaw"), F.col("pitch")), ("px", "py", "pz"))])
-    cams = cameras.select("camera", "f", "width", "height", "yaw", "pitch", *[c.alias(n) for c, n in zip(ray(F.col("yaw"), F.col("pitch")), ("cx", "cy", "cz"))])
+    pix = pixels.select("pixel", F.floor(F.col("pitch") / bin_size).alias("_band"), *[c.alias(n) for c, n in zip(ray(F.col("yaw"), F.col("pitch")), ("px", "py", "pz"))])
+    bands = F.sequence(F.floor((F.col("pitch") - cone) / bin_size), F.floor((F.col("pitch") + cone) / bin_size))
+    cams = cameras.select("camera", "f", "width", "height", "yaw", "pitch", F.explode(bands).alias("_band"), *[c.alias(n) for c, n in zip(ray(F.col("yaw"), F.col("pitch")), ("cx", "cy", "cz"))])
     near = F.col("px") * F.col("cx") + F.col("py") * F.col("cy") + F.col("pz") * F.col("cz") >= math.cos(cone)
     x, y, z = to_camera([F.col("px"), F.col("py"), F.col("pz")], F.col("yaw"), F.col("pitch"))
-    seen = pix.join(cams, near).select("pixel", "camera", "f", "width", "height", x.alias("x"), y.alias("y"), z.alias("z")).where("z > 1e-5")
+    seen = pix.join(cams, "_band").where(near).select("pixel", "camera", "f", "width", "height", x.alias("x"), y.alias("y"), z.alias("z")).where("z > 1e-5")
     placed = seen.select("pixel", "camera", "width", "height", (F.col("f") * F.col("x") / F.col("z") + F.col("width") / 2).alias("u"), (F.col("f") * F.col("y") / F.col("z") + F.col("height") / 2).alias("v"))
     inside = placed.where("u >= 0 and v >= 0 and u < width and v < height")
     edge = F.least(F.col("u"), F.col("width") - F.col("u")) / F.col("width") * 2 * F.least(F.col("v"), F.col("height") - F.col("v")) / F.col("height") * 2
-    return inside.select("pixel", "camera", "u", "v", edge.alias("edge"))
+    border, side = F.least("u", "v", F.col("width") - F.col("u"), F.col("height") - F.col("v")), F.least("width", "height")
+    t = F.least(border / (side * 0.08), F.lit(1.0))
+    return inside.select("pixel", "camera", "u", "v", edge.alias("edge"), (t * t * (3 - 2 * t)).alias("weight"), F.least(border / side, F.lit(0.5)).alias("ownership"))
+
+
+def neighbour_diagnostics(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, neighbour, disposition, residual: for every cell (id, row, column) what is known of the edges (from, to, disposition, residual) to the up to eight cells around it."""
+    both = edges.select(F.col("from").alias("id"), F.col("to").alias("neighbour"), "disposition", "residual").unionByName(edges.select(F.col("to").alias("id"), F.col("from").alias("neighbour"), "disposition", "residual"))
+    at = cells.select("id", "row", "column")
+    there = cells.select(F.col("id").alias("neighbour"), F.col("row").alias("_r"), F.col("column").alias("_c"))
+    beside = (F.abs(F.col("row") - F.col("_r")) <= 1) & (F.abs(F.col("column") - F.col("_c")) <= 1)
+    found = both.join(at, "id").join(there, "neighbour").where(beside & (F.col("id") != F.col("neighbour")))
+    return found.select("id", "neighbour", F.coalesce("disposition", F.lit("unknown")).alias("disposition"), "residual")
+
+
+def analytic_places(cells: DataFrame, step_x: float, step_y: float) -> DataFrame:
+    """cells (id, row, column) with yaw and pitch by even angular steps around the grid's centre: what is left where nothing could be matched."""
+    middle = cells.agg(((F.max("row") + F.min("row")) / 2).alias("_r"), ((F.max("column") + F.min("column")) / 2).alias("_c"))
+    return cells.crossJoin(F.broadcast(middle)).select("id", "row", "column", ((F.col("column") - F.col("_c")) * step_x).alias("yaw"), ((F.col("_r") - F.col("row")) * step_y).alias("pitch"))
+
+
+def recentred(poses: DataFrame) -> DataFrame:
+    """Poses (id, yaw, pitch) turned so that their mean direction is straight ahead, yaw within half a turn."""
+    x, y, z = ray(F.col("yaw"), F.col("pitch"))
+    mean = poses.agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"), F.avg(z).alias("_z"))
+    yaw, pitch = angles(F.col("_x"), F.col("_y"), F.col("_z"))
+    centre = mean.select(yaw.alias("_yaw"), pitch.alias("_pitch"))
+    turned = F.pmod(F.col("yaw") - F.col("_yaw") + math.pi, F.lit(2 * math.pi)) - math.pi
+    return poses.crossJoin(F.broadcast(centre)).select("id", turned.alias("yaw"), (F.col("pitch") - F.col("_pitch")).alias("pitch"))
+
+
+def fitted_rotations(points: DataFrame, keys: list[str], f: float, cx: float, cy: float) -> DataFrame:
+    """keys, rotation, median, rms: the rotation that takes the source rays of each edge's points (sx, sy, tx, ty) to the target rays.
+
+    Gauss-Newton with weights that fall beyond 3 pixels, at most 30 steps; edges with fewer than 8 points, or a step of
+    over half a radian, have no row. The median is the upper middle. An edge's points are bounded by what a picture keeps.
+    """
+    import numpy as np
+    import pandas as pd
+
+    fields = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+
+    def cross(v: np.ndarray) -> np.ndarray:
+        zero = np.zeros(len(v))
+        return np.stack([zero, -v[:, 2], v[:, 1], v[:, 2], zero, -v[:, 0], -v[:, 1], v[:, 0], zero], axis=1).reshape(-1, 3, 3)
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c: [] for c in [*keys, "rotation", "median", "rms"]})
+        if len(rows) < 8:
+            return none
+        rays = []
+        for a in "st":
+            v = np.stack([(rows[f"{a}x"] - cx) / f, -(rows[f"{a}y"] - cy) / f, np.ones(len(rows))], axis=1)
+            rays.append(v / np.linalg.norm(v, axis=1, keepdims=True))
+        turn = np.eye(3)
+        for _ in range(30):
+            v = rays[0] @ turn.T
+            off = v - rays[1]
+            size = np.linalg.norm(off, axis=1) * f
+            w = np.where(size > 3, 3 / np.maximum(size, 1e-300), 1.0)
+            j = -cross(v)
+            normal = np.einsum("n,nri,nrj->ij", w, j, j)
+            if abs(np.linalg.det(normal)) < 1e-18:
+                return none
+            step = np.linalg.solve(normal, -np.einsum("n,nri,nr->i", w, j, off))
+            size = np.linalg.norm(step)
+            if size > 0.5:
+                return none
+            k = cross(step[None] / max(size, 1e-300))[0]
+            turn = (np.eye(3) + np.sin(size) * k + (1 - np.cos(size)) * k @ k) @ turn
+            if size < 1e-10:
+                break
+        off = np.sort(np.linalg.norm(rays[0] @ turn.T - rays[1], axis=1) * f)
+        return pd.DataFrame({**{k: [x] for k, x in zip(keys, key)}, "rotation": [turn.ravel().tolist()], "median": [off[len(off) // 2]], "rms": [np.sqrt((off**2).mean())]})
+
+    return points.groupBy(*keys).applyInPandas(fit, f"{fields}, rotation array<double>, median double, rms double")
 
 
 def unwrapped_bounds(rows: DataFrame, keys: list[str], yaw: str, origin: Column) -> DataFrame:

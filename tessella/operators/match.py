@@ -53,3 +53,25 @@ def first_match(constraints: DataFrame, edges: DataFrame, order: str) -> DataFra
     """Each constraint with the first edge of its (from, to); `complete` tells whether there is one."""
     first = edges.groupBy("from", "to").agg(F.min_by(F.struct(*[c for c in edges.columns if c not in ("from", "to")]), order).alias("edge"))
     return constraints.join(first, ["from", "to"], "left").select(*constraints.columns, "edge.*", F.col("edge").isNotNull().alias("complete"))
+
+
+def approximate_nearest(left: DataFrame, right: DataFrame, width: float, tables: int = 8, within: float = 1.0, seed: int = 7) -> DataFrame:
+    """(a, b, distance) of each left vector's nearest right one (id, v) among those that share a random projection's bucket and are within a distance."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    own, other = (df.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("f")) for df in (left, right))
+    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(own)
+    met = model.approxSimilarityJoin(own, other, within, "distance").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "distance")
+    return met.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where("_r = 1").drop("_r")
+
+
+def without(edges: DataFrame, others: DataFrame) -> DataFrame:
+    """Edges (from, to) that are not among the others."""
+    return edges.join(others.select("from", "to"), ["from", "to"], "left_anti")
+
+
+def stored(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the SHA-256 of a capture's correspondences (from, to, points), in the order of the edges: what a replay is checked against."""
+    own = F.sha2(F.to_json(F.struct("from", "to", "points")), 256)
+    return edges.select(*keys, "from", "to", own.alias("_h")).groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from", "to", "_h"))), lambda e: e["_h"]), ""), 256).alias("sha256"), F.count("*").alias("edges"))

@@ -137,3 +137,51 @@ def water_share(confidence: Column, threshold: float = 160.0, end: float = 224.0
 
 def colour_distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b)), F.lit(0.0))) / 441.7
+
+
+def quality_summary(edges: DataFrame, key: str) -> DataFrame:
+    """What a consumer sees of a run's edges (accepted, nominal, ratio, residual): counts, mean confidence, mean and greatest residual of the measured ones, 0 where there is none."""
+    c = F.col
+    measured = c("accepted") & ~c("nominal") & c("residual").isNotNull() & ~F.isnan("residual")
+    value = F.when(measured, c("residual"))
+    return edges.groupBy(key).agg(
+        F.count_if(c("accepted") & ~c("nominal")).alias("matched"), F.count_if(c("nominal")).alias("nominal"), F.count_if(~c("accepted") & ~c("nominal")).alias("failed"),
+        F.coalesce(F.avg(F.when(c("accepted"), c("ratio"))), F.lit(0.0)).alias("confidence"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean_residual"), F.coalesce(F.max(value), F.lit(0.0)).alias("greatest_residual"))
+
+
+def compared_runs(first: DataFrame, second: DataFrame, key: str, identity: list[str], times: list[str]) -> DataFrame:
+    """key and the ratio of each time of two runs with equal identity columns; fails where these differ."""
+    both = first.alias("x").join(second.alias("y"), key)
+    same = F.lit(True)
+    for c in identity:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    checked = F.assert_true(same, F.concat(F.lit("runs do not share their inputs: "), F.col(key).cast("string")))
+    return both.select(key, *[F.when(checked.isNull(), F.col(f"y.{t}") / F.col(f"x.{t}")).alias(t) for t in times])
+
+
+def thumbnail_level(levels: DataFrame, key: str, side: int) -> DataFrame:
+    """key, level: of a manifest's usable levels (level, width, height, tiles) the smallest whose longer side is at least `side`, else the largest."""
+    c = F.col
+    fine = levels.where("level >= 0 and width > 0 and height > 0 and tiles > 0")
+    long = F.greatest("width", "height")
+    order = F.struct(long, -c("level"))
+    return fine.groupBy(key).agg(F.coalesce(F.min_by("level", F.when(long >= side, F.struct(long, c("level")))), F.max_by("level", order)).alias("level"))
+
+
+def imported(files: DataFrame, batch: str, order: str, content: str) -> DataFrame:
+    """batch, name, sha256 of files under sequential names; batches with a file that could not be read (null content) are left out whole."""
+    n = F.row_number().over(W.partitionBy(batch).orderBy(order))
+    whole = F.min(F.col(content).isNotNull()).over(W.partitionBy(batch))
+    named = files.withColumns({"_n": n, "_w": whole}).where("_w")
+    return named.select(batch, F.concat(F.lpad(F.col("_n").cast("string"), 6, "0"), F.lit(".jpg")).alias("name"), F.sha2(content, 256).alias("sha256"))
+
+
+def scene_options(request: Column) -> Column:
+    """A scene request (protectPeople, smoothWater, model) with nothing but what is on: the empty string for none, so that a request without it has the same fingerprint."""
+    parts = F.array(F.when(request["protectPeople"], "people"), F.when(request["smoothWater"], "water"), F.when(request["protectPeople"] | request["smoothWater"], request["model"]))
+    return F.array_join(F.array_compact(parts), "+")
+
+
+def ordered_log(events: DataFrame, log: str) -> DataFrame:
+    """events (ts, sequence, added) of every log with their `place`: by time, then the job's own number (none last), then as they were added."""
+    return events.withColumn("place", F.row_number().over(W.partitionBy(log).orderBy("ts", F.asc_nulls_last("sequence"), "added")))

@@ -54,3 +54,27 @@ def run_links(runs: DataFrame, width: int = 64) -> DataFrame:
     a, b = own.alias("a"), own.alias("b")
     meet = (F.col("b.y") == F.col("a.y") + 1) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.x0") <= F.col("b.x1") + 1) & (F.col("b.x0") <= F.col("a.x1") + 1)
     return a.join(b, meet).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def grouped_components(left: DataFrame, width: int = 64) -> DataFrame:
+    """(a, b) of components whose projected runs (id, y, x0, x1) share at least min(2, area) pixels and a tenth of the smaller one's."""
+    area = left.groupBy("id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    pairs = shared_pixels(left, left, width).where("a < b")
+    both = pairs.join(area.toDF("a", "_a"), "a").join(area.toDF("b", "_b"), "b").withColumn("_s", F.least("_a", "_b"))
+    return both.where((F.col("pixels") >= F.least(F.col("_s"), F.lit(2))) & (F.col("pixels") * 10 >= F.col("_s"))).select("a", "b", "pixels")
+
+
+def summarised(runs: DataFrame, named: DataFrame, confidence: str | None = None) -> DataFrame:
+    """component, area, bounds and the mean confidence by pixels of runs (id, y, x0, x1) and their names (id, component)."""
+    size = F.col("x1") - F.col("x0") + 1
+    more = [(F.sum(F.col(confidence) * size) / F.sum(size)).alias("confidence")] if confidence else []
+    return runs.join(named, "id").groupBy("component").agg(F.sum(size).alias("area"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), *more)
+
+
+def owners_in_tiles(tiles: DataFrame, runs: DataFrame, size: int, halo: int = 3) -> DataFrame:
+    """tile_row, tile_column, owner, y, x0, x1 of the runs (owner, y, x0, x1) that reach into each tile or its halo, cut to it."""
+    span = lambda lo, hi: F.sequence(F.greatest(F.floor((lo - halo) / size), F.lit(0)), F.floor((hi + halo) / size))
+    dealt = runs.withColumn("tile_row", F.explode(span(F.col("y"), F.col("y")))).withColumn("tile_column", F.explode(span(F.col("x0"), F.col("x1"))))
+    cut = dealt.join(tiles, ["tile_row", "tile_column"])
+    lo, hi = F.col("tile_column") * size - halo, (F.col("tile_column") + 1) * size - 1 + halo
+    return cut.select("tile_row", "tile_column", "owner", "y", F.greatest(F.col("x0"), lo).alias("x0"), F.least(F.col("x1"), hi).alias("x1"))

@@ -8,7 +8,7 @@ import pytest
 
 from tessella.plans import registry
 
-DATA = Path("/root/testdata/sf0.001")
+DATA = Path("/root/testdata/sf0.01")
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 
