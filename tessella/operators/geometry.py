@@ -57,22 +57,6 @@ def neighbour_diagnostics(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("id", "neighbour", F.coalesce("disposition", F.lit("unknown")).alias("disposition"), "residual")
 
 
-def analytic_places(cells: DataFrame, step_x: float, step_y: float) -> DataFrame:
-    """cells (id, row, column) with yaw and pitch by even angular steps around the grid's centre: what is left where nothing could be matched."""
-    middle = cells.agg(((F.max("row") + F.min("row")) / 2).alias("_r"), ((F.max("column") + F.min("column")) / 2).alias("_c"))
-    return cells.crossJoin(F.broadcast(middle)).select("id", "row", "column", ((F.col("column") - F.col("_c")) * step_x).alias("yaw"), ((F.col("_r") - F.col("row")) * step_y).alias("pitch"))
-
-
-def recentred(poses: DataFrame) -> DataFrame:
-    """Poses (id, yaw, pitch) turned so that their mean direction is straight ahead, yaw within half a turn."""
-    x, y, z = ray(F.col("yaw"), F.col("pitch"))
-    mean = poses.agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"), F.avg(z).alias("_z"))
-    yaw, pitch = angles(F.col("_x"), F.col("_y"), F.col("_z"))
-    centre = mean.select(yaw.alias("_yaw"), pitch.alias("_pitch"))
-    turned = F.pmod(F.col("yaw") - F.col("_yaw") + math.pi, F.lit(2 * math.pi)) - math.pi
-    return poses.crossJoin(F.broadcast(centre)).select("id", turned.alias("yaw"), (F.col("pitch") - F.col("_pitch")).alias("pitch"))
-
-
 def fitted_rotations(points: DataFrame, keys: list[str], f: float, cx: float, cy: float) -> DataFrame:
     """keys, rotation, median, rms: the rotation that takes the source rays of each edge's points (sx, sy, tx, ty) to the target rays.
 

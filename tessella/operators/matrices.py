@@ -123,3 +123,35 @@ def warp_is_valid(warps: DataFrame, key: str, n: int, most: float = 64.0, strain
         norms.append(F.sqrt((total + F.sqrt(F.greatest(total * total - 4 * det * det, F.lit(0.0)))) / 2))
     bent = cells.groupBy(key).agg(F.max(F.greatest(*norms)).alias("strain"))
     return warps.join(bent, key, "left").select(key, F.coalesce(size & (c("strain") <= strain + 1e-9), F.lit(False)).alias("valid"))
+
+
+#: Rounds of the inverse warp, the step in pixels that ends it, and how near a round trip must come.
+WARP_ROUNDS, WARP_STEP, WARP_NEAR = 8, 0.002, 0.02
+
+
+def warp_inverse(offsets: Column, n: int, width: Column, height: Column, x: Column, y: Column) -> Column:
+    """The source pixel (x, y) that an n x n control grid displaces to a corrected place; null outside the picture, where a round trip misses, or for a grid of another size.
+
+    A fixed-point iteration as a fold over the rounds: place minus the displacement there. Iterates may leave the picture on
+    the way; the displacement is then that of the nearest border. Give it columns, not long expressions.
+    """
+    right, bottom = (width - 1).cast("double"), (height - 1).cast("double")
+    inside = lambda v, most: F.greatest(F.lit(0.0), F.least(v, most))
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+    def step(s: Column, _: Column) -> Column:
+        moved = F.transform(
+            F.array(F.struct(inside(s["x"], right).alias("x"), inside(s["y"], bottom).alias("y"))),
+            lambda p: F.struct(*[(a - d).alias(k) for k, a, d in zip("xy", (x, y), warp_offset(offsets, n, width, height, p["x"], p["y"]))]),
+        )
+        next_ = F.transform(moved, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (F.hypot(p["x"] - s["x"], p["y"] - s["y"]) <= WARP_STEP).alias("done")))[0]
+        return F.when(s["done"], s).otherwise(next_)
+
+    start = F.struct(inside(x, right).alias("x"), inside(y, bottom).alias("y"), F.lit(False).alias("done"))
+
+    def checked(p: Column) -> Column:
+        dx, dy = warp_offset(offsets, n, width, height, p["x"], p["y"])
+        return F.when(F.hypot(p["x"] + dx - x, p["y"] + dy - y) <= WARP_NEAR, F.struct(p["x"].alias("x"), p["y"].alias("y")))
+
+    found = F.transform(F.array(F.aggregate(F.sequence(F.lit(1), F.lit(WARP_ROUNDS)), start, step)), checked)[0]
+    return F.when(finite(x) & finite(y) & (F.size(offsets) == n * n) & (width >= 2) & (height >= 2), found)

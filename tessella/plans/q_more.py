@@ -20,12 +20,6 @@ def _neighbours(spark, sf):
     return geometry.neighbour_diagnostics(cells, edges)
 
 
-def _centred(spark, sf):
-    cells = grid.plan(spark, 6, 9, "row").select(C("sequence").alias("id"), "row", "column")
-    placed = geometry.analytic_places(cells, 0.2, 0.15).select("id", (C("yaw") + 0.3).alias("yaw"), "pitch")
-    return geometry.recentred(placed).select("id", F.round("yaw", 6).alias("yaw"), F.round("pitch", 6).alias("pitch"))
-
-
 def _rotations(spark, sf):
     """Rays of lines turned by a known rotation for each order: the fit gives it back."""
     c = C
@@ -56,7 +50,6 @@ def _stored(spark, sf):
 
 QUERIES = {
     "neighbour_diagnostics": _neighbours,
-    "poses_recentred": _centred,
     "ray_rotation_fit": _rotations,
     "component_groups": lambda spark, sf: runs.grouped_components(runs.merge(view(spark, sf, RUNS).select("id", "y", "x0", "x1"), ["id", "y"]).drop("parts")),
     "component_summary": lambda spark, sf: runs.summarised(view(spark, sf, RUNS).withColumn("id", C("y") * 1000 + C("x0")), view(spark, sf, RUNS).select((C("y") * 1000 + C("x0")).alias("id"), (C("y") % 7).alias("component")).distinct(), "conf").withColumn("confidence", F.round("confidence", 6)),
@@ -76,7 +69,6 @@ g as (select *, sum(n) over (partition by id, y order by x0, x1 rows unbounded p
 ORACLES = {
     "neighbour_diagnostics": """with e as (select l_partkey % 1000 as f, l_partkey % 1000 + [1, 25, 26, 7][l_suppkey % 4 + 1] as t, max(l_returnflag) as disposition, max(l_tax) as residual from lineitem group by 1, 2), b as (select * from e union all select t, f, disposition, residual from e)
 select f as id, t as neighbour, disposition, residual from b where t < 1000 and f < 1000 and abs(f // 25 - t // 25) <= 1 and abs(f % 25 - t % 25) <= 1 and f <> t""",
-    "poses_recentred": "select range as id, round((range % 9 - 4) * 0.2::double, 6) as yaw, round((2.5::double - range // 9) * 0.15::double, 6) as pitch from range(54)",
     "ray_rotation_fit": "select range as edge, [round(range * 0.002::double, 6), round(0.05::double - range * 0.001::double, 6), round(range * 0.0005::double, 6)] as turn, true as exact from range(50)",
     "component_groups": _M + """, a as (select id, sum(x1 - x0 + 1) as area from r group by 1), p as (select l.id as a, q.id as b, sum(least(l.x1, q.x1) - greatest(l.x0, q.x0) + 1)::bigint as pixels from r l join r q on l.y = q.y and l.x0 <= q.x1 and q.x0 <= l.x1 and l.id < q.id group by 1, 2)
 select a, b, pixels from p join a x on x.id = a join a z on z.id = b where pixels >= least(x.area, z.area, 2) and pixels * 10 >= least(x.area, z.area)""",
