@@ -6,13 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import blend
 from ..session import shared_dir, table
 from ..sinks import writers
-from ..sources import readers
+from ..sources import paged, readers
 from .shared import duck, view
 
 C, SIDE = F.col, 64
+#: A picture as wide as SIDE and as high as there are suppliers.
+PIXELS = "select l_partkey % 64 as x, l_suppkey as y, cast(sum(l_quantity) as bigint) as v from {lineitem} group by l_partkey % 64, l_suppkey"
+ALBUM = """select cast(floor(page_id / 20) as int) as page, cast(page_id % 20 as int) as place, '/sd/' || page_id % 97 as filePath, 'p' || page_id as fileName, length(html) as fileSize,
+case when page_id % 97 % 5 > 0 then page_id % 97 * 86400 + page_id end as modificationTime from {pages}"""
+SPOOL = "select l_suppkey % 25 as band, l_partkey % 40 as `row`, l_quantity as v from {lineitem}"
 REQUESTS = """select o_orderkey, case o_orderkey % 8 when 0 then '{{broken' when 1 then '{{"rows":0,"columns":2,"fx":1,"fy":1,"cx":0,"cy":0}}' when 2 then '{{"rows":1,"columns":1,"fx":-1,"fy":1,"cx":0,"cy":0,"tiles":[{{"row":0,"column":0,"path":"a"}}]}}'
 when 3 then '{{"rows":1,"columns":2,"fx":1,"fy":1,"cx":0,"cy":0,"overlapX":0.5,"tiles":[{{"row":0,"column":0,"path":"a"}},{{"row":0,"column":0,"path":"b"}}]}}' when 4 then '{{"rows":1,"columns":1,"fx":1,"fy":1,"cx":0,"cy":0,"tiles":[{{"row":0,"column":1,"path":"a"}}]}}'
 when 5 then '{{"rows":2,"columns":1,"fx":1,"fy":1,"cx":0,"cy":0,"tiles":[]}}' else '{{"rows":1,"columns":1,"fx":' || o_custkey || ',"fy":1,"cx":0,"cy":0,"workers":' || o_custkey % 9 || ',"tiles":[{{"row":0,"column":0,"path":"a"}}]}}' end as body from {orders}"""
@@ -65,10 +69,20 @@ def _tasks(spark, sf):
 
 
 def _pages(spark, sf):
-    albums = table(spark, sf, "orders").select(F.floor(C("o_orderkey") / 100).cast("long").alias("page"), (C("o_custkey") % 97).alias("album"), F.when(C("o_custkey") % 97 % 5 > 0, C("o_orderdate")).alias("at"), "o_orderkey")
-    albums = albums.withColumn("at", F.when(C("at").isNotNull(), F.timestamp_seconds(C("album") * 86400 % 700000)))
-    got = readers.pages(albums, "page", "album", "at")
-    return got.select("page", "album", C("place").cast("long").alias("place"))
+    """The pages table as the listing of a device, 20 pictures a page, read page by page."""
+    path, rows = _folder(spark), view(spark, sf, ALBUM)
+    item = F.to_json(F.array_sort(F.collect_list(F.struct("place", "filePath", "fileName", "fileSize", "modificationTime"))))
+    rows.groupBy("page").agg(item.alias("value")).write.partitionBy("page").text(path)
+    got = paged.newest(paged.album(spark, path + "/page={page}", pages=rows.agg(F.max("page")).first()[0] + 1))
+    return got.select("path", "name", "bytes", F.unix_seconds("taken").alias("taken"), "page")
+
+
+def _spooled(spark, sf):
+    """Rows of the bands that a region's nations name."""
+    path = _folder(spark)
+    paged.spool(view(spark, sf, SPOOL), path)
+    wanted = table(spark, sf, "nation").where("n_regionkey = 1").select(C("n_nationkey").alias("band"))
+    return paged.bands(spark, path, wanted).groupBy("band", "row").agg(F.count("*").alias("samples"), F.sum("v").cast("long").alias("v"))
 
 
 def _sizes(spark, sf):
@@ -83,33 +97,37 @@ def _sizes(spark, sf):
 
 
 def _written_tiles(spark, sf):
-    path, pixels = _folder(spark), blend.raster(spark, SIDE, 45)
-    writers.write_tiles(pixels.where("x < 32"), path, 16)  # a job that was stopped
-    writers.write_tiles(pixels.withColumn("v", F.when(C("x") < 32, -1).otherwise(C("v"))), path, 16)
-    return spark.read.parquet(path).select("tile_row", "tile_column", F.explode("pixels").alias("p")).select("tile_row", "tile_column", "p.x", "p.y", "p.v")
+    """A job that was stopped, tiles that were damaged since, and a second job with other values: it renders what is missing or damaged."""
+    path, pixels = _folder(spark), view(spark, sf, PIXELS)
+    writers.write_tiles(pixels.where("x < 32"), path, 16)
+    tiles = writers.tile_store(spark, path)
+    tiles.append(tiles.rows().where("tile_row % 2 = 0 and tile_column = 1").withColumn("pixels", F.slice("pixels", 1, 3)))
+    writers.write_tiles(pixels.withColumn("v", -C("v")), path, 16)
+    return tiles.rows().select("tile_row", "tile_column", F.explode("pixels").alias("p")).select("tile_row", "tile_column", "p.x", "p.y", "p.v")
 
 
 def _written_levels(spark, sf):
-    got = writers.write_pyramid(blend.raster(spark, SIDE, 45), _folder(spark), SIDE, 45)
-    return got.where("level = 3").select(C("level").cast("int").alias("level"), "x", "y", F.round("v", 4).alias("v"))
+    pixels = view(spark, sf, PIXELS)
+    got = writers.write_pyramid(pixels, _folder(spark), SIDE, pixels.agg(F.max("y")).first()[0] + 1)
+    return got.select(C("level").cast("int").alias("level"), "x", "y", F.round("v", 4).alias("v"))
 
 
 def _published(spark, sf):
-    path = _folder(spark)
-    regions = table(spark, sf, "region")
-    writers.write_record(regions.where("r_regionkey < 2"), f"{path}/record")
-    writers.write_record(regions, f"{path}/record")
-    writers.publish(regions, f"{path}/result")
+    path, rows = _folder(spark), table(spark, sf, "customer").select("c_name", C("c_nationkey").alias("nation"))
+    writers.write_record(rows.where("nation < 5"), f"{path}/record")
+    writers.write_record(rows, f"{path}/record")
+    writers.publish(rows, f"{path}/result")
     try:
-        writers.publish(regions.limit(0), f"{path}/result")
+        writers.publish(rows.limit(0), f"{path}/result")
     except Exception as e:
         if "PATH_ALREADY_EXISTS" not in str(e):
             raise
-    keyed = regions.select(F.sha2("r_name", 256).alias("key"), "r_name")
-    writers.cache(keyed, f"{path}/cache", "key")
-    writers.cache(keyed.withColumn("r_name", F.lit("other")), f"{path}/cache", "key")
-    record = spark.read.json(f"{path}/record").select(F.lit("record").alias("kind"), "r_name")
-    return record.union(spark.read.parquet(f"{path}/result").select(F.lit("result"), "r_name")).union(spark.read.parquet(f"{path}/cache/*").select(F.lit("cache"), "r_name"))
+    keyed = rows.select(F.sha2("c_name", 256).alias("key"), "c_name", "nation")
+    writers.cache(keyed.where("nation % 2 = 0"), f"{path}/cache", "key")
+    writers.cache(keyed.withColumn("nation", -C("nation")), f"{path}/cache", "key")
+    out = [writers.read_record(spark, f"{path}/record"), spark.read.parquet(f"{path}/result"), writers.cached(spark, f"{path}/cache", "key")]
+    kinds = [df.select(F.lit(kind).alias("kind"), "c_name", C("nation").cast("int").alias("nation")) for kind, df in zip(("record", "result", "cache"), out)]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
 QUERIES = {
@@ -120,12 +138,21 @@ QUERIES = {
     "folder_listing": _listed,
     "task_library": _tasks,
     "album_pages": _pages,
+    "spooled_bands": _spooled,
     "picture_sizes": _sizes,
     "tiles_written": _written_tiles,
     "levels_written": _written_levels,
     "published_once": _published,
 }
-_RASTER = f"r as (select range % {SIDE} as x, range // {SIDE} as y, ((range % {SIDE}) * 17 + (range // {SIDE}) * 11 + xor((range % {SIDE}) // 8, (range // {SIDE}) // 8) * 29) & 255 as v from range({SIDE * 45}))"
+
+
+def _levels_sql() -> str:
+    """Levels up to 2 ** 14 rows."""
+    ctes = [f"l0 as (select x, y, v::double as v from ({duck(PIXELS)}))"] + [f"l{k} as (select x // 2 as x, y // 2 as y, avg(v) as v from l{k - 1} group by 1, 2)" for k in range(1, 15)]
+    each = " union all ".join(f"select {k} as level, x, y, round(v, 4) as v from l{k}" for k in range(15))
+    return f"with {', '.join(ctes)} select level::int as level, x, y, v from ({each}) where level <= (select ceil(log2(greatest({SIDE}, max(y) + 1))) from l0)"
+
+
 _KEY = "array_to_string(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(ltrim(p, '0'), 20, '0') else p end), chr(1))"
 ORACLES = {
     "requests_parsed": """select o_orderkey, case when k = 0 then null when k = 1 then 0 when k = 5 then 2 else 1 end::int as rows, case when k = 0 then null when k in (1, 3) then 2 else 1 end::int as columns,
@@ -138,10 +165,11 @@ from (select *, o_orderkey % 8 as k from orders)""",
 select '/in/' || name as path, name, bytes, {_KEY} as key from f where not contains(name, 'thumb')""",
     "task_library": """with t as (select 't' || o_orderkey as id, case when o_custkey % 3 = 0 then 'interrupted' else 'done' end as phase, o_custkey % 28 as d from orders where o_orderkey % 11 > 0 and o_custkey % 4 in (1, 2) and o_orderkey % 10 <> 3)
 select id, phase, row_number() over (order by d desc, id) as newest from t""",
-    "album_pages": """with a as (select o_custkey % 97 as album, max(o_orderkey // 100) as page from orders group by 1)
-select page, album, row_number() over (order by case when album % 5 > 0 then album * 86400 % 700000 end desc nulls last, album) as place from a""",
+    "album_pages": f"""with a as ({duck(ALBUM)}) select filePath as path, last(fileName order by page, place) as name, last(fileSize order by page, place)::bigint as bytes,
+  nullif(arg_max(coalesce(modificationTime, -1), page * 100 + place), -1)::bigint as taken, max(page) as page from a group by 1""",
+    "spooled_bands": """select l_suppkey % 25 as band, l_partkey % 40 as "row", count(*) as samples, sum(l_quantity)::bigint as v from lineitem join nation on n_nationkey = l_suppkey % 25 where n_regionkey = 1 group by 1, 2""",
     "picture_sizes": "select p_partkey, case when p_partkey % 3 < 2 then p_partkey end::int as width, case when p_partkey % 3 < 2 then p_size end::int as height from part",
-    "tiles_written": f"with {_RASTER} select (y // 16)::int as tile_row, (x // 16)::int as tile_column, x, y, v from r",
-    "levels_written": f"with {_RASTER}, a as (select x // 2 as x, y // 2 as y, avg(v) as v from r group by 1, 2), b as (select x // 2 as x, y // 2 as y, avg(v) as v from a group by 1, 2) select 3 as level, x // 2 as x, y // 2 as y, round(avg(v), 4) as v from b group by 2, 3",
-    "published_once": "select unnest(['record', 'result', 'cache']) as kind, r_name from region",
+    "tiles_written": f"""with p as ({duck(PIXELS)}) select (y // 16)::int as tile_row, (x // 16)::int as tile_column, x, y, case when x >= 32 or (x // 16 = 1 and y // 16 % 2 = 0) then -v else v end as v from p""",
+    "levels_written": _levels_sql(),
+    "published_once": """select kind, c_name, case when kind = 'cache' and c_nationkey % 2 = 1 then -c_nationkey else c_nationkey end::int as nation from customer, (values ('record'), ('result'), ('cache')) k(kind)""",
 }

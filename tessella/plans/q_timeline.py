@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import timeline
 from ..session import shared_dir, table
 from ..streaming import events as streams
+from ..streaming import jobs, progress
 
 LOG, ORDER = ["user_id"], ["ts", "event_id"]
 
@@ -61,7 +62,21 @@ WANTED = ["queued", "running", "pausing", "paused", "running", "completed", "fai
 def _machine(spark, sf):
     wanted = F.element_at(F.array(*map(F.lit, WANTED)), (F.col("event_id") * 7 % 9 + 1).cast("int"))
     rows = streams.source(spark, sf).select(F.col("user_id").alias("job"), "event_id", F.unix_micros("ts").alias("at"), wanted.alias("wanted"))
-    return streams.drained(streams.job_machine(rows), _folder(spark), "append")
+    return streams.drained(jobs.machine(rows), _folder(spark), "append", once=True)
+
+
+def _rates_heard(spark, sf):
+    rows = streams.source(spark, sf).select(F.col("user_id").alias("job"), F.unix_micros("ts").alias("at"), (F.col("event_id") / 20000).alias("done"))
+    return streams.drained(jobs.rates(rows), _folder(spark), "update", once=True).select("job", "samples", F.round(F.col("rate") * 1e6, 4).alias("rate"))
+
+
+def _progress(spark, sf):
+    """Three stages of a stream: what was read, what has a value, what is left of errors; the counts are those that were reported on the way."""
+    read = progress.stage(streams.source(spark, sf), "read")
+    valued = progress.stage(read.where("value is not null and value >= 20"), "valued")
+    errors = progress.stage(valued.where("event_type = 'error'").select("event_id", "value"), "errors")
+    counts = progress.run(errors, _folder(spark), f"progress-{uuid.uuid4().hex}")[1]
+    return counts.groupBy("stage").agg(F.sum("rows").alias("rows"))
 
 
 QUERIES = {
@@ -79,6 +94,8 @@ QUERIES = {
     "stream_sliding": _sliding,
     "stream_late_admitted": _admitted,
     "stream_job_machine": _machine,
+    "stream_rates": _rates_heard,
+    "stream_progress": _progress,
 }
 ORACLES = {
     "timeline_collapse": """with e as (select *, lag(event_type) over (partition by user_id order by ts, event_id) as b from events)
@@ -111,4 +128,7 @@ t(was, wanted) as (values {", ".join(f"({repr(a) if a else chr(39) * 2}, {b!r})"
 m as (select e.job, e.event_id, e.wanted, e.k, case when t.was is not null then e.wanted end as state, t.was is not null as legal from e left join t on t.was = '' and t.wanted = e.wanted where k = 1
   union all select e.job, e.event_id, e.wanted, e.k, case when t.was is not null then e.wanted else m.state end, t.was is not null from m join e on e.job = m.job and e.k = m.k + 1 left join t on t.was = coalesce(m.state, '') and t.wanted = e.wanted)
 select job, event_id, wanted, state, legal from m""",
+    "stream_rates": """with s as (select user_id as job, epoch_us(ts) as us, max(event_id / 20000) as done from events group by 1, 2)
+select job, count(*) as samples, case when max(us) > min(us) then round((arg_max(done, us) - arg_min(done, us)) / (max(us) - min(us)) * 1e6 * 1e6, 4) end as rate from s group by job""",
+    "stream_progress": """select 'read' as stage, count(*) as rows from events union all select 'valued', count(*) from events where value >= 20 union all select 'errors', count(*) from events where value >= 20 and event_type = 'error'""",
 }

@@ -1,31 +1,29 @@
-"""Tiles, pyramid levels and records as files; a lost task leaves nothing half written, as Spark's committer publishes."""
+"""Tiles, pyramid levels, records, results and caches as tables that change as a whole."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blend
+from . import store
+from .store import Store
+
+TILE_KEY = ["tile_row", "tile_column"]
+
+
+def tile_store(spark: SparkSession, folder: str) -> Store:
+    return Store(spark, folder, TILE_KEY)
 
 
 def pending_tiles(pixels: DataFrame, folder: str, tile: int = 512) -> DataFrame:
-    """Pixels (x, y, v) with tile_row and tile_column, of the tiles that the folder lacks."""
-    spark = pixels.sparkSession
-    placed = pixels.withColumns({"tile_row": F.expr(f"y div {tile}").cast("int"), "tile_column": F.expr(f"x div {tile}").cast("int")})
-    try:
-        done = spark.read.parquet(folder).select("tile_row", "tile_column").distinct()
-    except Exception as e:  # no folder yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return placed
-    return placed.join(F.broadcast(done), ["tile_row", "tile_column"], "left_anti")
+    """Pixels (x, y, v) with tile_row and tile_column, of the tiles that the folder lacks or holds damaged."""
+    return store.pending(pixels, tile_store(pixels.sparkSession, folder), tile)
 
 
 def write_tiles(pixels: DataFrame, folder: str, tile: int = 512) -> None:
-    """Level-0 tiles, one row each with its pixels in row order; tiles that are there already are left alone."""
-    value = F.struct("y", "x", "v")
-    tiles = pending_tiles(pixels, folder, tile).groupBy("tile_row", "tile_column").agg(F.array_sort(F.collect_list(value)).alias("pixels"))
-    tiles.write.mode("append").parquet(folder)
+    """Level-0 tiles, one row each with its pixels in row order; whole tiles that are there already are left alone."""
+    store.render(pixels, tile_store(pixels.sparkSession, folder), tile)
 
 
 def write_pyramid(pixels: DataFrame, folder: str, width: int, height: int) -> DataFrame:
@@ -41,8 +39,12 @@ def write_pyramid(pixels: DataFrame, folder: str, width: int, height: int) -> Da
 
 
 def write_record(record: DataFrame, folder: str) -> None:
-    """A small record as one JSON file that replaces the one before only when it is whole."""
-    record.coalesce(1).write.mode("overwrite").json(folder)
+    """A small record as one JSON file; the one before counts until the new one is whole."""
+    Store(record.sparkSession, folder, [], "json").replace(record.coalesce(1))
+
+
+def read_record(spark: SparkSession, folder: str) -> DataFrame | None:
+    return Store(spark, folder, [], "json").rows()
 
 
 def publish(result: DataFrame, folder: str) -> None:
@@ -51,8 +53,9 @@ def publish(result: DataFrame, folder: str) -> None:
 
 
 def cache(rows: DataFrame, folder: str, key: str) -> None:
-    """Rows by content: a key that the cache has is left as it is."""
-    spark = rows.sparkSession
-    for k in [r[0] for r in rows.select(key).distinct().collect()]:  # what one job adds: a handful
-        spark_rows = rows.where(F.col(key) == k)
-        spark_rows.write.mode("ignore").parquet(f"{folder}/{k}")
+    """Rows by content, all keys in one job: a key that the cache has is left as it is."""
+    Store(rows.sparkSession, folder, [key]).add_missing(rows)
+
+
+def cached(spark: SparkSession, folder: str, key: str) -> DataFrame | None:
+    return Store(spark, folder, [key]).rows()

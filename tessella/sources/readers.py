@@ -72,14 +72,6 @@ def task_records(lines: DataFrame, removed: DataFrame, body: str = "body") -> Da
     return live.withColumn("phase", interrupted).withColumn("newest", F.row_number().over(W.orderBy(F.desc_nulls_last("createdAt"), "id")))
 
 
-def pages(rows: DataFrame, page: str, key: str, at: str) -> DataFrame:
-    """Albums of all pages: of those with one key the last page's, newest first in `place`, those without a date last."""
-    from pyspark.sql import Window as W
-
-    last = rows.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(F.desc(page), F.desc_nulls_last(at)))).where("_k = 1").drop("_k")
-    return last.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last(at), key)))
-
-
 def picture_size(content: Column) -> tuple[Column, Column]:
     """Width and height from a PNG's first 24 bytes, or a JPEG's first frame header within 2 MiB; nulls for others."""
     number = lambda a, n: F.conv(F.substring(F.hex(content), 2 * a + 1, 2 * n), 16, 10).cast("int")

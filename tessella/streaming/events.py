@@ -67,36 +67,17 @@ TRANSITIONS = {
 }
 
 
-def job_machine(stream: DataFrame) -> DataFrame:
-    """job, event_id, wanted, state, legal of every request (job, event_id, at, wanted): the state after it, which an illegal one leaves as it is.
-
-    A batch's requests of a job are taken in the order (at, event_id).
-    """
-    kinds = "job long, event_id long, wanted string, state string, legal boolean"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else None
-        rows = []
-        # what one batch has of one job
-        for r in pd.concat(list(frames)).sort_values(["at", "event_id"]).itertuples():
-            legal = r.wanted in TRANSITIONS[now]
-            now = r.wanted if legal else now
-            rows.append((key[0], r.event_id, r.wanted, now, legal))
-        state.update((now,))
-        yield pd.DataFrame(rows, columns=["job", "event_id", "wanted", "state", "legal"])
-
-    return stream.groupBy("job").applyInPandasWithState(step, kinds, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+def drained(stream: DataFrame, folder: str, mode: str, once: bool = False) -> DataFrame:
     """All that is available now, run to its end into a Parquet table; with `complete` the last batch is the table.
 
+    `once` takes it as one batch: state with a time to live keeps a stream running that waits for its end.
+
     A batch that is run again after a failure replaces itself; a folder belongs to one checkpoint.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(**{"once" if once else "availableNow": True})
     writer.foreachBatch(put).start().awaitTermination()
     return stream.sparkSession.read.parquet(f"{folder}/out/*")

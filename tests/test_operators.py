@@ -99,7 +99,7 @@ def test_tiles_are_not_written_twice(spark, tmp_path):
     writers.write_tiles(pixels, folder, 8)
     assert writers.pending_tiles(pixels, folder, 8).count() == 0
     writers.write_tiles(pixels, folder, 8)
-    assert spark.read.parquet(folder).count() == 6
+    assert writers.tile_store(spark, folder).rows().count() == 6
 
 
 def test_malformed_requests_fail_where_asked(spark):
