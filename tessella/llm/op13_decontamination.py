@@ -4,18 +4,17 @@ An item is cut into windows of 10 consecutive words (a shorter item is one windo
 of five. A window stands in a document where a stretch of the document as long as the window holds its
 shingles, each at its place. Only DataFrame functions are used.
 
-1. The shingles of all items are counted over all documents. That is the order of rarity. A window with too
-   many shingles that occur nowhere can't occur and goes.
-2. Of a window with s shingles of which c must be found, the s - c + 1 rarest are its prefix: every
+1. Documents are cut into shingles in one run and those of any item are kept, with the words around them: a stretch that holds every
+   window that the shingle may be part of. What is kept grows with what documents and items share; no text is shuffled.
+2. Counting what was kept gives the order of rarity over all documents. A window with too many shingles that occur nowhere can't occur.
+3. Of a window with s shingles of which c must be found, the s - c + 1 rarest are its prefix: every
    occurrence has one of them at least. With exact containment c is s and the prefix is the rarest shingle alone.
-3. Documents are cut into shingles again and meet the prefixes only. A prefix shingle at place o of its window
-   and at word p of a document says where the window would begin: p - o. It must not begin before the document
-   or end behind it (positional and length bounds).
-4. The window is compared there and then with the item-sized stretch of the document's words, in the same
-   stage as the join: no text is shuffled. The words are compared themselves, so a hash tells nothing wrong.
-
-What is broadcast are hashes of shingles and the windows of a block: at most BLOCK shingles at a time. More
-are taken block by block, each a run over all documents. What is shuffled are counts and occurrences found.
+4. What was kept meets the prefixes only. A prefix shingle at place o of its window and at word p of a document says where the
+   window would begin: p - o. It must not begin before the document or end behind it (positional and length bounds).
+5. The window is compared with the item-sized stretch there, word by word, so a hash tells nothing wrong.
+
+What is broadcast are hashes of shingles and the windows of a block: at most BLOCK shingles with their windows, or 8 * BLOCK hashes, at a
+time. More are taken block by block, each a run over all documents. What is shuffled are counts and occurrences found.
 Occurrences of a document are merged by their borders, so a passage that is repeated in a document is hit once a word.
 
 Nulls and odd input: null texts have no words; rows alike in doc_id and text are judged once and returned
@@ -25,6 +24,7 @@ by a hash of 64 bits within one doc_id. An empty table of documents gives an emp
 
 from __future__ import annotations
 
+import functools
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,27 +41,33 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(WORDS), F.lit(0))
+    # lower() is far quicker, and the same where all characters are ASCII
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return F.regexp_extract_all(low, F.lit(WORDS), F.lit(0))
+
+
+def count_of_words(text: Column) -> Column:
+    """As many as words_of() has: A-Z are parts of words before they are lower-cased."""
+    return F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
-def shingle_hashes(words: Column, k: int) -> Column:
-    """The hash of the k words from each place on, in order; empty if there are fewer."""
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<long>"))
+def shingle_at(words: Column, pos: Column, k: int) -> Column:
+    """The hash of the k words from a place (from 0) on, in order."""
+    return F.xxhash64(*[F.get(words, pos + j) for j in range(k)])
 
 
 def windows(items: DataFrame, item_id: str, text: str, window: int, shingle: int) -> DataFrame:
-    """item, words, k (words of a shingle), hashes of every distinct window of an item."""
+    """item, words, k (words of a shingle) of every distinct window of an item."""
     named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1))))
     cut = named.select("item", "w", starts.alias("s")).select("item", F.slice("w", F.col("s"), F.lit(window)).alias("words")).distinct()
-    short = F.when(F.size("words") >= shingle, shingle).otherwise(F.size("words"))
-    out = cut.withColumn("k", short)
-    return out.withColumn("hashes", F.transform(F.sequence(F.lit(1), F.size("words") - F.col("k") + 1), lambda i: F.xxhash64(F.slice("words", i, F.col("k")))))
+    return cut.withColumn("k", F.least(F.size("words"), F.lit(shingle)))
 
 
 def _cut(docs: DataFrame, k: int) -> DataFrame:
-    """docs with `pos` and `h` of every shingle of k words of `words`."""
-    return docs.select("*", F.posexplode(shingle_hashes(F.col("words"), k)).alias("pos", "h"))
+    """docs with `pos` and `h` of every shingle of k words of `words`; rows, not arrays, so that the hash is compiled code."""
+    each = docs.select("*", F.posexplode("words").alias("pos", "w")).drop("w").where(F.col("pos") + k <= F.size("words"))
+    return each.withColumn("h", shingle_at(F.col("words"), F.col("pos"), k))
 
 
 def _parts(rows: DataFrame, key: str, most: int) -> list[DataFrame]:
@@ -78,21 +84,22 @@ def occurrences(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_
     out = None
     for k in sizes:
         own = found.where(F.col("k") == k)
-        asked = own.select(F.explode("hashes").alias("h")).distinct()
-        counts = None
-        for part in _parts(asked, "h", 8 * block):
-            seen = _cut(read, k).select("h").join(F.broadcast(part), "h").groupBy("h").count()
-            counts = seen if counts is None else counts.unionByName(seen)
-        numbered = own.withColumn("id", F.xxhash64("item", "words")).select("id", "item", "words", F.size("hashes").alias("s"), F.posexplode("hashes").alias("o", "h"))
+        asked = _cut(own, k).select("h").distinct()
+        first = F.greatest(F.col("pos") - (window - k), F.lit(0))
+        around = F.slice("words", first + 1, F.col("pos") + window - first)
+        parts = [_cut(read, k).join(F.broadcast(p), "h").select("doc_id", "digest", "pos", "h", F.size("words").alias("n"), first.alias("first"), around.alias("around")) for p in _parts(asked, "h", 8 * block)]
+        kept = written(functools.reduce(DataFrame.unionByName, parts), "kept")
+        counts = kept.groupBy("h").count()
+        numbered = _cut(own, k).select("item", "words", (F.size("words") - (k - 1)).alias("s"), F.col("pos").alias("o"), "h")
         need = F.ceil(F.col("s") * least - 1e-9)
-        rare = F.row_number().over(W.partitionBy("id", "item", "words").orderBy("count", "h", "o"))
+        rare = F.row_number().over(W.partitionBy("item", "words").orderBy("count", "h", "o"))
         ranked = numbered.join(counts, "h", "left").fillna(0, ["count"]).withColumns({"need": need, "rank": rare})
         # a shingle that occurs nowhere ranks first and leads nowhere
         prefix = written(ranked.where("rank <= s - need + 1 and count > 0").select("h", "o", "item", "words", "s", "need"), "prefixes")
         for part in _parts(prefix, "h", block):
-            met = _cut(read, k).join(F.broadcast(part.withColumnRenamed("words", "own")), "h").withColumn("start", F.col("pos") - F.col("o"))
-            met = met.where((F.col("start") >= 0) & (F.col("start") + F.size("own") <= F.size("words")))
-            stretch = met.withColumn("there", F.slice("words", F.col("start") + 1, F.size("own")))
+            met = kept.join(F.broadcast(part.withColumnRenamed("words", "own")), "h").withColumn("start", F.col("pos") - F.col("o"))
+            met = met.where((F.col("start") >= 0) & (F.col("start") + F.size("own") <= F.col("n")))
+            stretch = met.withColumn("there", F.slice("around", F.col("start") - F.col("first") + 1, F.size("own")))
             if least >= 1:
                 holds = F.col("there") == F.col("own")
             else:
@@ -123,7 +130,7 @@ def scan(
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
     judged = hit.join(named, same(hit, named)).select(hit["doc_id"], hit["digest"], "n_hit", "items")
     # only documents with a hit have a row here, one for all rows alike
-    counted = docs.select(c(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("digest"), F.coalesce(F.regexp_count(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select(c(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("digest"), F.coalesce(count_of_words(F.col(text)), F.lit(0)).cast("long").alias("n_words"))
     return counted.join(judged, same(counted, judged), "left").select(counted["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
