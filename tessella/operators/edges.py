@@ -139,8 +139,8 @@ def relaxed(nodes: DataFrame, edges: DataFrame, rounds: int = 80, keep: float =
 def synthesized(expected: DataFrame, edges: DataFrame, fallback: float) -> DataFrame:
     """All expected edges (from, to, line): the measured step where there is one, else the median of its line, else of all, else `fallback`."""
     known = expected.join(edges.select("from", "to", "step"), ["from", "to"], "left")
-    line = known.groupBy("line").agg(F.median("step").alias("of_line"))
-    whole = known.agg(F.median("step").alias("of_all"))
+    line = robust.medians(known, ["line"], "step", "of_line").drop("n")
+    whole = robust.medians(known, [], "step", "of_all").agg(F.max("of_all").alias("of_all"))
     out = known.join(line, "line", "left").crossJoin(F.broadcast(whole))
     kind = F.when(F.col("step").isNotNull(), "visual").when(F.col("of_line").isNotNull(), "line").when(F.col("of_all").isNotNull(), "all").otherwise("nominal")
     return out.select("from", "to", "line", F.coalesce("step", "of_line", "of_all", F.lit(fallback)).alias("step"), kind.alias("source"))

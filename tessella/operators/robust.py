@@ -2,8 +2,9 @@
 
 Three percentiles are told apart: the median that averages the middle pair, the upper median v[n / 2],
 and the floor-index p95 v[(n - 1) * 95 / 100]; a fourth interpolates between neighbours. All are exact and
-come from counts: a group's range is cut into buckets, the bucket with a wanted rank into buckets again, until
-few rows are left to be put in order. No group, however large, is sorted or held in one task.
+come from counts: a group is cut into buckets by sign and power of two, the bucket with a wanted rank into even buckets, these
+again, until few rows are left to be put in order. A power of two has 2**52 doubles and a cut divides
+by BUCKETS, so six rounds end it whatever the values, infinite ones included. No group, however large, is sorted or held in one task.
 """
 
 from __future__ import annotations
@@ -19,10 +20,17 @@ BUCKETS = 4096
 CELL = 100_000
 
 
+def _magnitude(v: Column) -> Column:
+    """A whole number that never falls as v rises: the sign and the power of two; zero and the infinities have their own."""
+    size = F.floor(F.log2(F.abs(v.cast("double")))) + 1100
+    far = F.when(F.abs(v.cast("double")) == float("inf"), F.lit(9999)).otherwise(size)
+    return F.when(v == 0, F.lit(0)).when(v > 0, far).otherwise(-far).cast("long")
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, cell: int = CELL, **index: str) -> DataFrame:
     """keys, n and, for each name, the value at that place (from 0, as SQL over the count n) of the sorted group.
 
-    Nulls and NaN are left out, as are groups of nothing else and groups with a null key.
+    Nulls and NaN are left out, as are groups of nothing else and groups with a null key. Infinite values are in order like others.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"))
     one = [*keys, "_all"]
@@ -32,15 +40,17 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, cell: int = CEL
     wanted = written(ends.withColumn("_r", ranks).select(*one, "n", "_lo", "_hi", "_r.*", F.lit(0).cast("long").alias("_before"), F.col("n").alias("_rows")), "ranks")
     where = [*one, "_lo", "_hi"]
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    # after the first cut a bucket's ends have one sign and size, so their difference is finite and over 0
+    share = (F.col("_v") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
+    place = _magnitude(F.col("_v"))
     while not wanted.where((F.col("_lo") < F.col("_hi")) & (F.col("_rows") > min(cell, CELL))).isEmpty():
         cells = wanted.where("_lo < _hi").select(*where).distinct()
-        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-        own = rows.join(cells, one).where(inside).groupBy(*where, F.floor(share * BUCKETS).alias("_b")).agg(F.count("*").alias("_k"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        own = rows.join(cells, one).where(inside).groupBy(*where, place.alias("_b")).agg(F.count("*").alias("_k"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
         upto = W.partitionBy(*where).orderBy("_b")
         own = own.withColumn("_start", F.sum("_k").over(upto) - F.col("_k"))
         hit = (F.col("rank") >= F.col("_before") + F.col("_start")) & (F.col("rank") < F.col("_before") + F.col("_start") + F.col("_k"))
         open_ = wanted.where("_lo < _hi").join(own, where).where(hit).select(*one, "n", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), "name", "rank", (F.col("_before") + F.col("_start")).alias("_before"), F.col("_k").alias("_rows"))
-        wanted = written(wanted.where("_lo = _hi").union(open_), "ranks")
+        wanted, place = written(wanted.where("_lo = _hi").union(open_), "ranks"), F.floor(share * BUCKETS)
     cells = wanted.where("_lo < _hi").select(*where).distinct()
     placed = rows.join(cells, one).where(inside).withColumn("_i", F.row_number().over(W.partitionBy(*where).orderBy("_v")) - 1)
     found = wanted.where("_lo < _hi").join(placed.select(*where, "_i", "_v"), where).where("_i = rank - _before").select(*keys, "n", "name", "_v")
@@ -79,7 +89,14 @@ def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def robust_step(df: DataFrame, keys: list[str], x: str, y: str, floor: float = 0.005) -> DataFrame:
     """Median of both axes, cutoff max(floor, median + 3 * 1.4826 * MAD) of distances, refit on inliers."""
-    both = lambda rows, a, b: written(medians(rows, keys, x, a).drop("n").join(medians(rows, keys, y, b), keys), "axes")
+
+    def both(rows: DataFrame, a: str, b: str) -> DataFrame:
+        """The medians of both axes and n, from one run over the rows."""
+        axes = F.explode(F.array(F.struct(F.lit(a).alias("_axis"), F.col(x).cast("double").alias("_w")), F.struct(F.lit(b).alias("_axis"), F.col(y).cast("double").alias("_w"))))
+        med = medians(rows.select(*keys, axes.alias("_a")).select(*keys, "_a.*"), [*keys, "_axis"], "_w")
+        of = lambda name, v: F.max(F.when(F.col("_axis") == name, F.col(v)))
+        return written(med.groupBy(*keys).agg(of(a, "median").alias(a), of(b, "median").alias(b), of(b, "n").alias("n")), "axes")
+
     far = df.join(both(df, "mx", "my").drop("n"), keys).withColumn("r", F.sqrt((F.col(x) - F.col("mx")) ** 2 + (F.col(y) - F.col("my")) ** 2))
     spread = written(median_mad(far, keys, "r").select(*keys, F.col("median").alias("mr"), "mad"), "spread")
     inlier = far.join(spread, keys).where(F.col("r") <= F.greatest(F.lit(floor), F.col("mr") + 3 * 1.4826 * F.col("mad")))
@@ -91,7 +108,7 @@ def robust_step(df: DataFrame, keys: list[str], x: str, y: str, floor: float = 0
 def axis_summary(df: DataFrame, keys: list[str], value: str, accepted: Column, pixels: float = 3.0, share: float = 0.1) -> DataFrame:
     """At least two accepted samples, all of one sign and within max(pixels, share * |median|) of the median."""
     good = df.where(accepted)
-    med = good.groupBy(*keys).agg(F.median(value).alias("median"))
+    med = medians(good, keys, value).drop("n")
     near = F.abs(F.col(value) - F.col("median")) <= F.greatest(F.lit(pixels), share * F.abs("median"))
     agg = good.join(med, keys).groupBy(*keys, "median").agg(F.count("*").alias("accepted"), F.bool_and(near).alias("near"), F.bool_and(F.signum(value) == F.signum("median")).alias("same_sign"))
     return agg.select(*keys, "median", "accepted", ((F.col("accepted") >= 2) & F.col("near") & F.col("same_sign")).alias("reliable"))

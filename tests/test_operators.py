@@ -31,6 +31,24 @@ def test_order_statistics_cut_buckets_again(spark):
     assert robust.order_statistics(df.where("k = 'z'"), ["k"], "v", middle="n div 2").count() == 0
 
 
+def test_order_statistics_end_for_all_values(spark):
+    """Infinite, subnormal, huge, equal and signed values and the ends of bigint, cut down to two rows at most."""
+    inf, tiny, huge = float("inf"), 5e-324, 1.7976931348623157e308
+    groups = {
+        "inf": [float(i) for i in range(40)] + [inf, inf, -inf], "all inf": [inf] * 9 + [-inf] * 8, "tiny": [tiny * k for k in range(30)] + [-tiny, 0.0, -0.0],
+        "wide": [-huge, huge, 1.0, -1.0, tiny, -tiny] * 5 + [inf], "equal": [2.5] * 50, "close": [1.0 + 2.0**-52 * k for k in range(40)], "powers": [2.0**k for k in range(-40, 40)],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, float("nan"), None]], "k string, v double")
+    got = {r.k: r for r in robust.order_statistics(df, ["k"], "v", cell=2, low="0", middle="n div 2", high="n - 1").collect()}
+    for k, vs in groups.items():
+        v = sorted(vs)
+        assert (got[k].n, got[k].low, got[k].middle, got[k].high) == (len(v), v[0], v[len(v) // 2], v[-1])
+    ends = [-(2**63), 2**63 - 1, 0, 1, -1, 2**63 - 2, -(2**63) + 1] + list(range(2**62, 2**62 + 30))
+    longs = spark.createDataFrame([("a", v) for v in ends], "k string, v long")
+    got = robust.order_statistics(longs, ["k"], "v", cell=2, low="0", middle="n div 2", high="n - 1").first()
+    assert (got.low, got.middle, got.high) == (min(ends), sorted(ends)[len(ends) // 2], max(ends))
+
+
 def test_runs_of_null_states_collapse(spark):
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate([None, None, "a", "a", None, None, "b"])], "log int, at int, state string")
     assert [r.at for r in timeline.collapse(df, ["log"], ["at"], "state").orderBy("at").collect()] == [0, 2, 4, 6]
