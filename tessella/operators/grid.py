@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 RIGHT_DOWN = [(0, 1), (1, 0)]
 EIGHT_ONCE = [(0, 1), (1, 0), (1, 1), (1, -1)]
+#: Fixed value: what a name says of its cell.
 NAME = r"^(\d+)[_-](\d+)\.(?:jpe?g)$"
 
 
@@ -22,31 +23,50 @@ def plan(spark: SparkSession, rows: int, columns: int, order: str = "snake") ->
     return spark.range(rows * columns).select(F.col("id").alias("sequence")).select("sequence", row.alias("row"), column.alias("column"))
 
 
-def corner_orders(spark: SparkSession, rows: int, columns: int) -> DataFrame:
-    """All 16 orders: row or column first, from any corner, straight or serpentine."""
-    kinds = spark.sql(
+def plans(grids: DataFrame, key: str, order: str = "snake") -> DataFrame:
+    """key, sequence, row, column of every grid (key, rows, columns) in snake, row or column order; grids without cells have no row."""
+    sized = grids.where("rows > 0 and columns > 0").select(key, F.col("rows").cast("long").alias("rows"), F.col("columns").cast("long").alias("columns"))
+    cells = sized.withColumn("sequence", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") * F.col("columns") - 1)))
+    row, column = F.expr("sequence div columns"), F.expr("sequence % columns")
+    if order == "column":
+        row, column = F.expr("sequence % rows"), F.expr("sequence div rows")
+    elif order == "snake":
+        column = F.when(row % 2 == 1, F.col("columns") - 1 - column).otherwise(column)
+    return cells.select(key, "sequence", row.alias("row"), column.alias("column"))
+
+
+def corner_orders(grids: DataFrame, key: str) -> DataFrame:
+    """All 16 orders of every grid (key, rows, columns): row or column first, from any corner, straight or serpentine."""
+    kinds = grids.sparkSession.sql(
         "select * from values ('row'), ('column') a(axis) cross join values (false), (true) b(bottom) "
         "cross join values (false), (true) c(right) cross join values (false), (true) d(serpentine)"
     )
-    width = F.when(F.col("axis") == "row", columns).otherwise(rows)
-    cells = spark.range(rows * columns).crossJoin(F.broadcast(kinds)).withColumn("width", width.cast("long"))
+    width = F.when(F.col("axis") == "row", F.col("columns")).otherwise(F.col("rows"))
+    sized = grids.where("rows > 0 and columns > 0").select(key, F.col("rows").cast("long").alias("rows"), F.col("columns").cast("long").alias("columns"))
+    cells = sized.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") * F.col("columns") - 1))).crossJoin(F.broadcast(kinds)).withColumn("width", width)
     line, step = F.expr("id div width"), F.expr("id % width")
     step = F.when(F.col("serpentine") & (line % 2 == 1), F.col("width") - 1 - step).otherwise(step)
     row = F.when(F.col("axis") == "row", line).otherwise(step)
     column = F.when(F.col("axis") == "row", step).otherwise(line)
     return cells.select(
-        "axis", "bottom", "right", "serpentine", F.col("id").alias("sequence"),
-        F.when(F.col("bottom"), rows - 1 - row).otherwise(row).alias("row"),
-        F.when(F.col("right"), columns - 1 - column).otherwise(column).alias("column"),
+        key, "axis", "bottom", "right", "serpentine", F.col("id").alias("sequence"),
+        F.when(F.col("bottom"), F.col("rows") - 1 - row).otherwise(row).alias("row"),
+        F.when(F.col("right"), F.col("columns") - 1 - column).otherwise(column).alias("column"),
     )
 
 
-def from_names(files: DataFrame, name: str = "name") -> DataFrame:
-    """name, row, column for names like 3_07.jpg, counted from the least row and column; others go."""
+def from_names(files: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
+    """keys, name, row, column of captures whose names are all like 3_07.jpg, counted from the least row and column.
+
+    It is all or nothing for each capture (keys): one name of another form, one cell with two names or one cell without any voids its mapping.
+    """
     lower = F.lower(name)
-    hit = files.where(lower.rlike(NAME)).select(name, F.regexp_extract(lower, NAME, 1).cast("long").alias("r"), F.regexp_extract(lower, NAME, 2).cast("long").alias("c"))
-    least = hit.agg(F.min("r").alias("r0"), F.min("c").alias("c0"))
-    return hit.crossJoin(F.broadcast(least)).select(name, (F.col("r") - F.col("r0")).alias("row"), (F.col("c") - F.col("c0")).alias("column"))
+    number = lambda k: F.when(lower.rlike(NAME), F.regexp_extract(lower, NAME, k).cast("long"))
+    read = files.select(*keys, name, number(1).alias("r"), number(2).alias("c"))
+    span = lambda v: F.max(v) - F.min(v) + 1
+    whole = (F.count("*") == F.count("r")) & (F.count("*") == F.countDistinct("r", "c")) & (F.count("*") == span("r") * span("c"))
+    fine = read.groupBy(*keys).agg(F.min("r").alias("r0"), F.min("c").alias("c0"), whole.alias("whole")).where("whole")
+    return read.join(fine, keys).select(*keys, name, (F.col("r") - F.col("r0")).alias("row"), (F.col("c") - F.col("c0")).alias("column"))
 
 
 def check(cells: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ cast(l_partkey % 50 as int) as matches, cast(l_partkey % 40 as int) as inliers,
 l_tax * 1000 as angle_a, l_discount * 1000 as angle_b, (l_linenumber - 2) * 20e0 as fov_a, 60e0 as fov_b from {lineitem}"""
 LOOPS = """with g as (select o_orderkey, o_orderkey % 16 as cell, cast(floor(o_orderkey / 16) as bigint) as capture, (o_custkey % 19) * 0.004e0 as a, floor(o_totalprice) * 1e0 as w from {orders})
 select capture, cell as "from", cell + 1 as "to", a as angle, w as weight from g where cell % 4 < 3 union all select capture, cell as "from", cell + 4 as "to", a * 0.5e0 as angle, w * 0.9e0 as weight from g where cell < 12"""
+PULLS = 'select l_partkey as "from", l_partkey + l_linenumber as "to", l_linenumber * -9.5e0 - l_discount * 10 as dx, 1e0 + l_quantity * 0.1e0 as w from {lineitem}'
 POINTS = 'select l_orderkey as "from", cast(l_linenumber % 2 as bigint) as "to", l_quantity as sx, l_discount * 900 as sy, l_tax * 3000 as tx, l_quantity * 2 as ty from {lineitem}'
 HOLDOUT = 'select l_orderkey as capture, l_linenumber as edge, cast(l_quantity as int) % 8 as cells, case when l_linenumber % 5 > 0 then l_tax end as p95, l_discount as rms from {lineitem}'
 LINES = """select o_orderkey as "from", o_orderkey + 1 as "to", o_custkey % 50 as line, case when o_orderkey % 3 > 0 and o_custkey % 50 > 5 then round(o_totalprice, 2) end as step from {orders}"""
@@ -40,11 +41,8 @@ def _weak(spark, sf):
 
 
 def _relaxed(spark, sf):
-    cells = 60
-    i = F.col("id")
-    nodes = spark.range(cells).select("id", (i * 10.0).alias("x"))
-    pulls = spark.range(cells - 1).select(i.alias("from"), (i + 1).alias("to"), (-(9.0 + i % 3)).alias("dx"), (1.0 + i % 4).alias("w"))
-    return edges.relaxed(nodes, pulls, 5).select("id", F.round("x", 6).alias("x"))
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 10.0).alias("x"))
+    return edges.relaxed(nodes, view(spark, sf, _spark(PULLS)), 5).select("id", F.round("x", 5).alias("x"))
 
 
 def _synthesized(spark, sf):
@@ -69,11 +67,11 @@ u as (select *, case when reason = 0 and inliers >= 12 and ratio >= 0.25 and res
 
 
 def _relaxed_sql() -> str:
-    now, ctes = "x0", ["x0 as (select range as id, range * 10.0::double as x from range(60))", "e as (select range as f, range + 1 as t, -(9.0::double + range % 3) as dx, 1.0::double + range % 4 as w from range(59))", "b as (select t as id, f as other, -dx as off, w from e union all select f, t, dx, w from e)"]
+    now, ctes = "x0", ["x0 as (select p_partkey as id, p_partkey * 10.0::double as x from part)", f"""e as (select "from" as f, "to" as t, dx, w from ({duck(PULLS)}))""", "b as (select t as id, f as other, -dx as off, w from e union all select f, t, dx, w from e)"]
     for k in range(1, 6):
-        ctes.append(f"x{k} as (select n.id, case when n.id = 0 then any_value(n.x) else any_value(n.x) * 0.35::double + sum((o.x + b.off) * b.w) / sum(b.w) * (1 - 0.35::double) end as x from {now} n join b on b.id = n.id join {now} o on o.id = b.other group by n.id)")
+        ctes.append(f"x{k} as (select n.id, case when n.id = 0 or sum(b.w) is null then any_value(n.x) else any_value(n.x) * 0.35::double + sum((o.x + b.off) * b.w) / sum(b.w) * (1 - 0.35::double) end as x from {now} n left join (b join {now} o on o.id = b.other) on b.id = n.id group by n.id)")
         now = f"x{k}"
-    return f"with {', '.join(ctes)} select id, round(x, 6) as x from {now}"
+    return f"with {', '.join(ctes)} select id, round(x, 5) as x from {now}"
 
 
 ORACLES = {

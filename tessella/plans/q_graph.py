@@ -1,35 +1,34 @@
-"""Graph queries over generated edges."""
+"""Graph queries: orders are nodes and cells."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, grid
+from ..operators import graph
+from ..session import table
+from .shared import GRID, duck, ticked, view
 
-N, ROWS, COLUMNS = 400, 12, 9
+#: Orders linked within blocks of 64 by their customer, and as one tree.
+LINKS = "select o_orderkey as a, cast(floor(o_orderkey / 64) as bigint) * 64 + o_custkey % 64 as b from {orders}"
+TREE = "select o_orderkey as a, cast(floor(o_orderkey / 3) as bigint) as b from {orders}"
 
 
-def _edges(spark):
-    return spark.range(N).select(F.col("id").alias("a"), ((F.col("id") * 7 + 3) % N).alias("b")).where("a % 5 not in (1, 3)")
-
-
-def _squares(spark):
-    cells = grid.plan(spark, ROWS, COLUMNS, "row").select("row", "column")
-    across = cells.where(f"column < {COLUMNS - 1} and (row * 5 + column) % 13 <> 4").select("row", "column", F.lit("across").alias("kind"), (100 + (F.col("row") * 7 + F.col("column") * 11) % 9).alias("v"))
-    down = cells.where(f"row < {ROWS - 1}").select("row", "column", F.lit("down").alias("kind"), (80 + (F.col("row") * 3 + F.col("column") * 5) % 7).alias("v"))
+def _squares(spark, sf):
+    cells = view(spark, sf, ticked(GRID))
+    across = cells.where("column < 24 and price % 13 <> 4").select("row", "column", F.lit("across").alias("kind"), (100 + F.col("price") % 9).alias("v"))
+    down = cells.select("row", "column", F.lit("down").alias("kind"), (80 + F.col("price") % 7).alias("v"))
     return graph.square_residuals(cells, across.unionByName(down))
 
 
 QUERIES = {
-    "components": lambda spark, sf: graph.components(spark.range(N), _edges(spark)),
-    "reachable": lambda spark, sf: graph.reachable(_edges(spark)).select("id", F.col("steps").cast("long").alias("steps")),
-    "cycle_residual": lambda spark, sf: _squares(spark),
+    "components": lambda spark, sf: graph.components(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), view(spark, sf, LINKS)),
+    "reachable": lambda spark, sf: graph.reachable(view(spark, sf, TREE)).select("id", F.col("steps").cast("long").alias("steps")),
+    "cycle_residual": _squares,
 }
-_E = f"e as (select range as a, (range * 7 + 3) % {N} as b from range({N}) where range % 5 not in (1, 3)), s as (select a, b from e union select b, a from e)"
+_S = "s as (select a, b from e union select b, a from e)"
 ORACLES = {
-    "components": f"with recursive {_E}, c(id, root) as (select range, range from range({N}) union select s.b, c.root from c join s on s.a = c.id) select id, min(root) as component from c group by id",
-    "reachable": f"with recursive {_E}, c(id, steps) as (select 0::bigint, 0::bigint union select s.b, c.steps + 1 from c join s on s.a = c.id where c.steps < {N} // 4) select id, min(steps) as steps from c group by id",
-    "cycle_residual": f"""with c as (select range // {COLUMNS} as row, range % {COLUMNS} as col from range({ROWS * COLUMNS})),
-h as (select row, col, 100 + (row * 7 + col * 11) % 9 as v from c where col < {COLUMNS - 1} and (row * 5 + col) % 13 <> 4), d as (select row, col, 80 + (row * 3 + col * 5) % 7 as v from c where row < {ROWS - 1})
-select t.row, t.col as "column", t.v + r.v - b.v - l.v as residual from h t join d l on l.row = t.row and l.col = t.col join h b on b.row = t.row + 1 and b.col = t.col join d r on r.row = t.row and r.col = t.col + 1""",
+    "components": f"with recursive e as ({duck(LINKS)}), {_S}, c(id, root) as (select o_orderkey, o_orderkey from orders union select s.b, c.root from c join s on s.a = c.id), r as (select id, min(root) as component from c group by id) select r.id, component from r join orders on o_orderkey = r.id",
+    "reachable": f"with recursive e as ({duck(TREE)}), {_S}, c(id, steps) as (select 0::bigint, 0::bigint union select s.b, c.steps + 1 from c join s on s.a = c.id where c.steps < 24 and s.a <> s.b) select id, min(steps) as steps from c group by id",
+    "cycle_residual": f"""with c as ({duck(GRID)}), h as (select "row" as r, "column" as q, 100 + price % 9 as v from c where "column" < 24 and price % 13 <> 4), d as (select "row" as r, "column" as q, 80 + price % 7 as v from c)
+select t.r as "row", t.q as "column", t.v + r.v - b.v - l.v as residual from h t join d l on l.r = t.r and l.q = t.q join h b on b.r = t.r + 1 and b.q = t.q join d r on r.r = t.r and r.q = t.q + 1""",
 }

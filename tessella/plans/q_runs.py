@@ -1,4 +1,4 @@
-"""Run and interval queries over generated rasters and lines."""
+"""Run and interval queries: lines mark pixels, orders are boxes."""
 
 from __future__ import annotations
 
@@ -6,61 +6,54 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, runs
 from ..session import table
+from .shared import duck, view
 
-SIDE, HIGH, BOXES = 96, 64, 600
+#: Marked pixels of two pictures, a row for each supplier.
+MASK = "select distinct l_partkey % 1499 as x, l_suppkey as y from {{lineitem}} where l_returnflag = '{flag}'"
+BOXES = """select o_orderkey as id, o_orderkey * 37 % 20000 as x0, o_orderkey * 37 % 20000 + o_custkey % 40 + 1 as x1, o_custkey * 53 % 4000 as y0, o_custkey * 53 % 4000 + o_orderkey * 7 % 30 as y1 from {orders}"""
 
 
-def _mask(spark, a, b, m):
-    x, y = F.expr(f"id % {SIDE}"), F.expr(f"id div {SIDE}")
-    return spark.range(SIDE * HIGH).select(x.alias("x"), y.alias("y")).where(((F.col("x") * a + F.col("y") * b) % m < m // 2) & ((F.col("x") + F.col("y") * 3) % 11 != 0))
+def _runs(spark, sf, flag="R"):
+    return runs.run_length(view(spark, sf, MASK.format(flag=flag)), ["y"], "x")
 
 
-def _runs(spark, *rule):
-    return runs.run_length(_mask(spark, *rule), ["y"], "x")
+def _sources(spark, sf, flag):
+    return _runs(spark, sf, flag).select(F.expr("y div 6").alias("id"), "y", "x0", "x1")
 
 
-def _sources(spark, *rule):
-    return _runs(spark, *rule).select((F.col("y") % 6).alias("id"), "y", "x0", "x1")
-
-
-def _boxes(spark):
-    i = F.col("id")
-    return spark.range(BOXES).select("id", (i * 37 % 1000).alias("x0"), (i * 37 % 1000 + i * 13 % 40 + 1).alias("x1"), (i * 53 % 400).alias("y0"), (i * 53 % 400 + i * 7 % 30).alias("y1"))
-
-
-def _labelled(spark):
-    own = _runs(spark, 7, 5, 23).select((F.col("y") * 1000 + F.col("x0")).alias("id"), "y", "x0", "x1")
+def _labelled(spark, sf):
+    own = _runs(spark, sf).select((F.col("y") * 10000 + F.col("x0")).alias("id"), "y", "x0", "x1")
     named = graph.components(own.select("id"), runs.run_links(own))
     size = F.col("x1") - F.col("x0") + 1
     return own.join(named, "id").groupBy("component").agg(F.sum(size).alias("area"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
 QUERIES = {
-    "rle_runs": lambda spark, sf: _runs(spark, 7, 5, 23),
+    "rle_runs": _runs,
     "interval_merge": lambda spark, sf: runs.merge(table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 97 % 5000).alias("x0"), (F.col("l_orderkey") * 97 % 5000 + F.col("l_quantity").cast("long")).alias("x1")), ["l_suppkey"]),
-    "box_overlap_pairs": lambda spark, sf: runs.overlapping_boxes(_boxes(spark)),
-    "interval_overlap_pairs": lambda spark, sf: runs.shared_pixels(_sources(spark, 7, 5, 23), _sources(spark, 3, 11, 19)),
-    "component_boxes": lambda spark, sf: _labelled(spark),
+    "box_overlap_pairs": lambda spark, sf: runs.overlapping_boxes(view(spark, sf, BOXES)),
+    "interval_overlap_pairs": lambda spark, sf: runs.shared_pixels(_sources(spark, sf, "R"), _sources(spark, sf, "A")),
+    "component_boxes": _labelled,
 }
 
 
-def _mask_sql(name, a, b, m):
-    return f"""{name}_m as (select range % {SIDE} as x, range // {SIDE} as y from range({SIDE * HIGH}) where ((range % {SIDE}) * {a} + (range // {SIDE}) * {b}) % {m} < {m // 2} and (range % {SIDE} + range // {SIDE} * 3) % 11 <> 0),
+def _mask_sql(name, flag="R"):
+    return f"""{name}_m as ({duck(MASK.format(flag=flag))}),
 {name} as (select y, min(x) as x0, max(x) as x1 from (select *, x - row_number() over (partition by y order by x) as i from {name}_m) group by y, i)"""
 
 
 ORACLES = {
-    "rle_runs": f"with {_mask_sql('r', 7, 5, 23)} select * from r",
+    "rle_runs": f"with {_mask_sql('r')} select * from r",
     "interval_merge": """with i as (select l_suppkey, l_orderkey * 97 % 5000 as x0, l_orderkey * 97 % 5000 + floor(l_quantity)::bigint as x1 from lineitem),
 n as (select *, case when x0 > 1 + max(x1) over (partition by l_suppkey order by x0, x1 rows between unbounded preceding and 1 preceding) then 1 else 0 end as new from i),
 g as (select *, sum(new) over (partition by l_suppkey order by x0, x1 rows unbounded preceding) as g from n)
 select l_suppkey, min(x0) as x0, max(x1) as x1, count(*) as parts from g group by l_suppkey, g""",
-    "box_overlap_pairs": f"""with b as (select range as id, range * 37 % 1000 as x0, range * 37 % 1000 + range * 13 % 40 + 1 as x1, range * 53 % 400 as y0, range * 53 % 400 + range * 7 % 30 as y1 from range({BOXES}))
+    "box_overlap_pairs": f"""with b as ({duck(BOXES)})
 select a.id as a, b.id as b from b a join b on a.id < b.id and a.x0 <= b.x1 + 3 and b.x0 <= a.x1 + 3 and a.y0 <= b.y1 + 3 and b.y0 <= a.y1 + 3""",
-    "interval_overlap_pairs": f"""with {_mask_sql("l", 7, 5, 23)}, {_mask_sql("r", 3, 11, 19)}
-select l.y % 6 as a, r.y % 6 as b, sum(least(l.x1, r.x1) - greatest(l.x0, r.x0) + 1)::bigint as pixels from l join r on l.y = r.y and l.x0 <= r.x1 and r.x0 <= l.x1 group by 1, 2""",
-    "component_boxes": f"""with recursive {_mask_sql("r", 7, 5, 23)}, n as (select y * 1000 + x0 as id, * from r),
-e as (select a.id as a, b.id as b from n a join n b on abs(a.y - b.y) = 1 and a.x0 <= b.x1 + 1 and b.x0 <= a.x1 + 1),
+    "interval_overlap_pairs": f"""with {_mask_sql("l")}, {_mask_sql("r", "A")}
+select l.y // 6 as a, r.y // 6 as b, sum(least(l.x1, r.x1) - greatest(l.x0, r.x0) + 1)::bigint as pixels from l join r on l.y = r.y and l.x0 <= r.x1 and r.x0 <= l.x1 group by 1, 2""",
+    "component_boxes": f"""with recursive {_mask_sql("r")}, n as (select y * 10000 + x0 as id, * from r),
+e as (select a.id as a, b.id as b from (select *, unnest([-1, 1]) as d from n) a join n b on b.y = a.y + a.d and a.x0 <= b.x1 + 1 and b.x0 <= a.x1 + 1),
 c(id, root) as (select id, id from n union select e.b, c.root from c join e on e.a = c.id), m as (select id, min(root) as component from c group by id)
 select component, sum(x1 - x0 + 1)::bigint as area, min(x0) as x0, max(x1) as x1, min(y) as y0, max(y) as y1 from n join m using (id) group by component""",
 }

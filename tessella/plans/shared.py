@@ -16,3 +16,14 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     return re.sub(r"{(\w+)}", r"\1", sql)
+
+
+def ticked(sql: str) -> str:
+    """A SQL text with quoted names as Spark quotes them."""
+    return sql.replace('"', "`")
+
+
+#: A picture as wide as 64 and as high as there are suppliers, with values of a byte.
+PIXELS = "select l_partkey % 64 as x, l_suppkey as y, cast(sum(l_quantity) as bigint) % 256 as v, cast(sum(l_linenumber) as bigint) * 5 % 256 as a from {lineitem} group by l_partkey % 64, l_suppkey"
+#: One grid of all orders, 25 cells a row.
+GRID = 'select o_orderkey as id, cast(floor(o_orderkey / 25) as bigint) as "row", o_orderkey % 25 as "column", cast(floor(o_totalprice) as bigint) as price, o_orderpriority as priority from {orders}'

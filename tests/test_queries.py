@@ -35,3 +35,10 @@ def test_query(name, spark, duck):
     if name in ORACLES:
         expected = duck.sql(ORACLES[name])
         assert canonical(got.columns, rows) == canonical(expected.columns, expected.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_reads_a_table(name, spark, tmp_path):
+    """Without the folder's tables no query can be built, so each reads one of them."""
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        QUERIES[name](spark, f"file://{tmp_path}/none").limit(1).collect()
