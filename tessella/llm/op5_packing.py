@@ -133,7 +133,10 @@ def best_fit(demand: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
 
 
 def pack_histogram(demand: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
-    """Groups of sequences that hold the demand exactly."""
+    """Groups of sequences that hold the demand exactly: the configuration program's, or those of best fit alone where they are fewer.
+
+    Where most lengths occur once the program has nothing to repeat, and what it leaves is harder to pack than the whole.
+    """
     out: list[Group] = []
     rest = {x: n for x, n in demand.items() if n and x < capacity}
     if demand.get(capacity):
@@ -141,8 +144,8 @@ def pack_histogram(demand: dict[int, int], capacity: int = CAPACITY) -> list[Gro
     if not rest:
         return out
     chosen, left = configuration_program(rest, capacity)
-    out += [(tuple(sorted(c.items(), reverse=True)), n) for c, n in chosen]
-    return out + best_fit(left, capacity)
+    program = [(tuple(sorted(c.items(), reverse=True)), n) for c, n in chosen] + best_fit(left, capacity)
+    return out + min(program, best_fit(rest, capacity), key=lambda groups: sum(n for _, n in groups))
 
 
 def places(groups: list[Group]) -> dict[str, np.ndarray]:

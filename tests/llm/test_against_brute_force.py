@@ -401,7 +401,8 @@ def test_language_models_are_kneser_ney(spark):
 
 def test_language_model_keeps_its_bound(spark):
     rng = random.Random(14)
-    rows = [(i, "aa", words(rng, 60, VOCABULARY)) for i in range(30)]
+    letters = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(400))
+    rows = [(i, "aa", words(rng, 60, letters)) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     size = lambda m: sum(len(t.keys) for t in m.tables.values())
     whole, small = op1_language_id.learn(df), op1_language_id.learn(df, most=1500)
@@ -535,3 +536,28 @@ def test_line_dedup_against_all_pairs(spark):
     assert all(g <= e for g, e in zip(got, expected))
     assert sum(map(len, expected)) > 500 and sum(map(len, got)) >= 0.99 * sum(map(len, expected))
     assert got[-3] == set(range(len(own[-3]))) and got[-2] == got[-3]
+
+
+def sequences(groups):
+    return sum(n for _, n in groups)
+
+
+def test_packing_is_never_worse_than_best_fit():
+    """Lengths that occur once, lengths of a corpus, many of each length, and lengths of a quarter to a half, where the program wins."""
+    rng = np.random.default_rng(1)
+    kinds = {
+        "once": rng.integers(1, 4095, 3000), "corpus": np.minimum(rng.lognormal(5, 1.2, 10_000).astype(int) + 1, 4095),
+        "many": rng.integers(1, 4095, 200_000), "quarter to half": rng.integers(1000, 2200, 20_000),
+    }
+    for name, lengths in kinds.items():
+        demand = Counter(lengths.tolist())
+        groups = op5_packing.pack_histogram(demand)
+        held = Counter()
+        for config, n in groups:
+            assert sum(x * k for x, k in config) <= 4096
+            for x, k in config:
+                held[x] += n * k
+        best = sequences(op5_packing.best_fit(demand))
+        assert held == demand and -(-sum(lengths) // 4096) <= sequences(groups) <= best, name
+        if name == "quarter to half":
+            assert sequences(groups) < best
