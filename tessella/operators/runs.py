@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def run_length(pixels: DataFrame, keys: list[str], x: str) -> DataFrame:
     """keys, x0, x1 of the longest stretches of consecutive x; rows must be distinct."""
@@ -78,3 +80,36 @@ def owners_in_tiles(tiles: DataFrame, runs: DataFrame, size: int, halo: int = 3)
     cut = dealt.join(tiles, ["tile_row", "tile_column"])
     lo, hi = F.col("tile_column") * size - halo, (F.col("tile_column") + 1) * size - 1 + halo
     return cut.select("tile_row", "tile_column", "owner", "y", F.greatest(F.col("x0"), lo).alias("x0"), F.least(F.col("x1"), hi).alias("x1"))
+
+
+#: Fixed value: pixels that a group's bounds reach beyond its runs.
+BUFFER = 3
+
+
+def person_groups(components: DataFrame, runs: DataFrame, width: int, height: int, pad: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(groups, runs of the groups): the same person in pictures of several sources, joined by the pixels that their projected runs share.
+
+    components: id, source, path, truncated, coverage, confidence, sharpness; runs: id, y, x0, x1 in the output, disjoint for each id. Components of different sources
+    whose boxes come within `pad` are linked where their runs share at least two pixels (or all of the smaller one's) and a tenth of the smaller one's
+    area; links join into groups, named by their least component. groups: group, preferred (source), sources in order of preference (whole before truncated, then
+    coverage, confidence, sharpness and path), members, and bounds x0, y0, x1, y1 with a buffer, inside the output. Components without runs are in no group.
+    A group's runs are merged; a group has as many rows of runs as its members have, spread by group and line.
+    """
+    c = F.col
+    placed = runs.join(components.select("id", "source"), "id")
+    boxes = placed.groupBy("id", "source").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    source = boxes.select("id", "source")
+    near = overlapping_boxes(boxes, pad).join(source.toDF("a", "_sa"), "a").join(source.toDF("b", "_sb"), "b").where("_sa <> _sb").select("a", "b")
+    links = grouped_components(runs.select("id", "y", "x0", "x1")).join(near, ["a", "b"], "left_semi")
+    named = graph.components(source.select("id"), links).withColumnRenamed("component", "group")
+    known = components.join(named, "id")
+    rank = F.struct(~c("truncated"), "coverage", "confidence", "sharpness", "path")
+    best = known.groupBy("group", "source").agg(F.max(rank).alias("rank"), F.count("*").alias("n"))
+    ordered = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("rank", "source")))), lambda s: s["source"])
+    people = best.groupBy("group").agg(ordered.alias("sources"), F.sum("n").alias("members"))
+    merged = merge(placed.join(named, "id").select("group", "y", "x0", "x1"), ["group", "y"]).drop("parts")
+    clip = lambda v, most: F.greatest(F.lit(0), F.least(v, F.lit(most - 1))).cast("long")
+    bounds = merged.groupBy("group").agg(
+        clip(F.min("x0") - BUFFER, width).alias("x0"), clip(F.min("y") - BUFFER, height).alias("y0"), clip(F.max("x1") + BUFFER, width).alias("x1"), clip(F.max("y") + BUFFER, height).alias("y1")
+    )
+    return people.join(bounds, "group").select("group", c("sources")[0].alias("preferred"), "sources", "members", "x0", "y0", "x1", "y1"), merged

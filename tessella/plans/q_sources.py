@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
 from ..sinks import writers
-from ..sources import paged, readers
+from ..sources import paged, photos, readers
 from .shared import duck, view
 
 C, SIDE = F.col, 64
@@ -96,6 +96,28 @@ def _sizes(spark, sf):
     return p.select("p_partkey", width.alias("width"), height.alias("height"))
 
 
+def _photos(spark, sf):
+    """A JPEG for each part, in both byte orders, with its fields behind 70 other segments; some with broken offsets."""
+    p = table(spark, sf, "part")
+    big = C("p_partkey") % 2 == 0
+
+    def number(v, n):
+        h = F.lpad(F.hex((F.lit(v) if isinstance(v, int) else v).cast("long")), 2 * n, "0")
+        return F.when(big, h).otherwise(F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(n))]))
+
+    text = lambda v: F.hex(F.encode(v, "utf-8"))
+    entry = lambda tag, kind, n, value: [number(tag, 2), number(kind, 2), number(n, 4), value]
+    offset = F.when(C("p_partkey") % 10 == 3, 5000).otherwise(58)
+    parts = [F.lit("457869660000"), F.when(big, "4D4D").otherwise("4949"), number(42, 2), number(8, 4), number(3, 2)]
+    parts += entry(0x010F, 2, 8, number(50, 4)) + entry(0x0112, 3, 1, F.concat(number(1 + C("p_partkey") % 9, 2), F.lit("0000"))) + entry(0x8769, 4, 1, number(offset, 4)) + [number(0, 4)]
+    parts += [text(F.concat(F.lit("Maker"), F.lpad(C("p_size").cast("string"), 2, "0"))), F.lit("00"), number(2, 2)] + entry(0x9003, 2, 20, number(88, 4)) + entry(0x920A, 5, 1, number(108, 4)) + [number(0, 4)]
+    parts += [text(F.concat(F.lit("2024:01:"), F.lpad((1 + C("p_partkey") % 28).cast("string"), 2, "0"), F.lit(" 10:20:30"))), F.lit("00"), number(C("p_size"), 4), number(10, 4)]
+    plain = lambda v, n: F.lpad(F.hex(v.cast("long")), 2 * n, "0")
+    size = F.concat(F.lit("FFC0000B08"), plain(C("p_size"), 2), plain(C("p_partkey"), 2), F.lit("01011100"))
+    jpeg = F.unhex(F.concat(F.lit("FFD8"), F.lit("FFFE0002" * 70), F.lit("FFE1007C"), *parts, size))
+    return photos.metadata(p.select("p_partkey", jpeg.alias("content")), ["p_partkey"]).withColumn("taken", F.unix_seconds("taken"))
+
+
 def _written_tiles(spark, sf):
     """A job that was stopped, tiles that were damaged since, and a second job with other values: it renders what is missing or damaged."""
     path, pixels = _folder(spark), view(spark, sf, PIXELS)
@@ -140,6 +162,7 @@ QUERIES = {
     "album_pages": _pages,
     "spooled_bands": _spooled,
     "picture_sizes": _sizes,
+    "photo_metadata": _photos,
     "tiles_written": _written_tiles,
     "levels_written": _written_levels,
     "published_once": _published,
@@ -169,6 +192,8 @@ select id, phase, row_number() over (order by d desc, id) as newest from t""",
   nullif(arg_max(coalesce(modificationTime, -1), page * 100 + place), -1)::bigint as taken, max(page) as page from a group by 1""",
     "spooled_bands": """select l_suppkey % 25 as band, l_partkey % 40 as "row", count(*) as samples, sum(l_quantity)::bigint as v from lineitem join nation on n_nationkey = l_suppkey % 25 where n_regionkey = 1 group by 1, 2""",
     "picture_sizes": "select p_partkey, case when p_partkey % 3 < 2 then p_partkey end::int as width, case when p_partkey % 3 < 2 then p_size end::int as height from part",
+    "photo_metadata": """select p_partkey, p_partkey::int as width, p_size::int as height, case when p_partkey % 9 < 8 then (1 + p_partkey % 9)::int end as orientation, 'Maker' || lpad(p_size::varchar, 2, '0') as make, null::varchar as model, null::varchar as lens,
+  case when p_partkey % 10 <> 3 then p_size / 10.0::double end as focal_mm, case when p_partkey % 10 <> 3 then epoch(timestamp '2024-01-01 10:20:30' + to_days((p_partkey % 28)::int))::bigint end as taken from part""",
     "tiles_written": f"""with p as ({duck(PIXELS)}) select (y // 16)::int as tile_row, (x // 16)::int as tile_column, x, y, case when x >= 32 or (x // 16 = 1 and y // 16 % 2 = 0) then -v else v end as v from p""",
     "levels_written": _levels_sql(),
     "published_once": """select kind, c_name, case when kind = 'cache' and c_nationkey % 2 = 1 then -c_nationkey else c_nationkey end::int as nation from customer, (values ('record'), ('result'), ('cache')) k(kind)""",
