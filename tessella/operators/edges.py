@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import robust
+from . import matrices, robust
 
 #: What an overlap sample must reach.
 MIN_INLIERS, MIN_RATIO, MAX_RESIDUAL, MIN_OVERLAP, MAX_OVERLAP = 12, 0.25, 3.0, 0.05, 0.95
@@ -81,21 +81,23 @@ def central_pairs(grids: DataFrame, key: str, most: int = 12) -> DataFrame:
 
 
 def loop_weights(edges: DataFrame, keys: list[str], columns: int, focal: float, limit: float = 12.0) -> DataFrame:
-    """edges (keys, from, to, angle, weight) with worst_loop, ambiguous and the weight after the loop rule.
+    """edges (keys, from, to, rotation, weight) with worst_loop, ambiguous and the weight after the loop rule.
 
-    Every elementary square of edges compares the way over the top and the right with the one over the left
-    and the bottom. Beyond `limit` pixels the weakest of the four keeps a twentieth of its weight, unless the
+    Around every elementary square of edges the rotations are composed: over the top and the right, and back over the bottom
+    and the left. What they turn by in all, times the focal length, is the square's residual; one that is no number is left out. Beyond `limit` pixels the weakest of the four keeps a twentieth of its weight, unless the
     next is within 15 % of it: then all four are ambiguous, but for those that another loop has weakened.
     """
     c = F.col
     start = c("from")
     across, down = edges.where(c("to") == start + 1), edges.where(c("to") == start + columns)
-    side = lambda df, shift, name: df.select(*keys, (start - shift).alias("cell"), F.struct("from", "to", "angle", "weight").alias(name))
+    side = lambda df, shift, name: df.select(*keys, (start - shift).alias("cell"), F.struct("from", "to", "rotation", "weight").alias(name))
     on = [*keys, "cell"]
     loops = side(across, 0, "top").join(side(down, 1, "right"), on).join(side(across, columns, "bottom"), on).join(side(down, 0, "left"), on).where(c("cell") % columns < columns - 1)
-    residual = F.abs(c("top.angle") + c("right.angle") - c("bottom.angle") - c("left.angle")) * focal
+    loops = loops.withColumns({"_way": matrices.product(c("top.rotation"), c("right.rotation")), "_back": matrices.product(c("left.rotation"), c("bottom.rotation"))})
+    loops = loops.withColumn("_cycle", matrices.product(c("_way"), matrices.transpose(c("_back"))))
+    residual = matrices.rotation_angle(c("_cycle")) * focal
     four = F.array_sort(F.array(*[F.struct(c(f"{s}.weight").alias("weight"), c(f"{s}.from").alias("from"), c(f"{s}.to").alias("to")) for s in ("top", "right", "bottom", "left")]))
-    loops = loops.select(*keys, "cell", residual.alias("residual"), four.alias("four"))
+    loops = loops.select(*keys, "cell", residual.alias("residual"), four.alias("four")).where("residual < double('infinity')")
     tied = F.element_at("four", 1)["weight"] >= F.element_at("four", 2)["weight"] * 0.85
     each = loops.withColumns({"bad": c("residual") > limit, "tied": tied}).select(*keys, "residual", "bad", "tied", F.posexplode("four").alias("rank", "e"))
     each = each.select(*keys, "residual", c("e.from").alias("from"), c("e.to").alias("to"), (c("bad") & ~c("tied") & (c("rank") == 0)).alias("weak"), (c("bad") & c("tied")).alias("unclear"))

@@ -49,6 +49,12 @@ def rotation_log(a: Column) -> Column:
     return F.array(k * (a[7] - a[5]), k * (a[2] - a[6]), k * (a[3] - a[1]))
 
 
+def rotation_angle(a: Column) -> Column:
+    """By how much a rotation turns, from 0 to half a turn; exact at both ends."""
+    x, y, z = a[7] - a[5], a[2] - a[6], a[3] - a[1]
+    return F.atan2(F.sqrt(x * x + y * y + z * z), a[0] + a[4] + a[8] - 1)
+
+
 def applied(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
     """A point through a projective transform; nulls where it is on the horizon."""
     w = h[6] * x + h[7] * y + h[8]

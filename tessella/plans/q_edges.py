@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import edges
+from ..operators import edges, matrices
 from ..session import table
-from .shared import duck, view
+from .shared import duck, times, turn, view
 
 SAMPLES = """select l_orderkey, l_linenumber, (l_quantity - 45) * 20e0 as axis_step, l_extendedprice % 97 - 48 as cross_step, cast(l_suppkey % 9 - 5 as int) as r0, cast(l_partkey % 40 as int) as inliers,
 (l_partkey % 10) * 0.1e0 as ratio, l_tax * 50 as residual from {lineitem}"""
@@ -40,6 +40,12 @@ def _weak(spark, sf):
     return edges.thin_support(points, own, 51.0, 91.0).select("from", "to", "unique", "removed")
 
 
+def _turned(spark, sf):
+    """Edges that turn about an axis of their own."""
+    v = F.array(F.col("angle") * 0.3, F.col("angle"), F.col("weight") % 7 * 0.001)
+    return view(spark, sf, _spark(LOOPS)).withColumn("_v", v).withColumn("rotation", matrices.rotation(F.col("_v"))).drop("_v")
+
+
 def _relaxed(spark, sf):
     nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 10.0).alias("x"))
     return edges.relaxed(nodes, view(spark, sf, _spark(PULLS)), 5).select("id", F.round("x", 5).alias("x"))
@@ -55,7 +61,7 @@ QUERIES = {
     "overlap_estimate": lambda spark, sf: edges.overlap_estimate(view(spark, sf, _SAMPLED), ["l_orderkey"], 1000.0).select("l_orderkey", "accepted", F.round("step", 4).alias("step"), F.round("overlap", 6).alias("overlap")),
     "edge_acceptance": _edges,
     "central_pairs": lambda spark, sf: edges.central_pairs(table(spark, sf, "nation").select(F.col("n_nationkey").alias("grid"), (1 + F.col("n_nationkey") % 5).cast("long").alias("rows"), (1 + F.col("n_nationkey") * 3 % 7).cast("long").alias("columns")), "grid").select("grid", "axis", "from", "to", F.col("place").cast("long").alias("place")),
-    "loop_weights": lambda spark, sf: edges.loop_weights(view(spark, sf, _spark(LOOPS)), ["capture"], 4, 1000.0).select("capture", "from", "to", F.round("worst_loop", 4).alias("worst_loop"), "ambiguous", F.round("scaled", 4).alias("scaled")),
+    "loop_weights": lambda spark, sf: edges.loop_weights(_turned(spark, sf), ["capture"], 4, 1000.0).select("capture", "from", "to", F.round("worst_loop", 4).alias("worst_loop"), "ambiguous", F.round("scaled", 4).alias("scaled")),
     "thin_support": _weak,
     "relaxed_places": _relaxed,
     "synthesized_edges": _synthesized,
@@ -92,8 +98,10 @@ s as (select *, case when axis = 'horizontal' then rs > 1 and cs > 2 and r = gre
   ((r + case when axis = 'vertical' then 0.5::double else 0 end - (rs - 1) * 0.5::double) / rs) as y, ((c + case when axis = 'horizontal' then 0.5::double else 0 end - (cs - 1) * 0.5::double) / cs) as x from f),
 d as (select *, row_number() over (partition by grid, axis order by seed desc, case when seed then 0 else x * x + y * y end, id) as place from s)
 select grid, axis, id as "from", id + case when axis = 'horizontal' then 1 else cs end as "to", place from d where place <= 12""",
-    "loop_weights": f"""with e as ({duck(LOOPS)}), l as (select t.capture, t."from" as cell, abs(t.angle + r.angle - b.angle - l.angle) * 1000 as residual, t."from" as f1, t."to" as t1, t.weight as w1, r."from" as f2, r."to" as t2, r.weight as w2, b."from" as f3, b."to" as t3, b.weight as w3, l."from" as f4, l."to" as t4, l.weight as w4
-  from e t join e r on r.capture = t.capture and r."from" = t."to" and r."to" = t."to" + 4 join e b on b.capture = t.capture and b."from" = t."from" + 4 and b."to" = t."from" + 5 join e l on l.capture = t.capture and l."from" = t."from" and l."to" = t."from" + 4 where t."to" = t."from" + 1),
+    "loop_weights": f"""with v as (select *, angle * 0.3::double as ax, weight % 7 * 0.001::double as az, sqrt(ax * ax + angle * angle + az * az) as t from ({duck(LOOPS)})),
+e as (select *, case when t = 0 then [1::double, 0, 0, 0, 1, 0, 0, 0, 1] else {turn(["ax", "angle", "az"])} end as m from v), l0 as (select t.m as tm, r.m as rm, b.m as bm, l.m as lm, t.capture, t."from" as cell, t."from" as f1, t."to" as t1, t.weight as w1, r."from" as f2, r."to" as t2, r.weight as w2, b."from" as f3, b."to" as t3, b.weight as w3, l."from" as f4, l."to" as t4, l.weight as w4
+  from e t join e r on r.capture = t.capture and r."from" = t."to" and r."to" = t."to" + 4 join e b on b.capture = t.capture and b."from" = t."from" + 4 and b."to" = t."from" + 5 join e l on l.capture = t.capture and l."from" = t."from" and l."to" = t."from" + 4 where t."to" = t."from" + 1), l1 as (select *, {times("tm", "rm")} as way, {times("lm", "bm")} as back from l0), l2 as (select *, [back[1], back[4], back[7], back[2], back[5], back[8], back[3], back[6], back[9]] as home from l1), l3 as (select *, {times("way", "home")} as c from l2),
+l as (select *, atan2(sqrt((c[8] - c[6]) ** 2 + (c[3] - c[7]) ** 2 + (c[4] - c[2]) ** 2), c[1] + c[5] + c[9] - 1) * 1000 as residual from l3),
 i as (select capture, cell, residual, unnest([{{'w': w1, 'f': f1, 't': t1}}, {{'w': w2, 'f': f2, 't': t2}}, {{'w': w3, 'f': f3, 't': t3}}, {{'w': w4, 'f': f4, 't': t4}}]) as e from l),
 k as (select capture, cell, residual, e.w as w, e.f as f, e.t as t, row_number() over (partition by capture, cell order by e.w, e.f, e.t) as rank from i),
 n as (select *, nth_value(w, 1) over q >= nth_value(w, 2) over q * 0.85::double as tied from k window q as (partition by capture, cell order by rank rows between unbounded preceding and unbounded following)),

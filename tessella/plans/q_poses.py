@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import homographies, matrices, poses, seams
 from .q_matrices import WARPS
-from .shared import duck, view
+from .shared import duck, times, turn, view
 
 C = F.col
 #: Captures of eight orders, nine tiles each; an edge's homography is a shear, a scale and a shift.
@@ -74,12 +74,6 @@ QUERIES = {
     "warp_inverses": _inverse,
     "poses_recentred": _centred,
 }
-
-
-def _times(a: str, b: str) -> str:
-    return "[" + ", ".join(" + ".join(f"{a}[{3 * r + k + 1}] * {b}[{3 * k + q + 1}]" for k in range(3)) for r in range(3) for q in range(3)) + "]"
-
-
 _FOREST = f"""with recursive raw as ({duck(EDGES)}), e as (select *, inliers * ratio / (1 + greatest(residual, 0)) as score from raw where a <> b),
 r(capture, edge, score, node) as (select capture, edge, score, a from e union
   select r.capture, r.edge, r.score, case when x.a = r.node then x.b else x.a end from r join e x on x.capture = r.capture and (x.score > r.score or (x.score = r.score and x.edge > r.edge)) and r.node in (x.a, x.b)),
@@ -87,7 +81,7 @@ f as (select * from e where not exists (select 1 from r where r.capture = e.capt
 g(capture, tile, node) as (select distinct capture, unnest([a, b]), unnest([a, b]) from f union select g.capture, g.tile, case when f.a = g.node then f.b else f.a end from g join f on f.capture = g.capture and g.node in (f.a, f.b)),
 h as (select capture, tile, min(node) as root from g group by all),
 t(capture, tile, root, edge, parent, m) as (select capture, tile, root, -1::bigint, -1::bigint, [1::double, 0, 0, 0, 1, 0, 0, 0, 1] from h where tile = root union all
-  select t.capture, case when f.a = t.tile then f.b else f.a end, t.root, f.edge, t.tile, {_times("t.m", "(case when f.a = t.tile then [1 / p, -s / (p * q), (s * ty - q * tx) / (p * q), 0, 1 / q, -ty / q, 0, 0, 1] else [p, s, tx, 0, q, ty, 0, 0, 1] end)")}
+  select t.capture, case when f.a = t.tile then f.b else f.a end, t.root, f.edge, t.tile, {times("t.m", "(case when f.a = t.tile then [1 / p, -s / (p * q), (s * ty - q * tx) / (p * q), 0, 1 / q, -ty / q, 0, 0, 1] else [p, s, tx, 0, q, ty, 0, 0, 1] end)")}
   from t join f on f.capture = t.capture and t.tile in (f.a, f.b) and f.edge <> t.edge)"""
 
 
@@ -104,18 +98,11 @@ def _inverse_sql() -> str:
     return f"with {', '.join(ctes)} select z.id, case when fine then round(px, 4) end as x, case when fine then round(py, 4) end as y from z left join k on k.id = z.id"
 
 
-def _turn(v: list[str]) -> str:
-    """A rotation about a vector, for lengths over 0; times stands for the length."""
-    x, y, z = v
-    s, k = "(sin(t) / t)", "((1 - cos(t)) / (t * t))"
-    return f"[1 - {k} * (({y}) ** 2 + ({z}) ** 2), {k} * {x} * {y} - {s} * {z}, {k} * {x} * {z} + {s} * {y}, {k} * {x} * {y} + {s} * {z}, 1 - {k} * (({x}) ** 2 + ({z}) ** 2), {k} * {y} * {z} - {s} * {x}, {k} * {x} * {z} - {s} * {y}, {k} * {y} * {z} + {s} * {x}, 1 - {k} * (({x}) ** 2 + ({y}) ** 2)]"
-
-
 _CENTRED = f"""with g as ({duck(GRIDS)}), h as (select *, "column" * (0.3::double + lean) as ay, "row" * 0.2::double as dx, "row" * lean * 0.1::double as dz from g),
 k as (select *, case when ay = 0 then [1::double, 0, 0, 0, 1, 0, 0, 0, 1] else [cos(ay), 0, sin(ay), 0, 1, 0, -sin(ay), 0, cos(ay)] end as across, sqrt(dx * dx + dz * dz) as t from h),
-n as (select *, case when t = 0 then [1::double, 0, 0, 0, 1, 0, 0, 0, 1] else {_turn(["dx", "0", "dz"])} end as down from k), p as (select grid, "row", "column", {_times("across", "down")} as m from n),
+n as (select *, case when t = 0 then [1::double, 0, 0, 0, 1, 0, 0, 0, 1] else {turn(["dx", "0", "dz"])} end as down from k), p as (select grid, "row", "column", {times("across", "down")} as m from n),
 z as (select grid, max("row") // 2 as "row", max("column") // 2 as "column" from p group by grid), c as (select p.grid, [m[1], m[4], m[7], m[2], m[5], m[8], m[3], m[6], m[9]] as i from p join z on z.grid = p.grid and z."row" = p."row" and z."column" = p."column")
-select p.grid, "row", "column", list_transform({_times("c.i", "p.m")}, lambda v: round(round(v, 6) + 0.0, 6)) as rotation from p join c on c.grid = p.grid"""
+select p.grid, "row", "column", list_transform({times("c.i", "p.m")}, lambda v: round(round(v, 6) + 0.0, 6)) as rotation from p join c on c.grid = p.grid"""
 ORACLES = {
     "spanning_forest": f"{_FOREST} select capture, edge, parent, tile from t where edge >= 0",
     "tile_transforms": f"{_FOREST} select capture, tile, root, list_transform(m, lambda v: round(v, 3) + 0.0) as transform from t",

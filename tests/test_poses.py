@@ -190,3 +190,34 @@ def test_centring_keeps_relative_rotations(spark):
     h, v = before[0, 1], before[1, 0]
     assert np.abs(before[3, 5] - np.linalg.matrix_power(h, 5) @ np.linalg.matrix_power(v, 3)).max() < 1e-9
     assert poses.recentred(placed.where("not (row = 1 and column = 2)"), ["grid"]).isEmpty()
+
+
+def test_loops_compose_rotations(spark):
+    """Squares of turned edges against numpy: the residual, the weakest edge, ties, and turns of next to nothing and next to half a turn."""
+    from tessella.operators import edges
+
+    rng = np.random.default_rng(4)
+
+    def turn(v):
+        t = np.linalg.norm(v)
+        k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+        return np.eye(3) + (np.sin(t) / t) * k + ((1 - np.cos(t)) / t**2) * k @ k if t else np.eye(3)
+
+    rows, expected = [], {}
+    for capture in range(40):
+        size = rng.choice([1e-9, 0.004, 0.3, 1.5])
+        four = {k: (turn(rng.normal(0, size, 3)), float(rng.choice([1.0, 1.1, 5.0, 9.0]))) for k in ((0, 1), (1, 3), (2, 3), (0, 2))}
+        cycle = four[0, 1][0] @ four[1, 3][0] @ four[2, 3][0].T @ four[0, 2][0].T
+        v = np.array([cycle[2, 1] - cycle[1, 2], cycle[0, 2] - cycle[2, 0], cycle[1, 0] - cycle[0, 1]])
+        residual = math.atan2(np.linalg.norm(v), np.trace(cycle) - 1) * 1000
+        ranked = sorted(four, key=lambda k: (four[k][1], k))
+        tied = four[ranked[0]][1] >= 0.85 * four[ranked[1]][1]
+        for k, (m, w) in four.items():
+            rows.append((capture, *k, m.ravel().tolist(), w))
+            bad = residual > 12
+            expected[capture, *k] = residual, bool(bad and tied), w * (0.05 if bad and not tied and k == ranked[0] else 1.0)
+    df = spark.createDataFrame(rows, "capture int, `from` int, `to` int, rotation array<double>, weight double")
+    got = {(r.capture, r["from"], r["to"]): (r.worst_loop, r.ambiguous, r.scaled) for r in edges.loop_weights(df, ["capture"], 2, 1000.0).collect()}
+    assert set(got) == set(expected)
+    for k, (residual, ambiguous, scaled) in expected.items():
+        assert math.isclose(got[k][0], residual, abs_tol=1e-5) and got[k][1] == ambiguous and math.isclose(got[k][2], scaled)
