@@ -54,7 +54,7 @@ QUERIES = {
     "unique_names": lambda spark, sf: catalog.unique_names(_files(spark, sf), "name", "p_partkey").select("p_partkey", "unique_name"),
     "status_counts": lambda spark, sf: catalog.status_counts(_orders(spark, sf), "o_orderstatus"),
     "gallery_modes": _galleries,
-    "request_hash": lambda spark, sf: _bodies(spark, sf).groupBy(catalog.request_hash(F.col("body")).isNull().alias("malformed"), "o_custkey", "o_orderpriority").agg(F.countDistinct(catalog.request_hash(F.col("body"))).alias("hashes")),
+    "request_hash": lambda spark, sf: _bodies(spark, sf).select("o_orderkey", catalog.request_hash(F.col("body")).alias("hash")),
     "same_maps": lambda spark, sf: _orders(spark, sf).select("o_orderkey", catalog.same_map(F.create_map(F.lit("a"), F.col("o_orderkey") % 3, F.lit("b"), F.col("o_custkey") % 2), F.create_map(F.lit("b"), F.col("o_orderkey") % 2, F.lit("a"), F.col("o_custkey") % 3)).alias("same")),
     "clear_best_only": lambda spark, sf: catalog.only_clear(table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber") + F.col("l_extendedprice") / 1e7).alias("bytes")).distinct(), ["l_partkey"], "bytes").select("l_partkey", F.round("size", 4).alias("size")),
 }
@@ -79,7 +79,7 @@ select o_custkey, o_orderkey, slot, round(spent, 2) as spent from w where slot <
     "gallery_modes": """with r as (select o_custkey as c, o_orderkey as id, lower(o_orderpriority) as name, date_trunc('month', o_orderdate) as d from orders)
 select 'name' as mode, id, row_number() over (partition by c order by name, d desc, id) as rank from r union all select 'name-down', id, row_number() over (partition by c order by name desc, d desc, id) from r
 union all select 'newest', id, row_number() over (partition by c order by d desc, name, id) from r union all select 'oldest', id, row_number() over (partition by c order by d, name, id) from r""",
-    "request_hash": "select o_orderkey % 3 = 2 as malformed, o_custkey, o_orderpriority, case when o_orderkey % 3 = 2 then 0 else 1 end::bigint as hashes from orders group by all",
+    "request_hash": "select o_orderkey, case when o_orderkey % 3 < 2 then sha256('cust=' || o_custkey || chr(1) || 'prio=' || o_orderpriority) end as hash from orders",
     "same_maps": "select o_orderkey, o_orderkey % 3 = o_custkey % 3 and o_orderkey % 2 = o_custkey % 2 as same from orders",
     "clear_best_only": "select l_partkey, round(max(l_orderkey * 10 + l_linenumber + l_extendedprice / 1e7), 4) as size from lineitem group by 1",
     "status_counts": "select o_orderstatus, count(*) as n from orders group by 1",

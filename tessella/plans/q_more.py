@@ -9,7 +9,7 @@ from ..session import table
 from .shared import duck, view
 
 C = F.col
-RUNS = "select l_suppkey % 40 as id, l_partkey % 60 as y, l_orderkey % 90 as x0, l_orderkey % 90 + cast(l_quantity as int) % 9 as x1, l_discount as conf from {lineitem} where l_linenumber = 1"
+RUNS = "select l_suppkey as id, cast(floor(l_suppkey / 5) as bigint) * 5 + l_partkey % 30 as y, l_orderkey % 90 as x0, l_orderkey % 90 + cast(l_quantity as int) % 9 as x1, l_discount as conf from {lineitem}"
 QUALITY = "select l_orderkey, l_discount >= 0.03e0 as accepted, l_linenumber = 4 as nominal, l_tax as ratio, case when l_partkey % 7 > 0 then l_quantity end as residual from {lineitem}"
 LEVELS = "select l_orderkey as manifest, l_linenumber - 2 as level, cast(l_quantity * 30 as int) as width, cast(floor(l_extendedprice) as int) % 1500 as height, l_partkey % 5 as tiles from {lineitem}"
 
@@ -45,7 +45,7 @@ def _approximate(spark, sf):
 
 def _stored(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_suppkey", C("l_orderkey").alias("from"), C("l_linenumber").alias("to"), F.array("l_partkey", "l_linenumber").alias("points"))
-    return match.stored(lines.where("to <= 2"), ["l_suppkey"]).select("l_suppkey", "edges", F.length("sha256").cast("long").alias("digits"))
+    return match.stored(lines, ["l_suppkey"]).select("l_suppkey", "edges", "sha256")
 
 
 QUERIES = {
@@ -53,7 +53,7 @@ QUERIES = {
     "ray_rotation_fit": _rotations,
     "component_groups": lambda spark, sf: runs.grouped_components(runs.merge(view(spark, sf, RUNS).select("id", "y", "x0", "x1"), ["id", "y"]).drop("parts")),
     "component_summary": lambda spark, sf: runs.summarised(view(spark, sf, RUNS).withColumn("id", C("y") * 1000 + C("x0")), view(spark, sf, RUNS).select((C("y") * 1000 + C("x0")).alias("id"), (C("y") % 7).alias("component")).distinct(), "conf").withColumn("confidence", F.round("confidence", 6)),
-    "owners_in_tiles": lambda spark, sf: runs.owners_in_tiles(spark.range(16).select(F.expr("id div 4").alias("tile_row"), (C("id") % 4).alias("tile_column")), view(spark, sf, RUNS).withColumnRenamed("id", "owner"), 16).drop("conf"),
+    "owners_in_tiles": lambda spark, sf: runs.owners_in_tiles(table(spark, sf, "part").select(F.expr("p_partkey div 16").alias("tile_row"), (C("p_partkey") % 6).alias("tile_column")).distinct(), view(spark, sf, RUNS).withColumnRenamed("id", "owner"), 16).drop("conf"),
     "quality_summary": lambda spark, sf: records.quality_summary(view(spark, sf, QUALITY), "l_orderkey").select("l_orderkey", "matched", "nominal", "failed", *[F.round(c, 5).alias(c) for c in ("confidence", "mean_residual", "greatest_residual")]),
     "runs_compared": _compared,
     "thumbnail_levels": lambda spark, sf: records.thumbnail_level(view(spark, sf, LEVELS), "manifest", 512),
@@ -73,7 +73,7 @@ select f as id, t as neighbour, disposition, residual from b where t < 1000 and
     "component_groups": _M + """, a as (select id, sum(x1 - x0 + 1) as area from r group by 1), p as (select l.id as a, q.id as b, sum(least(l.x1, q.x1) - greatest(l.x0, q.x0) + 1)::bigint as pixels from r l join r q on l.y = q.y and l.x0 <= q.x1 and q.x0 <= l.x1 and l.id < q.id group by 1, 2)
 select a, b, pixels from p join a x on x.id = a join a z on z.id = b where pixels >= least(x.area, z.area, 2) and pixels * 10 >= least(x.area, z.area)""",
     "component_summary": f"select y % 7 as component, sum(x1 - x0 + 1)::bigint as area, min(x0) as x0, max(x1) as x1, min(y) as y0, max(y) as y1, round(sum(conf * (x1 - x0 + 1)) / sum(x1 - x0 + 1), 6) as confidence from ({duck(RUNS)}) group by 1",
-    "owners_in_tiles": f"""with t as (select range // 4 as tile_row, range % 4 as tile_column from range(16)) select tile_row, tile_column, id as owner, y, greatest(x0, tile_column * 16 - 3) as x0, least(x1, tile_column * 16 + 18) as x1
+    "owners_in_tiles": f"""with t as (select distinct p_partkey // 16 as tile_row, p_partkey % 6 as tile_column from part) select tile_row, tile_column, id as owner, y, greatest(x0, tile_column * 16 - 3) as x0, least(x1, tile_column * 16 + 18) as x1
 from t join ({duck(RUNS)}) r on y + 3 >= tile_row * 16 and y - 3 < (tile_row + 1) * 16 and x1 + 3 >= tile_column * 16 and x0 - 3 < (tile_column + 1) * 16""",
     "quality_summary": f"""with q as ({duck(QUALITY)}), m as (select *, case when accepted and not nominal then residual end as v from q) select l_orderkey, count_if(accepted and not nominal)::bigint as matched, count_if(nominal)::bigint as nominal, count_if(not accepted and not nominal)::bigint as failed,
   round(coalesce(avg(case when accepted then ratio end), 0), 5) as confidence, round(coalesce(avg(v), 0), 5) as mean_residual, round(coalesce(max(v), 0), 5) as greatest_residual from m group by 1""",
@@ -85,5 +85,6 @@ select batch, lpad((row_number() over (partition by batch order by page_id))::va
     "scene_options": "select o_orderkey, case o_orderkey % 6 when 0 then 'people+water+m' when 2 then 'people+m' when 4 then 'people+m' when 3 then 'water+m' else '' end as options from orders",
     "log_order": "select event_id as added, row_number() over (partition by user_id order by date_trunc('day', ts), case when event_id % 3 > 0 then event_id % 5 end nulls last, event_id) as place from events",
     "edges_without": """select distinct l_partkey as "from", l_suppkey as "to" from lineitem where l_linenumber % 3 = 1 and (l_partkey, l_suppkey) not in (select (l_partkey, l_suppkey) from lineitem where l_linenumber % 3 = 2)""",
-    "stored_correspondences": "select l_suppkey, count(*) as edges, 64::bigint as digits from lineitem where l_linenumber <= 2 group by 1",
+    "stored_correspondences": """with e as (select l_suppkey, l_orderkey as f, l_linenumber as t, sha256('{"from":' || l_orderkey || ',"to":' || l_linenumber || ',"points":[' || l_partkey || ',' || l_linenumber || ']}') as h from lineitem)
+select l_suppkey, count(*) as edges, sha256(string_agg(h, '' order by f, t, h)) as sha256 from e group by 1""",
 }

@@ -17,9 +17,9 @@ case p_partkey % 5 when 0 then 'v1.' || p_size || '.3' when 1 then '1.2.3+' || p
 REPORTS = """select o_orderkey, case o_orderkey % 9 when 0 then 'central-measured-overlap-grid' when 1 then 'nominal-fov-grid' when 2 then 'visual-ray' when 3 then 'visual-ray-grid-2' when 4 then 'planar' when 5 then 'Grid-x' when 6 then 'visual-grid-bridge' end as geometry,
 cast(case when o_custkey % 3 > 0 then o_custkey % 5 * (o_custkey % 2) end as bigint) as forced, cast(case when o_custkey % 4 > 0 then o_orderkey % 4 end as bigint) as visual, cast(case when o_custkey % 5 > 0 then o_orderkey % 3 * (o_custkey % 2) end as bigint) as estimated,
 cast(case when o_custkey % 7 > 0 then 3 end as bigint) as total, case when o_orderkey % 2 = 0 then 'passed-measured-checks' else 'needs-review' end as quality, o_orderkey % 5 = 0 as evidence, o_orderkey % 31 = 0 as nominal from {orders}"""
-LOCKS = "select distinct l_suppkey % 20 as \"row\", l_partkey % 15 as \"column\", case when l_suppkey % 3 > 0 then 'user' end as origin from {lineitem} where l_orderkey < 200"
-OLD = 'select p_partkey as photo, p_partkey % 20 as "row", cast(floor(p_partkey / 20) as bigint) % 15 as "column" from {part} where p_partkey < 300 and p_partkey % 7 > 0'
-NEW = 'select p_partkey as photo, cast(floor(p_partkey / 25) as bigint) as "row", p_partkey % 25 as "column" from {part} where p_partkey < 280 and p_partkey % 11 > 0'
+LOCKS = "select distinct l_partkey as photo_cell, cast(floor(l_partkey / 20) as bigint) as \"row\", l_partkey % 20 as \"column\", case when l_partkey % 3 > 0 then 'user' end as origin from {lineitem} where l_returnflag = 'R'"
+OLD = 'select p_partkey as photo, cast(floor(p_partkey / 20) as bigint) as "row", p_partkey % 20 as "column" from {part} where p_size > 5'
+NEW = 'select p_partkey as photo, cast(floor(p_partkey / 25) as bigint) as "row", p_partkey % 25 as "column" from {part} where p_size < 40'
 TILES = "select l_orderkey as manifest, l_linenumber % 4 - 1 as \"row\", cast(l_quantity as int) % 4 as \"column\", case l_partkey % 6 when 0 then '/abs.png' when 1 then 'a/../b.png' when 2 then 'c:x' else 'ok.png' end as path, case when l_suppkey % 3 = 0 then 512 else 376 end as w, 512 as h, 1400 as width, 1536 as height from {lineitem}"
 FILES = "select l_orderkey, l_quantity as wanted_bytes, case when l_partkey % 9 > 0 then l_quantity end as got_bytes, cast(l_suppkey as string) as wanted_hash, cast(case when l_partkey % 31 > 0 then l_suppkey end as string) as got_hash from {lineitem}"
 COMPONENTS = "select l_suppkey as grp, l_orderkey * 10 + l_linenumber as id, l_linenumber > 3 as truncated, l_discount as coverage, l_tax as confidence, l_quantity as sharpness from {lineitem}"
