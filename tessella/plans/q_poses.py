@@ -11,7 +11,7 @@ from .shared import duck, times, turn, view
 C = F.col
 #: Captures of eight orders, nine tiles each; an edge's homography is a shear, a scale and a shift.
 EDGES = """select cast(floor(l_orderkey / 8) as bigint) as capture, l_orderkey * 10 + l_linenumber as edge, max(l_partkey) % 9 as a, max(l_suppkey) % 9 as b, cast(max(l_quantity) as int) as inliers, 0.3e0 + max(l_discount) as ratio, max(l_tax) * 10 as residual,
-1e0 + max(l_tax) as p, max(l_discount) * 0.1013327e0 as s, max(l_quantity) * 1.0371713e0 as tx, 1e0 - min(l_tax) as q, min(l_quantity) * -0.5039173e0 as ty from {lineitem} group by l_orderkey, l_linenumber"""
+1e0 + max(l_tax) * 0.9737173e0 as p, max(l_discount) * 0.1013327e0 as s, max(l_quantity) * 1.0371713e0 as tx, 1e0 - min(l_tax) * 0.9737173e0 as q, min(l_quantity) * -0.5039173e0 as ty from {lineitem} group by l_orderkey, l_linenumber"""
 #: Matches of 20 tiles and their neighbours: a planted homography, and two in five that are off by 60 to 900 pixels.
 MATCHES = """select l_suppkey as edge, l_quantity * 19 + l_linenumber as sx, l_partkey % 700 * 1e0 as sy, l_orderkey % 5 < 2 as bad, 60 + l_partkey % 29 * 30 as off,
 1 + l_suppkey % 7 * 0.01e0 as h0, l_suppkey % 5 * 0.004e0 as h1, l_suppkey % 90 * 1e0 as h2, l_suppkey % 3 * -0.003e0 as h3, 1 - l_suppkey % 4 * 0.01e0 as h4, l_suppkey % 40 - 20e0 as h5, l_suppkey % 6 * 0.00001e0 as h6, l_suppkey % 8 * -0.00001e0 as h7 from {lineitem}"""
