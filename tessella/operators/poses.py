@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import matrices
+from . import matrices, robust
 
 UNIT = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 c = F.col
@@ -128,3 +128,67 @@ def recentred(poses: DataFrame, keys: list[str]) -> DataFrame:
     centre = size.join(poses, [*keys, "row", "column"]).select(*keys, matrices.transpose(c("rotation")).alias("_turn"))
     there = poses.join(centre, keys) if keys else poses.crossJoin(F.broadcast(centre))
     return there.withColumn("rotation", matrices.product(c("_turn"), c("rotation"))).drop("_turn")
+
+
+#: The cutoff of a step's samples in radians, the least angle of a step, and what an estimated edge weighs beside a typical one.
+STEP_FLOOR, LEAST_STEP, ESTIMATED, LEAST_WEIGHT, MOST_WEIGHT = 0.005, 1e-6, 0.001, 1e-5, 0.01
+
+
+def robust_steps(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, vector, rotation, samples, rms: the robust middle of each group's rotations.
+
+    Medians by axis of the rotation vectors, a cutoff of max(0.005, median + 3 * 1.4826 * MAD) on the distances from them, medians of what is
+    left, and the root mean square of the angles between those and the middle. Rows without a rotation have no part.
+    """
+    vectors = edges.where(c("rotation").isNotNull()).select(*keys, "rotation", matrices.rotation_log(c("rotation")).alias("_v"))
+
+    def middle(rows: DataFrame, name: str) -> DataFrame:
+        axes = F.explode(F.array(*[F.struct(F.lit(k).alias("_axis"), c("_v")[k].alias("_w")) for k in range(3)]))
+        med = robust.medians(rows.select(*keys, axes.alias("_a")).select(*keys, "_a.*"), [*keys, "_axis"], "_w")
+        of = [F.max(F.when(c("_axis") == k, c("median"))) for k in range(3)]
+        return written(med.groupBy(*keys).agg(F.array(*of).alias(name), F.max("n").alias("samples")), "middles")
+
+    def apart(a: Column, b: Column) -> Column:
+        return F.sqrt(sum(((a[k] - b[k]) * (a[k] - b[k]) for k in range(3)), F.lit(0.0)))
+
+    far = vectors.join(middle(vectors, "_m").drop("samples"), keys).withColumn("_r", apart(c("_v"), c("_m")))
+    spread = written(robust.median_mad(far, keys, "_r").select(*keys, c("median").alias("_mr"), "mad"), "spread")
+    near = far.join(spread, keys).where(c("_r") <= F.greatest(F.lit(STEP_FLOOR), c("_mr") + 3 * 1.4826 * c("mad"))).select(*keys, "rotation", "_v")
+    fit = middle(near, "vector")
+    fit = written(fit.withColumn("_t", matrices.rotation(c("vector"))), "fits")
+    off = near.join(fit, keys).withColumn("_back", matrices.transpose(c("_t"))).withColumn("_d", matrices.product(c("_back"), c("rotation")))
+    rms = off.withColumn("_a", matrices.rotation_angle(c("_d"))).groupBy(*keys).agg(F.sqrt(F.avg(c("_a") * c("_a"))).alias("rms"))
+    return fit.join(rms, keys).select(*keys, "vector", c("_t").alias("rotation"), "samples", "rms")
+
+
+def synthesized(cells: DataFrame, edges: DataFrame, keys: list[str], widest: dict[str, float], nominal: dict[str, list[float]] | None = None) -> DataFrame:
+    """keys, from, to, axis, rotation, weight, source, samples, rms of the neighbour edges that a grid lacks.
+
+    cells: keys, row, column, columns, placed; edges: keys, from, to, rotation, weight, a tile's number being row * columns + column. An edge between two placed cells
+    (those that visual edges join to the root) is not needed. Its rotation is the robust middle of its row (`horizontal`) or column (`vertical`), else of
+    its axis in the capture, if that turns by more than 1e-6 and less than widest[axis]; else the `nominal` rotation of the axis, and without one null
+    (source `none`): such a capture can't be placed. Its weight is a thousandth of the capture's median, from 1e-5 to 0.01; 0.001 without edges.
+    """
+    tile = c("row") * c("columns") + c("column")
+    ends = cells.select(*keys, "row", "column", "columns", tile.cast("long").alias("tile"), "placed")
+    other = ends.select(*keys, c("tile").alias("to"), c("placed").alias("_there"))
+    ways = F.explode(F.array(F.struct(F.lit("horizontal").alias("axis"), (c("tile") + 1).alias("to"), c("row").alias("line")), F.struct(F.lit("vertical").alias("axis"), (c("tile") + c("columns")).alias("to"), c("column").alias("line"))))
+    pairs = ends.select(*keys, c("tile").alias("from"), "placed", "column", "columns", ways.alias("_w")).select(*keys, "from", "placed", "column", "columns", "_w.*")
+    pairs = pairs.where("axis = 'vertical' or column + 1 < columns").join(other, [*keys, "to"])
+    known = edges.where(c("rotation").isNotNull()).select(*keys, "from", "to", "rotation", "weight")
+    seen = known.join(pairs.select(*keys, "from", "to", "axis", "line"), [*keys, "from", "to"])
+    # the axis of a whole capture is a line of its own
+    lines = seen.select(*keys, "axis", F.explode(F.array(c("line").cast("long"), F.lit(-1).cast("long"))).alias("line"), "rotation")
+    steps = robust_steps(lines, [*keys, "axis", "line"])
+    angle = matrices.rotation_angle(c("rotation"))
+    most = F.coalesce(*[F.when(c("axis") == k, F.lit(v)) for k, v in widest.items()])
+    usable = written(steps.where((angle > LEAST_STEP) & (angle < most)).select(*keys, "axis", "line", "rotation", "samples", "rms"), "steps")
+    whole = usable.where("line = -1").select(*keys, "axis", c("rotation").alias("_r"), c("samples").alias("_n"), c("rms").alias("_e"))
+    heavy = robust.medians(known.where((F.abs("weight") < float("inf"))), keys, "weight").drop("n")
+    lacking = pairs.where(~(c("placed") & c("_there"))).join(known.select(*keys, "from", "to"), [*keys, "from", "to"], "left_anti").select(*keys, "from", "to", "axis", c("line").cast("long").alias("line"))
+    out = lacking.join(usable, [*keys, "axis", "line"], "left").join(whole, [*keys, "axis"], "left").join(heavy, keys, "left")
+    spare = F.coalesce(*[F.when(c("axis") == k, F.array(*map(F.lit, v))) for k, v in (nominal or {}).items()], F.lit(None).cast("array<double>"))
+    own, all_ = c("rotation").isNotNull(), c("_r").isNotNull()
+    source = F.when(own, "line").when(all_, "axis").when(spare.isNotNull(), "nominal").otherwise("none")
+    weight = F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.coalesce("median", F.lit(1.0)) * ESTIMATED))
+    return out.select(*keys, "from", "to", "axis", F.coalesce("rotation", "_r", spare).alias("rotation"), weight.alias("weight"), source.alias("source"), F.when(own, c("samples")).when(all_, c("_n")).alias("samples"), F.when(own, c("rms")).when(all_, c("_e")).alias("rms"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_blend, q_catalog, q_edges, q_geometry, q_graph, q_grid, q_match, q_matrices, q_more, q_poses, q_records, q_robust, q_runs, q_scan, q_sources, q_tiles, q_timeline
+from . import q_blend, q_catalog, q_edges, q_geometry, q_graph, q_grid, q_match, q_matrices, q_more, q_poses, q_records, q_replay, q_robust, q_runs, q_scan, q_sources, q_tiles, q_timeline
 
-MODULES = (q_grid, q_robust, q_blend, q_match, q_timeline, q_runs, q_graph, q_catalog, q_geometry, q_scan, q_edges, q_matrices, q_records, q_sources, q_tiles, q_more, q_poses)
+MODULES = (q_grid, q_robust, q_blend, q_match, q_timeline, q_runs, q_graph, q_catalog, q_geometry, q_scan, q_edges, q_matrices, q_records, q_sources, q_tiles, q_more, q_poses, q_replay)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
