@@ -14,7 +14,8 @@ group grows with the input.
 
 Nulls and odd input: vectors that are null or hold a null or non-finite component take no part, nor do rows
 with a null id; vectors meet only vectors of their own length, empty ones included (score 0); equal scores
-go to the smaller id; rows that repeat an id are separate candidates, and none of them is a candidate of a
+go to the smaller id; components and scores beyond a bigint become its nearest value (a score as a whole: partial sums may
+pass it), and scores that do so are equal; rows that repeat an id are separate candidates, and none of them is a candidate of a
 query with that id; a query row that is repeated is one query; an empty table gives an empty result.
 """
 
@@ -38,6 +39,8 @@ QUERY_ROWS = 256
 #: Bounds that a task holds before it lets go of those that others have ruled out.
 HELD = 1 << 20
 FIRST = 32
+#: The greatest bigint as a double.
+MOST_SCORE = 2.0**63
 
 CELLS = "dim int, keys binary, ids binary, low binary, step binary, cells binary"
 BOUNDS = "query_id long, key long, vec_id long, lower double, upper double"
@@ -92,13 +95,15 @@ class Wave:
                 lower = np.partition(lower, -self.k, axis=1)[:, -self.k :]
             best = np.sort(np.concatenate([self.best[lo : lo + QUERY_ROWS], lower], axis=1), axis=1)[:, -self.k :]
             self.best[lo : lo + QUERY_ROWS] = best
-            i, j = np.nonzero((middle + slack[:, None] >= best[:, :1]) & (middle > -np.inf))
+            # scores beyond a bigint are equal there, so bounds are
+            i, j = np.nonzero((middle + slack[:, None] >= np.minimum(best[:, :1], MOST_SCORE)) & (middle > -np.inf))
             self.kept.append((lo + i, keys[j], ids[j], middle[i, j] - slack[i], middle[i, j] + slack[i]))
             self.size += len(i)
 
     def rows(self) -> pa.RecordBatch:
         query, key, vec, lower, upper = (np.concatenate(c) for c in zip(*self.kept))
-        near = upper >= self.best[query, 0]
+        lower, upper = (np.clip(x, -MOST_SCORE, MOST_SCORE) for x in (lower, upper))
+        near = upper >= np.minimum(self.best[query, 0], MOST_SCORE)
         self.kept, self.size = [], 0
         return batch(_bounds, [self.ids[query[near]], key[near], vec[near], lower[near], upper[near]])
 
@@ -150,6 +155,29 @@ def _scan(spark: SparkSession, cells: DataFrame, queries: list[tuple[int, np.nda
     return found
 
 
+def inner_product(a: Column, b: Column) -> Column:
+    """The sum of products of two arrays of bigints of one length, exact; beyond a bigint its nearest value.
+
+    Where the products' sizes add up to less than 2**62 bigints hold every partial sum. Else each a is cut into 31 low bits and the rest,
+    both are multiplied and added as decimals, and the high sum, if it is beyond 2**80, decides alone.
+    """
+    wide = "decimal(38,0)"
+    size = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") * y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    plain = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    high = F.zip_with(a, b, lambda x, y: (F.shiftright(x, 31).cast("decimal(12,0)") * y.cast("decimal(19,0)")).cast(wide))
+    low = F.zip_with(a, b, lambda x, y: (x.bitwiseAND(F.lit((1 << 31) - 1)).cast("decimal(12,0)") * y.cast("decimal(19,0)")).cast(wide))
+    total = lambda parts: F.aggregate(parts, F.lit(0).cast(wide), lambda s, x: (s + x).cast(wide))
+    least, most = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+
+    def joined(h: Column, lo: Column) -> Column:
+        whole = (h.cast("decimal(26,0)") * F.lit(1 << 31).cast("decimal(10,0)")).cast(wide) + lo
+        inside = F.when(whole > most, most).when(whole < least, least).otherwise(whole.cast("long"))
+        return F.when(h > F.lit(str(1 << 80)).cast(wide), most).when(h < F.lit(str(-(1 << 80))).cast(wide), least).otherwise(inside)
+
+    exact = F.transform(F.array(F.struct(total(high).alias("h"), total(low).alias("l"))), lambda p: joined(p["h"], p["l"]))[0]
+    return F.when(size < float(1 << 62), plain).otherwise(exact)
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> tuple[DataFrame, list[int]]:
     """(query_id, rank, vec_id, score) of the k rows (id, v) with the greatest inner product for each query
     (id, v), and how many exact vectors each step read."""
@@ -161,7 +189,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> tuple[DataFrame,
     near = found.join(floor, "query_id").where("floor is null or upper >= floor")
     order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("upper"), "key"))
     left = written(near.select("query_id", "key", "vec_id", "upper", order.alias("place")), "ordered")
-    product = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
+    product = inner_product(F.col("v"), F.col("q"))
     best, upto, read = None, FIRST, []
     while True:
         some = left.where(F.col("place") <= upto)

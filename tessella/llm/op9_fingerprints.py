@@ -49,6 +49,9 @@ LIKENESS = 0.8
 REPRESENTATIVES = 2
 NEAR = 0.72
 SEED = 9
+#: Members of a band that one task numbers, and the most bands that are dealt over several.
+HOT = 4096
+MOST_HOT = 100_000
 #: Rows that a part of the doc_id order holds, and the most parts there are.
 PART_ROWS = 4000
 MAX_PARTS = 20_000
@@ -160,26 +163,31 @@ def _in_place(unique: bool):
 def _ordered(rows: DataFrame) -> DataFrame:
     """Rows (part, tail, doc_id, h, text, open) in parts of consecutive doc_ids, from rows (doc_id, text, open).
 
-    The parts' first ids are ids of rows, so a part's last row is followed by the first of the next part:
-    that one is given to both, as a tail in the earlier. The driver holds one id for each part.
+    Parts of null ids come first and are ranges of the text's hash h. A part begins with the key of a row, so its last row is followed by the first of the
+    next part: that one is given to both, as a tail in the earlier. The driver holds one id or hash for each part.
     """
     known = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("null")).collect()[0]
     parts = max(1, min(MAX_PARTS, known.n // PART_ROWS))
     starts = rows.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * MAX_PARTS)).collect()[0][0] if parts > 1 else []
-    starts = np.array(sorted({int(s) for s in starts or []} - {known.least}), np.int64)
-    last = len(starts)
+    begins = np.array(sorted({int(s) for s in starts or []} | ({known.least} if known.least is not None else set())), np.int64)
+    ranges = max(1, min(MAX_PARTS, known.null // PART_ROWS))
+    hashed = rows.where("doc_id is null").select(F.xxhash64("text").alias("h"))
+    least = hashed.groupBy(F.floor((F.col("h") / 2.0**64 + 0.5) * ranges).alias("k")).agg(F.min("h").alias("h")).collect() if known.null else []
+    nulls = np.array(sorted(r.h for r in least), np.int64)
+    last = max(0, len(nulls) + len(begins) - 1)
 
     @F.pandas_udf("array<struct<part:int,tail:boolean>>")
-    def placed(doc_id: pd.Series) -> pd.Series:
+    def placed(doc_id: pd.Series, h: pd.Series) -> pd.Series:
         null = doc_id.isna().to_numpy()
-        ids = doc_id.fillna(0).astype("int64").to_numpy()
-        part = np.where(null, 0, np.searchsorted(starts, ids, "right"))
-        first = ~null & (part > 0) & (starts[np.maximum(part - 1, 0)] == ids) if last else np.zeros(len(ids), bool)
+        key = np.where(null, h.to_numpy(np.int64), doc_id.fillna(0).astype("int64").to_numpy())
+        part, first = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        for own, firsts, before in ((null, nulls, 0), (~null, begins, len(nulls))):
+            at = np.searchsorted(firsts, key[own], "right") - 1
+            part[own], first[own] = before + at, firsts[at] == key[own] if len(firsts) else False
         # the first document of all follows the last
-        wraps = null if known.null else ids == (known.least if known.least is not None else 0)
-        return pd.Series([[(p, False)] + ([(p - 1, True)] if f else []) + ([(last, True)] if w else []) for p, f, w in zip(part.tolist(), first, wraps)])
+        return pd.Series([[(p, False), (p - 1 if p else last, True)] if f else [(p, False)] for p, f in zip(part.tolist(), first.tolist())])
 
-    placing = rows.select("doc_id", F.xxhash64("text").alias("h"), "text", "open", F.explode(placed("doc_id")).alias("at")).select("at.part", "at.tail", "doc_id", "h", "text", "open")
+    placing = rows.select("doc_id", F.xxhash64("text").alias("h"), "text", "open", F.explode(placed("doc_id", F.xxhash64("text"))).alias("at")).select("at.part", "at.tail", "doc_id", "h", "text", "open")
     return placing.repartition("part").sortWithinPartitions("part", "tail", F.asc_nulls_first("doc_id"), "h", "text")
 
 
@@ -256,8 +264,7 @@ def classes(docs: DataFrame, signed: DataFrame, least: float = LIKENESS) -> Data
         x, y = (np.frombuffer(b"".join(s), ">u2").reshape(-1, PERMUTATIONS) for s in (a, b))
         return pd.Series((x == y).mean(axis=1))
 
-    order = F.row_number().over(W.partitionBy("band").orderBy("node"))
-    left = written(left.select("band", "node", "sig", F.col("node").alias("root"), order.alias("k")), "members")
+    left = written(numbered(left).select("band", "node", "sig", F.col("node").alias("root"), "k"), "members")
     edges, roots, met_first, upto = None, None, 0, REPRESENTATIVES
     while not left.isEmpty():
         some = left.where((F.col("k") > met_first) & (F.col("k") <= upto)).select("band", F.col("node").alias("other"), F.col("sig").alias("theirs"), F.col("root").alias("there"), F.col("k").alias("at"))
@@ -277,6 +284,20 @@ def classes(docs: DataFrame, signed: DataFrame, least: float = LIKENESS) -> Data
     return labelled.join(labelled.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
 
 
+def numbered(members: DataFrame, hot: int = HOT) -> DataFrame:
+    """members (band, node, ...) with k, a number from 1 that is unique in its band.
+
+    A band of over `hot` members, or of over one in MOST_HOT of all there are, is dealt over salts that are numbered apart and take turns. There are at most
+    MOST_HOT such bands, whose numbers of salts are broadcast (16 bytes each).
+    """
+    size = max(hot, members.count() // MOST_HOT)
+    large = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > size).select("band", F.expr(f"n div {size} + 1").alias("_salts"))
+    dealt = members.join(F.broadcast(large), "band", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("_salts")))
+    place = F.row_number().over(W.partitionBy("band", "_salt").orderBy("node"))
+    return dealt.withColumn("k", (place - 1) * F.col("_salts") + F.col("_salt") + 1).drop("_salts", "_salt")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """pairs (node, other) with `alike`: whether the Jaccard likeness of their shingle sets is at least `least`.
 

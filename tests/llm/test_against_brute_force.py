@@ -119,6 +119,46 @@ def test_top_k(spark):
     assert got == expected
 
 
+def test_topk_beyond_a_bigint(spark):
+    """Large finite components: products and sums beyond a bigint become its nearest value, and equal scores go to the smaller id."""
+    rng = random.Random(7)
+    big = lambda: rng.choice((-1, 1)) * 10.0 ** rng.choice((0, 3, 6, 9, 12, 15, 16.5, 17, 30, 300))
+    rows = [(i, [rng.uniform(-1, 1), rng.uniform(-1, 1)]) for i in range(60)] + [(i, [big(), big()]) for i in range(60, 220)] + [(220, [3e16, 1.0]), (221, [1e17, -1e17]), (222, [float("inf"), 1.0])]
+    least, most = -(1 << 63), (1 << 63) - 1
+    inside = lambda n: max(least, min(most, n))
+    whole = lambda x: inside(int(np.floor(x * 1024))) if abs(x) < 1e300 else (most if x > 0 else least)
+    v = {i: [whole(x) for x in own] for i, own in rows[:-1]}
+    frame = op4_topk.whole_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in op4_topk.search(frame, frame.where("id % 20 = 0"))[0].collect()}
+    expected = {}
+    for q in range(0, 221, 20):
+        best = sorted((-inside(sum(a * b for a, b in zip(v[q], v[c]))), c) for c in v if c != q)[:10]
+        expected |= {(q, k): (c, -s) for k, (s, c) in enumerate(best, 1)}
+    assert got == expected
+
+
+def test_hot_bands_are_numbered_apart(spark):
+    """Numbers are unique in a band, and begin as its members do where one task numbers them; no salt has much over its share."""
+    rows = [(b, n * 7919) for b, size in ((1, 1), (2, 40), (3, 1000)) for n in range(size)]
+    got = op9_fingerprints.numbered(spark.createDataFrame(rows, "band long, node long"), hot=50).collect()
+    assert sorted((r.band, r.node) for r in got) == sorted(rows) and len({(r.band, r.k) for r in got}) == len(rows)
+    assert sorted(r.k for r in got if r.band == 2) == list(range(1, 41)) and min(r.k for r in got) == 1
+    assert max(r.k for r in got if r.band == 3) < 2000
+
+
+def test_next_of_rows_without_an_id(spark, monkeypatch):
+    """Null ids come first, by the hashes of their texts, over several parts; the first of all follows the last."""
+    monkeypatch.setattr(op9_fingerprints, "PART_ROWS", 10)
+    rng = random.Random(12)
+    rows = [(None, words(rng, rng.randint(0, 12), VOCABULARY)) for _ in range(60)] + [(None, "same text again and again")] * 30 + [(i * 3, words(rng, 9, VOCABULARY)) for i in range(45)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_chars, r.edited.hex()) for r in op9_fingerprints.digests(df).collect())
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1]))
+    expected = Counter((i, len(t), hashlib.sha256(op9_fingerprints.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert got == expected
+
+
 def test_licences_equal_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as from '{TEN}/documents.parquet'")
