@@ -12,6 +12,8 @@ from ..sources import paged, photos, readers
 from .shared import duck, view
 
 C, SIDE = F.col, 64
+#: Fixed value: the widest that a JPEG can be.
+WIDEST = 65535
 #: A picture as wide as SIDE and as high as there are suppliers.
 PIXELS = "select l_partkey % 64 as x, l_suppkey as y, cast(sum(l_quantity) as bigint) as v from {lineitem} group by l_partkey % 64, l_suppkey"
 ALBUM = """select cast(floor(page_id / 20) as int) as page, cast(page_id % 20 as int) as place, '/sd/' || page_id % 97 as filePath, 'p' || page_id as fileName, length(html) as fileSize,
@@ -91,13 +93,14 @@ def _sizes(spark, sf):
     w, h = C("p_partkey"), C("p_size")
     png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(w, 4), number(h, 4))
     jpeg = F.concat(F.lit("FFD8FFE00004ABCDFFC40003FF"), F.when(w % 2 == 0, "FFC0").otherwise("FFC2"), F.lit("000B08"), number(h, 2), number(w, 2))
-    hexed = F.when(w % 3 == 0, png).when(w % 3 == 1, jpeg).otherwise("00FF00FF")
+    # a JPEG has 16 bits for its width
+    hexed = F.when(w % 3 == 2, "00FF00FF").when((w % 3 == 0) | (w > WIDEST), png).otherwise(jpeg)
     width, height = readers.picture_size(F.unhex(hexed))
     return p.select("p_partkey", width.alias("width"), height.alias("height"))
 
 
 def _photos(spark, sf):
-    """A JPEG for each part, in both byte orders, with its fields behind 70 other segments; some with broken offsets."""
+    """A JPEG for each part, in both byte orders, with its fields behind 70 other segments; some with broken offsets. Parts too wide for a JPEG are PNGs."""
     p = table(spark, sf, "part")
     big = C("p_partkey") % 2 == 0
 
