@@ -8,20 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 
 def tile_sources(tiles: DataFrame, sources: DataFrame, bin_size: float = 0.5) -> DataFrame:
     """(tile, source) whose cones meet: tiles and sources are (yaw, pitch, radius) in radians.
 
-    Pitch bands are an equi-join: a pair meets in the band of the tile, which the source's reach in pitch covers.
+    Cones that are alike are compared once: pairs of distinct cones meet by bands of pitch, in the band of the tile, which the
+    source's reach in pitch covers. Tiles and sources then join their cones.
     """
-    c = F.col
+    c, cone, other = F.col, ["yaw", "pitch", "radius"], ["_y", "_p", "_r"]
     widest = tiles.agg(F.max("radius").alias("_w"))  # one row
-    reach = F.sequence(F.floor((c("pitch") - c("radius") - c("_w")) / bin_size), F.floor((c("pitch") + c("radius") + c("_w")) / bin_size))
-    far = sources.crossJoin(F.broadcast(widest)).select("source", c("yaw").alias("_y"), c("pitch").alias("_p"), c("radius").alias("_r"), F.explode(reach).alias("_band"))
-    near = tiles.select("tile", "yaw", "pitch", "radius", F.floor(c("pitch") / bin_size).alias("_band"))
+    reach = F.sequence(F.floor((c("_p") - c("_r") - c("_w")) / bin_size), F.floor((c("_p") + c("_r") + c("_w")) / bin_size))
+    named = sources.select("source", *[c(a).alias(b) for a, b in zip(cone, other)])
+    far = named.select(*other).distinct().crossJoin(F.broadcast(widest)).select(*other, F.explode(reach).alias("_band"))
+    near = tiles.select(*cone).distinct().withColumn("_band", F.floor(c("pitch") / bin_size))
     angle = F.sin("pitch") * F.sin("_p") + F.cos("pitch") * F.cos("_p") * F.cos(c("yaw") - c("_y"))
     meets = angle >= F.cos(F.least(c("radius") + c("_r"), F.lit(math.pi)))
-    return near.join(far, "_band").where(meets).select("tile", "source")
+    met = dealt(near, *cone).join(far, "_band").where(meets).select(*cone, *other)
+    return dealt(met, *cone).join(named, other).join(tiles, cone).select("tile", "source")
 
 
 def band_tiles(bands: DataFrame, tiles: DataFrame, height: int) -> DataFrame:
