@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v))
@@ -55,15 +57,48 @@ def first_match(constraints: DataFrame, edges: DataFrame, order: str) -> DataFra
     return constraints.join(first, ["from", "to"], "left").select(*constraints.columns, "edge.*", F.col("edge").isNotNull().alias("complete"))
 
 
-def approximate_nearest(left: DataFrame, right: DataFrame, width: float, tables: int = 8, within: float = 1.0, seed: int = 7) -> DataFrame:
-    """(a, b, distance) of each left vector's nearest right one (id, v) among those that share a random projection's bucket and are within a distance."""
+def approximate_nearest(left: DataFrame, right: DataFrame, width: float, tables: int = 8, within: float = 1.0, seed: int = 7, block: int = 4096) -> DataFrame:
+    """(a, b, distance) of each left vector's nearest right one (id, v) among those that share a random projection's bucket and are within a distance.
+
+    The vectors of a bucket meet in blocks of about `block` by `block`, a product of matrices each, and only each vector's nearest leaves a block, so
+    a bucket that holds all vectors is many tasks of bounded memory. Where buckets tell little apart the work grows with the square of the vectors.
+    """
+    import numpy as np
+    import pandas as pd
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    own, other = (df.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("f")) for df in (left, right))
+    own, other = (df.select("id", "v", array_to_vector(F.col("v").cast("array<double>")).alias("f")) for df in (left, right))
     model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(own)
-    met = model.approxSimilarityJoin(own, other, within, "distance").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "distance")
-    return met.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where("_r = 1").drop("_r")
+    parts = [max(1, -(-df.count() // block)) for df in (left, right)]
+    keys = ["t", "bucket", "i", "j"]
+
+    def blocks(df: DataFrame, mine: str, theirs: str, n: int, m: int) -> DataFrame:
+        dealt_ = model.transform(df).select("id", "v", F.posexplode("h").alias("t", "_h")).select("id", "v", "t", vector_to_array("_h")[0].alias("bucket"))
+        dealt_ = dealt_.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+        return dealt(dealt_, *keys).groupBy(*keys)
+
+    def nearest(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        found: list[tuple] = []
+        if len(l) and len(r):
+            r = r.sort_values("id", ignore_index=True)
+            x, y = (np.stack(df["v"].to_numpy()).astype(float) for df in (l, r))
+            size = (y * y).sum(axis=1)
+            for lo in range(0, len(x), 256):
+                some = x[lo : lo + 256]
+                near = (some * some).sum(axis=1)[:, None] + size - 2 * (some @ y.T)
+                # the product rounds: all that may be nearest are measured again
+                close = near <= near.min(axis=1)[:, None] + 1e-9 * ((some * some).sum(axis=1) + size.max())[:, None]
+                at, to = np.nonzero(close)
+                d = np.sqrt(((some[at] - y[to]) ** 2).sum(axis=1))
+                order = np.lexsort((to, d, at))
+                first = order[np.r_[True, np.diff(at[order]) > 0]]
+                found += [(l["id"].iloc[lo + at[k]], r["id"].iloc[to[k]], d[k]) for k in first if d[k] < within]
+        return pd.DataFrame(found, columns=["a", "b", "distance"])
+
+    kind = [df.schema["id"].dataType.simpleString() for df in (left, right)]
+    met = blocks(own, "i", "j", *parts).cogroup(blocks(other, "j", "i", *parts[::-1])).applyInPandas(nearest, f"a {kind[0]}, b {kind[1]}, distance double")
+    return met.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("_n")).select("a", "_n.b", "_n.distance")
 
 
 def without(edges: DataFrame, others: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Queries on tables whose keys and groups are those of larger folders, against their SQL."""
 
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from tessella.operators import match, runs, tiles
 from tessella.plans import registry
 
 from .test_queries import canonical
@@ -24,3 +26,41 @@ def against_sql(spark, folder, name):
 def test_pictures_wider_than_a_jpeg_can_be(name, spark, tmp_path):
     spark.read.parquet(f"{DATA}/part.parquet").selectExpr("* except (p_partkey)", "p_partkey + 65436 as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     against_sql(spark, tmp_path, name)
+
+
+def test_box_pairs_are_dealt_over_tasks(spark):
+    rng = random.Random(3)
+    boxes = [(i, x := rng.randrange(-90, 90), x + rng.randrange(50), y := rng.randrange(-90, 90), y + rng.randrange(50)) for i in range(150)]
+    got = runs.overlapping_boxes(spark.createDataFrame(boxes, "id long, x0 long, x1 long, y0 long, y1 long").coalesce(1))
+    near = lambda a, b, k: a[k] <= b[k + 1] + 3 and b[k] <= a[k + 1] + 3
+    assert sorted(map(tuple, got.collect())) == [(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and near(a, b, 1) and near(a, b, 3)]
+    assert "[bin#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "row#" in plan.split("SortMergeJoin")[1].split("\n")[0]
+
+
+def test_tile_sources_are_dealt_over_tasks(spark):
+    tile = spark.range(40).selectExpr("id as tile", "id % 3 * 0.1D as yaw", "id % 2 * 0.1D as pitch", "0.05D as radius").coalesce(1)
+    source = spark.range(30).selectExpr("id as source", "id % 5 * 0.1D as yaw", "0D as pitch", "0.06D as radius").coalesce(1)
+    got = tiles.tile_sources(tile, source)
+    assert got.rdd.getNumPartitions() >= 8
+    near = lambda t, s: abs(t % 3 - s % 5) * 0.1 < 0.11 and (t % 2 == 0 or t % 3 == s % 5)
+    assert sorted(map(tuple, got.collect())) == [(t, s) for t in range(40) for s in range(30) if near(t, s)]
+
+
+def test_nearest_vectors_are_those_of_the_similarity_join(spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rng = random.Random(5)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(240)] + [(500, [0.5] * 4), (501, [0.5] * 4), (503, [0.5] * 4)]
+    df = spark.createDataFrame(vectors, "id long, v array<float>")
+    left, right = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    got = match.approximate_nearest(left, right, 0.5, tables=3, within=1.2, block=50)
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().toString()) and "FlatMapCoGroupsInPandas" in plan
+    own, other = (d.select("id", array_to_vector(d.v.cast("array<double>")).alias("f")) for d in (left, right))
+    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=0.5, numHashTables=3, seed=7).fit(own)
+    best = {}
+    for r in model.approxSimilarityJoin(own, other, 1.2, "d").selectExpr("datasetA.id as a", "datasetB.id as b", "d").collect():
+        best[r.a] = min(best.get(r.a, (9.0, 0)), (r.d, r.b))
+    found = {r.a: (r.distance, r.b) for r in got.collect()}
+    assert len(found) > 50 and {a: b for a, (_, b) in found.items()} == {a: b for a, (_, b) in best.items()}
+    assert all(abs(found[a][0] - best[a][0]) < 1e-9 for a in best)
