@@ -2,32 +2,78 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import dealt
+from ..session import dealt, written
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, tile: str, ratio: float = 0.78) -> DataFrame:
+def closest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the k nearest rows j of y for each row i of x; of equal distances the lower j comes first."""
+    size, out = (y * y).sum(axis=1), []
+    for lo in range(0, len(x), 256):
+        some = x[lo : lo + 256]
+        own = (some * some).sum(axis=1)[:, None]
+        near = own + size - 2 * (some @ y.T)
+        bound = np.partition(near, k - 1, axis=1)[:, k - 1 : k] if k < len(y) else np.full_like(own, np.inf)
+        # the product rounds: all that may be nearest are measured again
+        at, to = np.nonzero(near <= bound + 1e-9 * (own + size.max()))
+        d = np.sqrt(((some[at] - y[to]) ** 2).sum(axis=1))
+        order = np.lexsort((to, d, at))
+        at, to, d = at[order], to[order], d[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        out.append((lo + at[first], to[first], d[first]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _matrices(*rows: pd.DataFrame) -> list[tuple[pd.Series, np.ndarray]]:
+    """ids and vectors of each, in the order of the ids."""
+    ordered = [df.sort_values("id", ignore_index=True) for df in rows]
+    return [(df["id"], np.stack(df["v"].to_numpy()).astype(float)) for df in ordered]
+
+
+def _in_blocks(df: DataFrame, mine: str, theirs: str, n: int, m: int) -> DataFrame:
+    """Every row with its block's number of n as `mine`, once for each of the m blocks that it meets, `theirs`."""
+    own = df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)))
+    return own.withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+
+
+def mutual_nearest(left: DataFrame, right: DataFrame, tile: str, ratio: float = 0.78, block: int = 4096) -> DataFrame:
     """Pairs (a, b, distance) of ids that are each other's nearest and pass the ratio test on both sides.
 
-    left and right are (tile, id, v). Only vectors of the same tile pair meet: an equi-join, whose
-    groups are bounded by the features a tile keeps.
+    left and right are (tile, id, v). Only vectors of the same tile pair meet, in blocks of at most about `block` by `block`, a product of
+    matrices each; only each vector's two nearest leave a block. Vectors are whole and as long as each other.
     """
-    pairs = left.select(tile, F.col("id").alias("a"), F.col("v").alias("va")).join(right.select(tile, F.col("id").alias("b"), F.col("v").alias("vb")), tile).select(tile, "a", "b", distance(F.col("va"), F.col("vb")).alias("d"))
+    keys = [tile, "i", "j"]
+    parts = [max(1, -(-df.count() // block)) for df in (left, right)]
+    own, other = (dealt(_in_blocks(df.where("v is not null").select(tile, "id", "v"), *at), *keys) for df, at in ((left, ("i", "j", *parts)), (right, ("j", "i", *parts[::-1]))))
+
+    def two(key: tuple, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        if not len(l) or not len(r):
+            return pd.DataFrame({tile: [], "a": [], "b": [], "d": [], "of_a": []})
+        (a, x), (b, y) = _matrices(l, r)
+        i, j, d = closest(x, y, 2)
+        q, p, e = closest(y, x, 2)
+        both = pd.DataFrame({"a": np.r_[a.to_numpy()[i], a.to_numpy()[p]], "b": np.r_[b.to_numpy()[j], b.to_numpy()[q]], "d": np.r_[d, e], "of_a": np.arange(len(d) + len(e)) < len(d)})
+        return both.assign(**{tile: key[0]})[[tile, "a", "b", "d", "of_a"]]
+
+    kind = [df.schema[c].dataType.simpleString() for df, c in ((left, tile), (left, "id"), (right, "id"))]
+    pairs = written(own.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInPandas(two, f"`{tile}` {kind[0]}, a {kind[1]}, b {kind[2]}, d double, of_a boolean"), "nearest")
 
-    def nearest(own: str, other: str) -> DataFrame:
+    def nearest(rows: DataFrame, own: str, other: str) -> DataFrame:
         w = W.partitionBy(tile, own).orderBy("d", other)
-        two = pairs.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+        two = rows.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
         one = two.groupBy(tile, own).agg(F.min_by(other, "_r").alias(other), F.min("d").alias("d"), F.max(F.when(F.col("_r") == 2, F.col("d"))).alias("_two"))
         return one.where(F.col("_two").isNull() | (F.col("d") < ratio * F.col("_two"))).select(tile, "a", "b", "d")
 
-    return nearest("a", "b").join(nearest("b", "a").select(tile, "a", "b"), [tile, "a", "b"]).select("a", "b", F.col("d").alias("distance"))
+    return nearest(pairs.where("of_a"), "a", "b").join(nearest(pairs.where("not of_a"), "b", "a").select(tile, "a", "b"), [tile, "a", "b"]).select("a", "b", F.col("d").alias("distance"))
 
 
 def retry_ladder(edges: DataFrame, *attempts: DataFrame) -> DataFrame:
@@ -63,8 +109,6 @@ def approximate_nearest(left: DataFrame, right: DataFrame, width: float, tables:
     The vectors of a bucket meet in blocks of about `block` by `block`, a product of matrices each, and only each vector's nearest leaves a block, so
     a bucket that holds all vectors is many tasks of bounded memory. Where buckets tell little apart the work grows with the square of the vectors.
     """
-    import numpy as np
-    import pandas as pd
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -73,28 +117,16 @@ def approximate_nearest(left: DataFrame, right: DataFrame, width: float, tables:
     parts = [max(1, -(-df.count() // block)) for df in (left, right)]
     keys = ["t", "bucket", "i", "j"]
 
-    def blocks(df: DataFrame, mine: str, theirs: str, n: int, m: int) -> DataFrame:
-        dealt_ = model.transform(df).select("id", "v", F.posexplode("h").alias("t", "_h")).select("id", "v", "t", vector_to_array("_h")[0].alias("bucket"))
-        dealt_ = dealt_.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-        return dealt(dealt_, *keys).groupBy(*keys)
+    def blocks(df: DataFrame, *at: str | int) -> DataFrame:
+        hashed = model.transform(df).select("id", "v", F.posexplode("h").alias("t", "_h")).select("id", "v", "t", vector_to_array("_h")[0].alias("bucket"))
+        return dealt(_in_blocks(hashed, *at), *keys).groupBy(*keys)
 
     def nearest(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        found: list[tuple] = []
-        if len(l) and len(r):
-            r = r.sort_values("id", ignore_index=True)
-            x, y = (np.stack(df["v"].to_numpy()).astype(float) for df in (l, r))
-            size = (y * y).sum(axis=1)
-            for lo in range(0, len(x), 256):
-                some = x[lo : lo + 256]
-                near = (some * some).sum(axis=1)[:, None] + size - 2 * (some @ y.T)
-                # the product rounds: all that may be nearest are measured again
-                close = near <= near.min(axis=1)[:, None] + 1e-9 * ((some * some).sum(axis=1) + size.max())[:, None]
-                at, to = np.nonzero(close)
-                d = np.sqrt(((some[at] - y[to]) ** 2).sum(axis=1))
-                order = np.lexsort((to, d, at))
-                first = order[np.r_[True, np.diff(at[order]) > 0]]
-                found += [(l["id"].iloc[lo + at[k]], r["id"].iloc[to[k]], d[k]) for k in first if d[k] < within]
-        return pd.DataFrame(found, columns=["a", "b", "distance"])
+        if not len(l) or not len(r):
+            return pd.DataFrame({"a": [], "b": [], "distance": []})
+        (a, x), (b, y) = _matrices(l, r)
+        i, j, d = closest(x, y, 1)
+        return pd.DataFrame({"a": a.to_numpy()[i], "b": b.to_numpy()[j], "distance": d})[d < within]
 
     kind = [df.schema["id"].dataType.simpleString() for df in (left, right)]
     met = blocks(own, "i", "j", *parts).cogroup(blocks(other, "j", "i", *parts[::-1])).applyInPandas(nearest, f"a {kind[0]}, b {kind[1]}, distance double")

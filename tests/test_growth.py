@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessella.operators import match, runs, tiles
@@ -64,3 +65,21 @@ def test_nearest_vectors_are_those_of_the_similarity_join(spark):
     found = {r.a: (r.distance, r.b) for r in got.collect()}
     assert len(found) > 50 and {a: b for a, (_, b) in found.items()} == {a: b for a, (_, b) in best.items()}
     assert all(abs(found[a][0] - best[a][0]) < 1e-9 for a in best)
+
+
+def test_nearest_in_blocks_has_ties_in_order():
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 3, (300, 3)).astype(float), rng.integers(0, 3, (90, 3)).astype(float)
+    d = np.sqrt(((x[:, None] - y) ** 2).sum(axis=2))
+    expected = [(i, int(j), d[i, j]) for i in range(300) for j in np.lexsort((np.arange(90), d[i]))[:2]]
+    assert [(int(i), int(j), e) for i, j, e in zip(*match.closest(x, y, 2))] == expected
+
+
+@pytest.mark.parametrize("name", ["mutual_ratio_knn", "pixel_to_source", "runs_projected"])
+def test_heavy_joins_are_dealt_over_tasks(name, spark, tmp_path):
+    """One small file of each table is work for all tasks, and what is alike is computed once."""
+    for t in ("embeddings", "orders", "supplier", "lineitem"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        rows.unionByName(rows.withColumn("o_orderkey", rows.o_orderkey + 1009) if t == "orders" else rows.limit(0)).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    against_sql(spark, tmp_path, name)
+    assert "RepartitionByExpression" in registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString() or name == "mutual_ratio_knn"
