@@ -33,13 +33,23 @@ def inverse(a: Column) -> Column:
 
 
 def rotation(vector: Column) -> Column:
-    """The rotation about a vector by its length."""
-    x, y, z = vector[0], vector[1], vector[2]
-    t = F.sqrt(x * x + y * y + z * z)
-    s = F.when(t > 1e-9, F.sin(t) / t).otherwise(1 - t * t / 6)
-    k = F.when(t > 1e-9, (1 - F.cos(t)) / (t * t)).otherwise(0.5 - t * t / 24)
-    u = 1 - k * t * t
-    return F.array(u + k * x * x, k * x * y - s * z, k * x * z + s * y, k * x * y + s * z, u + k * y * y, k * y * z - s * x, k * x * z - s * y, k * y * z + s * x, u + k * z * z)
+    """The rotation about a vector by its length; length and factors are lambda variables, so that they are computed once a row."""
+
+    def sized(v: Column) -> Column:
+        return F.struct(v[0].alias("x"), v[1].alias("y"), v[2].alias("z"), F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]).alias("t"))
+
+    def factors(p: Column) -> Column:
+        t = p["t"]
+        s = F.when(t > 1e-9, F.sin(t) / t).otherwise(1 - t * t / 6)
+        k = F.when(t > 1e-9, (1 - F.cos(t)) / (t * t)).otherwise(0.5 - t * t / 24)
+        return F.struct(*[p[n].alias(n) for n in "xyzt"], s.alias("s"), k.alias("k"))
+
+    def entries(p: Column) -> Column:
+        x, y, z, t, s, k = (p[n] for n in "xyztsk")
+        u = 1 - k * t * t
+        return F.array(u + k * x * x, k * x * y - s * z, k * x * z + s * y, k * x * y + s * z, u + k * y * y, k * y * z - s * x, k * x * z - s * y, k * y * z + s * x, u + k * z * z)
+
+    return F.transform(F.transform(F.transform(F.array(vector), sized), factors), entries)[0]
 
 
 def rotation_log(a: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import match, matrices, poses, replay, runs
+from ..session import dealt, once
 from .shared import duck, ticked, times, turn, view
 
 C = F.col
@@ -21,8 +22,10 @@ CAMERAS = "select s_suppkey as id, 90e0 + s_suppkey % 5 as f, 61.37e0 as cx, 29.
 
 
 def _turned(spark, sf, sql):
-    rows = view(spark, sf, ticked(sql)).withColumn("_v", F.array("vx", "vy", "vz"))
-    return rows.withColumn("rotation", matrices.rotation(C("_v"))).drop("_v", "vx", "vy", "vz")
+    rows = view(spark, sf, ticked(sql))
+    # dealt, as a table of one file would leave the arithmetic to one task
+    rows = once(dealt(rows, "capture"), rows.columns, F.array("vx", "vy", "vz").alias("_v"))
+    return once(rows, [k for k in rows.columns if k not in ("_v", "vx", "vy", "vz")], matrices.rotation(C("_v")).alias("rotation"))
 
 
 def _pruned(spark, sf):
