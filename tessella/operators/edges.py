@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import dealt, written
 from . import matrices, robust
 
 #: What an overlap sample must reach.
@@ -111,11 +111,14 @@ def thin_support(points: DataFrame, edges: DataFrame, width: float, height: floa
     """Edges (from, to, worst_loop) with `removed`: fewer than `most` distinct points (from, to, sx, sy, tx, ty), in
     both pictures within one row, column or cell of 8 x 8 and no wider than `thin` across, and a loop conflict of at least `conflict` pixels."""
     c = F.col
-    cell = lambda v, size: F.least(F.greatest(F.floor(c(v) * 8 / size), F.lit(0)), F.lit(7))
-    once = points.select("from", "to", "sx", "sy", "tx", "ty").distinct()
+    cell = lambda v, size: F.least(F.greatest(F.floor(c(v) * 8 / size), F.lit(0)), F.lit(7)).cast("int")
+    # a bit for each of the eight: distinct counts would send every point as often as there are counts
+    places = lambda v, size: F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), cell(v, size)))).cast("long")
+    # dealt by edge first, so that neither the distinct points nor their counts are shuffled again
+    once = dealt(points.select("from", "to", "sx", "sy", "tx", "ty"), "from", "to").distinct()
     shape = [F.count("*").alias("unique")]
     for p in "st":
-        shape += [F.countDistinct(cell(f"{p}y", height)).alias(f"{p}rows"), F.countDistinct(cell(f"{p}x", width)).alias(f"{p}columns")]
+        shape += [F.coalesce(places(f"{p}y", height), F.lit(0)).alias(f"{p}rows"), F.coalesce(places(f"{p}x", width), F.lit(0)).alias(f"{p}columns")]
         shape.append(F.least((F.max(f"{p}x") - F.min(f"{p}x")) / width, (F.max(f"{p}y") - F.min(f"{p}y")) / height).alias(f"{p}thin"))
     support = once.groupBy("from", "to").agg(*shape)
     flat = lambda p: ((c(f"{p}rows") <= 1) | (c(f"{p}columns") <= 1)) & (c(f"{p}thin") <= thin)

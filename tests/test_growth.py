@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessella.operators import match, runs, tiles
+from tessella.operators import edges, match, runs, tiles
 from tessella.plans import registry
 
 from .test_queries import canonical
@@ -83,3 +83,17 @@ def test_heavy_joins_are_dealt_over_tasks(name, spark, tmp_path):
         rows.unionByName(rows.withColumn("o_orderkey", rows.o_orderkey + 1009) if t == "orders" else rows.limit(0)).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
     against_sql(spark, tmp_path, name)
     assert "RepartitionByExpression" in registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString() or name == "mutual_ratio_knn"
+
+
+@pytest.mark.parametrize("name", ["thin_support"])
+def test_shared_steps_against_sql(name, spark):
+    against_sql(spark, "/root/testdata/sf0.01", name)
+
+
+def test_points_are_sent_once(spark):
+    """Four distinct counts of an edge's points sent each point five times."""
+    points = spark.createDataFrame([(1, 2, 1.0, 1.0, 1.0, 1.0), (1, 2, 2.0, 1.0, None, 1.0), (2, 3, None, None, None, None)], "from long, to long, sx double, sy double, tx double, ty double")
+    known = points.select("from", "to").distinct().selectExpr("*", "99D as worst_loop")
+    got = edges.thin_support(points, known, 51.0, 91.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and {(r["from"], r.unique, r.removed) for r in got.collect()} == {(1, 2, True), (2, 1, False)}
