@@ -2,20 +2,26 @@
 
 A forest is grown for all captures at once: in each round every component takes its best edge (Borůvka), so
 the rounds grow with the logarithm of the largest capture. What lies along a path is composed by
-pointer doubling, again in a logarithm of its length. No capture is held in one task or on the driver.
+pointer doubling, again in a logarithm of its length. That is done in Spark for captures of more than SMALL edges, none of which is held in one
+task or on the driver. Captures of at most SMALL edges are shuffled once and solved many at a time by the same rounds on arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import written
+from ..session import by_size, in_batches, written
 from . import matrices, robust
 
+#: Rows of a group that one task may hold.
+SMALL = 4096
 UNIT = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 c = F.col
 
@@ -34,6 +40,116 @@ def _to_roots(links: DataFrame, keys: list[str], node: str, root: str) -> DataFr
             return links.drop("_moved")
 
 
+def _fine(edges: DataFrame, keys: list[str], score: str, order: str) -> tuple[DataFrame, DataFrame | None]:
+    """The edges that have part in a forest, those of small captures and those of others apart."""
+    return by_size(edges.where((c("from") != c("to")) & c(score).isNotNull() & c(order).isNotNull()), keys, SMALL)
+
+
+def _best_edges(u: np.ndarray, v: np.ndarray, rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which edges the forest of greatest ranks has, the component of each of the n nodes): Borůvka's rounds on arrays."""
+    at = np.argsort(rank)  # ranks are 0, 1, ...: the edge of each
+    home, picked = np.arange(n), np.zeros(len(u), bool)
+    live = np.arange(len(u))
+    while len(live := live[home[u[live]] != home[v[live]]]):
+        best = np.full(n, -1)
+        for end in (u, v):
+            np.maximum.at(best, home[end[live]], rank[live])
+        part = np.flatnonzero(best >= 0)
+        edge = at[best[part]]
+        picked[edge] = True
+        a, b = home[u[edge]], home[v[edge]]
+        hook = np.arange(n)
+        hook[part] = np.where(a == part, b, a)
+        # of two parts that take the same edge the smaller is the end of the chain
+        ends = part[(hook[hook[part]] == part) & (part < hook[part])]
+        hook[ends] = ends
+        while (hook != (far := hook[hook])).any():
+            hook = far
+        home = hook[home]
+    return picked, home
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[:, :, 0:1] * b[:, 0:1, :] + a[:, :, 1:2] * b[:, 1:2, :] + a[:, :, 2:3] * b[:, 2:3, :]
+
+
+def _inverse(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses of (n, 3, 3), and which there are: as matrices.inverse()."""
+
+    def cofactor(r: int, q: int) -> np.ndarray:
+        (i, j), (s, t) = ((r + 1) % 3, (r + 2) % 3), ((q + 1) % 3, (q + 2) % 3)
+        return m[:, i, s] * m[:, j, t] - m[:, i, t] * m[:, j, s]
+
+    d = sum((m[:, 0, k] * cofactor(0, k) for k in range(3)), np.zeros(len(m)))
+    with np.errstate(all="ignore"):
+        return np.stack([cofactor(q, r) / d for r in range(3) for q in range(3)], axis=1).reshape(-1, 3, 3), np.abs(d) > 1e-12
+
+
+def _solved(fine: DataFrame, keys: list[str], score: str, order: str, steps: bool = False) -> DataFrame:
+    """keys, tile, root, parent, order of every tile of small captures, and `transform` where the edges have steps.
+
+    A root has no parent and no edge; the others have the edge to the end that is nearer to the root.
+    """
+    kind = lambda name: fine.schema[name].dataType
+    entries = [f"_h{k}" for k in range(9)]
+    plain = [c(k) for k in keys] + [c("from").alias("_u"), c("to").alias("_v"), c(score).alias("_score"), c(order).alias("_edge")]
+    more = [c("h")[k].alias(n) for k, n in enumerate(entries)] + [c("dx").cast("double").alias("_dx"), c("dy").cast("double").alias("_dy")] if steps else []
+    fields = [T.StructField(k, kind(k)) for k in keys] + [T.StructField(n, kind("from")) for n in ("tile", "root", "parent")] + [T.StructField("_edge", kind(order)), T.StructField("_top", T.BooleanType())]
+    fields += [T.StructField(n, T.DoubleType()) for n in entries] if steps else []
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        group, m = f["_group"].to_numpy(), len(f)
+        code, tiles = pd.factorize(pd.concat([f["_u"], f["_v"]], ignore_index=True), sort=True)
+        nodes, at = np.unique(np.r_[group, group] * len(tiles) + code, return_inverse=True)
+        u, v, n = at[:m], at[m:], len(nodes)
+        rank = np.empty(m, np.int64)
+        # of equal scores the greater number is better; NaN is the greatest, as in Spark
+        rank[np.lexsort((pd.factorize(f["_edge"], sort=True)[0], f["_score"].to_numpy(float)))] = np.arange(m)
+        picked, home = _best_edges(u, v, rank, n)
+        # nodes are in the order of captures and tiles, so a component's first is its smallest tile
+        root = np.full(n, n)
+        np.minimum.at(root, home, np.arange(n))
+        root = root[home]
+        parent, edge = np.arange(n), np.zeros(n, np.int64)
+        placed = root == parent
+        turned = np.tile(np.eye(3), (n, 1, 1))
+        if steps:
+            h = f[entries].to_numpy(float).reshape(-1, 3, 3)
+            back, fine = _inverse(h)
+            shift = np.tile(np.eye(3), (m, 1, 1))
+            shift[:, 0, 2], shift[:, 1, 2] = -f["_dx"].to_numpy(float), -f["_dy"].to_numpy(float)
+            back = np.where(fine[:, None, None], back, shift)
+        live = np.flatnonzero(picked)
+        while len(live):
+            near = placed[u[live]] | placed[v[live]]
+            now, live = live[near], live[~near]
+            away = placed[u[now]]
+            top, tile = np.where(away, u[now], v[now]), np.where(away, v[now], u[now])
+            parent[tile], edge[tile], placed[tile] = top, now, True
+            if steps:
+                turned[tile] = _product(turned[top], np.where(away[:, None, None], back[now], h[now]))
+        first = np.searchsorted(group, nodes // len(tiles))
+        out = f[keys].iloc[first].reset_index(drop=True)
+        name = lambda i: np.asarray(tiles)[nodes[i] % len(tiles)]
+        out = out.assign(tile=name(np.arange(n)), root=name(root), parent=name(parent), _edge=f["_edge"].to_numpy()[edge], _top=parent == np.arange(n))
+        return pd.concat([out, pd.DataFrame(turned.reshape(-1, 9), columns=entries)], axis=1) if steps else out
+
+    got = in_batches(fine.select(*plain, *more), keys, run, T.StructType(fields))
+    made = [*keys, "tile", "root", F.when(~c("_top"), c("parent")).alias("parent"), F.when(~c("_top"), c("_edge")).alias(order)]
+    return got.select(*made, *([F.array(*entries).alias("transform")] if steps else []))
+
+
+def rooted(edges: DataFrame, keys: list[str], score: str = "score", order: str = "edge") -> DataFrame:
+    """keys, tile, root, parent, order of every tile with an edge: in the spanning forest of its capture the tile one nearer to the root and the edge to it, nulls at a root."""
+    small, large = _fine(edges, keys, score, order)
+    out = _solved(small, keys, score, order)
+    if large is None:
+        return out
+    forest, home = _grown(large, keys, score, order)
+    above = parents(forest, home, keys).select(*keys, "tile", "parent", order)
+    return out.unionByName(home.join(above, [*keys, "tile"], "left").select(*out.columns))
+
+
 def spanning_forest(edges: DataFrame, keys: list[str], score: str = "score", order: str = "edge") -> tuple[DataFrame, DataFrame]:
     """(the edges of the forest, keys and tile and root of every tile with an edge): of each capture (keys) the maximum-confidence spanning forest.
 
@@ -41,7 +157,13 @@ def spanning_forest(edges: DataFrame, keys: list[str], score: str = "score", ord
     is better, so the forest is the one that greedy growth from any tile finds. Edges from a tile to itself, without a score
     or without an end have no part. A root is the smallest tile of its component.
     """
-    fine = edges.where((c("from") != c("to")) & c(score).isNotNull())
+    tiles = written(rooted(edges, keys, score, order), "tiles")
+    return edges.join(tiles.select(*keys, order), [*keys, order], "left_semi"), tiles.select(*keys, "tile", "root")
+
+
+def _grown(fine: DataFrame, keys: list[str], score: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """spanning_forest() of captures of any size, round by round in Spark, of edges that have part in one."""
+    edges = fine
     live = written(fine.select(*keys, c("from").alias("a"), c("to").alias("b"), F.struct(c(score).alias("score"), c(order).alias("edge")).alias("rank")), "live")
     home = written(live.select(*keys, F.explode(F.array("a", "b")).alias("tile")).distinct().withColumn("root", c("tile")), "home")
     picked = live.select(*keys, c("rank.edge").alias(order)).where("false")
@@ -102,10 +224,14 @@ def propagated(edges: DataFrame, keys: list[str], score: str = "score", order: s
     edges has also `h`, a homography from `from` to `to` of nine numbers, and its shift dx, dy, which stands for a homography
     without an inverse. A root has the unit transform.
     """
-    forest, home = spanning_forest(edges, keys, score, order)
+    small, large = _fine(edges, keys, score, order)
+    out = _solved(small, keys, score, order, steps=True).select(*keys, "tile", "root", "transform")
+    if large is None:
+        return out
+    forest, home = _grown(large, keys, score, order)
     back = F.coalesce("_i", F.array(F.lit(1.0), F.lit(0.0), -c("dx"), F.lit(0.0), F.lit(1.0), -c("dy"), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
     steps = parents(forest, home, keys).withColumn("_i", matrices.inverse(c("h"))).withColumn("step", F.when(c("parent") == c("from"), back).otherwise(c("h")))
-    return along_paths(steps.select(*keys, "parent", "tile", "step"), home, keys)
+    return out.unionByName(along_paths(steps.select(*keys, "parent", "tile", "step"), home, keys))
 
 
 def analytic(cells: DataFrame, keys: list[str], across: Column, down: Column) -> DataFrame:
@@ -141,7 +267,6 @@ def robust_steps(edges: DataFrame, keys: list[str]) -> DataFrame:
     left, and the root mean square of the angles between those and the middle. Rows without a rotation have no part.
     """
     vectors = edges.where(c("rotation").isNotNull()).select(*keys, "rotation", matrices.rotation_log(c("rotation")).alias("_v"))
-
     def middle(rows: DataFrame, name: str) -> DataFrame:
         axes = F.explode(F.array(*[F.struct(F.lit(k).alias("_axis"), c("_v")[k].alias("_w")) for k in range(3)]))
         med = robust.medians(rows.select(*keys, axes.alias("_a")).select(*keys, "_a.*"), [*keys, "_axis"], "_w")

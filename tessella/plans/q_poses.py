@@ -32,8 +32,7 @@ def _edges(spark, sf):
 
 
 def _forest(spark, sf):
-    forest, home = poses.spanning_forest(_edges(spark, sf), ["capture"])
-    return poses.parents(forest, home, ["capture"]).select("capture", "edge", "parent", "tile")
+    return poses.rooted(_edges(spark, sf), ["capture"]).where("parent is not null").select("capture", "edge", "parent", "tile")
 
 
 def _transforms(spark, sf):

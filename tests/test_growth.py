@@ -1,14 +1,18 @@
 """Queries on tables whose keys and groups are those of larger folders, against their SQL."""
 
+import math
 import random
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.operators import edges, match, runs, tiles
+from tessella.operators import blend, edges, geometry, match, matrices, poses, runs, tiles
 from tessella.plans import registry
+from tessella.session import dealt_by_size, tables_written
+from tessella.streaming import events, jobs
 
 from .test_queries import canonical
 
@@ -125,3 +129,22 @@ def test_points_are_sent_once(spark):
     got = edges.thin_support(points, known, 51.0, 91.0)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and {(r["from"], r.unique, r.removed) for r in got.collect()} == {(1, 2, True), (2, 1, False)}
+
+
+def graph_edges(spark, seed=4):
+    rng = random.Random(seed)
+    rows = [(k, e, rng.randrange(9), rng.randrange(9), float(rng.randint(1, 5)), [1 + rng.random(), 0.1, rng.random(), 0.0, 1.0, 2.0, 0.0, 0.0, 1.0] if e % 5 else [0.0] * 9, 1.0, 2.0) for k in range(30) for e in range(rng.randint(1, 25))]
+    return spark.createDataFrame(rows, "capture long, edge long, `from` long, `to` long, score double, h array<double>, dx double, dy double")
+
+
+def test_forests_of_small_captures_take_one_shuffle(spark, monkeypatch):
+    """Solved in batches and round by round in Spark, the trees and transforms are the same; batches write one table."""
+    df = graph_edges(spark)
+    before = tables_written()
+    tiles = {(r.capture, r.tile): (r.root, r.parent, r.edge) for r in poses.rooted(df, ["capture"]).collect()}
+    turned = {(r.capture, r.tile): r.transform for r in poses.propagated(df, ["capture"]).collect()}
+    assert tables_written() - before <= 2
+    monkeypatch.setattr(poses, "SMALL", 8)  # most captures are large now, some small
+    assert tiles == {(r.capture, r.tile): (r.root, r.parent, r.edge) for r in poses.rooted(df, ["capture"]).collect()}
+    other = {(r.capture, r.tile): r.transform for r in poses.propagated(df, ["capture"]).collect()}
+    assert set(turned) == set(other) == set(tiles) and all(np.allclose(turned[k], other[k], rtol=1e-9) for k in turned)
