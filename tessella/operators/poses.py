@@ -3,7 +3,8 @@
 A forest is grown for all captures at once: in each round every component takes its best edge (Borůvka), so
 the rounds grow with the logarithm of the largest capture. What lies along a path is composed by
 pointer doubling, again in a logarithm of its length. That is done in Spark for captures of more than SMALL edges, none of which is held in one
-task or on the driver. Captures of at most SMALL edges are shuffled once and solved many at a time by the same rounds on arrays.
+task or on the driver. Captures of at most SMALL edges are shuffled once and solved many at a time by the same rounds on arrays; so are the
+robust middles of groups of at most SMALL rotations.
 """
 
 from __future__ import annotations
@@ -267,6 +268,65 @@ def robust_steps(edges: DataFrame, keys: list[str]) -> DataFrame:
     left, and the root mean square of the angles between those and the middle. Rows without a rotation have no part.
     """
     vectors = edges.where(c("rotation").isNotNull()).select(*keys, "rotation", matrices.rotation_log(c("rotation")).alias("_v"))
+    small, large = by_size(vectors, keys, SMALL)
+    out = _middles(small, keys)
+    return out if large is None else out.unionByName(_middles_of_large(large, keys))
+
+
+def _middles(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """robust_steps() of small groups, from (keys, rotation, _v): many of them at a time, as arrays."""
+    axes, entries = [f"_v{k}" for k in range(3)], [f"_r{k}" for k in range(9)]
+    fields = [vectors.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in (*axes, *entries)] + [T.StructField("samples", T.LongType()), T.StructField("rms", T.DoubleType())]
+
+    def medians(v: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+        """Of each of the n groups the median of its numbers, NaN where it has none."""
+        group, v = group[~np.isnan(v)], v[~np.isnan(v)]
+        v = v[np.lexsort((v, group))]
+        size = np.bincount(group, minlength=n)
+        start = np.cumsum(size) - size
+        mid = lambda k: v[np.minimum(start + k, max(len(v) - 1, 0))] if len(v) else np.zeros(n)
+        return np.where(size > 0, (mid(np.maximum(size - 1, 0) // 2) + mid(size // 2)) / 2, np.nan)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        group, v = f["_group"].to_numpy(), f[axes].to_numpy(float)
+        n = int(group[-1]) + 1
+        middle = lambda v, group: np.stack([medians(v[:, k], group, n) for k in range(3)], axis=1)
+        with np.errstate(all="ignore"):
+            off = v - middle(v, group)[group]
+            far = np.sqrt(off[:, 0] ** 2 + off[:, 1] ** 2 + off[:, 2] ** 2)
+            spread = medians(far, group, n)
+            mad = medians(np.abs(far - spread[group]), group, n)
+            near = far <= np.maximum(STEP_FLOOR, spread + 3 * 1.4826 * mad)[group]
+            group, v, own = group[near], v[near], f[entries].to_numpy(float)[near].reshape(-1, 3, 3)
+            vector = middle(v, group)
+            turn = _rotations(vector)
+            d = _product(turn.transpose(0, 2, 1)[group], own)
+            x, y, z = d[:, 2, 1] - d[:, 1, 2], d[:, 0, 2] - d[:, 2, 0], d[:, 1, 0] - d[:, 0, 1]
+            angle = np.arctan2(np.sqrt(x * x + y * y + z * z), d[:, 0, 0] + d[:, 1, 1] + d[:, 2, 2] - 1)
+            samples = np.bincount(group, minlength=n)
+            rms = np.sqrt(np.bincount(group, weights=angle * angle, minlength=n) / samples)
+        some = np.flatnonzero(samples)
+        first = np.searchsorted(f["_group"].to_numpy(), some)
+        out = f[keys].iloc[first].reset_index(drop=True)
+        return pd.concat([out, pd.DataFrame(np.c_[vector, turn.reshape(-1, 9)][some], columns=[*axes, *entries])], axis=1).assign(samples=samples[some], rms=rms[some])
+
+    rows = vectors.select(*keys, *[c("_v")[k].alias(n) for k, n in enumerate(axes)], *[c("rotation")[k].alias(n) for k, n in enumerate(entries)])
+    got = in_batches(rows, keys, run, T.StructType(fields))
+    return got.select(*keys, F.array(*axes).alias("vector"), F.array(*entries).alias("rotation"), "samples", "rms")
+
+
+def _rotations(v: np.ndarray) -> np.ndarray:
+    """matrices.rotation() of vectors (n, 3)."""
+    x, y, z = v.T
+    t = np.sqrt(x * x + y * y + z * z)
+    s, k = np.where(t > 1e-9, np.sin(t) / t, 1 - t * t / 6), np.where(t > 1e-9, (1 - np.cos(t)) / (t * t), 0.5 - t * t / 24)
+    u = 1 - k * t * t
+    return np.stack([u + k * x * x, k * x * y - s * z, k * x * z + s * y, k * x * y + s * z, u + k * y * y, k * y * z - s * x, k * x * z - s * y, k * y * z + s * x, u + k * z * z], axis=1).reshape(-1, 3, 3)
+
+
+def _middles_of_large(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """robust_steps() of groups of any size, from (keys, rotation, _v): by counts of buckets and joins in Spark."""
+
     def middle(rows: DataFrame, name: str) -> DataFrame:
         axes = F.explode(F.array(*[F.struct(F.lit(k).alias("_axis"), c("_v")[k].alias("_w")) for k in range(3)]))
         med = robust.medians(rows.select(*keys, axes.alias("_a")).select(*keys, "_a.*"), [*keys, "_axis"], "_w")

@@ -9,11 +9,13 @@ by BUCKETS, so six rounds end it whatever the values, infinite ones included. No
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import by_size, written
 
 BUCKETS = 4096
 #: Rows that one window may put in order.
@@ -31,10 +33,22 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, cell: int = CEL
     """keys, n and, for each name, the value at that place (from 0, as SQL over the count n) of the sorted group.
 
     Nulls and NaN are left out, as are groups of nothing else and groups with a null key. Infinite values are in order like others.
+    Groups of at most `cell` rows are shuffled once and put in order; larger ones are cut.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"))
     one = [*keys, "_all"]
-    rows = rows.withColumn("_all", F.lit(0))
+    small, large = by_size(rows.withColumn("_all", F.lit(0)), one, min(cell, CELL))
+    group = W.partitionBy(*one)
+    placed = small.withColumns({"_i": F.row_number().over(group.orderBy("_v")) - 1, "n": F.count("*").over(group)})
+    at = {name: F.col("_i") == F.expr(e).cast("long") for name, e in index.items()}
+    wanted = placed.where(functools.reduce(lambda a, b: a | b, at.values()))
+    out = wanted.groupBy(*one).agg(F.max("n").alias("n"), *[F.max(F.when(hit, F.col("_v"))).alias(name) for name, hit in at.items()]).drop("_all")
+    return out if large is None else out.unionByName(_cut(large, keys, cell, **index))
+
+
+def _cut(rows: DataFrame, keys: list[str], cell: int, **index: str) -> DataFrame:
+    """order_statistics() of groups of any size, from (keys, _v, _all), by counts of buckets."""
+    one = [*keys, "_all"]
     ends = rows.groupBy(*one).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.expr(e).cast("long").alias("rank")) for name, e in index.items()]))
     wanted = written(ends.withColumn("_r", ranks).select(*one, "n", "_lo", "_hi", "_r.*", F.lit(0).cast("long").alias("_before"), F.col("n").alias("_rows")), "ranks")

@@ -148,3 +148,15 @@ def test_forests_of_small_captures_take_one_shuffle(spark, monkeypatch):
     assert tiles == {(r.capture, r.tile): (r.root, r.parent, r.edge) for r in poses.rooted(df, ["capture"]).collect()}
     other = {(r.capture, r.tile): r.transform for r in poses.propagated(df, ["capture"]).collect()}
     assert set(turned) == set(other) == set(tiles) and all(np.allclose(turned[k], other[k], rtol=1e-9) for k in turned)
+
+
+def test_middles_of_small_groups_take_one_shuffle(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(g, [rng.gauss(0.1 * g, 0.004 if rng.random() < 0.8 else 0.3) for _ in range(3)]) for g in range(12) for _ in range(rng.randint(1, 30))]
+    df = spark.createDataFrame([*rows, (3, None), (None, [0.1, 0.2, 0.3]), (99, None)], "g int, v array<double>").select("g", matrices.rotation(F.col("v")).alias("rotation"))
+    before = tables_written()
+    got = {r.g: r for r in poses.robust_steps(df, ["g"]).collect()}
+    assert tables_written() - before == 1 and set(got) == set(range(12))
+    monkeypatch.setattr(poses, "SMALL", 10)
+    other = {r.g: r for r in poses.robust_steps(df, ["g"]).collect()}
+    assert set(got) == set(other) and all(got[g].samples == other[g].samples and np.allclose([*got[g].vector, *got[g].rotation, got[g].rms], [*other[g].vector, *other[g].rotation, other[g].rms], atol=1e-12) for g in got)
