@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import dealt, once
+from ..session import by_size, dealt, once, written
+from . import robust
+
+#: Points of an edge that one task may hold; steps of a fit.
+MOST_POINTS, STEPS = 1 << 14, 30
 
 
 def ray(yaw: Column, pitch: Column) -> list[Column]:
@@ -65,23 +71,33 @@ def neighbour_diagnostics(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("id", "neighbour", F.coalesce("disposition", F.lit("unknown")).alias("disposition"), "residual")
 
 
-def fitted_rotations(points: DataFrame, keys: list[str], f: float, cx: float, cy: float) -> DataFrame:
+def fitted_rotations(points: DataFrame, keys: list[str], f: float, cx: float, cy: float, most: int = MOST_POINTS) -> DataFrame:
     """keys, rotation, median, rms: the rotation that takes the source rays of each edge's points (sx, sy, tx, ty) to the target rays.
 
     Gauss-Newton with weights that fall beyond 3 pixels, at most 30 steps; edges with fewer than 8 points, or a step of
-    over half a radian, have no row. The median is the upper middle. An edge's points are bounded by what a picture keeps.
+    over half a radian, have no row. The median is the upper middle. An edge of at most `most` points is one group of a task; the normal
+    equations of larger ones are summed in Spark, a run over their points for each step.
     """
     import numpy as np
     import pandas as pd
 
-    fields = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-
     def cross(v: np.ndarray) -> np.ndarray:
         zero = np.zeros(len(v))
         return np.stack([zero, -v[:, 2], v[:, 1], v[:, 2], zero, -v[:, 0], -v[:, 1], v[:, 0], zero], axis=1).reshape(-1, 3, 3)
 
+    def stepped(turn: np.ndarray, normal: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float] | None:
+        """The rotation after a step and the step's size; None where there is no step or too large a one."""
+        if not abs(np.linalg.det(normal)) >= 1e-18:
+            return None
+        step = np.linalg.solve(normal, -right)
+        size = np.linalg.norm(step)
+        if not size <= 0.5:
+            return None
+        k = cross(step[None] / max(size, 1e-300))[0]
+        return (np.eye(3) + np.sin(size) * k + (1 - np.cos(size)) * k @ k) @ turn, size
+
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c: [] for c in [*keys, "rotation", "median", "rms"]})
+        none = pd.DataFrame({c: pd.Series([], dtype=object) for c in [*keys, "rotation", "median", "rms"]})
         if len(rows) < 8:
             return none
         rays = []
@@ -89,27 +105,67 @@ def fitted_rotations(points: DataFrame, keys: list[str], f: float, cx: float, cy
             v = np.stack([(rows[f"{a}x"] - cx) / f, -(rows[f"{a}y"] - cy) / f, np.ones(len(rows))], axis=1)
             rays.append(v / np.linalg.norm(v, axis=1, keepdims=True))
         turn = np.eye(3)
-        for _ in range(30):
+        for _ in range(STEPS):
             v = rays[0] @ turn.T
             off = v - rays[1]
             size = np.linalg.norm(off, axis=1) * f
             w = np.where(size > 3, 3 / np.maximum(size, 1e-300), 1.0)
             j = -cross(v)
-            normal = np.einsum("n,nri,nrj->ij", w, j, j)
-            if abs(np.linalg.det(normal)) < 1e-18:
-                return none
-            step = np.linalg.solve(normal, -np.einsum("n,nri,nr->i", w, j, off))
-            size = np.linalg.norm(step)
-            if size > 0.5:
+            if (now := stepped(turn, np.einsum("n,nri,nrj->ij", w, j, j), np.einsum("n,nri,nr->i", w, j, off))) is None:
                 return none
-            k = cross(step[None] / max(size, 1e-300))[0]
-            turn = (np.eye(3) + np.sin(size) * k + (1 - np.cos(size)) * k @ k) @ turn
+            turn, size = now
             if size < 1e-10:
                 break
         off = np.sort(np.linalg.norm(rays[0] @ turn.T - rays[1], axis=1) * f)
         return pd.DataFrame({**{k: [x] for k, x in zip(keys, key)}, "rotation": [turn.ravel().tolist()], "median": [off[len(off) // 2]], "rms": [np.sqrt((off**2).mean())]})
 
-    return points.groupBy(*keys).applyInPandas(fit, f"{fields}, rotation array<double>, median double, rms double")
+    c = F.col
+    kinds = T.StructType([points.schema[k] for k in keys])
+    small, large = by_size(points.select(*keys, "sx", "sy", "tx", "ty"), keys, most)
+    out = small.groupBy(*keys).applyInPandas(fit, T.StructType([*kinds, *[T.StructField(n, t) for n, t in (("rotation", T.ArrayType(T.DoubleType())), ("median", T.DoubleType()), ("rms", T.DoubleType()))]]))
+    if large is None:
+        return out
+
+    def unit(x: Column, y: Column, *names: str) -> list[Column]:
+        a, b = (x - cx) / f, -(y - cy) / f
+        size = F.sqrt(a * a + b * b + 1)
+        return [v.alias(n) for v, n in zip((a / size, b / size, 1 / size), names)]
+
+    # the points of large edges as rays, which every step reads again; the edges are few, so their rotations are broadcast
+    rays = written(large.select(*keys, *unit(c("sx"), c("sy"), *"abc"), *unit(c("tx"), c("ty"), *"pqr")), "rays")
+
+    def met(state: DataFrame) -> DataFrame:
+        """Every point's turned source ray x, y, z, what it is off by dx, dy, dz, and `off`, that in pixels."""
+        m = c("rotation")
+        turned = once(rays.join(F.broadcast(state), keys), [*keys, "p", "q", "r"], *[(m[3 * k] * c("a") + m[3 * k + 1] * c("b") + m[3 * k + 2] * c("c")).alias(n) for k, n in enumerate("xyz")])
+        apart = once(turned, [*keys, *"xyz"], *[(c(n) - c(t)).alias(f"d{n}") for n, t in zip("xyz", "pqr")])
+        return apart.withColumn("off", F.sqrt(c("dx") * c("dx") + c("dy") * c("dy") + c("dz") * c("dz")) * f)
+
+    x, y, z, w = c("x"), c("y"), c("z"), F.when(c("off") > 3, 3 / c("off")).otherwise(1.0)
+    # w times the products of -cross(v) with itself and with what is off
+    sums = {"xx": y * y + z * z, "yy": x * x + z * z, "zz": x * x + y * y, "xy": -x * y, "xz": -x * z, "yz": -y * z, "rx": y * c("dz") - z * c("dy"), "ry": z * c("dx") - x * c("dz"), "rz": x * c("dy") - y * c("dx")}
+    fields = T.StructType([*kinds, T.StructField("rotation", T.ArrayType(T.DoubleType())), T.StructField("done", T.BooleanType())])
+
+    def solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in frames:
+            xx, yy, zz, xy, xz, yz = (g[n].to_numpy(float) for n in ("xx", "yy", "zz", "xy", "xz", "yz"))
+            normal = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).reshape(-1, 3, 3)
+            now = [stepped(np.array(m).reshape(3, 3), a, b) for m, a, b in zip(g["rotation"], normal, g[["rx", "ry", "rz"]].to_numpy(float))]
+            kept = [i for i, s in enumerate(now) if s is not None]
+            if kept:
+                yield g.iloc[kept][keys].assign(rotation=[now[i][0].ravel().tolist() for i in kept], done=[bool(now[i][1] < 1e-10) for i in kept])
+
+    enough = rays.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n >= 8").select(*keys)
+    state = written(enough.select(*keys, F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)]).alias("rotation"), F.lit(False).alias("done")), "turns")
+    for _ in range(STEPS):
+        if (live := state.where("not done")).isEmpty():
+            break
+        summed = met(live.select(*keys, "rotation")).groupBy(*keys).agg(*[F.sum(w * v).alias(n) for n, v in sums.items()]).join(F.broadcast(live.select(*keys, "rotation")), keys)
+        state = written(state.where("done").unionByName(summed.mapInPandas(solved, fields)), "turns")
+    off = met(state.select(*keys, "rotation")).select(*keys, "off")
+    middle = robust.upper_median(off, keys, "off").select(*keys, c("upper_median").alias("median"))
+    rms = off.groupBy(*keys).agg(F.sqrt(F.avg(c("off") * c("off"))).alias("rms"))
+    return out.unionByName(state.select(*keys, "rotation").join(middle, keys).join(rms, keys).select(*out.columns))
 
 
 def unwrapped_bounds(rows: DataFrame, keys: list[str], yaw: str, origin: Column) -> DataFrame:

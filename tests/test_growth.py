@@ -160,3 +160,22 @@ def test_middles_of_small_groups_take_one_shuffle(spark, monkeypatch):
     monkeypatch.setattr(poses, "SMALL", 10)
     other = {r.g: r for r in poses.robust_steps(df, ["g"]).collect()}
     assert set(got) == set(other) and all(got[g].samples == other[g].samples and np.allclose([*got[g].vector, *got[g].rotation, got[g].rms], [*other[g].vector, *other[g].rotation, other[g].rms], atol=1e-12) for g in got)
+
+
+def test_large_edges_are_fitted_without_holding_them(spark):
+    rng, rows = random.Random(8), []
+    for edge in range(5):
+        a, b = edge * 0.02, 0.05 - edge * 0.01
+        for _ in range((6, 9, 40, 60, 80)[edge]):
+            x, y = rng.uniform(0, 600), rng.uniform(0, 500)
+            u, v, w = (x - 300) / 500, -(y - 250) / 500, 1.0
+            u, w = math.cos(a) * u + math.sin(a) * w, -math.sin(a) * u + math.cos(a) * w
+            v, w = math.cos(b) * v - math.sin(b) * w, math.sin(b) * v + math.cos(b) * w
+            far = rng.uniform(0, 40) if rng.random() < 0.1 else rng.gauss(0, 0.3)
+            rows.append((edge, x, y, 300 + 500 * u / w + far, 250 - 500 * v / w))
+    rows += [(9, rng.uniform(0, 600), rng.uniform(0, 500), rng.uniform(0, 600), rng.uniform(0, 500)) for _ in range(50)] + [(10, 300.0, 250.0, 300.0, 250.0)] * 20
+    df = spark.createDataFrame(rows, "edge long, sx double, sy double, tx double, ty double")
+    fit = lambda most: {r.edge: r for r in geometry.fitted_rotations(df, ["edge"], 500.0, 300.0, 250.0, most).collect()}
+    whole, split = fit(10_000), fit(20)
+    assert set(whole) == set(split) >= {1, 2, 3, 4} and 0 not in whole and 10 not in whole
+    assert all(np.allclose([*whole[e].rotation, whole[e].median, whole[e].rms], [*split[e].rotation, split[e].median, split[e].rms], atol=1e-7) for e in whole)
