@@ -14,6 +14,8 @@ from .events import TRANSITIONS
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Minutes that a finished job is remembered, so that requests that come after its end are refused, and that samples are kept.
 REMEMBERED = KEPT = 10
+#: Samples that one value of the state holds.
+HEARD = 8192
 ENDS = {s for s, after in TRANSITIONS.items() if not after}
 
 
@@ -58,20 +60,26 @@ def machine(stream: DataFrame, minutes: float = REMEMBERED) -> DataFrame:
 
 
 class Buffer(StatefulProcessor):
-    """The samples of the last minutes, each with its own time to live."""
+    """The samples of the last minutes. What was heard at once is kept as arrays of at most HEARD samples with one time to live, as each access to the state is a call out of the worker."""
 
     def __init__(self, minutes: float):
         self.minutes = minutes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.samples = handle.getMapState("samples", "at long", "done double", int(self.minutes * 60_000))
+        self.samples = handle.getMapState("samples", "heard long", "at array<bigint>, done array<double>", int(self.minutes * 60_000))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for at, done in frame.groupby("at")["done"].max().items():
-                self.samples.updateValue((int(at),), (float(done),))
-        kept = sorted((k[0], v[0]) for k, v in self.samples.iterator())
-        (first, a), (last, b) = kept[0], kept[-1]
+        new = pd.concat([frame.groupby("at")["done"].max() for frame in rows])
+        new = new.groupby(level=0).max()
+        held, last = [new], -1
+        for (number,), (at, done) in self.samples.iterator():
+            last = max(last, number)
+            held.append(pd.Series(list(done), index=list(at), dtype=float))
+        for k, lo in enumerate(range(0, len(new), HEARD)):
+            part = new.iloc[lo : lo + HEARD]
+            self.samples.updateValue((last + 1 + k,), ([int(t) for t in part.index], [float(v) for v in part]))
+        kept = pd.concat(held).groupby(level=0).max()
+        (first, a), (last, b) = ((kept.index[i], kept.iloc[i]) for i in (0, -1))
         yield pd.DataFrame({"job": [key[0]], "samples": [len(kept)], "rate": [(b - a) / (last - first) * 1e6 if last > first else None]})
 
     def close(self) -> None:

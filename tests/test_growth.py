@@ -179,3 +179,11 @@ def test_large_edges_are_fitted_without_holding_them(spark):
     whole, split = fit(10_000), fit(20)
     assert set(whole) == set(split) >= {1, 2, 3, 4} and 0 not in whole and 10 not in whole
     assert all(np.allclose([*whole[e].rotation, whole[e].median, whole[e].rms], [*split[e].rotation, split[e].median, split[e].rms], atol=1e-7) for e in whole)
+
+
+def test_samples_heard_at_once_are_one_value_of_the_state(spark, tmp_path):
+    spark.createDataFrame([(j, 10 * k, k / 50) for j in (1, 2) for k in range(50)], "job long, at long, done double").write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("job long, at long, done double").parquet(f"file://{tmp_path}/in")
+    got = events.drained(jobs.rates(stream), f"file://{tmp_path}/run", "update", once=True)
+    assert sorted(map(tuple, got.select("job", "samples").collect())) == [(1, 50), (2, 50)]
+    assert spark.read.format("statestore").option("stateVarName", "samples").load(f"file://{tmp_path}/run/checkpoint").count() == 2
