@@ -29,17 +29,22 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def best_other(df: DataFrame, keys: list[str], source: str, score: str, *evidence: str, support: str | None = None) -> DataFrame:
+def best_other(df: DataFrame, keys: list[str], source: str, score: str, *evidence: str, support: str | None = None, own: bool = False) -> DataFrame:
     """For each source of a pixel the best score among its other sources, as `peer`, and peer_<name> of that one for
-    each name in evidence, times its support where a support is named. A source's best sample stands for it."""
+    each name in evidence, times its support where a support is named; with `own` also its own evidence. A source's best sample stands for it.
+
+    Rows that are dealt by their keys stay where they are: sorts and windows, and no join.
+    """
     rows = [score, *evidence, *([support] if support else [])]
-    one = df.groupBy(*keys, source).agg(F.max(F.struct(*rows)).alias("_s"))
-    two = top(one.select(*keys, source, "_s", F.col(f"_s.{score}").alias("_v")), keys, [F.desc("_v"), F.asc(source)], 2)
-    at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
-    two = two.groupBy(*keys).agg(at(1, source).alias("_own"), at(1, "_s").alias("_one"), at(2, "_s").alias("_two"))
-    peer = F.when(F.col(source) == F.col("_own"), F.col("_two")).otherwise(F.col("_one"))
+    one = df.groupBy(*keys, source).agg(F.max(F.struct(*rows)).alias("_s")).withColumn("_v", F.col(f"_s.{score}"))
+    pixel = W.partitionBy(*keys)
+    at = lambda k, c: F.max(F.when(F.col("_rank") == k, F.col(c))).over(pixel)
+    ranked = one.withColumn("_rank", F.row_number().over(pixel.orderBy(F.desc("_v"), F.asc(source))))
+    two = ranked.withColumns({"_one": at(1, "_s"), "_two": at(2, "_s")})
+    peer = F.when(F.col("_rank") == 1, F.col("_two")).otherwise(F.col("_one"))
     share = peer[support] if support else F.lit(1.0)
-    return one.join(two, keys).select(*keys, source, F.col(f"_s.{score}").alias(score), peer[score].alias("peer"), *[(peer[e] * share).alias(f"peer_{e}") for e in evidence])
+    mine = [F.col(f"_s.{e}").alias(e) for e in evidence] if own else []
+    return two.select(*keys, source, F.col("_v").alias(score), peer[score].alias("peer"), *[(peer[e] * share).alias(f"peer_{e}") for e in evidence], *mine)
 
 
 def suppression(peer_texture: Column, obstruction: Column, texture: Column, sharpness: Column, peer_sharpness: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blend
-from ..session import table
+from ..session import dealt_by_size, table
 from .shared import PIXELS, duck, view
 
 SIDE = 64
@@ -24,8 +24,9 @@ def _two_of_four(spark, sf):
 
 
 def _peers(spark, sf):
-    lines = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(*[F.max(c).alias(c) for c in ("l_discount", "l_quantity", "l_tax")], F.max(F.col("l_linenumber") / 7).alias("support"))
-    got = blend.best_other(lines, ["l_partkey"], "l_suppkey", "l_discount", "l_quantity", "l_tax", support="support").join(lines.select("l_partkey", "l_suppkey", "l_quantity", "l_tax"), ["l_partkey", "l_suppkey"])
+    lines = dealt_by_size(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_discount", "l_quantity", "l_tax", "l_linenumber"), "l_partkey")
+    lines = lines.groupBy("l_partkey", "l_suppkey").agg(*[F.max(c).alias(c) for c in ("l_discount", "l_quantity", "l_tax")], F.max(F.col("l_linenumber") / 7).alias("support"))
+    got = blend.best_other(lines, ["l_partkey"], "l_suppkey", "l_discount", "l_quantity", "l_tax", support="support", own=True)
     strength = blend.suppression(F.col("peer_l_quantity"), F.col("l_tax") * 12, F.col("l_quantity") / 5, F.col("l_tax") * 200, F.col("peer_l_tax") * 400)
     score = blend.adjusted(F.col("l_discount"), F.col("peer"), F.coalesce(strength, F.lit(0.0)), F.lit(641.0))
     return got.select("l_partkey", "l_suppkey", F.round("peer_l_quantity", 6).alias("peer_quantity"), F.round(score, 6).alias("score"))
@@ -61,7 +62,7 @@ QUERIES = {
     "weighted_blend": lambda spark, sf: blend.weighted(_samples(spark, sf), ["l_partkey"], "l_extendedprice", "l_discount").select("l_partkey", F.round("blended", 4).alias("blended"), "samples", F.round("covered", 6).alias("covered")),
     "softmax_blend": lambda spark, sf: blend.softmax(_samples(spark, sf), ["l_partkey"], "l_extendedprice", "l_discount", 40.0).select("l_partkey", F.round("blended", 4).alias("blended")),
     "top2_owner": lambda spark, sf: blend.top(_samples(spark, sf), ["l_partkey"], [F.desc("l_discount"), F.asc("source")], 2).select("l_partkey", "source", "l_discount", "rank"),
-    "best_other_peer": lambda spark, sf: blend.best_other(_samples(spark, sf).select("l_partkey", "source", "l_discount"), ["l_partkey"], "source", "l_discount"),
+    "best_other_peer": lambda spark, sf: blend.best_other(dealt_by_size(_samples(spark, sf).select("l_partkey", "source", "l_discount"), "l_partkey"), ["l_partkey"], "source", "l_discount"),
     "peer_evidence": _peers,
     "top4_then_top2": _two_of_four,
     "pyramid_level1": lambda spark, sf: blend.halve(_raster(spark, sf)).select("x", "y", F.round("v", 4).alias("v")),

@@ -187,3 +187,11 @@ def test_samples_heard_at_once_are_one_value_of_the_state(spark, tmp_path):
     got = events.drained(jobs.rates(stream), f"file://{tmp_path}/run", "update", once=True)
     assert sorted(map(tuple, got.select("job", "samples").collect())) == [(1, 50), (2, 50)]
     assert spark.read.format("statestore").option("stateVarName", "samples").load(f"file://{tmp_path}/run/checkpoint").count() == 2
+
+
+def test_best_peers_take_no_join(spark):
+    df = spark.createDataFrame([(1, 7, 0.5, 2.0), (1, 8, 0.3, 3.0), (1, 9, 0.5, 4.0), (2, 7, 0.1, 5.0)], "pixel int, source int, score double, q double")
+    got = blend.best_other(dealt_by_size(df, "pixel", most=1), ["pixel"], "source", "score", "q", own=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 0.5, 0.5, 4.0, 2.0), (1, 8, 0.3, 0.5, 2.0, 3.0), (1, 9, 0.5, 0.5, 2.0, 4.0), (2, 7, 0.1, None, None, 5.0)]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
