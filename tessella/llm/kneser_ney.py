@@ -2,14 +2,18 @@
 
 A gram of up to six characters is two 63-bit integers: `lo` has its last three code points, `hi` the three
 before, 21 bits each, so no code point is cut. A table of a model is the sorted 64-bit hashes of its grams
-beside their counts.
+beside their counts. A model's tables are one file that Spark hands to every executor once (SparkContext.addFile) and that
+all its workers map into memory, so a model is never cut and its size counts once a machine; the driver writes it piece by piece.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BLOCK_CHARS, xxhash_long
@@ -109,22 +113,31 @@ def hashed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return xxhash_long(lo, xxhash_long(hi))
 
 
+#: Rows of a table that the driver takes at a time.
+PIECE = 1 << 22
+
+
 class Table:
-    """Sorted hashes and the values beside them; an index by the hashes' first bits finds a place in a step or two."""
+    """Sorted hashes and the counts beside them; an index by the hashes' first bits finds a place in a step or two.
 
-    def __init__(self, keys: np.ndarray, values: list[np.ndarray]):
-        keys = keys.view(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], [v[order].astype(np.float32) for v in values]
+    A count takes a byte; those of 255 and more are kept apart, by place.
+    """
+
+    def __init__(self, keys: np.ndarray, first: np.ndarray, values: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.keys, self.first, self.coded = keys, first, values
         self.bits = max(1, int(len(keys)).bit_length() - 1)
-        edges = np.arange((1 << self.bits) + 1, dtype=np.float64) * 2.0 ** (64 - self.bits)
+
+    @staticmethod
+    def index(keys: np.ndarray) -> np.ndarray:
+        bits = max(1, int(len(keys)).bit_length() - 1)
+        edges = np.arange((1 << bits) + 1, dtype=np.float64) * 2.0 ** (64 - bits)
         edges = np.minimum(edges, 2.0**64 - 4096).astype(np.uint64)
-        self.first = np.searchsorted(self.keys, edges).astype(np.int32)
+        return np.searchsorted(keys, edges).astype(np.uint32)
 
     def look(self, h: np.ndarray) -> list[np.ndarray]:
         """The values of hashes, 0 where there is none."""
         if not len(self.keys):
-            return [np.zeros(len(h)) for _ in self.values]
+            return [np.zeros(len(h)) for _ in self.coded]
         at = self.first[(h >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
         at = np.minimum(at, len(self.keys) - 1)
         behind = np.flatnonzero(self.keys[at] < h)
@@ -134,7 +147,81 @@ class Table:
             behind = behind[self.keys[at[behind]] < h[behind]]
         at = np.minimum(at, len(self.keys) - 1)
         hit = self.keys[at] == h
-        return [np.where(hit, v[at], 0).astype(np.float64) for v in self.values]
+        out = []
+        for code, place, count in self.coded:
+            v = code[at].astype(np.float64)
+            large = np.flatnonzero(v == 255)
+            v[large] = count[np.searchsorted(place, at[large])]
+            out.append(np.where(hit, v, 0))
+        return out
+
+
+class Tables(dict):
+    """Tables by name, mapped from one file; what travels with a task is where each array begins."""
+
+    def __init__(self, file: str, arrays: dict[object, list[tuple[int, str, int]]]):
+        super().__init__()
+        self.file, self.arrays = file, arrays
+        whole = np.asarray(np.memmap(SparkFiles.get(file), np.uint8, "r"))
+        for name, parts in arrays.items():
+            keys, first, *values = (whole[at : at + n * np.dtype(kind).itemsize].view(kind) for at, kind, n in parts)
+            self[name] = Table(keys, first, [tuple(values[i : i + 3]) for i in range(0, len(values), 3)])
+
+    def __reduce__(self):
+        return Tables, (self.file, self.arrays)
+
+
+class Writer:
+    """Writes tables into a file that every executor gets."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.file, self.arrays, self.at = spark, f"model-{uuid.uuid4().hex}", {}, 0
+        self.path = SparkFiles.get(self.file)
+        self.out = open(self.path, "wb")
+        self._put(np.zeros(1, np.uint64))  # an empty file can't be mapped
+
+    def _put(self, array: np.ndarray) -> tuple[int, str, int]:
+        self.out.write(array.tobytes())
+        self.out.write(bytes(-array.nbytes % 8))
+        at, self.at = self.at, self.at + array.nbytes + -array.nbytes % 8
+        return at, array.dtype.str, len(array)
+
+    def add(self, name: object, rows: DataFrame, *counts: str) -> None:
+        """A table from rows (key, counts), a range of hashes at a time."""
+        parts = min(256, 1 + rows.count() // PIECE)
+        keys, coded = [], [[] for _ in counts]
+        for p in range(parts):
+            bits = F.shiftrightunsigned("key", 56)
+            got = (rows.where((bits >= 256 * p // parts) & (bits < 256 * (p + 1) // parts)) if parts > 1 else rows).toArrow()
+            self._range(keys, coded, got["key"].to_numpy(), [got[c].to_numpy() for c in counts])
+        self._end(name, keys, coded)
+
+    def add_arrays(self, name: object, key: np.ndarray, counts: list[np.ndarray]) -> None:
+        keys, coded = [], [[] for _ in counts]
+        self._range(keys, coded, key, counts)
+        self._end(name, keys, coded)
+
+    def _range(self, keys: list, coded: list, key: np.ndarray, counts: list[np.ndarray]) -> None:
+        key = key.view(np.uint64) if key.dtype == np.int64 else key.astype(np.int64).view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        base = sum(map(len, keys))
+        keys.append(key[order])
+        for own, v in zip(coded, counts):
+            v = v[order]
+            large = np.flatnonzero(v >= 255)
+            own.append((np.minimum(v, 255).astype(np.uint8), base + large, v[large].astype(np.float64)))
+
+    def _end(self, name: object, keys: list, coded: list) -> None:
+        keys = np.concatenate(keys)
+        parts = [self._put(keys), self._put(Table.index(keys))]
+        for own in coded:
+            parts += [self._put(np.concatenate(v)) for v in zip(*own)]
+        self.arrays[name] = parts
+
+    def tables(self) -> Tables:
+        self.out.close()
+        self.spark.sparkContext.addFile(self.path)
+        return Tables(self.file, self.arrays)
 
 
 def interpolated(n: np.ndarray, total: np.ndarray, follow: np.ndarray, discount: float, lower: np.ndarray) -> np.ndarray:

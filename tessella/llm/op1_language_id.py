@@ -6,8 +6,8 @@ arrays of gram hashes beside their counts. A text goes to the language whose mod
 cross-entropy per character; a text that even the best model finds stranger than the training texts is
 rejected.
 
-Hashes have 64 bits and code points are whole, so grams do not share counts. What is broadcast has at most
-`most` entries of 12 or 16 bytes for all languages together: beyond that, grams and contexts seen fewer than
+Hashes have 64 bits and code points are whole, so grams do not share counts. All of them are kept, in a file that the workers of an
+executor map together. Who wants a smaller model may give `most`: beyond so many entries grams and contexts seen fewer than
 a least count of times (doubled until the rest fits) back off to shorter ones. Totals, continuation counts
 and discounts are those of all texts in any case.
 
@@ -28,14 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BLOCK_CHARS, batch, blocks, documents, free_names, held_out, slices, written
-from .kneser_ney import CHAR, Counts, Table, code_points, context, distinct, grams, hashed, interpolated, least_count, np_context, np_suffix, suffix
+from .kneser_ney import CHAR, PIECE, Counts, Writer, code_points, context, distinct, grams, hashed, interpolated, least_count, np_context, np_suffix, suffix
 
 ORDER = 4
 PAD = ORDER - 1
 #: Entries that a counting task holds before it passes partial counts on.
 FLUSH_GRAMS = 2_000_000
-#: Entries of all tables of the model.
-MOST = 8_000_000
 #: What the shortest gram backs off to: any code point alike.
 UNKNOWN = 1.0 / (1 << CHAR)
 _OTHER = re.compile(r"[\W\d_]+")
@@ -105,8 +103,8 @@ class Model:
         return out
 
 
-def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int = MOST) -> Model:
-    """Models from every row of `labelled` with a language and a text."""
+def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int | None = None) -> Model:
+    """Models from every row of `labelled` with a language and a text; whole ones, unless `most` entries are asked for."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     level = written(rows.mapInArrow(_count, "lang string, hi bigint, lo bigint, n bigint").groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")), "grams")
     langs = sorted(r[0] for r in level.select("lang").distinct().collect())
@@ -128,14 +126,20 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int
         union = union.union(p)
     number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") if langs else F.lit(0)
     union = written(union.select(number.alias("lang"), "table", "key", F.col("n").cast("float").alias("n"), F.col("m").cast("float").alias("m")), "model")
-    got = union.where(F.col("n") >= least_count(union, most)).toArrow()
-    of_lang, of_table = (got[c].to_numpy() for c in ("lang", "table"))
-    tables = {}
+    if most is not None:
+        union = union.where(F.col("n") >= least_count(union, most))
+    writer = Writer(labelled.sparkSession)
+    got = union.toArrow() if union.count() <= PIECE else None
     for i, lang in enumerate(langs, 1):
         for k in range(1, ORDER + 1):
             for kind in ("gram", "context"):
-                own = np.flatnonzero((of_lang == i) & (of_table == 2 * k + (kind == "context")))
-                tables[lang, k, kind] = Table(got["key"].to_numpy()[own], [got[c].to_numpy()[own] for c in "nm"[: 2 if kind == "context" else 1]])
+                counts, table = "nm"[: 2 if kind == "context" else 1], 2 * k + (kind == "context")
+                if got is None:
+                    writer.add((lang, k, kind), union.where((F.col("lang") == i) & (F.col("table") == table)), *counts)
+                else:
+                    own = np.flatnonzero((got["lang"].to_numpy() == i) & (got["table"].to_numpy() == table))
+                    writer.add_arrays((lang, k, kind), got["key"].to_numpy()[own], [got[c].to_numpy()[own] for c in counts])
+    tables = writer.tables()
     return Model(langs, tables, totals, discounts)
 
 

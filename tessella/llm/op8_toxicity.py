@@ -8,9 +8,9 @@ normalised by length: over the whole text and over its most toxic run of RUN wor
 turns both into a probability; its four coefficients are fitted on at most SAMPLE labelled training
 texts, each scored by models that leave out its half of the training texts.
 
-Counts cover all labelled training texts, of whole code points. What is broadcast has at most MOST entries
-of 12 to 24 bytes: beyond that, grams and contexts seen fewer than a least count of times (doubled until the
-rest fits) back off to shorter ones. Discounts and totals are those of all training texts in any case.
+Counts cover all labelled training texts, of whole code points. All grams and contexts are kept, in files that the workers of an executor
+map together. Who wants a smaller model may give `most`: beyond so many entries grams and contexts seen fewer than a least count of times (doubled
+until the rest fits) back off to shorter ones. Discounts and totals are those of all training texts in any case.
 
 Nulls and odd input: null, empty and letterless texts get the score of no evidence; rows with a null
 doc_id or null label teach nothing; a document with several labels has the greatest; without labels of
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_CHARS, batch, blocks, documents, held_out, likely, slices, written
-from .kneser_ney import CHAR, Counts, Table, code_points, context, distinct, grams, hashed, interpolated, least_count, np_context, np_suffix, suffix
+from .common import BLOCK_CHARS, batch, blocks, documents, held_out, likely, release, slices, tables_written, written
+from .kneser_ney import CHAR, Counts, Writer, code_points, context, distinct, grams, hashed, interpolated, least_count, np_context, np_suffix, suffix
 from .op1_language_id import _normal
 
 ORDER = 6
@@ -37,8 +37,6 @@ PAD = ORDER - 1
 RUN = 3
 SAMPLE = 20_000
 FLUSH_GRAMS = 1_500_000
-#: Entries of all tables of a model.
-MOST = 4_000_000
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,9 +111,10 @@ class Model:
         return toxic - ordinary
 
 
-def learn(counts: DataFrame, most: int = MOST) -> Model:
-    """A model from the table (toxic, hi, lo, n) of 6-gram counts."""
+def learn(counts: DataFrame, most: int | None = None) -> Model:
+    """A model from the table (toxic, hi, lo, n) of 6-gram counts; the whole one, unless `most` entries are asked for."""
     of = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0))
+    mark = tables_written()
     level = written(counts.groupBy("hi", "lo").agg(of(0).alias("n0"), of(1).alias("n1")), "grams6")
     known, discounts, unigrams = [], {}, (0.0, 0.0)
     for k in range(ORDER, 0, -1):
@@ -138,14 +137,17 @@ def learn(counts: DataFrame, most: int = MOST) -> Model:
         else:
             unigrams = (float(r.n or 0), float(r.kinds))
     total = lambda df: F.col("n0") + F.col("n1") if "n1" in df.columns else F.col("n0")
-    sizes = known[0][1].select(total(known[0][1]).alias("n"))
-    for _, df in known[1:]:
-        sizes = sizes.union(df.select(total(df).alias("n")))
-    least = least_count(sizes, most)
-    tables = {}
-    for which, df in known:  # one at a time, so that the driver holds one table as Arrow
-        got = df.where(total(df) >= least).toArrow()
-        tables[which] = Table(got["key"].to_numpy(), [got[c].to_numpy() for c in df.columns[1:]])
+    least = 1
+    if most is not None:
+        sizes = known[0][1].select(total(known[0][1]).alias("n"))
+        for _, df in known[1:]:
+            sizes = sizes.union(df.select(total(df).alias("n")))
+        least = least_count(sizes, most)
+    writer = Writer(counts.sparkSession)
+    for which, df in known:  # one at a time, and in pieces, so that the driver holds a piece as Arrow
+        writer.add(which, df.where(total(df) >= least) if least > 1 else df, *df.columns[1:])
+    tables = writer.tables()
+    release(counts.sparkSession, mark)
     return Model(tables, discounts, unigrams)
 
 

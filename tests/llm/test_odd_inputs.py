@@ -1,11 +1,16 @@
 """Every operator on odd and on empty tables."""
 
+import pickle
+import random
+
 import pytest
 
-from tessella.llm import op1_language_id, op2_mixing, op3_licenses, op4_topk, op5_packing, op6_simhash, op7_tokens, op8_toxicity, op9_fingerprints, op10_line_dedup
+from tessella.llm import kneser_ney, op1_language_id, op2_mixing, op3_licenses, op4_topk, op5_packing, op6_simhash, op7_tokens, op8_toxicity, op9_fingerprints, op10_line_dedup
 from tessella.llm.common import shared_dir
 from tessella.llm.tokens import default_path
 
+from .conftest import words
+
 KEEPING = {"language": op1_language_id.accepted, "line dedup": op10_line_dedup.deduplicated, "simhash": op6_simhash.deduplicated, "mix": op2_mixing.mixed}
 
 
@@ -200,3 +205,23 @@ def test_fingerprints_of_odd_texts(odd, empty):
     assert len(same) == 1 and all(0 <= r.near_next <= 1 for r in got)
     assert op9_fingerprints.fingerprints(empty).count() == 0
     assert op9_fingerprints.near_duplicates(odd).count() == odd.count() and op9_fingerprints.near_duplicates(empty).count() == 0
+
+
+def test_language_models_are_whole_and_travel_as_files(spark, monkeypatch):
+    """A model written in pieces is the one written at once, counts beyond a byte included; what is pickled doesn't grow with it."""
+    rng = random.Random(21)
+    rows = [(i, f"l{i % 2}", words(rng, 300) + " " + "".join(chr(rng.randrange(97, 123)) for _ in range(200))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    whole = op1_language_id.learn(df)
+    for module in (kneser_ney, op1_language_id):
+        monkeypatch.setattr(module, "PIECE", 100)
+    cut = op1_language_id.learn(df)
+    hi, lo, _ = op1_language_id._grams([op1_language_id._normal(rows[0][2]), "zq zq"])
+    assert (whole.nats(hi, lo) == cut.nats(hi, lo)).all() and sum(len(t.keys) for t in whole.tables.values()) > 2000
+    assert any(len(place) for t in whole.tables.values() for _, place, _ in t.coded)
+    assert len(pickle.dumps(whole)) < 20_000 and (pickle.loads(pickle.dumps(cut)).nats(hi, lo) == whole.nats(hi, lo)).all()
+    counted = df.selectExpr("cast(doc_id % 2 as int) as part", "text").mapInArrow(op8_toxicity._count, "part int, hi bigint, lo bigint, n bigint").withColumnRenamed("part", "toxic")
+    split = op8_toxicity.learn(counted)
+    monkeypatch.undo()
+    hi, lo, _, _ = op8_toxicity._grams([op8_toxicity._normal(rows[1][2])])
+    assert (op8_toxicity.learn(counted).evidence(hi, lo) == split.evidence(hi, lo)).all()
