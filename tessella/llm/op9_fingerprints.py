@@ -9,10 +9,10 @@ a task has the next integer id, both are at hand; all other documents, and all r
 stretch, are put in order by shuffle. Tables that are stored in order so move hardly any text.
 
 classes() cuts signatures into BANDS bands and joins documents on a band's value in Spark. The members of a
-band's group meet its first REPRESENTATIVES, up to four times as many in each further round. A member makes a pair
-with the likest representative of each component but its own, if their signatures are alike at all (NEAR), and the
-pair's Jaccard likeness of shingles is verified; links make components. A group that is one component, as copies
-are after a round, or all of whose members have met, is done. Nodes are distinct shingle sets, so exact copies cost nothing. A pair at likeness 0.8 shares a band with a
+band's group meet its first REPRESENTATIVES; of pairs whose signatures are alike at all (NEAR) the Jaccard likeness of
+shingles is verified, and links make components. A group that is one component, as copies are, or all of whose members
+have met, is done. The others are dealt over blocks of BLOCK members, two of which meet in a tile that one task holds:
+there all pairs between components are compared and verified, and as many links are kept as join them. Nodes are distinct shingle sets, so exact copies cost nothing. A pair at likeness 0.8 shares a band with a
 chance of 0.9977 and estimates below NEAR with one of 0.01. The tests measure what is missed.
 
 Nulls and odd input: a null text is an empty one; a text of fewer words than a shingle has one shingle
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -45,10 +46,13 @@ BANDS = 20
 #: Values of the signature in a band; 8 of the 128 are in none.
 ROWS = 6
 LIKENESS = 0.8
-#: Representatives of a group in the first round; least likeness of signatures of a pair that is verified.
+#: Representatives that a group's members meet first; least likeness of signatures of a pair that is verified.
 REPRESENTATIVES = 2
 NEAR = 0.72
 SEED = 9
+#: Members of a block, and bytes of their shingles, in groups that are not one component.
+BLOCK = 1024
+BLOCK_BYTES = 16 << 20
 #: Members of a band that one task numbers, and the most bands that are dealt over several.
 HOT = 4096
 MOST_HOT = 100_000
@@ -264,21 +268,21 @@ def classes(docs: DataFrame, signed: DataFrame, least: float = LIKENESS) -> Data
         x, y = (np.frombuffer(b"".join(s), ">u2").reshape(-1, PERMUTATIONS) for s in (a, b))
         return pd.Series((x == y).mean(axis=1))
 
-    left = written(numbered(left).select("band", "node", "sig", F.col("node").alias("root"), "k"), "members")
-    edges, roots, met_first, upto = None, None, 0, REPRESENTATIVES
-    while not left.isEmpty():
-        some = left.where((F.col("k") > met_first) & (F.col("k") <= upto)).select("band", F.col("node").alias("other"), F.col("sig").alias("theirs"), F.col("root").alias("there"), F.col("k").alias("at"))
-        met = left.join(written(some, "representatives"), "band").where("k > at and root != there").withColumn("e", estimate("sig", "theirs")).where(F.col("e") >= NEAR)
-        pairs = written(met.groupBy("band", "node", "there").agg(F.max_by("other", F.struct("e", "other")).alias("other")).select("node", "other").distinct(), "pairs")
-        alike = written(verified(docs, pairs, nodes, least).where("alike").select(F.col("node").alias("a"), F.col("other").alias("b")), "links")
-        edges = alike if edges is None else edges.union(alike)
-        roots = stars(edges)
-        now = left.drop("root").join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = now.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("k").alias("n")).where((F.col("r0") != F.col("r1")) & (F.col("n") > upto + 1)).select("band")
-        left = written(now.join(open_, "band").select("band", "node", "sig", "root", "k"), "members")
-        met_first, upto = upto, 4 * upto
-    if edges is None:
+    left = written(numbered(left).select("band", "node", "sig", "k"), "members")
+    if left.isEmpty():
         return nodes.where("n > 1").select("node", F.col("least").alias("class_id"))
+    # a group of copies is one component after this
+    some = left.where(F.col("k") <= REPRESENTATIVES).select("band", F.col("node").alias("other"), F.col("sig").alias("theirs"), F.col("k").alias("at"))
+    met = left.join(some, "band").where("k > at").withColumn("e", estimate("sig", "theirs")).where(F.col("e") >= NEAR)
+    pairs = written(met.select("node", "other").distinct(), "pairs")
+    edges = written(verified(docs, pairs, nodes, least).where("alike").select(F.col("node").alias("a"), F.col("other").alias("b")), "links")
+    roots = stars(edges)
+    now = left.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = now.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where((F.col("r0") != F.col("r1")) & (F.col("n") > REPRESENTATIVES + 1)).select("band")
+    left = written(now.join(open_, "band").select("band", "node", "sig", "root"), "members")
+    if not left.isEmpty():
+        edges = edges.union(written(linked(left.join(sets_of(docs, left.select("node").distinct(), nodes), "node"), least), "links"))
+        roots = stars(edges)
     named = roots.union(roots.select("root", "root").distinct()).toDF("node", "root")  # stars() leaves the roots themselves out
     labelled = nodes.join(named, "node", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
     return labelled.join(labelled.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
@@ -298,12 +302,76 @@ def numbered(members: DataFrame, hot: int = HOT) -> DataFrame:
     return dealt.withColumn("k", (place - 1) * F.col("_salts") + F.col("_salt") + 1).drop("_salts", "_salt")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """pairs (node, other) with `alike`: whether the Jaccard likeness of their shingle sets is at least `least`.
+def tiles(members: DataFrame, most: int = BLOCK, most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """members (band, node, root, sig, shingles) with band, i, j of the tiles that they are in, and `block`, their own.
+
+    A band's group is dealt over blocks of about `most` members and `most_bytes` of shingles, or one in MOST_HOT of all; every two blocks meet in a tile, and the
+    only block of a small group in itself. The numbers of blocks of larger groups are broadcast (16 bytes each).
+    """
+    size = F.octet_length("shingles")
+    known = members.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()[0]
+    most, most_bytes = max(most, known.n // MOST_HOT), max(most_bytes, (known.bytes or 0) // MOST_HOT)
+    large = members.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / most, F.sum(size) / most_bytes)).alias("blocks")).where("blocks > 1")
+    dealt = members.join(F.broadcast(large), "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    met = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks"))).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return met.select("band", F.least("block", "_with").alias("i"), F.greatest("block", "_with").alias("j"), "block", "node", "root", "sig", "shingles")
+
+
+def tile_links(root: np.ndarray, block: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (places) of a tile's members that join the components `root` as all its pairs would; of two blocks only pairs across.
+
+    All pairs that are not joined yet and whose signatures are alike (NEAR) are verified, the likest ones first.
+    """
+    root = np.unique(root, return_inverse=True)[1]
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(ids, np.cumsum([len(s) for s in sets])[:-1])
+    mark = np.zeros(len(ids) + 1, bool)
+    across = bool((block != block[0]).any())
+    out: list[tuple[int, int]] = []
+    for a in range(len(root) - 1):
+        rest = root[a + 1 :] != root[a]
+        if across:
+            rest &= block[a + 1 :] != block[a]
+        others = a + 1 + np.flatnonzero(rest)
+        for lo in range(0, len(others), 1024):
+            some = others[lo : lo + 1024]
+            e = (sig[some] == sig[a]).mean(axis=1)
+            some, e = some[e >= NEAR], e[e >= NEAR]
+            mark[sets[a]] = True
+            for b in some[np.argsort(-e, kind="stable")].tolist():
+                if root[a] == root[b]:
+                    continue
+                both = int(np.count_nonzero(mark[sets[b]]))
+                if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                    out.append((a, b))
+                    root[root == root[b]] = root[a]
+            mark[sets[a]] = False
+    return out
 
-    Texts are read again, those of the pairs' nodes (and few others) become sets, and each pair fetches both.
+
+def linked(members: DataFrame, least: float, most: int = BLOCK) -> DataFrame:
+    """Links (a, b) between members (band, node, root, sig, shingles) of a band whose Jaccard likeness is at least `least`: as many as join all that are alike.
+
+    A task holds one tile of two blocks. Rows shuffled grow with a group's size by its number of blocks, comparisons with its square.
     """
-    wanted = written(pairs.select("node").union(pairs.select("other")).distinct().join(nodes, "node").withColumnRenamed("least", "doc_id"), "wanted")
+    at = tiles(members, most)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for rb in slices(batches) for r in zip(*(c.to_pylist() for c in rb.columns)))
+        for _, own in groupby(rows, key=lambda r: r[:3]):
+            block, node, root, sig, sets = zip(*(r[3:] for r in own))
+            found = tile_links(np.array(root), np.array(block), np.frombuffer(b"".join(sig), ">u2").reshape(-1, PERMUTATIONS), [np.frombuffer(s, np.uint32) for s in sets], least)
+            if found:
+                yield batch(schema, [[node[a] for a, _ in found], [node[b] for _, b in found]])
+
+    return at.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted (node): texts are read again, and those of these nodes (and few others) become sets, as sorted 32-bit hashes."""
+    wanted = written(wanted.join(nodes, "node").select("node", F.col("least").alias("doc_id")), "wanted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # sets that only rows without an id have are looked for among all of these
     some = likely(rows, wanted, "doc_id").union(rows.where("doc_id is null"))
@@ -315,7 +383,12 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, least: float)
             yield batch(schema, [[xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in own], [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in own]])
 
     known = some.select("text").mapInArrow(sets, "node long, shingles binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    known = written(known, "sets")
+    return written(known, "sets")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """pairs (node, other) with `alike`: whether the Jaccard likeness of their shingle sets is at least `least`; each pair fetches both."""
+    known = sets_of(docs, pairs.select("node").union(pairs.select("other")).distinct(), nodes)
     both = pairs.join(known, "node").join(known.select(F.col("node").alias("other"), F.col("shingles").alias("theirs")), "other")
 
     @F.pandas_udf("boolean")

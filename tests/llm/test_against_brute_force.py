@@ -379,6 +379,23 @@ def test_minhash_classes_against_all_pairs(spark):
     assert all(whole[i] == whole[c] for i, c in got.items())
 
 
+def test_tiles_link_what_all_pairs_of_a_large_band_link(spark):
+    """Near copies about the threshold, which no representatives join: rows grow with the blocks and not with the pairs."""
+    rng = random.Random(11)
+    base = words(rng, 150, VOCABULARY).split()
+    texts = [" ".join(f"changed{rng.randrange(999)}" if k in at else w for k, w in enumerate(base)) for at in ({rng.randrange(150) for _ in range(rng.choice([1, 2, 3, 5]))} for _ in range(300))]
+    sets = [op9_fingerprints.shingles(t) for t in texts]
+    sig = [op9_fingerprints.signature(s) for s in sets]
+    near = [(i, j) for i in range(300) for j in range(i) if same_share(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8 and (sig[i] == sig[j]).mean() >= op9_fingerprints.NEAR]
+    rows = [(7, i, i, bytearray(g.astype(">u2").tobytes()), bytearray(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())) for i, (s, g) in enumerate(zip(sets, sig))]
+    members = spark.createDataFrame(rows, "band long, node long, root long, sig binary, shingles binary").repartition(4)
+    assert len(set(classes_of(300, near))) > 1 and op9_fingerprints.tiles(members, 100).count() == 900
+    for most in (1000, 100):
+        got = [(r.a, r.b) for r in op9_fingerprints.linked(members, 0.8, most).collect()]
+        assert {(max(e), min(e)) for e in got} <= set(near) and len(got) < 6 * 300
+        assert classes_of(300, got) == classes_of(300, near)
+
+
 def test_held_out_languages(spark):
     rows = op1_language_id.query(spark, TEN).collect()
     lang = dict(duckdb.sql(f"select doc_id, lang from '{TEN}/documents.parquet'").fetchall())
