@@ -37,18 +37,22 @@ from .common import documents, written
 WINDOW, SHINGLE = 10, 5
 #: Prefix shingles of a block, of some hundred bytes each with their windows.
 BLOCK = 1 << 16
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Java tests the characters of a class that are listed one by one by a single look into a table, and ranges one after the other
+_ASCII = [chr(c) for c in range(128)]
+GAPS = "[" + "".join(f"\\x{ord(c):02X}" for c in _ASCII if not c.isalnum()) + "]+"
+WORDS = "[" + "".join(c for c in _ASCII if c.isalnum()) + r"\x{80}-\x{10FFFF}]+"
 
 
 def words_of(text: Column) -> Column:
     # lower() is far quicker, and the same where all characters are ASCII
     low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-    return F.regexp_extract_all(low, F.lit(WORDS), F.lit(0))
+    # cutting at gaps makes no match object for every word; a text that begins or ends with a gap has an empty string there
+    return F.array_remove(F.split(low, GAPS), "")
 
 
 def count_of_words(text: Column) -> Column:
     """As many as words_of() has: A-Z are parts of words before they are lower-cased."""
-    return F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    return F.regexp_count(text, F.lit(WORDS))
 
 
 def shingle_at(words: Column, pos: Column, k: int) -> Column:
