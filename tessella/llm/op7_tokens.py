@@ -74,13 +74,14 @@ def _chosen(seq: np.ndarray, free: np.ndarray, seed: int) -> np.ndarray:
 def _last(seq: np.ndarray, free: np.ndarray) -> np.ndarray:
     """Places of all pairs that occur PAYS times, counted exactly, the more frequent pairs first where they overlap."""
     pair = (seq[:-1] << np.uint64(32)) | seq[1:]
-    ordered = np.sort(pair)
+    slot = _slots(pair, 0)
+    ordered = np.sort(pair[(np.bincount(slot, minlength=1 << BITS) >= PAYS)[slot]])  # no other pair can be common
     # a pair that occurs PAYS times equals the one PAYS - 1 places on
     common = ordered[: 1 - PAYS][ordered[: 1 - PAYS] == ordered[PAYS - 1 :]]
     common = common[np.r_[True, common[1:] != common[:-1]]] if len(common) else common
     marked = np.zeros(1 << BITS, bool)
     marked[_slots(common, 0)] = True
-    at = np.flatnonzero(marked[_slots(pair, 0)] & free)
+    at = np.flatnonzero(marked[slot] & free)
     pair = pair[at]
     order = np.argsort(pair, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(pair[order]) != 0, True])
@@ -101,8 +102,14 @@ def _last(seq: np.ndarray, free: np.ndarray) -> np.ndarray:
 
 def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (pairs of symbols), the expansion length of every rule, and the ids in use, for uint32 ids."""
-    used = np.unique(ids)
-    seq, base = np.searchsorted(used, ids).astype(np.uint64), len(used)
+    if int(ids.max(initial=0)) < 1 << 24:  # a look into a table in place of a sort
+        there = np.bincount(ids, minlength=1) > 0
+        used = np.flatnonzero(there)
+        seq = (np.cumsum(there) - 1).astype(np.uint64)[ids]
+    else:
+        used, seq = np.unique(ids, return_inverse=True)
+        seq = seq.astype(np.uint64)
+    base = len(used)
     rules: list[np.ndarray] = []
     width = np.ones(base, np.int64)
     closes = used == end_id  # symbols whose last id ends a document: nothing may follow them in a pair

@@ -15,6 +15,8 @@ CACHE_WORDS = 300_000
 #: Bytes of text that are split at once; a longer text goes alone.
 CHUNK_BYTES = 4 << 20
 END_ID = 1
+#: A word that new words are told apart by.
+BETWEEN = "throughout"
 LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _encoders: dict[str, Encoder] = {}
 
@@ -85,6 +87,9 @@ class Encoder:
         encode = lambda t: self.library.encode(t, add_special_tokens=False).ids
         self.alike = self._plain(probe) == encode(probe)
         self.marked = encode(marks) == encode(marks[:-1].replace(". ", " . ").replace(", ", " , ").replace("! ", " ! ").replace("? ", " ? ").replace("; ", " ; ").replace(": ", " : ") + " .")
+        own = encode(BETWEEN)
+        told = len(own) == 1 and encode(f"é-1 {BETWEEN} {BETWEEN} 2x.") == [*encode("é-1"), *own, *own, *encode("2x.")]
+        self.between = own[0] if told else None
         self._reset()
 
     def _plain(self, joined: str) -> list[int]:
@@ -117,7 +122,8 @@ class Encoder:
         own = fresh.filter(pa.array(latin))
         if len(own):
             # one call for all: each word gives one pre-token, whose last id alone ends a word
-            ids = np.array(self._plain(" ".join(own.to_pylist())), "<u4")
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), " ")[0].as_py()
+            ids = np.array(self._plain(joined), "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(own):
                 latin[:] = False
@@ -126,11 +132,30 @@ class Encoder:
                 self._add(own, ids, np.diff(stops, prepend=0))
         if not latin.all():
             own = fresh.filter(pa.array(~latin))
-            got = [e.ids for e in self.library.encode_batch_fast(own.to_pylist(), add_special_tokens=False)]
             number[~latin] = len(self.words) + np.arange(len(own))
-            self._add(own, np.concatenate([np.array(i, "<u4") for i in got]), np.array([len(i) for i in got], np.int64))
+            self._add(own, *self._apart(own.to_pylist()))
         return number
 
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in turn, and how many each has: by one call with BETWEEN, which has an id of its own, between every two of them."""
+        if self.between is not None:
+            ids = np.array(self.library.encode_batch_fast([f" {BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(ids == self.between)
+            if len(stops) == len(words) - 1:
+                return np.delete(ids, stops), np.diff(np.r_[-1, stops, len(ids)]) - 1
+            # a word holds it
+            has = [BETWEEN in w.lower() for w in words]
+            if 0 < sum(has) < len(words):
+                parts: list = [None] * len(words)
+                for flag in (False, True):
+                    at = [i for i, h in enumerate(has) if h == flag]
+                    own, n = self._apart([words[i] for i in at])
+                    for i, part in zip(at, np.split(own, np.cumsum(n)[:-1])):
+                        parts[i] = part
+                return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        got = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.array(i, "<u4") for i in got]), np.array([len(i) for i in got], np.int64)
+
     def _numbered(self, words: pa.Array) -> np.ndarray:
         """The numbers of distinct words, after learning those that are new."""
         found = pc.index_in(words, value_set=self.words)

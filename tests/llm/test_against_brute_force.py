@@ -379,6 +379,26 @@ def test_minhash_classes_against_all_pairs(spark):
     assert all(whole[i] == whole[c] for i, c in got.items())
 
 
+def test_new_words_take_few_calls_of_the_library(monkeypatch):
+    """Words that aren't Latin letters alone are encoded together, also those that hold the word between them."""
+    from tessella.llm import tokens
+
+    encode = tokens.Encoder(default_path())
+    own = [*(f"é{k}-x$$$" for k in range(5000)), "throughout-1", "Throughout2", "(throughout)", "日本", "don't", "1.5"]
+    expected = [e.ids for e in encode.library.encode_batch([" ".join(own), "throughout 1", ""], add_special_tokens=False)]
+    calls = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    library = encode.library
+    monkeypatch.setattr(encode, "library", Counting())
+    got = [np.frombuffer(b, "<u4").tolist() for b in encode([" ".join(own), "throughout 1", ""])]
+    assert got == expected and sum(calls) < 100
+
+
 def test_tiles_link_what_all_pairs_of_a_large_band_link(spark):
     """Near copies about the threshold, which no representatives join: rows grow with the blocks and not with the pairs."""
     rng = random.Random(11)
