@@ -126,6 +126,13 @@ class Table:
     def __init__(self, keys: np.ndarray, first: np.ndarray, values: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.keys, self.first, self.coded = keys, first, values
         self.bits = max(1, int(len(keys)).bit_length() - 1)
+        self.near = [self._stretches(place, len(keys)) for _, place, _ in values]
+
+    @staticmethod
+    def _stretches(place: np.ndarray, n: int) -> tuple[int, np.ndarray]:
+        """Bits of a stretch of places that has one count kept apart on average, and the first such count from each stretch on."""
+        bits = max(0, (n // max(1, len(place))).bit_length() - 1)
+        return bits, np.searchsorted(place, np.arange(0, n + 1, 1 << bits)).astype(np.uint32)
 
     @staticmethod
     def index(keys: np.ndarray) -> np.ndarray:
@@ -148,10 +155,18 @@ class Table:
         at = np.minimum(at, len(self.keys) - 1)
         hit = self.keys[at] == h
         out = []
-        for code, place, count in self.coded:
-            v = code[at].astype(np.float64)
+        for (code, place, count), (bits, first) in zip(self.coded, self.near):
+            v = code[at]
             large = np.flatnonzero(v == 255)
-            v[large] = count[np.searchsorted(place, at[large])]
+            v = v.astype(np.float64)
+            # as for the keys: a place or two behind the first of its stretch
+            own = at[large]
+            i = first[own >> bits].astype(np.int64)
+            behind = np.flatnonzero(place[i] < own)
+            while len(behind):
+                i[behind] += 1
+                behind = behind[place[i[behind]] < own[behind]]
+            v[large] = count[i]
             out.append(np.where(hit, v, 0))
         return out
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessella.llm import op1_language_id, op2_mixing, op3_licenses, op4_topk, op5_packing, op6_simhash, op7_tokens, op8_toxicity, op9_fingerprints, op10_line_dedup
+from tessella.llm import kneser_ney, op1_language_id, op2_mixing, op3_licenses, op4_topk, op5_packing, op6_simhash, op7_tokens, op8_toxicity, op9_fingerprints, op10_line_dedup
 from tessella.llm.tokens import Encoder, default_path
 
 from .conftest import SMALL, TEN, words
@@ -379,6 +379,19 @@ def test_minhash_classes_against_all_pairs(spark):
     assert all(whole[i] == whole[c] for i, c in got.items())
 
 
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.5, 1.0])
+def test_large_counts_are_found_without_a_search(monkeypatch, share):
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    counts = np.where(rng.random(len(keys)) < share, rng.integers(255, 10**6, len(keys)), rng.integers(0, 255, len(keys)))
+    large = np.flatnonzero(counts >= 255)
+    table = kneser_ney.Table(keys, kneser_ney.Table.index(keys), [(np.minimum(counts, 255).astype(np.uint8), large, counts[large].astype(float))])
+    asked = rng.permutation(np.r_[keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 1000, dtype=np.uint64)])
+    known = dict(zip(keys.tolist(), counts.tolist()))
+    monkeypatch.delattr(np, "searchsorted")
+    assert table.look(asked)[0].tolist() == [known.get(k, 0) for k in asked.tolist()]
+
+
 def test_new_words_take_few_calls_of_the_library(monkeypatch):
     """Words that aren't Latin letters alone are encoded together, also those that hold the word between them."""
     from tessella.llm import tokens
