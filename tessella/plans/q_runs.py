@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, runs
-from ..session import table
+from ..session import dealt, table
 from .shared import duck, view
 
 #: Marked pixels of two pictures, a row for each supplier.
@@ -33,7 +33,7 @@ def _labelled(spark, sf):
 
 
 def _people(spark, sf):
-    components, own = view(spark, sf, PEOPLE), runs.merge(view(spark, sf, SILHOUETTES), ["id", "y"]).drop("parts")
+    components, own = view(spark, sf, PEOPLE), runs.merge(dealt(view(spark, sf, SILHOUETTES), "id"), ["id", "y"]).drop("parts")
     return runs.person_groups(components, own, 1200, 800)[0]
 
 
