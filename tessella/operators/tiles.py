@@ -8,25 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import dealt
+from ..session import dealt, named, pieces
 
 
 def tile_sources(tiles: DataFrame, sources: DataFrame, bin_size: float = 0.5) -> DataFrame:
     """(tile, source) whose cones meet: tiles and sources are (yaw, pitch, radius) in radians.
 
     Cones that are alike are compared once: pairs of distinct cones meet by bands of pitch, in the band of the tile, which the
-    source's reach in pitch covers. Tiles and sources then join their cones.
+    source's reach in pitch covers. Tiles and sources then join their cones in pieces, which are spread out last: nothing follows that handles each pair.
     """
     c, cone, other = F.col, ["yaw", "pitch", "radius"], ["_y", "_p", "_r"]
+    tiles, sources = (d.select(n, *cone, named(*cone).alias("_cone")) for d, n in ((tiles, "tile"), (sources, "source")))
     widest = tiles.agg(F.max("radius").alias("_w"))  # one row
     reach = F.sequence(F.floor((c("_p") - c("_r") - c("_w")) / bin_size), F.floor((c("_p") + c("_r") + c("_w")) / bin_size))
-    named = sources.select("source", *[c(a).alias(b) for a, b in zip(cone, other)])
-    far = named.select(*other).distinct().crossJoin(F.broadcast(widest)).select(*other, F.explode(reach).alias("_band"))
-    near = tiles.select(*cone).distinct().withColumn("_band", F.floor(c("pitch") / bin_size))
+    theirs = sources.select(*[c(a).alias(b) for a, b in zip(cone, other)], c("_cone").alias("_other"))
+    far = theirs.distinct().crossJoin(F.broadcast(widest)).select(*other, "_other", F.explode(reach).alias("_band"))
+    near = tiles.select(*cone, "_cone").distinct().withColumn("_band", F.floor(c("pitch") / bin_size))
     angle = F.sin("pitch") * F.sin("_p") + F.cos("pitch") * F.cos("_p") * F.cos(c("yaw") - c("_y"))
     meets = angle >= F.cos(F.least(c("radius") + c("_r"), F.lit(math.pi)))
-    met = dealt(near, *cone).join(far, "_band").where(meets).select(*cone, *other)
-    return dealt(met, *cone).join(named, other).join(tiles, cone).select("tile", "source")
+    met = dealt(near, "_cone").join(far, "_band").where(meets).select("_cone", "_other")
+    alike = pieces(sources.select("source", c("_cone").alias("_other")), ["_other"], "source", 1 << 12)
+    alike = met.join(alike.withColumnRenamed("values", "_sources"), "_other").select("_cone", "_sources")
+    own = pieces(dealt(tiles.select("tile", "_cone"), "_cone"), ["_cone"], "tile")
+    # sorted and merged: what one piece of tiles makes is bounded by the sources of a tile
+    both = own.join(dealt(alike, "_cone").hint("merge"), "_cone")
+    return both.select(F.inline("values"), "_sources").select("tile", F.inline("_sources"))
 
 
 def band_tiles(bands: DataFrame, tiles: DataFrame, height: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from tessella.operators import runs
+from tessella.operators import runs, tiles
 
 
 def test_people_beside_a_cell_border_are_not_all_compared(spark, monkeypatch):
@@ -21,3 +21,15 @@ def test_people_beside_a_cell_border_are_not_all_compared(spark, monkeypatch):
     assert max(t.count() for t in kept["widest"]) <= 20 and not any(t.count() for t in kept.get("odd", []))
     monkeypatch.setattr(runs, "LINE_ROUNDS", 0)
     assert got == {r.id: r.component for r in runs.linked_components(df).collect()} and kept["odd"][-1].count() > 100
+
+
+def test_tiles_and_sources_that_are_alike_meet_in_pieces(spark):
+    """Joins make a row for some tiles and their sources, not for each pair; nothing follows but their spreading out."""
+    tile = spark.createDataFrame([(i if i else None, 0.1 * (i % 2), 0.0, 0.05) for i in range(50)] + [(99, None, 0.0, 0.05)], "tile long, yaw double, pitch double, radius double")
+    source = spark.createDataFrame([(i if i else None, 0.1 * (i % 3), -0.0, 0.02) for i in range(40)] + [(99, 0.0, None, 0.1)], "source long, yaw double, pitch double, radius double")
+    got = tiles.tile_sources(tile, source)
+    want = [(t or -1, s or -1) for t in range(50) for s in range(40) if t % 2 == s % 3]
+    assert sorted((-1 if r.tile is None else r.tile, -1 if r.source is None else r.source) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan()
+    kinds = [n for n in plan.toString().replace(":", " ").replace("+-", " ").split() if n in ("Join", "Generate", "RepartitionByExpression")]
+    assert kinds[:3] == ["Generate", "Generate", "Join"]
