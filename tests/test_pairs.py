@@ -1,8 +1,11 @@
 """Work on pairs: what is compared, and that it is all there."""
 
+import math
 import random
 
-from tessella.operators import runs, tiles
+from pyspark.sql import functions as F
+
+from tessella.operators import geometry, runs, tiles
 
 
 def test_people_beside_a_cell_border_are_not_all_compared(spark, monkeypatch):
@@ -33,3 +36,16 @@ def test_tiles_and_sources_that_are_alike_meet_in_pieces(spark):
     plan = got._jdf.queryExecution().optimizedPlan()
     kinds = [n for n in plan.toString().replace(":", " ").replace("+-", " ").split() if n in ("Join", "Generate", "RepartitionByExpression")]
     assert kinds[:3] == ["Generate", "Generate", "Join"]
+
+
+def test_pixels_and_cameras_that_are_alike_are_spread_out_last(spark):
+    """What a ray and a camera make is computed and rounded before its pixels and cameras are rows; no join makes the pairs."""
+    pixel = spark.createDataFrame([(i if i else None, 0.2 * (i % 3), 0.1) for i in range(50)] + [(99, None, 0.1)], "pixel long, yaw double, pitch double")
+    camera = spark.createDataFrame([(i if i else None, 0.1 * (i % 2), -0.0, 900.0, 800.0, 600.0) for i in range(40)] + [(99, 2.5, 0.0, 900.0, 800.0, 600.0)], "camera long, yaw double, pitch double, f double, width double, height double")
+    got = geometry.footprints(pixel, camera, 0.6, shown=[F.round("u", 2).alias("u")])
+    rows = [(-1 if r.pixel is None else r.pixel, -1 if r.camera is None else r.camera, r.u) for r in got.collect()]
+    at = lambda p, c: round(400 + 900 * math.tan(0.2 * (p % 3) - 0.1 * (c % 2)), 2)
+    want = [(p or -1, c or -1, at(p, c)) for p in range(50) for c in range(40)]
+    assert sorted(rows) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().replace(":", " ").replace("+-", " ").split()
+    assert [n for n in plan if n in ("Join", "Generate", "Aggregate", "RepartitionByExpression")][:4] == ["Generate", "Generate", "Join", "Generate"]
